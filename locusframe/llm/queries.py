@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, mixing
+from . import decontamination, exact_dedup, jaccard_join, language_id, mixing, token_files
 
 QUERIES = {
     "op2_exact_dedup": exact_dedup.query,
     "op4_source_mixing": mixing.query,
+    "op5_language_id": language_id.query,
+    "op6_token_files": token_files.query,
+    "op7_decontamination": decontamination.query,
     "op9_jaccard_join": jaccard_join.query,
 }
 
@@ -14,4 +17,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op2_exact_dedup": exact_dedup.ORACLE,
     "op4_source_mixing": mixing.ORACLE,
+    "op7_decontamination": decontamination.ORACLE,
 }
