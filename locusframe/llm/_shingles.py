@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import xxhash
 
-WORDS = re.compile(r"[^ \t\n\x0b\x0c\r]+")
-_UPPER = {i: i + 32 for i in range(65, 91)}
 U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _STEP = U64(0x9E3779B97F4A7C15)
 #: Entries of the word memo of a worker before it is emptied.
-MEMO = 400_000
+MEMO = 500_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -27,24 +23,29 @@ def mix64(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """Memo of word -> 64-bit hash, bounded by ``MEMO``."""
 
-    def __missing__(self, word: str) -> int:
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 7)
-        self[word] = h
+    def __missing__(self, word: bytes) -> int:
+        h = self[word] = xxhash.xxh64_intdigest(word, 7)
         return h
 
 
 _memo = WordHashes()
 
 
-def words_of(text: str | None) -> list[str]:
-    """Words of a text, with A-Z (only) in lower case."""
+def raw_words(text: bytes | str | None) -> list[bytes]:
+    """Words of a text (UTF-8): bytes are split at just the six ASCII white-space characters."""
     if not text:
         return []
-    text = text.lower() if text.isascii() else text.translate(_UPPER)
-    return WORDS.findall(text)
+    return (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).split()
+
 
+def words_of(text: bytes | str | None) -> list[bytes]:
+    """Words of a text, with A-Z (only, as bytes are) in lower case."""
+    if not text:
+        return []
+    return (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).lower().split()
 
-def word_hashes(words: list[str]) -> np.ndarray:
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_memo) > MEMO:
         _memo.clear()
     return np.fromiter(map(_memo.__getitem__, words), U64, len(words))
@@ -59,7 +60,7 @@ def gram_hashes(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
+def shingle_set(text: bytes | str | None, n: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the ``n``-word shingles; a shorter text is one shingle; no words: empty."""
     words = words_of(text)
     if not words:
@@ -79,3 +80,31 @@ def overlap(a: np.ndarray, b: np.ndarray) -> int:
     at = np.searchsorted(b, a)
     at[at == len(b)] = 0
     return int(np.count_nonzero(b[at] == a))
+
+
+def shingle_sets(texts: list[bytes | None], n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, bounds): the sets of ``shingle_set`` one after the other; set i lies in bounds[i]:bounds[i + 1]."""
+    words = [words_of(t) for t in texts]
+    sizes = np.array([len(w) for w in words], np.int64)
+    h = word_hashes([w for ws in words for w in ws])
+    first = np.concatenate(([0], np.cumsum(sizes)))
+    long = gram_hashes(h, n) if len(h) >= n else np.empty(0, U64)
+    parts = []
+    for i, size in enumerate(sizes.tolist()):
+        a = int(first[i])
+        if size >= n:
+            own = long[a : a + size - n + 1]  # runs that reach into the next text are between these slices
+            own.sort()
+            parts.append(own)
+        elif size:
+            parts.append(gram_hashes(h[a : a + size], size))
+        else:
+            parts.append(long[:0])
+    counts = np.array([len(p) for p in parts], np.int64)
+    flat = np.concatenate(parts) if parts else long
+    if not len(flat):
+        return flat, np.zeros(len(texts) + 1, np.int64)
+    owner = np.repeat(np.arange(len(texts)), counts)
+    new = np.concatenate(([True], (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])))
+    kept = np.bincount(owner[new], minlength=len(texts))
+    return flat[new], np.concatenate(([0], np.cumsum(kept)))

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import open_store, read_table, shuffle_width, work_dir, write_shared
-from ._shingles import WORDS
+from ._shingles import raw_words
 
 MAGIC = b"LFTOK1\0\0"
 _HEAD, _TAIL = struct.Struct("<8s32sII"), struct.Struct("<QQ8s")
@@ -66,20 +66,20 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = f"<u{self.width}"
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        self.memo: dict[bytes, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         """The serialized ids of each text."""
-        split = [WORDS.findall(t) for t in texts]
+        split = [raw_words(t) for t in texts]
         if len(self.memo) > MEMO:
             self.memo.clear()
         new = list({w for words in split for w in words} - self.memo.keys())
         for i in range(0, len(new), 10_000):
             part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
                 self.memo[w] = np.array(e.ids, self.type).tobytes()
         for text, words in zip(texts, split, strict=True):
             if any(a in text for a in self.added):
