@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import chat_format, decontamination, exact_dedup, html_text, jaccard_join, language_id, mixing, token_files, toxicity
+from . import chat_format, decontamination, exact_dedup, html_text, jaccard_join, language_id, mixing, pii, token_files, toxicity
 
 QUERIES = {
+    "op1_pii": pii.query,
     "op2_exact_dedup": exact_dedup.query,
     "op3_toxicity": toxicity.query,
     "op4_source_mixing": mixing.query,
