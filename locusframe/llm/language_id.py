@@ -233,6 +233,21 @@ def identify(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
     return rows.mapInPandas(run, "doc_id long, lang_pred string, score double")
 
 
+def predict_rows(docs: DataFrame, model: ByteCnn) -> DataFrame:
+    """``docs`` with ``__lang`` and ``__score`` after its columns, row by row (no join, so repeated rows and null ids keep theirs)."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang string, score double")
+    def verdict(texts: pd.Series) -> pd.DataFrame:
+        there = texts.notna().to_numpy()
+        found = iter(shared.value.predict(texts[there].tolist()))
+        return pd.DataFrame([next(found) if t else (UNKNOWN, 0.0) for t in there], columns=["lang", "score"])
+
+    text = F.col("text").cast("string")
+    rated = docs.withColumn("__verdict", verdict(F.when(text.rlike(r"\p{L}"), text)))
+    return rated.select(*docs.columns, F.col("__verdict.lang").alias("__lang"), F.col("__verdict.score").alias("__score"))
+
+
 def held_out() -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(4)) == HELD_OUT
 
