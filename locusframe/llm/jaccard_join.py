@@ -5,18 +5,20 @@ flips its bit, so the Hamming distance of two sketches is a lower bound of the
 symmetric difference. The sketch is cut into blocks. Two sets with Jaccard
 similarity of at least ``t`` and sizes a, b differ in at most
 ``D = (1 - t) / (1 + t) * (a + b)`` shingles, hence in at most D blocks, and of
-the first D + 1 non-empty blocks in a fixed order each has one in common with
-the other's (pigeonhole). Only those blocks are joined, as 64-bit fingerprints
+the first D + r non-empty blocks in a fixed order each has r in common with
+the other's (pigeonhole; ``r`` grows with the size, so that long texts that
+share a passage are no candidates). Only those blocks are joined, as 64-bit fingerprints
 (the XOR of the mixed hashes of a block's shingles), per size band; a set just
-below a band also joins as its guest. A dense folding of the sketch to 256
+below a band also joins as its guest. A dense folding of the sketch to 1024
 bits prunes candidates before their texts are fetched and compared exactly.
 
 Growth and skew. Sets with equal members are reduced to one representative
 before the join, by partial aggregation. In a bucket (equal fingerprints) only
 links to the bucket's smallest member are tried first; copies of one text form
 a star, not all pairs. Buckets that afterwards still hold several components
-try the pairs between different components, filtered inside the join, so no
-link between components is lost and no pair within one is made.
+give the pairs between different components, filtered inside the join; those
+with r buckets in common are tried, so no link between components is lost and
+no pair within one is made.
 
 Exactness: a set of up to ``SINGLES`` shingles has a block for each shingle.
 For larger sets the number of blocks is chosen so that fewer than D + 1
@@ -34,72 +36,102 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import work_dir, write_shared
-from ._shingles import U64, mix64, overlap, shingle_set
+from ._common import remove_shared, work_dir, write_shared
+from ._shingles import U64, mix64, overlap, shingle_set, shingle_sets
 from .components import components
 
 #: Words of a shingle; two documents link at ``PERCENT`` or more.
 SHINGLE, PERCENT = 5, 80
 #: Sets of up to so many shingles have one block for each shingle.
 SINGLES = 24
+#: A set asks for a further block in common for every so many shingles.
+PER_REPEAT = 64
 #: 64-bit words of the dense sketch.
-DENSE = 4
+DENSE = 16
+#: Texts that a worker sketches at a time.
+CHUNK = 256
 
-_SETS = f"doc_id long, n int, s1 long, s2 long, {', '.join(f'd{i} long' for i in range(DENSE))}, tokens array<long>"
+_DENSE = [f"d{i}" for i in range(DENSE)]
 
 
-def _reach(size: int, percent: int) -> int:
+def _reach(size, percent: int):
     """Largest size of a partner of a set of ``size`` shingles."""
     return size * 100 // percent
 
 
-def _tokens(h: np.ndarray, band: int, top: int, prefix: int) -> np.ndarray:
-    """The first ``prefix`` fingerprints, in order of value, of the non-empty blocks."""
-    if top <= SINGLES:
-        marks = mix64(h ^ mix64(np.array([band + 1], U64))[0])
-    else:
-        blocks = top * 3 // 10 + 64
-        at = ((h >> U64(32)) * U64(blocks)) >> U64(32)  # rises with h, so blocks are runs
-        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
-        xor = np.bitwise_xor.reduceat(mix64(h), first)
-        marks = mix64(xor ^ mix64((U64(band + 1) << U64(40)) | at[first]))
-    if prefix < len(marks):
-        marks = np.partition(marks, prefix - 1)[:prefix]
-    return marks
-
-
-def sketch(text: str | None, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple:
-    """(size, two signature words, dense sketch, block fingerprints) of a text."""
-    h = shingle_set(text, shingle)
-    n = len(h)
-    if not n:
-        return 0, 0, 0, *[0] * DENSE, []
+def _repeats(size):
+    """Blocks that the prefixes of two sets of at least ``size`` have in common, if they may link."""
+    return 1 + size // PER_REPEAT
+
+
+def _blocks(band: int) -> int:
+    """Blocks of the sketches of a band (sizes of ``band`` binary digits); 0: one for each shingle."""
+    top = (1 << band) - 1
+    return 0 if top <= SINGLES else top * 3 // 10 + 64
+
+
+def _fingerprints(h: np.ndarray, mixed: np.ndarray, owner: np.ndarray, bands: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(owner, fingerprint) of the non-empty blocks of many sets; ``bands`` has a band for each hash."""
+    blocks = np.array([_blocks(b) for b in range(65)], np.int64).astype(U64)[bands]
+    at = np.where(blocks == 0, h, ((h >> U64(32)) * blocks) >> U64(32))  # rises with h, so blocks are runs
+    first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (owner[1:] != owner[:-1]))))
+    xor = np.bitwise_xor.reduceat(mixed, first)
+    return owner[first], mix64(xor ^ mix64((bands[first].astype(U64) << U64(56)) ^ at[first]))
+
+
+def sketches(texts: list[bytes | None], shingle: int = SHINGLE, percent: int = PERCENT):
+    """Sketches of texts: (sizes, signatures, dense sketches, tokens, bounds of tokens)."""
+    h, bounds = shingle_sets(texts, shingle)
+    count = len(texts)
+    sizes = np.diff(bounds)
+    owner = np.repeat(np.arange(count), sizes)
     mixed = mix64(h)
-    with np.errstate(over="ignore"):
-        s1, s2 = np.bitwise_xor.reduce(mixed), np.sum(mix64(mixed ^ U64(0x5BD1E995)), dtype=U64)
-    odd = np.bincount((mixed & U64(64 * DENSE - 1)).astype(np.int64), minlength=64 * DENSE) & 1
-    dense = np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
-    differ = (n + _reach(n, percent)) * (100 - percent) // (100 + percent)
-    band = int(n).bit_length()
-    found = [_tokens(h, band, 2**band - 1, differ + 1)]
-    if _reach(n, percent) >= 2**band:  # may link with a set of the next band
-        found.append(_tokens(h, band + 1, 2 ** (band + 1) - 1, differ + 1))
-    return n, int(s1.view(np.int64)), int(s2.view(np.int64)), *dense, np.concatenate(found).view(np.int64).tolist()
+    some = np.flatnonzero(sizes)
+    s1, s2 = np.zeros(count, U64), np.zeros(count, U64)
+    if len(some):
+        with np.errstate(over="ignore"):
+            s1[some] = np.bitwise_xor.reduceat(mixed, bounds[some])
+            s2[some] = np.add.reduceat(mix64(mixed ^ U64(0x5BD1E995)), bounds[some])
+    bits = 64 * DENSE
+    odd = np.bincount(owner * bits + (mixed & U64(bits - 1)).astype(np.int64), minlength=count * bits) & 1
+    dense = np.packbits(odd.astype(np.uint8)).view(np.int64).reshape(count, DENSE)
+    partner = _reach(sizes, percent)
+    prefix = (sizes + partner) * (100 - percent) // (100 + percent) + _repeats(sizes)
+    digits = np.frexp(sizes.astype(np.float64))[1]
+    found: list[list[np.ndarray]] = [[] for _ in range(count)]
+    if len(h):
+        own_band = digits[owner]
+        guest = partner[owner] >= (np.int64(1) << own_band)  # may link with a set of the next band
+        for who, marks in (_fingerprints(h, mixed, owner, own_band), _fingerprints(h[guest], mixed[guest], owner[guest], own_band[guest] + 1) if guest.any() else (owner[:0], h[:0])):
+            ends = np.searchsorted(who, np.arange(count + 1))
+            for i in np.unique(who).tolist():
+                m, k = marks[ends[i] : ends[i + 1]], int(prefix[i])
+                found[i].append(np.partition(m, k - 1)[:k] if k < len(m) else m)
+    lengths = [sum(map(len, f)) for f in found]
+    parts = [m for f in found for m in f]
+    tokens = np.concatenate(parts) if parts else np.empty(0, U64)
+    return sizes, (s1, s2), dense, tokens, np.concatenate(([0], np.cumsum(lengths)))
 
 
 def sets_of(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["n", "s1", "s2", *[f"d{i}" for i in range(DENSE)], "tokens"]
-        for b in batches:
-            out = pd.DataFrame([sketch(t, shingle, percent) for t in b["text"]], columns=names)
-            out.insert(0, "doc_id", b["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None))
-            yield out
+    """(doc_id, n, s1, s2, dense sketch, tokens) of every document."""
+    schema = f"doc_id long, n int, s1 long, s2 long, {', '.join(f'{d} long' for d in _DENSE)}, tokens array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, CHUNK):
+                part = batch.slice(i, CHUNK)
+                n, (s1, s2), dense, tokens, ends = sketches(part.column("text").to_pylist(), shingle, percent)
+                arrays = [part.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))]
+                arrays += [pa.array(dense[:, k]) for k in range(DENSE)]
+                arrays.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens.view(np.int64))))
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", *_DENSE, "tokens"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInPandas(run, _SETS)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, schema)
 
 
 def _plausible(a: str, b: str, percent: int) -> str:
@@ -114,26 +146,29 @@ def _plausible(a: str, b: str, percent: int) -> str:
 def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The rows (a, b) of ``pairs`` whose texts have the asked similarity.
 
-    Both joins by doc_id use one shuffle of the texts; large partitions (a hub
-    with very many pairs) are split at run time.
+    Only texts that occur in pairs are shuffled; large partitions (a hub with
+    very many pairs) are split at run time.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).where("id IS NOT NULL")
+    needed = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    needed = write_shared(needed, work_dir(docs.sparkSession, "needed"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").cast("binary").alias("text")).join(needed, "id", "left_semi")
     with_a = pairs.join(texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     with_both = with_a.join(texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, None
-        for p in batches:
+        for batch in batches:
             keep = []
-            for text_a, text_b in zip(p["text_a"], p["text_b"], strict=True):
+            for text_a, text_b in zip(batch.column("text_a"), batch.column("text_b"), strict=True):
+                text_a, text_b = text_a.as_py(), text_b.as_py()
                 if known is None or text_b != last:
                     last, known = text_b, shingle_set(text_b, shingle)
                 own = shingle_set(text_a, shingle)
                 common = overlap(own, known)
                 keep.append(common > 0 and 100 * common >= percent * (len(own) + len(known) - common))
-            yield p.loc[keep, ["a", "b"]]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return with_both.mapInPandas(run, "a long, b long").distinct()
+    return with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
 def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -141,16 +176,15 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     spark = docs.sparkSession
     path = work_dir(spark, "jaccard")
     with_sets = write_shared(sets_of(docs, shingle, percent), f"{path}/sets")
-    rows = with_sets.select("doc_id", "n", "s1", "s2")
-    dense = [f"d{i}" for i in range(DENSE)]
+    rows = write_shared(with_sets.select("doc_id", "n", "s1", "s2"), f"{path}/rows")
     classes = write_shared(
         with_sets.where("n > 0 AND doc_id IS NOT NULL")
         .groupBy("n", "s1", "s2")
-        .agg(F.min("doc_id").alias("rep"), *[F.first(d).alias(d) for d in dense]),
+        .agg(F.min("doc_id").alias("rep"), *[F.first(d).alias(d) for d in _DENSE]),
         f"{path}/classes",
     )
     member = write_shared(
-        rows.where("n > 0 AND doc_id IS NOT NULL").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select("doc_id", "n", "rep"),
+        rows.where("n > 0 AND doc_id IS NOT NULL").join(classes.select("n", "s1", "s2", "rep"), ["n", "s1", "s2"]).select("doc_id", "rep"),
         f"{path}/members",
     )
     # Rows that share a doc_id are one document: its classes are linked.
@@ -159,14 +193,18 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     keys = with_sets.select("doc_id", "n", "s1", "s2", "tokens").join(
         classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi"
     )
-    entries = write_shared(keys.select(F.explode("tokens").alias("token"), F.col("doc_id").alias("id"), "n"), f"{path}/entries", "lz4")
+    keys = write_shared(keys.select(F.col("doc_id").alias("id"), "tokens"), f"{path}/keys")
+    remove_shared(spark, f"{path}/sets")
+    entries = keys.select(F.explode("tokens").alias("token"), "id")
     hubs = write_shared(
         entries.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub != other").select("token", "hub"),
         f"{path}/hubs",
     )
-    bucket = write_shared(entries.join(hubs, "token"), f"{path}/buckets")  # token, id, n, hub
-    nodes = classes.select("rep", "n", *dense)
-    tried = write_shared(_candidates(bucket.select(F.col("id").alias("a"), F.col("hub").alias("b")).where("a != b").distinct(), nodes, percent), f"{path}/tried")
+    bucket = write_shared(entries.join(hubs, "token"), f"{path}/buckets")  # token, id, hub
+    remove_shared(spark, f"{path}/keys", f"{path}/hubs")
+    nodes = classes.select("rep", "n", *_DENSE)
+    star = bucket.select(F.col("id").alias("a"), F.col("hub").alias("b")).where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
+    tried = write_shared(_candidates(write_shared(star, f"{path}/star"), nodes, percent), f"{path}/tried")
     links = write_shared(verified(tried, docs, shingle, percent).union(shared_ids), f"{path}/links")
     found = components(links, f"{path}/first")
 
@@ -176,24 +214,23 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
         bucket.select("token", "id").join(label, "id", "left").select("token", "id", F.coalesce("component", "id").alias("component")),
         f"{path}/labelled",
     )
+    remove_shared(spark, f"{path}/buckets")
     sizes = in_bucket.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
-    mixed = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.sum("size").alias("all"), F.max_by("component", "size").alias("major"))
-    mixed = write_shared(mixed.where("parts > 1 AND all > 2").select("token", "major"), f"{path}/mixed")
-    left = in_bucket.join(mixed, "token").join(nodes.withColumnRenamed("rep", "id"), "id")
-    left = write_shared(left, f"{path}/mixed-members")
-    x, y = left.alias("x"), left.alias("y")
+    mixed = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "size").alias("major"))
+    mixed = write_shared(mixed.where("parts > 1").select("token", "major"), f"{path}/mixed")
+    left = write_shared(in_bucket.join(mixed, "token").join(nodes.withColumnRenamed("rep", "id"), "id"), f"{path}/mixed-members")
+    remove_shared(spark, f"{path}/labelled", f"{path}/mixed")
+    x, y = left.where("component != major").alias("x"), left.alias("y")
     rest = (
-        x.join(
-            y,
-            F.expr(
-                "x.token = y.token AND x.component != y.component AND x.component != x.major AND (y.component = y.major OR x.id < y.id) AND "
-                + _plausible("x", "y", percent)
-            ),
-        )
-        .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"))
-        .distinct()
+        x.join(y, F.expr(f"x.token = y.token AND x.component != y.component AND (y.component = y.major OR x.id < y.id) AND {_plausible('x', 'y', percent)}"))
+        .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), F.least("x.n", "y.n").alias("n"))
+        .groupBy("a", "b")
+        .agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n"))
+        .where(F.col("common") >= _repeats_column(F.col("n")))
+        .select("a", "b")
     )
     rest = write_shared(rest.join(tried, ["a", "b"], "left_anti"), f"{path}/rest")
+    remove_shared(spark, f"{path}/mixed-members")
     if rest.head(1):
         more = write_shared(verified(rest, docs, shingle, percent), f"{path}/more-links")
         if more.head(1):
@@ -203,19 +240,35 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     named = member.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     named = named.select("doc_id", F.coalesce("component", "rep").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
     named = write_shared(named, f"{path}/named")
-    return rows.join(named, "doc_id", "left").select(
+    return rows.select("doc_id", "n").join(named, "doc_id", "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
-def _candidates(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that sizes and dense sketches allow."""
+def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """The documents that are the smallest doc_id of their component, with all their columns; those without an id stay."""
+    groups = similar_groups(docs, shingle, percent).where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
+    groups = write_shared(groups, work_dir(docs.sparkSession, "others"))
+    return docs.join(groups, docs["doc_id"].cast("long") == groups["__id"], "left_anti")
+
+
+def _repeats_column(size: Column) -> Column:
+    return F.lit(1) + F.floor(size / PER_REPEAT)
+
+
+def _candidates(stars: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of (a, b, common) that sizes and dense sketches allow, with half of the asked blocks.
+
+    A pair that has fewer buckets under this hub, as smaller members took
+    others, comes up again when components are compared.
+    """
     x, y = nodes.alias("x"), nodes.alias("y")
     return (
-        pairs.alias("p")
+        stars.alias("p")
         .join(x, F.expr("p.a = x.rep"))
         .join(y, F.expr("p.b = y.rep"))
         .where(_plausible("x", "y", percent))
+        .where(F.col("p.common") * 2 >= _repeats_column(F.least("x.n", "y.n")))
         .select("p.a", "p.b")
     )
 
