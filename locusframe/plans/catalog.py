@@ -1,6 +1,787 @@
-"""Registered queries and the SQL that must agree with them."""
+"""Registered queries over the stand-in views, and the SQL that must agree with them.
+
+Every query runs over its whole tables. Doubles are rounded to six digits.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import cigar, readname, seq
+from ..operators import coverage, intervals, kmers, motif, projection, records, scoring, simulate, stats
+from .scan import ranked
+from .standins import oracle, view
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+View = Callable[[str], DataFrame]
+
+
+def query(name: str, sql: str | None = None):
+    """Registers a builder that gets a function from view names to DataFrames."""
+
+    def register(build: Callable[[View], DataFrame]):
+        QUERIES[name] = lambda spark, sf_dir: build(lambda v: view(spark, sf_dir, v))
+        if sql is not None:
+            ORACLE_SQL[name] = oracle(sql)
+        return build
+
+    return register
+
+
+def _islands(source: str, body: str) -> str:
+    """SQL that numbers the islands of ``source`` as isl(contig, start, stop, union_start, ...)."""
+    return f"""
+    WITH o AS (SELECT *, max(stop) OVER (PARTITION BY contig ORDER BY start, stop, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM {source}),
+    n AS (SELECT *, sum(CASE WHEN top IS NULL OR top < start THEN 1 ELSE 0 END) OVER (PARTITION BY contig ORDER BY start, stop, id) AS island FROM o)
+    {body}"""
+
+
+# --- intervals -------------------------------------------------------------------
+
+
+@query("union_regions", _islands("reg_a", "SELECT contig, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop FROM n GROUP BY contig, island"))
+def _(v):
+    return intervals.islands(v("reg_a"))
+
+
+@query("union_idmap", _islands("reg_a", "SELECT id, contig, (min(start) OVER (PARTITION BY contig, island))::BIGINT AS union_start FROM n"))
+def _(v):
+    return intervals.with_island(v("reg_a")).select("id", "contig", "union_start")
+
+
+_PAIRS = "SELECT a.id AS a_id, b.id AS b_id FROM reg_a a JOIN reg_b b ON a.contig = b.contig AND a.start < b.stop{} AND b.start < a.stop"
+
+
+@query("interval_overlap", _PAIRS.format(""))
+def _(v):
+    return intervals.overlap_join(v("reg_a"), v("reg_b")).select("a_id", "b_id")
+
+
+@query("interval_overlap_touching", _PAIRS.format(" + 1"))
+def _(v):
+    return intervals.overlap_join(v("reg_a"), v("reg_b"), touching=True).select("a_id", "b_id")
+
+
+for _report, _bounds in {"region": ("a.start + 1", "a.stop"), "annotation": ("b.start + 1", "b.stop"), "intersection": ("greatest(a.start, b.start) + 1", "least(a.stop, b.stop)")}.items():
+    query(
+        f"annotate_{_report}",
+        f"SELECT a.id AS region_id, b.id AS feature_id, a.contig, {_bounds[0]} AS start, {_bounds[1]} AS stop "
+        "FROM reg_a a JOIN reg_b b ON a.contig = b.contig AND a.start < b.stop AND b.start < a.stop",
+    )(lambda v, r=_report: intervals.annotate(v("reg_a"), v("reg_b"), r))
+
+
+@query("orphan_regions", "SELECT id FROM reg_a a WHERE NOT EXISTS (SELECT 1 FROM reg_b b WHERE a.contig = b.contig AND a.start < b.stop AND b.start < a.stop)")
+def _(v):
+    return intervals.orphans(v("reg_a"), v("reg_b")).select("id")
+
+
+@query(
+    "associate_regions",
+    """WITH p AS (
+      SELECT a.id AS q, b.id AS t, CASE WHEN b.start >= a.stop THEN b.start - a.stop WHEN b.stop <= a.start THEN b.stop - a.start ELSE 0 END AS distance,
+             greatest(0, least(a.stop, b.stop) - greatest(a.start, b.start)) AS overlap
+      FROM reg_a a JOIN reg_b b ON a.contig = b.contig AND b.start <= a.stop + 100 AND a.start <= b.stop + 100),
+    r AS (SELECT *, (dense_rank() OVER (PARTITION BY q, sign(distance) ORDER BY abs(distance)) - 1)::BIGINT AS between FROM p WHERE abs(distance) <= 100)
+    SELECT q, t, distance, overlap, between FROM r WHERE between <= 2""".replace("between FROM", '"between" FROM').replace("AS between", 'AS "between"').replace("WHERE between", 'WHERE "between"').replace(", between", ', "between"'),
+)
+def _(v):
+    return intervals.associate(v("reg_a"), v("reg_b"), 100, 2)
+
+
+@query(
+    "interspersed_regions",
+    _islands(
+        "reg_a",
+        """, i AS (SELECT contig, min(start) AS start, max(stop) AS stop FROM n GROUP BY contig, island),
+    e AS (SELECT contig, start, stop FROM i UNION ALL SELECT DISTINCT contig, 250000, 250000 FROM reg_a),
+    g AS (SELECT contig, coalesce(lag(stop) OVER (PARTITION BY contig ORDER BY start, stop), 0) AS start, start AS stop FROM e)
+    SELECT contig, start::BIGINT AS start, stop::BIGINT AS stop, strand FROM g, (VALUES ('POS'), ('NEG')) s(strand) WHERE stop > start""",
+    ),
+)
+def _(v):
+    regions = v("reg_a")
+    found = intervals.gaps(regions, regions.select("contig").distinct().withColumn("length", F.lit(250000).cast("long")))
+    return found.withColumn("strand", F.explode(F.array(F.lit("POS"), F.lit("NEG"))))
+
+
+def _runs(keep: str, least: int = 1) -> str:
+    return f"""WITH k AS (SELECT chrom, locus, locus - row_number() OVER (PARTITION BY chrom ORDER BY locus) AS run FROM depth WHERE {keep})
+    SELECT chrom, min(locus)::BIGINT AS start, max(locus)::BIGINT AS stop FROM k GROUP BY chrom, run HAVING max(locus) - min(locus) + 1 >= {least}"""
+
+
+@query("peak_regions", _runs("depth >= 2"))
+def _(v):
+    return intervals.peaks(v("depth"), 2)
+
+
+@query("uncovered_regions", _runs("depth = 0", 3))
+def _(v):
+    return intervals.uncovered(v("depth"), 3)
+
+
+@query(
+    "region_edges",
+    """SELECT id, contig, row_number() OVER (PARTITION BY contig, grp ORDER BY start, stop, id) = 1 AS leftmost,
+      row_number() OVER (PARTITION BY contig, grp ORDER BY start DESC, stop DESC, id DESC) = 1 AS rightmost FROM reg_b""",
+)
+def _(v):
+    return intervals.edge_flags(v("reg_b"), ["contig", "grp"]).select("id", "contig", "leftmost", "rightmost")
+
+
+# --- genes and transcripts ------------------------------------------------------------
+
+_EXONS = "(SELECT *, transcript AS id FROM exon)"
+
+
+@query("meta_exons", _islands(_EXONS, "SELECT contig, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop FROM n GROUP BY contig, island"))
+def _(v):
+    return projection.meta_exons(v("exon"))
+
+
+@query("gene_bounds", "SELECT contig, gene, min(start) AS start, max(stop) AS stop, count(DISTINCT transcript) AS transcripts FROM exon GROUP BY contig, gene")
+def _(v):
+    return projection.gene_bounds(v("exon"))
+
+
+@query("transcript_number", "SELECT gene, transcript, row_number() OVER (PARTITION BY gene ORDER BY transcript DESC) AS number FROM (SELECT DISTINCT gene, transcript FROM exon)")
+def _(v):
+    return projection.transcript_numbers(v("exon"))
+
+
+@query("transcript_length", "SELECT contig, transcript, strand, sum(stop - start)::BIGINT AS length FROM exon GROUP BY contig, transcript, strand")
+def _(v):
+    return projection.transcript_lengths(v("exon"))
+
+
+@query(
+    "overlapping_exons",
+    "SELECT transcript, start, stop FROM (SELECT *, max(stop) OVER (PARTITION BY transcript ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM exon) WHERE b > start",
+)
+def _(v):
+    return projection.overlapping_exons(v("exon")).select("transcript", "start", "stop")
+
+
+@query(
+    "collapse_introns",
+    _islands(
+        _EXONS,
+        """, i AS (SELECT contig, min(start)::BIGINT AS start, max(stop)::BIGINT AS stop FROM n GROUP BY contig, island)
+    SELECT contig, start, stop, (coalesce(sum(stop - start) OVER w, 0) + 25 * count(*) OVER w)::BIGINT AS drawn_start
+    FROM i WINDOW w AS (PARTITION BY contig ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    ),
+)
+def _(v):
+    return projection.collapse_introns(v("exon"))
+
+
+@query(
+    "expanded_position",
+    """WITH e AS (SELECT *, coalesce(sum(stop - start) OVER (PARTITION BY transcript ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+      sum(stop - start) OVER (PARTITION BY transcript) AS length FROM exon),
+    r AS (SELECT DISTINCT transcript, line AS pos FROM aln),
+    p AS (SELECT r.transcript, r.pos, CASE WHEN e.strand = '-' THEN e.length - r.pos - 1 ELSE r.pos END AS att, e.* EXCLUDE (transcript) FROM r JOIN e USING (transcript))
+    SELECT transcript, pos::INT AS pos, max(CASE WHEN att >= used AND att < used + stop - start THEN start + att - used END)::BIGINT AS target_pos
+    FROM p GROUP BY transcript, pos""",
+)
+def _(v):
+    reads = v("aln").select("transcript", F.col("line").alias("pos"), F.lit(1).alias("reflen")).distinct()
+    return projection.expanded_positions(reads, projection.transcript_blocks(v("exon"))).select("transcript", "pos", "target_pos")
+
+
+@query(
+    "projection_header",
+    """WITH c AS (SELECT contig, row_number() OVER (ORDER BY contig) AS ord, max(stop) + 1 AS length FROM exon GROUP BY contig),
+    o AS (SELECT contig, coalesce(sum(length) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM c),
+    t AS (SELECT contig, transcript, min(start) AS start, sum(stop - start) AS length FROM exon GROUP BY contig, transcript)
+    SELECT transcript, (off + start)::BIGINT AS flat, '@SQ' || chr(9) || 'SN:' || transcript || chr(9) || 'LN:' || length AS line FROM t JOIN o USING (contig)""",
+)
+def _(v):
+    exon = v("exon")
+    contigs = exon.groupBy("contig").agg((F.max("stop") + 1).alias("length")).withColumn("ord", F.row_number().over(Window.orderBy("contig")))
+    return projection.projection_header(projection.transcript_blocks(exon), records.contig_table(contigs))
+
+
+@query(
+    "loci_to_genes",
+    """WITH g AS (SELECT contig, gene, min(start) AS start, max(stop) AS stop FROM exon GROUP BY contig, gene)
+    SELECT e.transcript AS id, e.start, g.gene, e.start - g.start AS "offset" FROM exon e JOIN g ON e.contig = g.contig AND g.start <= e.start AND e.stop <= g.stop""",
+)
+def _(v):
+    exon = v("exon")
+    loci = exon.select((F.col("transcript") * 1_000_000 + F.col("start")).alias("id"), "contig", "start", "stop")
+    found = projection.loci_to_genes(loci, projection.gene_bounds(exon))
+    return found.select((F.floor(F.col("id") / 1_000_000)).alias("id"), (F.col("id") % 1_000_000).alias("start"), "gene", "offset")
+
+
+@query(
+    "transcript_to_gene",
+    "SELECT a.fid, a.line, a.price, e.gene FROM aln a JOIN (SELECT DISTINCT transcript, gene FROM exon) e USING (transcript)",
+)
+def _(v):
+    genes = v("exon").select("transcript", "gene").distinct()
+    return v("aln").join(genes, "transcript").select("fid", "line", "price", "gene")
+
+
+@query(
+    "uniform_fragments",
+    """WITH t AS (SELECT transcript, sum(stop - start) AS length FROM exon GROUP BY transcript)
+    SELECT transcript, s AS start, s + z AS stop FROM t, unnest(generate_series(40, 120, 20)) AS q(z), LATERAL (SELECT unnest(generate_series(0, (length - z)::BIGINT, 25)) AS s) WHERE z <= length""",
+)
+def _(v):
+    return simulate.uniform_fragments(projection.transcript_lengths(v("exon")), 25, 40, 20, 120)
+
+
+# --- depth -----------------------------------------------------------------------
+
+_READS = "(SELECT contig, pos AS start, pos + len AS stop, 1 AS guide, CASE WHEN score < 6 THEN 1 ELSE 0 END AS correct, CASE WHEN score >= 9 THEN 1 ELSE 0 END AS error FROM aln)"
+_JUMPS = f"""WITH ev AS (SELECT contig, start AS pos, guide AS g, correct AS c, error AS e FROM {_READS} UNION ALL SELECT contig, stop, -guide, -correct, -error FROM {_READS}),
+    j AS (SELECT contig, pos, sum(g)::BIGINT AS guide, sum(c)::BIGINT AS correct, sum(e)::BIGINT AS error FROM ev GROUP BY contig, pos HAVING sum(g) <> 0 OR sum(c) <> 0 OR sum(e) <> 0)"""
+_RUNS = f"""{_JUMPS}, runs AS (SELECT contig, pos AS start, lead(pos) OVER w AS stop, (sum(guide) OVER w)::BIGINT AS guide, (sum(correct) OVER w)::BIGINT AS correct, (sum(error) OVER w)::BIGINT AS error
+    FROM j WINDOW w AS (PARTITION BY contig ORDER BY pos))"""
+
+
+def _jumps(v: View) -> DataFrame:
+    reads = v("aln").select("contig", F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("stop"), F.lit(1).alias("guide"), (F.col("score") < 6).cast("int").alias("correct"), (F.col("score") >= 9).cast("int").alias("error"))
+    return coverage.jumps(reads)
+
+
+@query("jumps", f"{_JUMPS} SELECT * FROM j")
+def _(v):
+    return _jumps(v)
+
+
+@query("coverage_runs", f"{_RUNS} SELECT * FROM runs WHERE stop IS NOT NULL AND (guide <> 0 OR correct <> 0 OR error <> 0)")
+def _(v):
+    return coverage.coverage_runs(coverage.integrate(_jumps(v)))
+
+
+@query("coverage_bases", f"{_RUNS} SELECT contig, unnest(generate_series(start + 1, stop)) AS pos, guide, correct, error FROM runs WHERE stop IS NOT NULL AND (guide <> 0 OR correct <> 0 OR error <> 0)")
+def _(v):
+    return coverage.coverage_bases(coverage.integrate(_jumps(v)))
+
+
+@query(
+    "mask_regions",
+    f"""{_RUNS}, k AS (SELECT * FROM runs WHERE stop IS NOT NULL AND guide > 0 AND (10 * correct < 4 * guide OR 10 * error > 3 * guide)),
+    m AS (SELECT *, CASE WHEN lag(stop) OVER (PARTITION BY contig ORDER BY start) = start THEN 0 ELSE 1 END AS new FROM k),
+    i AS (SELECT *, sum(new) OVER (PARTITION BY contig ORDER BY start) AS island FROM m)
+    SELECT contig, min(start) AS start, max(stop) AS stop FROM i GROUP BY contig, island""",
+)
+def _(v):
+    bad = (F.col("guide") > 0) & ((10 * F.col("correct") < 4 * F.col("guide")) | (10 * F.col("error") > 3 * F.col("guide")))
+    return coverage.mask_regions(coverage.integrate(_jumps(v)), bad)
+
+
+@query(
+    "depth_stats",
+    f"""{_RUNS}, a AS (SELECT start, stop, guide, correct, error FROM runs WHERE stop IS NOT NULL UNION ALL SELECT 0, min(start), 0, 0, 0 FROM runs GROUP BY contig)
+    SELECT guide, correct, error, sum(stop - start)::BIGINT AS loci FROM a GROUP BY guide, correct, error HAVING sum(stop - start) > 0""",
+)
+def _(v):
+    return coverage.depth_histogram(coverage.integrate(_jumps(v)))
+
+
+@query(
+    "depth_distribution",
+    f"""{_RUNS}, t AS (SELECT *, stop - start AS w FROM runs WHERE stop IS NOT NULL AND guide > 0),
+    f AS (SELECT fraction, sum(cl)::BIGINT AS correct_loci, sum(el)::BIGINT AS error_loci FROM (
+      SELECT round(correct / guide, 6) AS fraction, w AS cl, 0 AS el FROM t UNION ALL SELECT round(error / guide, 6), 0, w FROM t) GROUP BY fraction)
+    SELECT fraction, correct_loci, coalesce(sum(correct_loci) OVER (ORDER BY fraction ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS correct_before,
+      error_loci, coalesce(sum(error_loci) OVER (ORDER BY fraction ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0)::BIGINT AS error_left FROM f""",
+)
+def _(v):
+    return coverage.guide_fractions(coverage.integrate(_jumps(v)))
+
+
+@query(
+    "accuracy_summary",
+    """WITH s AS (SELECT sum(len) AS guide, sum(CASE WHEN score < 6 THEN len ELSE 0 END) AS correct, sum(CASE WHEN score >= 9 THEN len ELSE 0 END) AS error,
+      sum(CASE WHEN score BETWEEN 6 AND 8 AND mapq > 0 THEN len ELSE 0 END) AS removed, sum(CASE WHEN score BETWEEN 6 AND 8 AND mapq = 0 THEN len ELSE 0 END) AS skipped FROM aln)
+    SELECT guide::BIGINT AS guide, (correct + error + removed)::BIGINT AS used, (correct + error + removed + skipped)::BIGINT AS total, correct::BIGINT AS correct, error::BIGINT AS error,
+      removed::BIGINT AS removed, skipped::BIGINT AS skipped, round(100 * correct / (correct + error + removed), 6) AS correct_pct, round(100 * error / (correct + error + removed), 6) AS error_pct FROM s""",
+)
+def _(v):
+    some = lambda c: F.when(c, F.col("len")).otherwise(0)
+    score, mapq = F.col("score"), F.col("mapq")
+    middle = score.between(6, 8)
+    return coverage.accuracy_summary(v("aln").select(F.col("len").alias("guide"), some(score < 6).alias("correct"), some(score >= 9).alias("error"), some(middle & (mapq > 0)).alias("removed"), some(middle & (mapq == 0)).alias("skipped")))
+
+
+@query(
+    "mapq_histogram",
+    """SELECT v AS value, n, (sum(n) OVER (ORDER BY v))::BIGINT AS upto FROM (
+      SELECT v, count(mapq) AS n FROM unnest(generate_series(0, 255)) AS t(v) LEFT JOIN aln ON mapq = v GROUP BY v)""",
+)
+def _(v):
+    return coverage.quality_histogram(v("aln"), "mapq", 255)
+
+
+@query(
+    "accuracy_full",
+    """SELECT c.category, b AS bin, count(r.len) AS n FROM (SELECT DISTINCT contig AS category FROM aln) c CROSS JOIN unnest(generate_series(0, 50)) AS t(b)
+      LEFT JOIN aln r ON r.contig = c.category AND r.len = b GROUP BY c.category, b""",
+)
+def _(v):
+    return coverage.accuracy_bins(v("aln").select(F.col("contig").alias("category"), F.col("len").alias("correct")), bins=50)
+
+
+@query("accuracy_halfs", "SELECT contig AS category, count(*) FILTER (len < 25) AS under, count(*) FILTER (len >= 25) AS over FROM aln GROUP BY contig".replace(" over ", ' "over" '))
+def _(v):
+    return coverage.accuracy_bins(v("aln").select(F.col("contig").alias("category"), F.col("len").alias("correct")), bins=50, halves=True)
+
+
+# --- order -----------------------------------------------------------------------
+
+_CONTIGS = """c AS (SELECT contig, row_number() OVER (ORDER BY contig) AS ord, max(pos + len) + 1 AS length FROM aln GROUP BY contig),
+    o AS (SELECT contig, coalesce(sum(length) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM c)"""
+_TIES = ("fid", "line", "price", "transcript", "len", "score", "mapq")
+
+
+def _contigs(v: View) -> DataFrame:
+    c = v("aln").groupBy("contig").agg((F.max(F.col("pos") + F.col("len")) + 1).alias("length"))
+    return records.contig_table(c.withColumn("ord", F.row_number().over(Window.orderBy("contig"))))
+
+
+@query(
+    "sort_align",
+    f"""WITH {_CONTIGS} SELECT off + pos AS flat, {", ".join(_TIES)}, row_number() OVER (ORDER BY off + pos, {", ".join(_TIES)}) AS rank
+    FROM aln JOIN o USING (contig)""".replace("off + pos AS flat", "(off + pos)::BIGINT AS flat"),
+)
+def _(v):
+    flat = records.flattened(v("aln"), _contigs(v))
+    return ranked(flat, [F.floor(F.col("flat") / 4096)], ["flat", *_TIES]).select("flat", *_TIES, "rank")
+
+
+@query(
+    "sort_min_align_guide",
+    f"""WITH {_CONTIGS} SELECT least(off + pos, off + transcript * 11)::BIGINT AS flat, {", ".join(_TIES)},
+      row_number() OVER (ORDER BY least(off + pos, off + transcript * 11), {", ".join(_TIES)}) AS rank FROM aln JOIN o USING (contig)""",
+)
+def _(v):
+    both = records.flattened(v("aln").withColumn("guide_pos", F.col("transcript") * 11), _contigs(v))
+    both = records.flattened(both, _contigs(v), "guide_pos", "guide_flat").withColumn("flat", F.least("flat", "guide_flat"))
+    return ranked(both, [F.floor(F.col("flat") / 4096)], ["flat", *_TIES]).select("flat", *_TIES, "rank")
+
+
+_NAMES = r"""p AS (SELECT id, CASE WHEN id % 3 = 0 THEN regexp_extract(name, '^([^:]+):', 1) WHEN id % 3 = 1 THEN regexp_extract(name, '^([^:]+:[^:]+:[^:]+):', 1) END AS flowcell,
+      CASE WHEN id % 3 = 2 THEN [0, 0, 0, name::BIGINT] WHEN id % 3 = 0 THEN list_transform(string_split(split_part(name, '#', 1), ':')[2:], lambda x: x::BIGINT)
+           ELSE list_transform(string_split(split_part(name, ' ', 1), ':')[4:], lambda x: x::BIGINT) END AS f FROM names)"""
+
+
+@query("read_name_parse", f"WITH {_NAMES} SELECT id, flowcell, f[1] AS lane, f[2] AS tile, f[3] AS x, f[4] AS y FROM p")
+def _(v):
+    return v("names").withColumn("f", readname.fragment_id(F.col("name"))).select("id", "f.*")
+
+
+@query(
+    "sort_fragment",
+    f"WITH {_NAMES} SELECT id, flowcell, f[1] AS lane, f[2] AS tile, row_number() OVER (ORDER BY flowcell NULLS FIRST, f[1], f[2], f[3], f[4], id) AS rank FROM p",
+)
+def _(v):
+    f = v("names").withColumn("f", readname.fragment_id(F.col("name"))).select("id", "f.*")
+    return ranked(f, [F.col("flowcell"), F.col("lane"), F.col("tile")], ["x", "y", "id"]).select("id", "flowcell", "lane", "tile", "rank")
+
+
+@query("checksort", "SELECT id, start, previous FROM (SELECT id, contig, start, lag(start) OVER (PARTITION BY contig ORDER BY id) AS previous FROM reg_a) WHERE previous > start")
+def _(v):
+    return records.order_violations(v("reg_a"), "id", "start", ["contig"]).select("id", "start", "previous")
+
+
+@query("repeated_keys", "SELECT fid, line, count(*) AS n FROM aln GROUP BY fid, line HAVING count(*) > 1")
+def _(v):
+    return records.repeated_keys(v("aln"), ["fid", "line"])
+
+
+@query("key_collisions", "SELECT count(*) AS rows, count(DISTINCT pos * 64 + len) AS keys, count(*) - count(DISTINCT pos * 64 + len) AS collisions FROM aln".replace("AS rows", 'AS "rows"'))
+def _(v):
+    return records.key_collisions(v("aln"), F.col("pos") * 64 + F.col("len"))
+
+
+# --- records -----------------------------------------------------------------------
+
+_ROW = "fid, line, price, transcript, score"
+
+
+def _ids(v: View) -> DataFrame:
+    return v("reg_a").where("strand = 'F'").select(F.col("id").alias("fid"))
+
+
+@query("filter_include", f"SELECT {_ROW} FROM aln WHERE fid IN (SELECT id FROM reg_a WHERE strand = 'F')")
+def _(v):
+    return records.filter_fragments(v("aln"), _ids(v), include=True).select(*_ROW.split(", "))
+
+
+@query("filter_exclude", f"SELECT {_ROW} FROM aln WHERE fid NOT IN (SELECT id FROM reg_a WHERE strand = 'F')")
+def _(v):
+    return records.filter_fragments(v("aln"), _ids(v)).select(*_ROW.split(", "))
+
+
+@query("filter_matching", "SELECT id, contig, start FROM reg_a WHERE EXISTS (SELECT 1 FROM reg_b WHERE reg_b.contig = reg_a.contig AND reg_b.start = reg_a.start)")
+def _(v):
+    return records.matching_rows(v("reg_a"), v("reg_b"), {"contig": "string", "start": "bigint"}).select("id", "contig", "start")
+
+
+@query("best_score", f"SELECT {_ROW} FROM (SELECT *, max(score) OVER (PARTITION BY fid) AS top FROM aln) WHERE score = top")
+def _(v):
+    return records.best_score(v("aln")).select(*_ROW.split(", "))
+
+
+@query("rest_score", f"SELECT {_ROW} FROM (SELECT *, max(score) OVER (PARTITION BY fid) AS top FROM aln) WHERE score < top")
+def _(v):
+    return records.best_score(v("aln"), best=False).select(*_ROW.split(", "))
+
+
+@query("flag_filter", f"SELECT {_ROW} FROM aln WHERE (line * 37) & 1540 = 0 AND mapq >= 2 AND coalesce(CASE WHEN line > 2 THEN line END <= 5, true) AND space = 'T'")
+def _(v):
+    df = v("aln").withColumn("rank", F.when(F.col("line") > 2, F.col("line")))
+    return records.filter_records(df, readname.flag_filter(F.col("line") * 37, "MQd"), 2, 5, None, "T").select(*_ROW.split(", "))
+
+
+@query(
+    "pileup_filter",
+    """SELECT id, len(regexp_extract_all(s, 'A'))::INT AS n_A, len(regexp_extract_all(s, 'T'))::INT AS n_T FROM seq WHERE length(s) >= 200""",
+)
+def _(v):
+    return records.pileup_filter(v("seq"), "AT", 200, "s").select("id", "n_A", "n_T")
+
+
+_MATE_KEYS = "PARTITION BY fid, readno ORDER BY input_seq"
+
+
+@query(
+    "mate_pairs",
+    f"""WITH k AS (SELECT *, row_number() OVER ({_MATE_KEYS}) AS k FROM mates)
+    SELECT a.fid, a.k::INT AS k, a.input_seq AS first_seq, b.input_seq AS second_seq FROM k a JOIN k b ON a.fid = b.fid AND a.k = b.k AND a.readno = 0 AND b.readno = 1""",
+)
+def _(v):
+    return records.pair_mates(v("mates"), ["input_seq"]).select("fid", "k", F.col("first.input_seq").alias("first_seq"), F.col("second.input_seq").alias("second_seq"))
+
+
+@query("extract_first_seen", f"SELECT fid, readno, input_seq FROM (SELECT *, row_number() OVER ({_MATE_KEYS}) AS n FROM mates) WHERE n = 1")
+def _(v):
+    return records.first_seen(v("mates"), ["input_seq"]).select("fid", "readno", "input_seq")
+
+
+@query("orphans", "SELECT fid, line, price, readno FROM (SELECT *, min(readno) OVER w = max(readno) OVER w AS orphan FROM aln WINDOW w AS (PARTITION BY fid)) WHERE orphan")
+def _(v):
+    return records.with_orphan(v("aln")).where("orphan").select("fid", "line", "price", "readno")
+
+
+@query("dedup_best_mapq", f"SELECT {_ROW}, mapq FROM (SELECT *, row_number() OVER (PARTITION BY contig, pos, strand, space ORDER BY mapq DESC, fid, line, price, len, score) AS n FROM aln) WHERE n = 1")
+def _(v):
+    return records.dedup_best(v("aln"), ["contig", "pos", "strand", "space"], [F.desc("mapq"), F.asc("fid"), F.asc("line"), F.asc("price"), F.asc("len"), F.asc("score")]).select(*_ROW.split(", "), "mapq")
+
+
+@query("deal", "SELECT id, (id % 3)::BIGINT AS hand, id // 3 AS place FROM seq")
+def _(v):
+    return records.deal(v("seq"), 3, "id").select("id", F.col("hand").cast("long").alias("hand"), "place")
+
+
+def _halves(v: View) -> tuple[DataFrame, DataFrame]:
+    m = v("mates").withColumn("rec_no", F.floor(F.col("input_seq") / 2) + F.col("fid") * 100)
+    return m.where("readno = 0").select("rec_no", "s"), m.where("readno = 1").select("rec_no", "s")
+
+
+@query("shuffle_pairs", "SELECT (fid * 100 + input_seq // 2) * 2 + readno AS place, s FROM mates")
+def _(v):
+    return records.interleave(*_halves(v)).select("place", "s")
+
+
+@query(
+    "zip_records",
+    """WITH h AS (SELECT fid * 100 + input_seq // 2 AS rec_no, readno, s FROM mates)
+    SELECT coalesce(a.rec_no, b.rec_no) AS rec_no, a.s AS s1, b.s AS s2 FROM (SELECT * FROM h WHERE readno = 0) a FULL JOIN (SELECT * FROM h WHERE readno = 1) b ON a.rec_no = b.rec_no""",
+)
+def _(v):
+    return records.zip_records(_halves(v))
+
+
+@query("merge_orphans", "SELECT DISTINCT fid FROM aln WHERE readno = 0 AND fid IN (SELECT fid FROM aln WHERE readno = 1)")
+def _(v):
+    a = v("aln")
+    return records.merge_orphans(a.where("readno = 0"), a.where("readno = 1"))
+
+
+@query(
+    "multi_join",
+    "SELECT a.contig, a.start, a.id AS t1_id, a.stop AS t1_stop, b.id AS t2_id, b.grp AS t2_grp, c.id AS t3_id FROM reg_a a JOIN reg_b b USING (contig, start) JOIN reg_a c USING (contig, start)",
+)
+def _(v):
+    a, b = v("reg_a"), v("reg_b")
+    return records.multi_join([a.select("contig", "start", "id", "stop"), b.select("contig", "start", "id", "grp"), a.select("contig", "start", "id")], ["contig", "start"])
+
+
+@query(
+    "rejoin",
+    "SELECT a.fid, a.line, a.price, t.r::INT AS readno, ['q' || a.fid, 'r' || a.fid][t.r + 1] AS s FROM aln a, (VALUES (0), (1)) t(r)",
+)
+def _(v):
+    reads = F.array(*[F.struct(F.concat(F.lit(p), F.col("id").cast("string")).alias("s"), F.lit("*").alias("q")) for p in "qr"])
+    seqs = v("reg_a").select(F.col("id").alias("fid"), reads.alias("reads"))
+    return records.rejoin(v("aln").select("fid", "line", "price"), seqs).select("fid", "line", "price", "readno", "s")
+
+
+# --- sequences -----------------------------------------------------------------------
+
+
+@query("reverse_complement", "SELECT id, reverse(translate(s, 'ACGT', 'TGCA')) AS rc FROM seq")
+def _(v):
+    return v("seq").select("id", seq.reverse_complement(F.col("s")).alias("rc"))
+
+
+@query("iupac_complement", "SELECT id, translate(s, 'ACMGRSVTWYHKDBN', 'TGKCYSBAWRDMHVN') AS c FROM seq")
+def _(v):
+    return v("seq").select("id", seq.iupac_complement(F.col("s")).alias("c"))
+
+
+@query("quality_shift", "SELECT id, array_to_string(list_transform(string_split(md5(s), ''), lambda c: chr(greatest(ascii(c) - 31, 33))), '') AS q FROM seq")
+def _(v):
+    return v("seq").select("id", seq.shift_quality(F.md5("s"), -31).alias("q"))
+
+
+@query("quality_range", "SELECT min(ascii(list_min(string_split(md5(s), ''))))::INT AS lo, max(ascii(list_max(string_split(md5(s), ''))))::INT AS hi FROM seq")
+def _(v):
+    q = F.md5("s")
+    return v("seq").agg(F.min(seq.lowest_quality(q)).alias("lo"), F.max(seq.highest_quality(q)).alias("hi"))
+
+
+@query("accept_quality", "SELECT id, 2 * len(list_filter(string_split(md5(s), ''), lambda c: ascii(c) >= 55)) >= 32 AS ok FROM seq")
+def _(v):
+    return v("seq").select("id", seq.accept_quality(F.md5("s"), 55).alias("ok"))
+
+
+@query("alphabet", "SELECT symbol, count(*) AS n FROM (SELECT unnest(string_split(s, '')) AS symbol FROM seq) GROUP BY symbol")
+def _(v):
+    return kmers.alphabet(v("seq"))
+
+
+_KMERS = "(SELECT id, p AS pos, substr(s, p + 1, {k}) AS kmer FROM seq, LATERAL (SELECT unnest(range(0, length(s) - {k} + 1)) AS p))"
+
+
+@query("kmer_spectrum", f"SELECT kmer, count(*) AS n FROM {_KMERS.format(k=6)} GROUP BY kmer")
+def _(v):
+    return kmers.kmer_counts(v("seq"), 6)
+
+
+@query(
+    "nmer_pairs",
+    """WITH p AS (SELECT substr(s, i + 1, 5) AS a, substr(s, i + d + 1, 5) AS b FROM seq, LATERAL (SELECT unnest(range(0, length(s) - 4)) AS i), (SELECT unnest(range(20, 26)) AS d) WHERE i + d <= length(s) - 5),
+    c AS (SELECT a, b, count(*) AS n FROM p GROUP BY a, b)
+    SELECT least(n, 100) AS times, count(*) AS pairs, sum(n)::BIGINT AS total FROM c GROUP BY least(n, 100)""",
+)
+def _(v):
+    return kmers.pair_spectrum(v("seq"), 5, 20, 26)
+
+
+@query("md5_collisions", f"SELECT substr(md5(kmer), 1, 4) AS digest, count(DISTINCT kmer) AS kmers FROM {_KMERS.format(k=6)} GROUP BY 1 HAVING count(DISTINCT kmer) > 1")
+def _(v):
+    return kmers.digest_collisions(v("seq"), 6, bits=16)
+
+
+_CIGAR = "CAST(len AS VARCHAR(9)) || 'M' || CAST(line * 10 AS VARCHAR(9)) || 'N' || CAST(score + 1 AS VARCHAR(9)) || 'I' || CAST(mapq + 5 AS VARCHAR(9)) || 'M3S'"
+
+
+def _cigars(v: View) -> DataFrame:
+    s = lambda c: c.cast("string")
+    text = F.concat(s(F.col("len")), F.lit("M"), s(F.col("line") * 10), F.lit("N"), s(F.col("score") + 1), F.lit("I"), s(F.col("mapq") + 5), F.lit("M3S"))
+    return v("aln").select("fid", "line", "price", cigar.parse(text).alias("u"))
+
+
+@query(
+    "cigar_lengths",
+    "SELECT fid, line, price, (len + line * 10 + mapq + 5)::BIGINT AS reference, (len + score + 1 + mapq + 5 + 3)::BIGINT AS template, (len + mapq + 5)::BIGINT AS aligned, 0::BIGINT AS left_off, 3::BIGINT AS right_off FROM aln",
+)
+def _(v):
+    u = F.col("u")
+    return _cigars(v).select("fid", "line", "price", cigar.reference_length(u).alias("reference"), cigar.template_length(u).alias("template"), cigar.aligned_length(u).alias("aligned"), cigar.left_offset(u).alias("left_off"), cigar.right_offset(u).alias("right_off"))
+
+
+@query("cigar_blocks", "SELECT fid, line, price, (line * 10)::BIGINT AS second_jump, (mapq + 5)::BIGINT AS second_block FROM aln")
+def _(v):
+    b = F.get(cigar.blocks_of(F.filter("u", lambda x: x["op"].isin("M", "N"))), F.lit(1))
+    return _cigars(v).select("fid", "line", "price", b["jump"].alias("second_jump"), b["block"].alias("second_block"))
+
+
+# --- scores ------------------------------------------------------------------------------
+
+
+@query(
+    "top2_scores",
+    """WITH d AS (SELECT DISTINCT fid, score FROM aln), r AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY score DESC) AS r FROM d)
+    SELECT fid, max(score) FILTER (r = 1) AS top, coalesce(max(score) FILTER (r = 2), 0) AS second FROM r GROUP BY fid""",
+)
+def _(v):
+    return scoring.top_two(v("aln"))
+
+
+_STRATA = "(SELECT *, dense_rank() OVER (PARTITION BY fid ORDER BY score DESC, CASE space WHEN 'T' THEN 1 ELSE 2 END) AS rank, count(*) OVER (PARTITION BY fid, score, space) AS stratum_size FROM aln)"
+
+
+@query("strata", f"SELECT fid, line, price, transcript, rank, stratum_size FROM {_STRATA}")
+def _(v):
+    return scoring.strata(v("aln"), "TG").select("fid", "line", "price", "transcript", "rank", "stratum_size")
+
+
+@query("primary", f"SELECT fid, line, price, transcript, row_number() OVER (PARTITION BY fid ORDER BY rank, pos, price, line, len, mapq) = 1 AS \"primary\" FROM {_STRATA}")
+def _(v):
+    return scoring.primary(scoring.strata(v("aln"), "TG"), ["pos", "price", "line", "len", "mapq"]).select("fid", "line", "price", "transcript", "primary")
+
+
+_TOPS = """d AS (SELECT DISTINCT fid, score FROM aln), r AS (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY score DESC) AS r FROM d),
+    t AS (SELECT fid, max(score) FILTER (r = 1) AS top, coalesce(max(score) FILTER (r = 2), 0) AS second FROM r GROUP BY fid),
+    q AS (SELECT top, second, score AS given, count(*) FILTER (space = 'T') AS "right", count(*) FILTER (space <> 'T') AS wrong FROM aln JOIN t USING (fid) GROUP BY top, second, score),
+    m AS (SELECT *, least(255, round(-10 * log10((wrong + 1) / ("right" + wrong + 2))))::BIGINT AS mapq FROM q)"""
+
+
+@query("calibration", f"WITH {_TOPS} SELECT * FROM m")
+def _(v):
+    return scoring.calibrate(v("aln"), F.col("space") == "T")
+
+
+@query("mapq_lookup", f"WITH {_TOPS} SELECT a.fid, a.line, a.price, t.top, t.second, coalesce(m.mapq, 0) AS mapq FROM aln a JOIN t USING (fid) LEFT JOIN m ON m.top = t.top AND m.second = t.second AND m.given = a.score")
+def _(v):
+    return scoring.lookup_mapq(v("aln"), scoring.calibrate(v("aln"), F.col("space") == "T")).select("fid", "line", "price", "top", "second", "mapq")
+
+
+# --- statistics ----------------------------------------------------------------------------
+
+_DIMS = ("contig", "strand", "space", "score", "mapq", "line")
+
+
+@query("count_cube", f"SELECT {', '.join(_DIMS)}, count(*) AS n FROM aln GROUP BY ALL")
+def _(v):
+    return stats.count_cube(v("aln"), _DIMS)
+
+
+@query(
+    "marginals",
+    f"SELECT {', '.join(f'{d}::VARCHAR AS {d}' for d in _DIMS)}, count(*) AS n FROM aln GROUP BY GROUPING SETS ({', '.join(f'({d})' for d in _DIMS)}, (strand, space, score, mapq))".replace("strand::VARCHAR", "CASE strand WHEN true THEN 'true' WHEN false THEN 'false' END"),
+)
+def _(v):
+    return stats.marginals(stats.count_cube(v("aln"), _DIMS), _DIMS, ("strand", "space", "score", "mapq"))
+
+
+@query("limits", "SELECT min(score) AS min_score, max(score) AS max_score, count(DISTINCT score) AS n_score, min(pos) AS min_pos, max(pos) AS max_pos, count(DISTINCT pos) AS n_pos FROM aln")
+def _(v):
+    return stats.limits(v("aln"), ["score", "pos"])
+
+
+@query("truncated_histogram", "SELECT b AS bin, count(depth) AS n FROM unnest(generate_series(0, 4)) AS t(b) LEFT JOIN depth ON least(depth, 4) = b GROUP BY b")
+def _(v):
+    return stats.truncated_histogram(v("depth"), "depth", 4)
+
+
+_SD = """WITH e AS (SELECT contig, start::DOUBLE AS x, (stop - start)::DOUBLE AS v, id FROM reg_b),
+    p AS (SELECT a.contig, a.id, a.x, b.v, exp(-0.5 * pow((b.x - a.x) / 200, 2)) AS w FROM e a JOIN e b ON a.contig = b.contig AND abs(b.x - a.x) <= 200),
+    s AS (SELECT contig, id, x, count(*) AS n, sum(w) AS sw, sum(w * w) AS sw2, sum(w * v) AS swv, sum(w * v * v) AS swv2 FROM p GROUP BY contig, id, x)
+    SELECT contig, x, n, round(sqrt(greatest(0, sw / (sw * sw - sw2) * (swv2 - swv * swv / sw))), 4) AS sd FROM s WHERE n > 1"""
+
+
+@query("smoothing_wsd", _SD)
+def _(v):
+    df = v("reg_b").select("contig", F.col("start").cast("double").alias("x0"), F.col("stop").cast("double").alias("y0"))
+    return stats.smooth_sd(df, "x0", "y0", 200, ["contig"]).select("contig", "x", "n", F.round("sd", 4).alias("sd"))
+
+
+@query(
+    "windowed_mode",
+    """WITH g AS (SELECT grp, start, lead(start, 5) OVER (PARTITION BY grp ORDER BY start) - lag(start, 5) OVER (PARTITION BY grp ORDER BY start) AS gap FROM reg_b)
+    SELECT grp, min_by(start, gap * 1000000 + start) AS mode, min(gap) AS gap FROM g WHERE gap > 0 GROUP BY grp""",
+)
+def _(v):
+    return stats.windowed_mode(v("reg_b"), "start", 5, ["grp"])
+
+
+@query("quantiles", "SELECT grp, q AS quantile, round(quantile_cont(start, q), 6) AS value FROM reg_b, (VALUES (0.05), (0.5), (0.95)) t(q) GROUP BY grp, q".replace("quantile_cont(start, q)", "CASE q WHEN 0.05 THEN quantile_cont(start, 0.05) WHEN 0.5 THEN quantile_cont(start, 0.5) ELSE quantile_cont(start, 0.95) END").replace("q AS quantile", "q::DOUBLE AS quantile"))
+def _(v):
+    return stats.quantiles(v("reg_b"), "start", [0.05, 0.5, 0.95], ["grp"]).withColumn("value", F.round("value", 6))
+
+
+@query("mean_rank", "SELECT grp, round(m, 6) AS mean, row_number() OVER (ORDER BY m DESC, grp) AS rank FROM (SELECT grp, avg(stop - start) AS m FROM reg_b GROUP BY grp)")
+def _(v):
+    df = v("reg_b").select("grp", (F.col("stop") - F.col("start")).alias("w"))
+    return stats.mean_and_rank(df, "w", ["grp"]).withColumn("mean", F.round("mean", 6))
+
+
+# --- motifs --------------------------------------------------------------------------------
+
+MATRIX = [{"A": 5, "C": 2, "G": 1, "T": 4}, {"A": 0, "C": 6, "G": 1, "T": 1}, {"A": 7, "C": 0, "G": 2, "T": 0}, {"A": 1, "C": 1, "G": 3, "T": 6}, {"A": 2, "C": 5, "G": 5, "T": 0}]
+_SCORE = " + ".join("CASE substr({w}, %d, 1) %s END" % (i + 1, " ".join(f"WHEN '{b}' THEN {n}" for b, n in col.items())) for i, col in enumerate(MATRIX))
+_HITS = f"""(SELECT id, pos, kmer, strand, score FROM (
+      SELECT *, '+' AS strand, {_SCORE.format(w="kmer")} AS score FROM {_KMERS.format(k=5)}
+      UNION ALL SELECT *, '-', {_SCORE.format(w="reverse(translate(kmer, 'ACGT', 'TGCA'))")} FROM {_KMERS.format(k=5)}) WHERE score >= 20)"""
+
+
+@query("pwm_hits", f"SELECT id, pos::INT AS pos, kmer, strand, score::BIGINT AS score FROM {_HITS}")
+def _(v):
+    return motif.matrix_hits(v("seq"), MATRIX, 20)
+
+
+@query(
+    "consensus_hits",
+    f"""SELECT id, pos::INT AS pos, kmer, 'TRCAYC' AS consensus, m::BIGINT AS mismatches FROM (SELECT *,
+      (CASE WHEN substr(kmer, 1, 1) <> 'T' THEN 1 ELSE 0 END + CASE WHEN substr(kmer, 2, 1) NOT IN ('A', 'G') THEN 1 ELSE 0 END + CASE WHEN substr(kmer, 3, 1) <> 'C' THEN 1 ELSE 0 END
+       + CASE WHEN substr(kmer, 4, 1) <> 'A' THEN 1 ELSE 0 END + CASE WHEN substr(kmer, 5, 1) NOT IN ('C', 'T') THEN 1 ELSE 0 END + CASE WHEN substr(kmer, 6, 1) <> 'C' THEN 1 ELSE 0 END) AS m
+      FROM {_KMERS.format(k=6)}) WHERE m <= 1""",
+)
+def _(v):
+    return motif.consensus_hits(v("seq"), ["TRCAYC"], 1)
+
+
+@query(
+    "top_hits_by_level",
+    f"""WITH h AS (SELECT * FROM {_HITS}), l AS (SELECT score, coalesce(sum(n) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM (SELECT score, count(*) AS n FROM h GROUP BY score))
+    SELECT id, pos::INT AS pos, strand, score::BIGINT AS score FROM h JOIN l USING (score) WHERE above <= 500""",
+)
+def _(v):
+    return motif.top_levels(motif.matrix_hits(v("seq"), MATRIX, 20), 500).select("id", "pos", "strand", "score")
+
+
+_NEEDS = {"click": 1, "view": 1, "purchase": 1}
+_SPAN, _LEAST = 300, 2
+_WINDOWS = f"""w AS (SELECT a.contig, a.id, a.start, max(b.stop) AS window_stop,
+      {" + ".join(f"CASE WHEN count(*) FILTER (b.grp = '{g}') >= {n} THEN 1 ELSE 0 END" for g, n in _NEEDS.items())} AS met
+      FROM reg_b a JOIN reg_b b ON a.contig = b.contig AND b.start <= a.start + {_SPAN} AND (b.start, b.stop, b.id) >= (a.start, a.stop, a.id) GROUP BY a.contig, a.id, a.start)"""
+
+
+@query("diversity_windows", f"WITH {_WINDOWS} SELECT contig, id, start, window_stop, met::BIGINT AS met FROM w WHERE met >= {_LEAST}")
+def _(v):
+    return motif.diversity_windows(v("reg_b"), _SPAN, _NEEDS, _LEAST)
+
+
+@query(
+    "cluster_members",
+    f"""WITH {_WINDOWS}, v AS (SELECT * FROM w WHERE met >= {_LEAST}),
+    i AS (SELECT h.contig, h.id, h.start, h.stop, min(v.start) AS f, max(v.start) AS t FROM reg_b h JOIN v ON h.contig = v.contig AND h.start >= v.start AND h.start <= v.start + {_SPAN} GROUP BY h.contig, h.id, h.start, h.stop),
+    n AS (SELECT *, CASE WHEN f <= max(t) OVER (PARTITION BY contig ORDER BY start, stop, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM i),
+    c AS (SELECT *, sum(new) OVER (PARTITION BY contig ORDER BY start, stop, id) AS k FROM n)
+    SELECT contig, id, start, stop, min(start) OVER (PARTITION BY contig, k) AS cluster_start FROM c""",
+)
+def _(v):
+    h = v("reg_b")
+    return motif.cluster_members(h, motif.diversity_windows(h, _SPAN, _NEEDS, _LEAST), _SPAN)
+
+
+# --- without SQL counterpart ------------------------------------------------------------------
+
+
+@query("tx2genome")
+def _(v):
+    reads = v("aln").select("fid", "transcript", F.col("line").cast("long").alias("pos"), F.lit("10M2I5M").alias("cigar"), "mapq")
+    return projection.tx2genome(reads, projection.transcript_blocks(v("exon")))
+
+
+@query("sim_expression")
+def _(v):
+    return simulate.expression_levels(projection.transcript_lengths(v("exon")), 1.0, 0.5, 0.8)
+
+
+@query("sim_cut_fragments")
+def _(v):
+    levels = simulate.expression_levels(projection.transcript_lengths(v("exon")), 1.0, 0.5)
+    return simulate.cut_fragments(levels, 0.02, 30, 150, 5000)
