@@ -113,5 +113,10 @@ def open_store(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def packed(docs: DataFrame, **keys: Column) -> DataFrame:
+    """(row, keys): all columns of ``docs`` in one struct, so that no name of theirs meets an operator's."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read_table, work_dir, write_shared
+from ._common import packed, read_table, work_dir, write_shared
 from ._shingles import U64, gram_hashes, word_hashes, words_of
 
 #: Words of a shingle; share of an item's shingles that makes a leak, in per cent.
@@ -117,10 +117,10 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, percent: in
 
 def clean_documents(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents that contain no item, with all their columns; rows without an id count as one document."""
-    path = work_dir(docs.sparkSession, "leaky")
-    leaky = leaks(docs.select("doc_id", "text"), items, shingle, percent).select(F.col("doc_id").alias("__id")).distinct()
-    leaky = write_shared(leaky, path)
-    return docs.join(leaky, docs["doc_id"].cast("long").eqNullSafe(leaky["__id"]), "left_anti")
+    leaky = leaks(docs.select("doc_id", "text"), items, shingle, percent).select("doc_id").distinct()
+    leaky = write_shared(leaky, work_dir(docs.sparkSession, "leaky")).alias("l")
+    d = packed(docs, doc_id=F.col("doc_id").cast("long")).alias("d")
+    return d.join(leaky, F.expr("d.doc_id <=> l.doc_id"), "left_anti").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import shuffle_width, work_dir, write_shared
+from ._common import packed, shuffle_width, work_dir, write_shared
 
 _INDEX_SCHEMA = "digest binary, keep_id long, keep_chars int, seen long"
 
@@ -126,11 +126,11 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, index: DigestIndex) -> DataFrame:
-    """The documents that stay, with all their columns (one of equal rows)."""
-    verdict = dedup(docs, index).where("kept").select("doc_id", F.col("text_sha256").alias("__digest"))
-    text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("__digest", F.sha2(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""), 256))
-    return keyed.join(verdict.dropDuplicates(), ["doc_id", "__digest"], "left_semi").drop("__digest")
+    """The documents that stay, with all their columns (equal rows all stay or go)."""
+    kept = dedup(docs, index).where("kept").select("doc_id", "text_sha256").distinct().alias("k")
+    digest = F.sha2(F.regexp_replace(F.coalesce(F.col("text"), F.lit("")), r"[\x20\x09-\x0D]+", ""), 256)
+    d = packed(docs, doc_id=F.col("doc_id").cast("long"), digest=digest).alias("d")
+    return d.join(kept, F.expr("d.doc_id <=> k.doc_id AND d.digest = k.text_sha256"), "left_semi").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import remove_shared, work_dir, write_shared
+from ._common import packed, remove_shared, work_dir, write_shared
 from ._shingles import U64, mix64, overlap, shingle_set, shingle_sets
 from .components import components
 
@@ -247,9 +247,10 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
 
 def representatives(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The documents that are the smallest doc_id of their component, with all their columns; those without an id stay."""
-    groups = similar_groups(docs, shingle, percent).where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
-    groups = write_shared(groups, work_dir(docs.sparkSession, "others"))
-    return docs.join(groups, docs["doc_id"].cast("long") == groups["__id"], "left_anti")
+    others = similar_groups(docs, shingle, percent).where("doc_id != component_id").select("doc_id").distinct()
+    others = write_shared(others, work_dir(docs.sparkSession, "others")).alias("o")
+    d = packed(docs, doc_id=F.col("doc_id").cast("long")).alias("d")
+    return d.join(others, F.expr("d.doc_id = o.doc_id"), "left_anti").select("row.*")
 
 
 def _repeats_column(size: Column) -> Column:

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import read_table
+from ._common import packed, read_table
 
 WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 16
 SAMPLE_DOCS, MAX_LANGS = 1200, 200
@@ -234,7 +234,7 @@ def identify(docs: DataFrame, model: ByteCnn | None) -> DataFrame:
 
 
 def predict_rows(docs: DataFrame, model: ByteCnn) -> DataFrame:
-    """``docs`` with ``__lang`` and ``__score`` after its columns, row by row (no join, so repeated rows and null ids keep theirs)."""
+    """(row, lang, score): the verdict beside each row's struct of columns; no join, so repeated rows and null ids keep theirs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang string, score double")
@@ -244,8 +244,7 @@ def predict_rows(docs: DataFrame, model: ByteCnn) -> DataFrame:
         return pd.DataFrame([next(found) if t else (UNKNOWN, 0.0) for t in there], columns=["lang", "score"])
 
     text = F.col("text").cast("string")
-    rated = docs.withColumn("__verdict", verdict(F.when(text.rlike(r"\p{L}"), text)))
-    return rated.select(*docs.columns, F.col("__verdict.lang").alias("__lang"), F.col("__verdict.score").alias("__score"))
+    return packed(docs, verdict=verdict(F.when(text.rlike(r"\p{L}"), text))).select("row", "verdict.lang", "verdict.score")
 
 
 def held_out() -> Column:

@@ -27,7 +27,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import word_count, work_dir, write_shared
+from ._common import packed, word_count, work_dir, write_shared
 
 #: A document is given at most so many times.
 MAX_REPEATS = 3
@@ -164,20 +164,10 @@ def mixed(docs: DataFrame, weights: Sequence[int] = WEIGHTS, cap: int = MAX_REPE
     Documents meet the verdicts on (doc_id, hash of doc_id and text), so that
     repeated rows and null ids come out right.
     """
-    verdict = (
-        mix(docs, weights, cap)
-        .where("copies > 0")
-        .select(F.col("doc_id").alias("__id"), F.col("h").alias("__vh"), F.col("source").alias("__source"), "copies")
-        .dropDuplicates()
-        .withColumnRenamed("copies", "__copies")
-    )
-    keyed = docs.withColumn("__h", doc_hash())
-    same = (F.col("__h") == F.col("__vh")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source"))
-    return (
-        keyed.join(verdict, same)
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies"))))
-        .select(*[keyed[c] for c in docs.columns])
-    )
+    verdict = mix(docs, weights, cap).where("copies > 0").select("doc_id", "h", "source", "copies").dropDuplicates()
+    d, v = packed(docs, h=doc_hash(), doc_id=F.col("doc_id").cast("long"), source=F.col("source")).alias("d"), verdict.alias("v")
+    same = F.expr("d.h = v.h AND d.doc_id <=> v.doc_id AND d.source <=> v.source")
+    return d.join(v, same).select("row", F.explode(F.expr("sequence(1L, v.copies)"))).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,6 +24,8 @@ shards. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 import struct
 import uuid
 import zlib
@@ -43,8 +45,14 @@ _HEAD, _TAIL = struct.Struct("<8s32sII"), struct.Struct("<QQ8s")
 #: The dictionary: its size, and documents (and bytes of each) that it is trained on at most.
 DICT_BYTES, SAMPLE_DOCS, SAMPLE_BYTES = 64 << 10, 2000, 16 << 10
 LEVEL = 3
-#: Entries of the word memo of a worker before it is emptied.
-MEMO = 300_000
+#: Entries of a worker's memos of words and of their parts before they are emptied.
+MEMO_WORDS, MEMO_PARTS = 400_000, 1_000_000
+
+# How the tokenizer splits texts, and the same for lower-case plain words.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: ASCII without the apostrophe, and Latin letters whose lower case is one letter.
+PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+PARTS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
 
 _MANIFEST = "shard long, file string, n_docs long, n_tokens long, n_bytes long"
 _ROWS = "shard long, doc_id long, first long, n_tokens long, ids_crc32 long"
@@ -53,10 +61,13 @@ _ROWS = "shard long, doc_id long, first long, n_tokens long, ids_crc32 long"
 class WordEncoder:
     """Ids of whole texts, as ``Tokenizer.encode(text, add_special_tokens=False)`` gives them.
 
-    For a tokenizer that drops white space and never joins characters across
-    it, a text's ids are those of its words in a row, so each distinct word is
-    encoded by the library once and then looked up. Texts with the string of
-    an added token go to the library as they are.
+    A tokenizer that lowers case, drops white space and encodes each run of
+    letters, each digit and each run of other characters by itself (``PARTS``)
+    gives a text the ids of its parts in a row. So words are looked up, new
+    words are put together from their parts, and the library encodes each
+    distinct part once, many at a time. Words with other than plain characters
+    go to the library by themselves, texts with the string of an added token as
+    they are, and so do all texts of any other tokenizer.
     """
 
     def __init__(self, path: str):
@@ -66,26 +77,68 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = f"<u{self.width}"
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[bytes, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.in_parts = self._in_parts()
+
+    def _in_parts(self) -> bool:
+        """Whether the tokenizer's definition is the one that ``PARTS`` is written for."""
+        spec = json.loads(self.tokenizer.to_str())
+        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        splits = [x["pattern"]["Regex"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split" and x["behavior"] == "Removed" and x["invert"]]
+        return steps == ["NFC", "Replace", "Lowercase"] and splits == [PRE_TOKENS] and spec["model"]["type"] == "BPE" and spec["model"]["end_of_word_suffix"] == "</w>"
+
+    def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
 
+    def _learn_parts(self, parts: list[str]) -> None:
+        for i in range(0, len(parts), 20_000):
+            chunks = [parts[j : j + 500] for j in range(i, min(i + 20_000, len(parts)), 500)]
+            encoded = self.tokenizer.encode_batch_fast([" ".join(c) for c in chunks], add_special_tokens=False)
+            for chunk, e in zip(chunks, encoded, strict=True):
+                ids = np.array(e.ids, np.int64)
+                cuts = np.flatnonzero(self.ends[ids]) + 1  # every part ends with one id that ends a word
+                if len(cuts) != len(chunk):
+                    self.parts.update((p, self._ids(p)) for p in chunk)
+                    continue
+                data, at = ids.astype(self.type).tobytes(), 0
+                for p, cut in zip(chunk, (cuts * self.width).tolist(), strict=True):
+                    self.parts[p] = data[at:cut]
+                    at = cut
+
+    def _learn_words(self, words: list[bytes]) -> None:
+        plain: list[tuple[bytes, list[str]]] = []
+        for w in words:
+            text = w.decode("utf-8", "replace")
+            if PLAIN.fullmatch(text):
+                plain.append((w, PARTS.findall(text.lower())))
+            else:
+                self.words[w] = self._ids(text)
+        if len(self.parts) > MEMO_PARTS:
+            self.parts.clear()
+        self._learn_parts([p for p in {p for _, parts in plain for p in parts} if p not in self.parts])
+        get = self.parts.__getitem__
+        for w, parts in plain:
+            self.words[w] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         """The serialized ids of each text."""
+        if not self.in_parts:
+            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+                yield np.array(e.ids, self.type).tobytes()
+            return
         split = [raw_words(t) for t in texts]
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        new = list({w for words in split for w in words} - self.memo.keys())
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, self.type).tobytes()
+        if len(self.words) > MEMO_WORDS:
+            self.words.clear()
+        self._learn_words([w for w in {w for words in split for w in words} if w not in self.words])
         for text, words in zip(texts, split, strict=True):
             if any(a in text for a in self.added):
-                yield self.whole(text)
+                yield self._ids(text)
             else:
-                yield b"".join(map(self.memo.__getitem__, words))
+                yield b"".join(map(self.words.__getitem__, words))
 
 
 _encoders: dict[str, WordEncoder] = {}

@@ -105,8 +105,9 @@ class Chain:
     def probabilities(self, text: str | None) -> list[float]:
         """Probabilities of the categories, in order."""
         memo, words = self._memo, word_set(text)
-        for w in words - memo.keys():
-            memo[w] = tuple(f for f in features_of(w) if f in self._known)
+        for w in words:
+            if w not in memo:
+                memo[w] = tuple(f for f in features_of(w) if f in self._known)
         found = {f for w in words for f in memo[w]}
         if len(memo) > MEMO:
             memo.clear()
