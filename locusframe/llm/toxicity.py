@@ -23,7 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -54,8 +54,10 @@ def features_of(word: str) -> list[str]:
     return [word, *(f"{word[:k]}-" for k in PREFIXES if len(word) > k)]
 
 
-def feature_set(text: str | None) -> set[str]:
-    return {f for w in word_set(text) for f in features_of(w)}
+def with_repeats(found: Iterable[str]) -> set[str]:
+    """Features of the words of a text; beginnings that two different words share count once more (``-2``)."""
+    counts = Counter(found)
+    return counts.keys() | {f"{f}2" for f, n in counts.items() if n > 1 and f[-1] == "-"}
 
 
 def _sigmoid(z: np.ndarray) -> np.ndarray:
@@ -107,8 +109,8 @@ class Chain:
         memo, words = self._memo, word_set(text)
         for w in words:
             if w not in memo:
-                memo[w] = tuple(f for f in features_of(w) if f in self._known)
-        found = {f for w in words for f in memo[w]}
+                memo[w] = tuple(f for f in features_of(w) if f in self._known or f"{f}2" in self._known)
+        found = with_repeats(f for w in words for f in memo[w])
         if len(memo) > MEMO:
             memo.clear()
         got: list[float] = []
@@ -118,51 +120,62 @@ class Chain:
         return got
 
 
-def _vocabulary(sets: list[set[str]], labels: dict[str, np.ndarray]) -> list[str]:
+def _vocabulary(words: list[set[str]], labels: dict[str, np.ndarray]) -> list[str]:
     """Features that tell the classes of some category apart best, by the z-score of their log odds; only evidence for a category counts."""
     best: Counter[str] = Counter()
     for y in labels.values():
         counts = (Counter(), Counter())
-        for words, label in zip(sets, y, strict=True):
+        for own, label in zip(words, y, strict=True):
             if label >= 0:
-                counts[int(label)].update(words)
+                counts[int(label)].update(with_repeats(f for w in own for f in features_of(w)))
         n = [max(1, int((y == k).sum())) for k in (0, 1)]
-        for w in counts[0].keys() | counts[1].keys():
-            a, b = counts[0][w], counts[1][w]
+        for f, b in counts[1].items():
+            a = counts[0][f]
             if a + b >= 3:
                 odds = math.log((b + 0.5) / (n[1] + 1)) - math.log((a + 0.5) / (n[0] + 1))
                 z = odds / math.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
                 if z >= LEAST_Z:
-                    best[w] = max(best[w], z)
-    return [w for w, _ in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:VOCAB]]
+                    best[f] = max(best[f], z)
+    return [f for f, _ in sorted(best.items(), key=lambda x: (-x[1], x[0]))[:VOCAB]]
 
 
 def train_chain(texts: Sequence[str | None], labels: dict[str, Sequence[int | None]], folds: int = FOLDS) -> Chain:
-    """A chain over the categories in the order of ``labels`` (0, 1 or None for each text)."""
-    sets = [feature_set(t) for t in texts]
-    marks = {k: np.array([-1 if v is None or v != v else int(v > 0) for v in col]) for k, col in labels.items()}
-    vocab = _vocabulary(sets, marks)
-    at = {w: i for i, w in enumerate(vocab)}
-    x = np.zeros((len(sets), len(vocab)), np.float32)
-    for i, words in enumerate(sets):
-        x[i, [at[w] for w in words & at.keys()]] = 1
-    # Copies of a text share a fold, so that out-of-fold is out of sight.
-    fold = np.array([hash_words(s) % folds for s in sets], int) if sets else np.zeros(0, int)
-    links, earlier = [], np.zeros((len(sets), 0), np.float32)
+    """A chain over the categories in the order of ``labels`` (0, 1 or None for each text).
+
+    Of texts with the same words and labels one counts, so that copies neither
+    lend weight to their words nor are out of fold and in sight at once.
+    """
+    rows = {}
+    for i, text in enumerate(texts):
+        own = word_set(text)
+        marks = tuple(-1 if v is None or v != v else int(v > 0) for v in (col[i] for col in labels.values()))
+        rows.setdefault((hash_words(own), len(own), marks), own)
+    words = list(rows.values())
+    marks = {k: np.array([key[2][j] for key in rows]) for j, k in enumerate(labels)}
+    vocab = _vocabulary(words, marks)
+    at = {f: i for i, f in enumerate(vocab)}
+    x = np.zeros((len(words), len(vocab)), np.float32)
+    for i, own in enumerate(words):
+        x[i, [at[f] for f in with_repeats(f for w in own for f in features_of(w)) if f in at]] = 1
+    fold = np.array([key[0] % 9973 % folds for key in rows], int)
+    links, earlier = [], np.zeros((len(words), 0), np.float32)
     for name, y in marks.items():
         known = y >= 0
-        link, out = Link(name), np.zeros(len(sets), np.float32)
+        link, out = Link(name), np.zeros(len(words), np.float32)
         if 0 < y[known].sum() < known.sum():
             features = np.hstack((x, earlier))
+            out[:] = y[known].mean()  # where a fold's rest has one class only
+            told = np.zeros(len(words), bool)
             for k in range(folds):
                 seen, held = known & (fold != k), fold == k
                 if held.any() and 0 < y[seen].sum() < seen.sum():
                     w, b = _logistic(features[seen], y[seen].astype(np.float32))
-                    out[held] = _sigmoid(features[held] @ w + b)
+                    out[held], told[held] = _sigmoid(features[held] @ w + b), True
             w, b = _logistic(features[known], y[known].astype(np.float32))
-            link.weights = {v: float(a) for v, a in zip(vocab, w[: len(vocab)], strict=True) if abs(a) > 1e-4}
+            link.weights = {f: float(a) for f, a in zip(vocab, w[: len(vocab)], strict=True) if abs(a) > 1e-4}
             link.earlier, link.bias = [float(a) for a in w[len(vocab) :]], b
-            link.threshold = _best_threshold(out[known], y[known])
+            if y[known & told].any():
+                link.threshold = _best_threshold(out[known & told], y[known & told])
         else:
             link.earlier = [0.0] * earlier.shape[1]
         links.append(link)
