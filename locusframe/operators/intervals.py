@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 #: Width of a join bin, and of the coarse bins of a sweep, in positions.
 BIN, SWEEP_BIN = 64, 1 << 14
+#: Each level of an overlap join has bins so many times wider.
+LEVEL = 16
 
 
 def _merge(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -49,29 +51,39 @@ def with_island(df: DataFrame, keys: Sequence[str] = ("contig",), sweep_bin: int
     return df.join(isl, cond).drop(*[f"__{k}" for k in keys], "__stop", "__bin")
 
 
-def overlap_join(a: DataFrame, b: DataFrame, touching: bool = False, bin_width: int = BIN) -> DataFrame:
+def overlap_join(a: DataFrame, b: DataFrame, touching: bool = False, bin_width: int = BIN, levels: int = 1) -> DataFrame:
     """Pairs of overlapping intervals: all columns of ``a`` with prefix ``a_``, of ``b`` with ``b_``.
 
     ``touching`` also pairs an interval of ``b`` that ends where one of ``a`` starts.
+    Each level has bins ``LEVEL`` times wider; an interval belongs to the first
+    level at which it touches ``LEVEL`` bins at most (the last takes all), and a
+    pair meets at the higher level of its two. So with enough levels an interval
+    of any length makes few rows; one level is best where all are short.
     """
     reach = 1 if touching else 0
 
     def exploded(df: DataFrame, prefix: str, extra: int) -> DataFrame:
         df = df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
-        first = F.floor(F.col(f"{prefix}start") / bin_width)
-        last = F.floor((F.col(f"{prefix}stop") - 1 + extra) / bin_width)
-        return df.withColumn(f"{prefix}__bin", F.explode(F.sequence(first, F.greatest(first, last))))
+        start, last = F.col(f"{prefix}start"), F.greatest(F.col(f"{prefix}start"), F.col(f"{prefix}stop") - 1 + extra)
+        if levels > 1:
+            own = F.coalesce(*[F.when(last - start < bin_width * LEVEL ** (i + 1), F.lit(i)) for i in range(levels - 1)], F.lit(levels - 1))
+            df = df.withColumn(f"{prefix}__own", own).withColumn(f"{prefix}__level", F.explode(F.sequence(own, F.lit(levels - 1))))
+            width = F.element_at(F.array(*[F.lit(bin_width * LEVEL**i) for i in range(levels)]), F.col(f"{prefix}__level") + 1)
+        else:
+            df, width = df.withColumn(f"{prefix}__own", F.lit(0)).withColumn(f"{prefix}__level", F.lit(0)), F.lit(bin_width)
+        return df.withColumn(f"{prefix}__width", width).withColumn(f"{prefix}__bin", F.explode(F.sequence(F.floor(start / width), F.floor(last / width))))
 
     x, y = exploded(a, "a_", 0), exploded(b, "b_", reach)
-    meet = F.greatest("a_start", "b_start")
     cond = (
         (F.col("a_contig") == F.col("b_contig"))
         & (F.col("a___bin") == F.col("b___bin"))
-        & (F.col("a___bin") == F.floor(meet / bin_width))
+        & (F.col("a___bin") == F.floor(F.greatest("a_start", "b_start") / F.col("a___width")))
         & (F.col("a_start") < F.col("b_stop") + reach)
         & (F.col("b_start") < F.col("a_stop"))
     )
-    return x.join(y, cond).drop("a___bin", "b___bin")
+    if levels > 1:
+        cond = cond & (F.col("a___level") == F.col("b___level")) & (F.col("a___level") == F.greatest("a___own", "b___own"))
+    return x.join(y, cond).drop(*[f"{p}___{c}" for p in "ab" for c in ("own", "level", "width", "bin")])
 
 
 def annotate(regions: DataFrame, features: DataFrame, report: str = "intersection") -> DataFrame:
