@@ -106,15 +106,15 @@ def pileup_filter(df: DataFrame, chars: str, least: int, column: str = "bases")
 
 
 def first_seen(df: DataFrame, order: Sequence[str], keys: Sequence[str] = ("fid", "readno")) -> DataFrame:
-    """The first record of each fragment and read."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    """The first record of each fragment and read; records are combined before the shuffle, so a key may have very many."""
+    first = F.min(F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*df.columns).alias("row")))
+    return df.groupBy(*keys).agg(first.alias("first")).select("first.row.*")
 
 
 def with_orphan(df: DataFrame, fragment: str = "fid", read: str = "readno") -> DataFrame:
     """``df`` with ``orphan``: the fragment lacks one of its two reads."""
-    w = Window.partitionBy(fragment)
-    return df.withColumn("orphan", F.min(read).over(w) == F.max(read).over(w))
+    alone = df.groupBy(fragment).agg((F.min(read) == F.max(read)).alias("orphan"))
+    return df.join(alone, fragment).select(*df.columns, "orphan")
 
 
 def extract_reads(df: DataFrame, order: Sequence[str], paired: bool = True) -> dict[str, DataFrame]:
