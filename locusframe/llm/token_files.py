@@ -45,17 +45,19 @@ _HEAD, _TAIL = struct.Struct("<8s32sII"), struct.Struct("<QQ8s")
 #: The dictionary: its size, and documents (and bytes of each) that it is trained on at most.
 DICT_BYTES, SAMPLE_DOCS, SAMPLE_BYTES = 64 << 10, 2000, 16 << 10
 LEVEL = 3
-#: Entries of a worker's memos of words and of their parts before they are emptied.
-MEMO_WORDS, MEMO_PARTS = 400_000, 1_000_000
+#: Entries of a worker's memos of parts, and of words that are looked up whole, before they are emptied.
+MEMO_PARTS, MEMO_WORDS = 1_200_000, 200_000
 
-# How the tokenizer splits texts, and the same for lower-case plain words.
+# How the tokenizer splits texts, and the same for lower-case plain text.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: ASCII without the apostrophe, and Latin letters whose lower case is one letter.
-PLAIN = re.compile("[!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
-PARTS = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+|[0-9]|[^a-z0-9\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+")
+#: Printable ASCII, and Latin letters whose lower case is one letter among them; the second with white space.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
+PLAIN_TEXT = re.compile("[ \t\n\x0b\x0c\r!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
+_LETTER = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
+PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^ \t\n\x0b\x0c\r0-9{_LETTER}]+")
 
 _MANIFEST = "shard long, file string, n_docs long, n_tokens long, n_bytes long"
-_ROWS = "shard long, doc_id long, first long, n_tokens long, ids_crc32 long"
+_ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
 class WordEncoder:
@@ -63,11 +65,11 @@ class WordEncoder:
 
     A tokenizer that lowers case, drops white space and encodes each run of
     letters, each digit and each run of other characters by itself (``PARTS``)
-    gives a text the ids of its parts in a row. So words are looked up, new
-    words are put together from their parts, and the library encodes each
-    distinct part once, many at a time. Words with other than plain characters
-    go to the library by themselves, texts with the string of an added token as
-    they are, and so do all texts of any other tokenizer.
+    gives a text the ids of its parts in a row. So the library encodes each
+    distinct part once, many at a time, and texts of plain characters are put
+    together from parts. Other texts are put together word by word, where words
+    with other characters go to the library by themselves; texts with the string
+    of an added token, and all texts of any other tokenizer, go to it as they are.
     """
 
     def __init__(self, path: str):
@@ -109,20 +111,11 @@ class WordEncoder:
                     self.parts[p] = data[at:cut]
                     at = cut
 
-    def _learn_words(self, words: list[bytes]) -> None:
-        plain: list[tuple[bytes, list[str]]] = []
-        for w in words:
-            text = w.decode("utf-8", "replace")
-            if PLAIN.fullmatch(text):
-                plain.append((w, PARTS.findall(text.lower())))
-            else:
-                self.words[w] = self._ids(text)
-        if len(self.parts) > MEMO_PARTS:
-            self.parts.clear()
-        self._learn_parts([p for p in {p for _, parts in plain for p in parts} if p not in self.parts])
-        get = self.parts.__getitem__
-        for w, parts in plain:
-            self.words[w] = get(parts[0]) if len(parts) == 1 else b"".join(map(get, parts))
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if PLAIN.fullmatch(text):
+            return b"".join([self.parts.get(p) or self._ids(p) for p in PARTS.findall(text.lower())])
+        return self._ids(text)
 
     def batch(self, texts: list[str]) -> Iterator[bytes]:
         """The serialized ids of each text."""
@@ -130,14 +123,23 @@ class WordEncoder:
             for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
                 yield np.array(e.ids, self.type).tobytes()
             return
-        split = [raw_words(t) for t in texts]
+        parts = [PARTS.findall(t.lower()) if PLAIN_TEXT.fullmatch(t) else None for t in texts]
+        if len(self.parts) > MEMO_PARTS:
+            self.parts.clear()
         if len(self.words) > MEMO_WORDS:
             self.words.clear()
-        self._learn_words([w for w in {w for words in split for w in words} if w not in self.words])
-        for text, words in zip(texts, split, strict=True):
+        known = self.parts
+        self._learn_parts([p for p in {p for own in parts if own for p in own} if p not in known])
+        for text, own in zip(texts, parts, strict=True):
             if any(a in text for a in self.added):
                 yield self._ids(text)
+            elif own is not None:
+                yield b"".join(map(known.__getitem__, own))
             else:
+                words = raw_words(text)
+                for w in set(words):
+                    if w not in self.words:
+                        self.words[w] = self._word(w)
                 yield b"".join(map(self.words.__getitem__, words))
 
 
@@ -290,26 +292,26 @@ def read_tokens(spark: SparkSession, uri: str) -> DataFrame:
     fs, folder = open_store(uri)
     with fs.open_input_stream(f"{folder}/dictionary.zdict") as f:
         dictionary = f.read()
+    # The ids before each shard: a window over one row per shard. No join follows, as the planner
+    # takes the documents for as few as the shards and would send them all to every executor.
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     manifest = spark.read.schema(_MANIFEST).parquet(f"{uri}/manifest")
+    shards = manifest.select("shard", "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long").alias("base"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for shard, name in zip(b["shard"], b["file"], strict=True):
+            for name, base in zip(b["file"], b["base"], strict=True):
                 s = Shard(uri, name, dictionary)
                 rows = [(len(d), zlib.crc32(d.tobytes())) for d in s.documents()]
                 n = np.array([r[0] for r in rows], np.int64)
                 if not np.array_equal(n, s.tokens):
                     raise ValueError(f"{name}: the index does not fit its documents")
                 yield pd.DataFrame({
-                    "shard": shard, "doc_id": pd.Series(s.ids, dtype="Int64").mask(~s.has),
-                    "first": np.cumsum(n) - n, "n_tokens": n, "ids_crc32": np.array([r[1] for r in rows], np.int64),
+                    "doc_id": pd.Series(s.ids, dtype="Int64").mask(~s.has),
+                    "start": base + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": np.array([r[1] for r in rows], np.int64),
                 })
 
-    parts = manifest.select("shard", "file").repartition(shuffle_width(spark), "shard")
-    # One row per shard: the ids before each.
-    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    bases = manifest.select("shard", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base"))
-    return parts.mapInPandas(run, _ROWS).join(bases, "shard").select("doc_id", (F.col("base") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    return shards.repartition(shuffle_width(spark), "shard").select("file", "base").mapInPandas(run, _ROWS)
 
 
 def default_tokenizer() -> str:
