@@ -10,7 +10,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .. import querylang
 from ..functions import cigar, readname, seq
+from ..operators import conservation as cons
 from ..operators import coverage, intervals, kmers, motif, projection, records, scoring, simulate, stats
 from .scan import ranked
 from .standins import oracle, view
@@ -160,10 +162,12 @@ def _(v):
 
 @query(
     "overlapping_exons",
-    "SELECT transcript, start, stop FROM (SELECT *, max(stop) OVER (PARTITION BY transcript ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM exon) WHERE b > start",
+    "SELECT transcript, start, stop FROM (SELECT *, max(stop) OVER (PARTITION BY transcript ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b "
+    "FROM (SELECT DISTINCT transcript, pos AS start, pos + len AS stop FROM aln)) WHERE b > start",
 )
 def _(v):
-    return projection.overlapping_exons(v("exon")).select("transcript", "start", "stop")
+    placed = v("aln").select("transcript", F.col("pos").alias("start"), (F.col("pos") + F.col("len")).alias("stop")).distinct()
+    return projection.overlapping_exons(placed).select("transcript", "start", "stop")
 
 
 @query(
@@ -767,6 +771,41 @@ def _(v):
     return motif.cluster_members(h, motif.diversity_windows(h, _SPAN, _NEEDS, _LEAST), _SPAN)
 
 
+# --- sequences of regions and transcripts ------------------------------------------------------
+
+# The longest sequence of each remainder of the id stands for a contig.
+_DNA = "dna AS (SELECT id % 5 AS k, first(s ORDER BY length(s) DESC, id) AS s FROM seq GROUP BY id % 5)"
+
+
+def _dna(v: View) -> DataFrame:
+    longest = F.min(F.struct((-F.length("s")).alias("n"), "id", "s"))
+    return v("seq").groupBy((F.col("id") % 5).alias("k")).agg(longest.alias("m")).select("k", F.col("m.s").alias("s"))
+
+
+@query(
+    "tx_sequence",
+    f"""WITH {_DNA}, p AS (SELECT transcript, strand, string_agg(substr(s, start % 997 + 1, stop - start), '' ORDER BY start % 997, start) AS s
+      FROM exon JOIN dna ON transcript % 5 = k GROUP BY transcript, strand)
+    SELECT transcript, CASE strand WHEN '-' THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END AS s FROM p""",
+)
+def _(v):
+    exon = v("exon").withColumn("contig", F.col("transcript") % 5)
+    shift = F.col("start") % 997
+    exon = exon.select("contig", "transcript", "strand", shift.alias("start"), (shift + F.col("stop") - F.col("start")).alias("stop"))
+    return projection.transcript_sequences(projection.transcript_blocks(exon), _dna(v).withColumnRenamed("k", "contig"))
+
+
+@query(
+    "region_sequences",
+    f"""WITH {_DNA} SELECT o.id, CASE strand WHEN 'F' THEN reverse(translate(substr(s, start % 5000 + 1, stop - start), 'ACGT', 'TGCA')) ELSE substr(s, start % 5000 + 1, stop - start) END AS s
+    FROM reg_a o JOIN dna ON contig = k WHERE stop - start <= 40""",
+)
+def _(v):
+    at = F.col("start") % 5000
+    regions = v("reg_a").select("id", F.col("contig").cast("long").alias("contig"), at.alias("start"), (at + F.col("stop") - F.col("start")).alias("stop"), F.when(F.col("strand") == "F", "-").otherwise("+").alias("strand"))
+    return projection.region_sequences(regions, _dna(v).withColumnRenamed("k", "contig"), 40)
+
+
 # --- without SQL counterpart ------------------------------------------------------------------
 
 
@@ -785,3 +824,26 @@ def _(v):
 def _(v):
     levels = simulate.expression_levels(projection.transcript_lengths(v("exon")), 1.0, 0.5)
     return simulate.cut_fragments(levels, 0.02, 30, 150, 5000)
+
+
+@query("sim_reads")
+def _(v):
+    seqs = v("seq").select(F.col("id").alias("transcript"), "s")
+    fragments = simulate.uniform_fragments(seqs.select("transcript", F.length("s").cast("long").alias("length")), 50, 80, 40, 160)
+    return simulate.paired_reads(fragments, seqs, 36, error=0.02)
+
+
+@query("motif_search")
+def _(v):
+    text = "matrix: m\nA C G T\n5 2 1 4\n0 6 1 1\n7 0 2 0\n1 1 3 6\n2 5 5 0\nmin_score: 22\ntotal_hits: 2000\ncluster_group: m\ncollection: box\n1 TRCAYC\nmin_score: 0\ncluster_group: box"
+    return querylang.search(v("seq"), text)[0]
+
+
+@query("conservation")
+def _(v):
+    h = v("reg_b").withColumn("place", F.floor(F.col("start") / 20000))
+    cluster = F.col("contig") * 1000 + F.col("place")
+    hits = h.select("id", F.col("grp").alias("name"), F.translate(F.substring(F.md5(F.col("id").cast("string")), 1, 8), "0123456789abcdef", "ACGTACGTACGTACGT").alias("s"), "start", F.when(F.col("id") % 2 == 0, "+").otherwise("-").alias("strand"), (F.col("stop") - F.col("start")).alias("score"))
+    genes = h.select(F.col("place").alias("ortholog"), F.col("contig").cast("string").alias("species"), cluster.alias("gene")).distinct()
+    mods = cons.modules(h.select(cluster.alias("cluster"), "id"), hits, genes.select(F.col("gene").alias("cluster"), "gene", F.lit("HEAD").alias("relation")))
+    return cons.conservation(cons.ortholog_pairs(genes, "0"), mods)
