@@ -31,13 +31,6 @@ class WordHashes(dict):
 _memo = WordHashes()
 
 
-def raw_words(text: bytes | str | None) -> list[bytes]:
-    """Words of a text (UTF-8): bytes are split at just the six ASCII white-space characters."""
-    if not text:
-        return []
-    return (text if isinstance(text, bytes) else text.encode("utf-8", "surrogatepass")).split()
-
-
 def words_of(text: bytes | str | None) -> list[bytes]:
     """Words of a text, with A-Z (only, as bytes are) in lower case."""
     if not text:

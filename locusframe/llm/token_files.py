@@ -30,31 +30,35 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import compress, filterfalse
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import open_store, read_table, shuffle_width, work_dir, write_shared
-from ._shingles import raw_words
 
 MAGIC = b"LFTOK1\0\0"
 _HEAD, _TAIL = struct.Struct("<8s32sII"), struct.Struct("<QQ8s")
 #: The dictionary: its size, and documents (and bytes of each) that it is trained on at most.
 DICT_BYTES, SAMPLE_DOCS, SAMPLE_BYTES = 64 << 10, 2000, 16 << 10
 LEVEL = 3
-#: Entries of a worker's memos of parts, and of words that are looked up whole, before they are emptied.
-MEMO_PARTS, MEMO_WORDS = 1_200_000, 200_000
+#: Bytes of text, about, that a worker encodes at a time.
+CHUNK = 6 << 20
+#: Entries of a worker's memo of parts before it is emptied.
+MEMO = 1_200_000
 
 # How the tokenizer splits texts, and the same for lower-case plain text.
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Printable ASCII, and Latin letters whose lower case is one letter among them; the second with white space.
-PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]+")
-PLAIN_TEXT = re.compile("[ \t\n\x0b\x0c\r!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017f]*")
-_LETTER = "a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f"
-PARTS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^ \t\n\x0b\x0c\r0-9{_LETTER}]+")
+#: Printable ASCII, and Latin letters whose lower case is one letter among them.
+PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
+_LETTER = "a-zÀ-ÖØ-öø-ſ"
+# Alternatives that begin differently may stand in any order; the commonest stands first. The line feed parts words.
+PARTS = re.compile(f"[{_LETTER}]+|\n|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^ \t\n\x0b\x0c\r0-9{_LETTER}]+")
 
 _MANIFEST = "shard long, file string, n_docs long, n_tokens long, n_bytes long"
 _ROWS = "doc_id long, start long, n_tokens long, ids_crc32 long"
@@ -66,10 +70,10 @@ class WordEncoder:
     A tokenizer that lowers case, drops white space and encodes each run of
     letters, each digit and each run of other characters by itself (``PARTS``)
     gives a text the ids of its parts in a row. So the library encodes each
-    distinct part once, many at a time, and texts of plain characters are put
-    together from parts. Other texts are put together word by word, where words
-    with other characters go to the library by themselves; texts with the string
-    of an added token, and all texts of any other tokenizer, go to it as they are.
+    distinct part once, many at a time; the distinct words of a chunk of texts
+    are put together from parts, and the texts from words, as arrays. Words with
+    other than plain characters go to the library by themselves; texts with the
+    string of an added token, and all texts of any other tokenizer, as they are.
     """
 
     def __init__(self, path: str):
@@ -79,7 +83,6 @@ class WordEncoder:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = f"<u{self.width}"
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.words: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
@@ -111,36 +114,52 @@ class WordEncoder:
                     self.parts[p] = data[at:cut]
                     at = cut
 
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        if PLAIN.fullmatch(text):
-            return b"".join([self.parts.get(p) or self._ids(p) for p in PARTS.findall(text.lower())])
-        return self._ids(text)
-
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        """The serialized ids of each text."""
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, size): where the ids of each distinct word lie."""
+        is_plain = np.fromiter((PLAIN.fullmatch(w) is not None for w in words), bool, len(words))
+        found = PARTS.findall("\n".join([*compress(words, is_plain), ""]).lower())  # a line feed after each word
+        if len(self.parts) > MEMO:
+            self.parts.clear()
+        self.parts["\n"] = b""
+        self._learn_parts(list(set(filterfalse(self.parts.__contains__, found))))
+        data = list(map(self.parts.__getitem__, found))
+        sizes = np.fromiter(map(len, data), np.int64, len(data)) // self.width
+        ends = np.cumsum(sizes)[sizes == 0]  # only the line feed has no ids
+        first, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64)
+        first[is_plain] = np.concatenate(([0], ends[:-1])) if len(ends) else ends
+        size[is_plain] = ends - first[is_plain]
+        at = int(ends[-1]) if len(ends) else 0
+        for i in np.flatnonzero(~is_plain).tolist():
+            ids = self._ids(words[i]) if words[i] else b""
+            data.append(ids)
+            first[i], size[i] = at, len(ids) // self.width
+            at += len(ids) // self.width
+        return np.frombuffer(b"".join(data), self.type), first, size
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The serialized ids of each text (strings without null)."""
         if not self.in_parts:
-            for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            for e in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False):
                 yield np.array(e.ids, self.type).tobytes()
             return
-        parts = [PARTS.findall(t.lower()) if PLAIN_TEXT.fullmatch(t) else None for t in texts]
-        if len(self.parts) > MEMO_PARTS:
-            self.parts.clear()
-        if len(self.words) > MEMO_WORDS:
-            self.words.clear()
-        known = self.parts
-        self._learn_parts([p for p in {p for own in parts if own for p in own} if p not in known])
-        for text, own in zip(texts, parts, strict=True):
-            if any(a in text for a in self.added):
-                yield self._ids(text)
-            elif own is not None:
-                yield b"".join(map(known.__getitem__, own))
-            else:
-                words = raw_words(text)
-                for w in set(words):
-                    if w not in self.words:
-                        self.words[w] = self._word(w)
-                yield b"".join(map(self.words.__getitem__, words))
+        special = np.zeros(len(texts), bool)
+        for a in self.added:
+            special |= pc.match_substring(texts, a).to_numpy(zero_copy_only=False)
+        # White space is just the six ASCII characters here.
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        ids, first, sizes = self._encode_words(words.dictionary.to_pylist())
+        at = words.indices.to_numpy()
+        counts = sizes[at]
+        ends = np.cumsum(counts)
+        total = int(ends[-1]) if len(ends) else 0
+        flat = ids[np.repeat(first[at] - (ends - counts), counts) + np.arange(total)]
+        bounds = np.concatenate(([0], ends))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
+        for i, own in enumerate(special.tolist()):
+            yield self._ids(texts[i].as_py()) if own else flat[bounds[i] : bounds[i + 1]].tobytes()
+
+    def batch(self, texts: list[str]) -> Iterator[bytes]:
+        return self.encode(pa.array(texts, pa.string()))
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -250,6 +269,17 @@ class Shard:
             i = j
 
 
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``CHUNK`` bytes of text, one row at least."""
+    size = pc.cumulative_sum(pc.cast(pc.binary_length(batch.column("text")), pa.int64())).to_numpy()
+    i = 0
+    while i < batch.num_rows:
+        before = int(size[i - 1]) if i else 0
+        j = max(i + 1, int(np.searchsorted(size, before + CHUNK)))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int, shards: int | None = None) -> DataFrame:
     """Writes the corpus at ``uri`` and returns its manifest.
 
@@ -266,7 +296,7 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int, shards:
     shards = shards or shuffle_width(spark)
     end_bytes = {w: np.array([end_id], f"<u{w}").tobytes() for w in (2, 4)}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, writer, enc = TaskContext.get().partitionId(), None, None
@@ -274,17 +304,15 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int, shards:
             if writer is None:
                 enc = encoder(tokenizer)
                 writer = ShardWriter(uri, f"shard-{part:07d}-{uuid.uuid4().hex[:12]}.tok", enc.width, dictionary)
-            ids = b["doc_id"].astype("Int64").to_numpy(dtype=object, na_value=None)
-            texts = [t or "" for t in b["text"]]
-            for i in range(0, len(texts), 500):
-                for doc_id, data in zip(ids[i : i + 500], enc.batch(texts[i : i + 500]), strict=True):
+            for piece in _pieces(b):
+                for doc_id, data in zip(piece.column("doc_id").to_pylist(), enc.encode(piece.column("text")), strict=True):
                     writer.add(doc_id, data + end_bytes[enc.width])
         if writer is not None:
-            yield pd.DataFrame([(part, *writer.close())], columns=["shard", "file", "n_docs", "n_tokens", "n_bytes"])
+            yield pa.RecordBatch.from_pylist([dict(zip(("shard", "file", "n_docs", "n_tokens", "n_bytes"), (part, *writer.close()), strict=True))])
 
     ordered = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "h")
-    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", "text")
-    return write_shared(ordered.mapInPandas(run, _MANIFEST), f"{uri}/manifest")
+    ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return write_shared(ordered.mapInArrow(run, _MANIFEST), f"{uri}/manifest")
 
 
 def read_tokens(spark: SparkSession, uri: str) -> DataFrame:
