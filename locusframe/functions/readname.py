@@ -51,3 +51,24 @@ def flag_filter(flag: Column, text: str) -> Column:
     mask = sum(want)
     value = sum(b for b, on in want.items() if on)
     return flag.bitwiseAND(F.lit(mask)) == value
+
+
+#: Bits of (lane, tile, x, y) in a packed key; the flowcell's ordinal stands above them.
+KEY_BITS = (8, 14, 21, 20)
+
+
+def pack_key(lane: Column, tile: Column, x: Column, y: Column) -> Column:
+    """One number that orders like (lane, tile, x, y), where each fits its bits (``KEY_BITS``, 63 in all)."""
+    packed = lane.cast("long")
+    for value, bits in zip((tile, x, y), KEY_BITS[1:], strict=True):
+        packed = F.shiftleft(packed, bits).bitwiseOR(value.cast("long"))
+    return packed
+
+
+def unpack_key(key: Column) -> list[Column]:
+    """The columns lane, tile, x and y of a packed key."""
+    out, shift = [], 0
+    for name, bits in zip(FIELDS[:0:-1], KEY_BITS[::-1], strict=True):
+        out.append(F.shiftright(key, shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long")).alias(name))
+        shift += bits
+    return out[::-1]

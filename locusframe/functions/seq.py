@@ -71,3 +71,14 @@ def windows(s: Column, n: int) -> Column:
 def difference(reference: Column, s: Column) -> Column:
     """``.`` where ``s`` agrees with ``reference``, else the base of ``s``."""
     return F.array_join(F.zip_with(F.split(reference, ""), F.split(s, ""), lambda a, b: F.when(a == b, ".").otherwise(b)), "")
+
+
+def two_bit(s: Column) -> Column:
+    """Number whose base-4 digits are a sequence of up to 31 bases (A 0, C 1, G 2, T 3; anything else counts as A)."""
+    digits = F.translate(F.regexp_replace(F.upper(s), "[^ACGT]", "A"), "ACGT", "0123")
+    return F.conv(digits, 4, 10).cast("long")
+
+
+def from_two_bit(n: Column, length: int) -> Column:
+    """The sequence of ``length`` bases of a number made by ``two_bit``."""
+    return F.translate(F.lpad(F.conv(n.cast("string"), 10, 4), length, "0"), "0123", "ACGT")

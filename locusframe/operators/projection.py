@@ -129,3 +129,14 @@ def loci_to_genes(loci: DataFrame, genes: DataFrame) -> DataFrame:
     """(id, gene, offset): genes that contain each locus, and where in them."""
     pairs = overlap_join(loci, genes.select(F.col("gene").alias("id"), "contig", "start", "stop"))
     return pairs.where("b_start <= a_start AND a_stop <= b_stop").select(F.col("a_id").alias("id"), F.col("b_id").alias("gene"), (F.col("a_start") - F.col("b_start")).alias("offset"))
+
+
+def boundary_genes(exons: DataFrame) -> DataFrame:
+    """(contig, pos, genes): the genes with an exon that begins or ends at each boundary, sorted."""
+    edges = exons.select("contig", "gene", F.explode(F.array("start", "stop")).alias("pos"))
+    return edges.groupBy("contig", "pos").agg(F.array_sort(F.collect_set("gene")).alias("genes"))
+
+
+def by_projected_start(reads: DataFrame, blocks: DataFrame, contigs: DataFrame) -> DataFrame:
+    """Reads on transcripts with ``flat``, their start on the contigs laid end to end; the order of a projected sort."""
+    return flattened(expanded_positions(reads, blocks), contigs, "target_pos")

@@ -209,3 +209,16 @@ def truncate(df: DataFrame, numbered: str = "fid") -> DataFrame:
         F.lit("*").alias("seq"),
         F.lit("*").alias("qual"),
     )
+
+
+def merge_spaces(df: DataFrame, keys: Sequence[str] = ("fid", "contig", "pos"), space: str = "space") -> DataFrame:
+    """One row per placement: its space, or ``M`` where it was found in several; the best mapping quality and the number of rows."""
+    return df.groupBy(*keys).agg(
+        F.when(F.min(space) == F.max(space), F.min(space)).otherwise("M").alias(space), F.max("mapq").alias("mapq"), F.count(F.lit(1)).alias("n")
+    )
+
+
+def reconcile(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
+    """Keys that only one of two tables has: (key, side)."""
+    left, right = a.select(on).distinct(), b.select(on).distinct()
+    return left.join(right, on, "left_anti").withColumn("side", F.lit("first")).union(right.join(left, on, "left_anti").withColumn("side", F.lit("second")))

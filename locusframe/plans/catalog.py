@@ -530,6 +530,57 @@ def _(v):
     return records.rejoin(v("aln").select("fid", "line", "price"), seqs).select("fid", "line", "price", "readno", "s")
 
 
+@query("merge_spaces", "SELECT fid, contig, pos, CASE WHEN min(space) = max(space) THEN min(space) ELSE 'M' END AS space, max(mapq) AS mapq, count(*) AS n FROM aln GROUP BY fid, contig, pos")
+def _(v):
+    return records.merge_spaces(v("aln"))
+
+
+@query(
+    "reconcile_keys",
+    "SELECT id, 'first' AS side FROM reg_a WHERE id NOT IN (SELECT id FROM reg_b) UNION ALL SELECT id, 'second' FROM reg_b WHERE id NOT IN (SELECT id FROM reg_a)",
+)
+def _(v):
+    return records.reconcile(v("reg_a"), v("reg_b"), "id")
+
+
+@query(
+    "boundary_genes",
+    "SELECT contig, pos, array_to_string(list_sort(list(DISTINCT gene)), ',') AS genes FROM (SELECT contig, gene, start AS pos FROM exon UNION ALL SELECT contig, gene, stop FROM exon) GROUP BY contig, pos",
+)
+def _(v):
+    return projection.boundary_genes(v("exon")).withColumn("genes", F.array_join(F.transform("genes", lambda g: g.cast("string")), ","))
+
+
+@query(
+    "sort_projected",
+    """WITH e AS (SELECT *, coalesce(sum(stop - start) OVER (PARTITION BY transcript ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
+      sum(stop - start) OVER (PARTITION BY transcript) AS length FROM exon),
+    r AS (SELECT DISTINCT transcript, line AS pos FROM aln),
+    p AS (SELECT r.transcript, r.pos, e.contig, max(CASE WHEN att >= used AND att < used + stop - start THEN start + att - used END) AS target
+      FROM r JOIN (SELECT * FROM e) e USING (transcript), LATERAL (SELECT CASE WHEN e.strand = '-' THEN e.length - r.pos - 1 ELSE r.pos END AS att) GROUP BY r.transcript, r.pos, e.contig),
+    c AS (SELECT contig, row_number() OVER (ORDER BY contig) AS ord, max(stop) + 1 AS length FROM exon GROUP BY contig),
+    o AS (SELECT contig, coalesce(sum(length) OVER (ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM c)
+    SELECT transcript, pos::INT AS pos, (off + target)::BIGINT AS flat, row_number() OVER (ORDER BY off + target NULLS FIRST, transcript, pos) AS rank FROM p JOIN o USING (contig)""",
+)
+def _(v):
+    exon = v("exon")
+    contigs = exon.groupBy("contig").agg((F.max("stop") + 1).alias("length")).withColumn("ord", F.row_number().over(Window.orderBy("contig")))
+    reads = v("aln").select("transcript", F.col("line").alias("pos"), F.lit(1).alias("reflen")).distinct()
+    placed = projection.by_projected_start(reads, projection.transcript_blocks(exon), records.contig_table(contigs))
+    return ranked(placed.select("transcript", "pos", "flat"), [F.floor(F.col("flat") / 4096)], ["flat", "transcript", "pos"])
+
+
+@query("two_bit", "SELECT id, p AS pos, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(substr(s, p + 1, 6), ''), lambda c: (strpos('ACGT', c) - 1)::BIGINT)), lambda a, x: a * 4 + x) AS packed "
+       "FROM seq, LATERAL (SELECT unnest(range(0, length(s) - 5)) AS p)")
+def _(v):
+    return kmers.exploded(v("seq"), 6).select("id", F.col("pos").cast("long").alias("pos"), seq.two_bit(F.col("kmer")).alias("packed"))
+
+
+@query("pack_keys", "SELECT id, (contig::BIGINT << 55) | ((stop - start) << 41) | (start << 20) | id AS packed FROM reg_b")
+def _(v):
+    return v("reg_b").select("id", readname.pack_key(F.col("contig"), F.col("stop") - F.col("start"), F.col("start"), F.col("id")).alias("packed"))
+
+
 # --- sequences -----------------------------------------------------------------------
 
 

@@ -70,3 +70,14 @@ def read_contig_spaces(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
 def write_gzip(df: DataFrame, path: str) -> None:
     """Lines (column ``value``) as gzip text, one member per part, compressed in parallel."""
     df.select("value").write.option("compression", "gzip").text(path)
+
+
+def tail(path: str, size: int) -> str:
+    """The whole lines within the last ``size`` bytes of a local file."""
+    with open(path, "rb") as f:
+        end = f.seek(0, 2)
+        f.seek(max(0, end - size))
+        data = f.read()
+    if end > size:
+        data = data.partition(b"\n")[2]
+    return data.decode()

@@ -77,3 +77,8 @@ def read_gtf(spark: SparkSession, path: str) -> DataFrame:
 def exons_of(gtf: DataFrame) -> DataFrame:
     """Exons (transcript, contig, strand, gene, start, stop)."""
     return gtf.where("feature = 'exon'").select("transcript", "contig", "strand", "gene", "start", "stop")
+
+
+def dna_table(fasta: DataFrame, species: str) -> DataFrame:
+    """(species, contig, length, s): the dimension that region operators join."""
+    return fasta.select(F.lit(species).alias("species"), F.col("name").alias("contig"), F.length("s").cast("long").alias("length"), "s")
