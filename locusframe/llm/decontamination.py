@@ -5,7 +5,7 @@ of items of up to ``m`` shingles keeps the ``k`` smallest hash values of each
 (a bottom-k MinHash sketch), with ``k = floor((1 - t) m) + 1`` and ``MOST`` at
 most: an item of which a document contains a share of at least ``t`` lacks at
 most ``(1 - t) m`` shingles there, so the document holds one of the k values -
-always for items of up to ``MOST / (1 - t)`` shingles, otherwise except with
+always for items of fewer than ``MOST / (1 - t)`` shingles, otherwise except with
 probability ``(1 - t) ** MOST`` (1e-14). Documents, of any length, are probed
 with all their shingles, and every candidate is verified by its exact shingle
 containment in the same pass over the documents, which needs no shuffle.
