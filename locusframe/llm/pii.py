@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import functools
 import random
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -188,11 +189,14 @@ def model(count: int = 1500, seed: int = 5) -> tuple[tuple[Tree, ...], tuple[flo
 # --- expressions --------------------------------------------------------------
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def running(lengths: Column) -> Column:
     """Sums of all elements before each one, by blocks of sqrt(n) elements."""
     empty = F.expr("cast(array() as array<int>)")
-    width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(lengths))).cast("int"))
-    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(lengths)), width)
 
     def before(values: Column) -> Column:
         """Sums before each element, one by one."""
@@ -204,9 +208,13 @@ def running(lengths: Column) -> Column:
     def total(values: Column) -> Column:
         return F.aggregate(values, F.lit(0), lambda a, x: a + x)
 
-    blocks = F.transform(starts, lambda s: F.slice(lengths, s, width))
-    sums = before(F.transform(blocks, total))
-    return F.flatten(F.zip_with(blocks, sums, lambda b, s: F.transform(before(b), lambda x: x + s)))
+    def sums(values: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(values))).cast("int"))
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(values)), width)
+        blocks = F.transform(starts, lambda s: F.slice(values, s, width))
+        return let(blocks, lambda b: F.flatten(F.zip_with(b, before(F.transform(b, total)), lambda x, s: F.transform(before(x), lambda y: y + s))))
+
+    return let(lengths, sums)
 
 
 def matches(text: Column, pattern: str, hint: str | None) -> Column:
@@ -214,14 +222,16 @@ def matches(text: Column, pattern: str, hint: str | None) -> Column:
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     pairs = F.zip_with(found, gaps, lambda m, g: F.struct(F.length(g).alias("gap"), F.length(m).alias("len"), m.alias("m")))
-    pairs = F.filter(pairs, lambda p: p["m"].isNotNull())
-    starts = running(F.transform(pairs, lambda p: p["gap"] + p["len"]))
-    spans = F.zip_with(pairs, starts, lambda p, s: F.struct((s + p["gap"]).alias("s"), (s + p["gap"] + p["len"]).alias("e"), p["m"].alias("m")))
+
+    def spans(pairs: Column) -> Column:
+        starts = running(F.transform(pairs, lambda p: p["gap"] + p["len"]))
+        return F.zip_with(pairs, starts, lambda p, s: F.struct((s + p["gap"]).alias("s"), (s + p["gap"] + p["len"]).alias("e"), p["m"].alias("m")))
+
     none = F.expr("cast(array() as array<struct<s:int,e:int,m:string>>)")
     there = text.rlike(pattern)
     if hint is not None:
         there = F.contains(text, F.lit(hint)) & there
-    return F.when(there, spans).otherwise(none)
+    return F.when(there, let(F.filter(pairs, lambda p: p["m"].isNotNull()), spans)).otherwise(none)
 
 
 def _digits(m: Column) -> Column:
