@@ -6,7 +6,11 @@ forms, scripts, styles, reader comments: by tag, role, or a whole word of class
 or id) are left out. Every paragraph passes points, one and more for length
 and commas, to its parent and half of them to its grandparent; a container's points
 are discounted by its share of link text. The best container is kept, or the
-article or main element around it, with those siblings that score alike.
+article or main element around it, with those siblings that score alike. Without
+such an element, it is widened to hold all containers that score alike and the
+sections it is one of, up to the body, where each branch with such a container
+is kept; beside it, text that is mostly no link stays, sections in the body as
+well as anything in a narrower wrapper, whatever its score.
 
 Blocks keep the page's order; references are decoded, white space in a block
 becomes one space, empty blocks go, blocks are joined by a line feed. Nothing
@@ -75,6 +79,9 @@ _CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 LEAST, STEP, MOST = 25, 100, 3
 #: A sibling of the best container is kept from this share of its score.
 SIBLING = 0.2
+#: Blocks beside the best container are kept if less than this share of their text is in links.
+LINKS = 0.25
+_PAGE = frozenset(("html", "body", "#root"))
 
 
 class Node:
@@ -196,6 +203,32 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
     return blocks
 
 
+def _widened(best: Node, strong: list[Node]) -> tuple[Node, set[int]]:
+    """The element below the body that holds ``best`` with all ``strong`` containers, and the body's branches that hold others."""
+    path, node = [], best
+    while node is not None and node.tag not in _PAGE:
+        path.append(node)
+        node = node.parent
+    if not path:
+        return best, set()
+    place = {id(n): i for i, n in enumerate(path)}
+    at, branches = 0, set()
+    for other in strong:
+        up, branch = other, None
+        while up is not None and id(up) not in place and up.tag not in _PAGE:
+            up, branch = up.parent, up
+        if up is not None and id(up) in place:
+            at = max(at, place[id(up)])
+        elif branch is not None:
+            branches.add(id(branch))
+    if branches:
+        at = len(path) - 1
+    for i in range(at, len(path) - 1):
+        if path[i].tag == "section":
+            at = i + 1
+    return path[at], branches
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page."""
     if not page:
@@ -204,12 +237,15 @@ def main_text(page: str | None) -> str:
     if not blocks:
         return ""
     scored: dict[int, Node] = {}
+    direct: dict[int, Node] = {}
     for node, text in blocks:
         if len(text) < LEAST or node.tag in _HEADINGS:
             continue
         points = 1 + text.count(",") + min(len(text) / STEP, MOST)
         # Text straight in a container counts for it as a paragraph's does for its parent.
         own = node if node.tag not in ("p", "pre", "blockquote", "li", "td", "dd") else node.parent
+        if own is not None:
+            direct[id(own)] = own
         for container, share in ((own, 1.0), (own.parent if own else None, 0.5)):
             if container is not None and container.tag != "#root":
                 container.score += points * share
@@ -230,21 +266,31 @@ def main_text(page: str | None) -> str:
             if node.tag == "article":
                 break
         node = node.parent
+    keep = set()
+    if not top.likely:
+        top, keep = _widened(best, [n for n in direct.values() if n.score >= SIBLING * best.score])
     top.score = max(top.score, best.score)
-    keep = {id(top)}
+    keep.add(id(top))
     for other in scored.values():
         if other.parent is top.parent and other.tag not in ("html", "body") and other.score >= SIBLING * top.score:
             keep.add(id(other))
+    beside = ("p", "pre", "blockquote", *_HEADINGS, *(("section",) if top.tag == "section" else ()))
+    narrow = top.parent is not None and top.parent.tag not in _PAGE
     out = []
     for node, text in blocks:
-        up = node
+        up, sibling = node, None
         while up is not None and id(up) not in keep:
+            if up.parent is top.parent:
+                sibling = up
             up = up.parent
         if up is not None:
             out.append(text)
-        elif node.parent is top.parent and node.tag in ("p", "pre", "blockquote", *_HEADINGS) and not top.likely:
-            # A sibling paragraph or heading that is mostly no link text.
-            if node.link_chars < 0.25 * node.chars:
+        elif node is top.parent and narrow:
+            # Text straight in the wrapper.
+            out.append(text)
+        elif sibling is not None and not top.likely and (narrow or sibling.tag in beside):
+            # A sibling that is mostly no link text.
+            if sibling.link_chars < LINKS * sibling.chars:
                 out.append(text)
     return "\n".join(out)
 

@@ -160,6 +160,26 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text.replace("y<", "y<")
 
 
+LONG = ARTICLE.strip()
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # Twice wrapped, once wrapped with short sections, in the body, and divs instead of sections.
+        (f"<div id=content><section><div class=inner><p>{LONG * 3}</p></div></section><section><div class=inner><p>{LONG}</p></div></section></div>", f"{LONG * 3}\n{LONG}"),
+        (f"<div id=content><section><div class=inner><p>{LONG}</p></div></section><section><div class=inner><p>Short.</p></div></section></div>", f"{LONG}\nShort."),
+        (f"<div id=content><section><p>{LONG * 9}</p></section><section><h2>H</h2><p>Short.</p></section></div>", f"{LONG * 9}\nH\nShort."),
+        (f"<body><section><p>{LONG * 9}</p></section><section><h2>H</h2><p>Short.</p></section></body>", f"{LONG * 9}\nH\nShort."),
+        (f"<div id=content><div><div><p>{LONG}</p></div></div><div><div><p>{LONG}</p></div></div><div><p>Short.</p></div></div>", f"{LONG}\n{LONG}\nShort."),
+        (f"<div id=content><div><p>{LONG * 9}</p></div><div><p>Short.</p></div><div><a>all</a> <a>links</a></div></div>", f"{LONG * 9}\nShort."),
+        (f"<body><div><div><p>{LONG}</p></div></div><div><a>Home and other links of this page</a></div><div><div><p>{LONG}</p></div></div></body>", f"{LONG}\n{LONG}"),
+    ],
+)
+def test_pages_of_wrapped_sections(page, text):
+    assert html_text.main_text(page) == text
+
+
 def test_pages_of_the_driver_keep_the_article_and_no_more():
     import html
     import re
