@@ -3,7 +3,9 @@
 The markup is read into a tree of block elements. Elements that are never part
 of an article (menus, page headers and footers, sidebars, notices, adverts,
 forms, scripts, styles, reader comments: by tag, role, or a whole word of class
-or id) are left out. Every paragraph passes points, one and more for length
+or id) are left out. Words of class and id are doubts only: an element stays if
+no other holds the article, and headings, titles of an article's sections and
+what names other parts (has-sidebar, no-comments) raise none. Every paragraph passes points, one and more for length
 and commas, to its parent and half of them to its grandparent; a container's points
 are discounted by its share of link text. The best container is kept, or the
 article or main element around it, with those siblings that score alike. Without
@@ -63,6 +65,11 @@ UNLIKELY = frozenset(
 )
 UNLIKELY_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 _KEEP = frozenset(("html", "body", "article", "main"))
+#: First words of a class or id that tells what else the page has, and ids of what holds an article.
+OTHERS = frozenset("has with no without".split())
+HOLDERS = frozenset("article content main".split())
+#: Points that a container in a doubted element needs to count, where no other has any.
+DOUBTED_LEAST = 5
 
 # A quote opens a value only after "="; one that never closes takes the rest of the page, as in browsers.
 _TOKEN = re.compile(
@@ -71,7 +78,7 @@ _TOKEN = re.compile(
     re.S,
 )
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
-_ATTR = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
@@ -85,40 +92,62 @@ _PAGE = frozenset(("html", "body", "#root"))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "score", "chars", "link_chars", "likely")
+    __slots__ = ("tag", "parent", "dropped", "score", "chars", "link_chars", "likely", "doubts")
 
-    def __init__(self, tag: str, parent: Node | None, dropped: bool, likely: bool):
+    def __init__(self, tag: str, parent: Node | None, dropped: bool, likely: bool, doubted: bool = False):
         self.tag, self.parent, self.dropped, self.likely = tag, parent, dropped, likely
         self.score = self.chars = self.link_chars = 0.0
+        #: The elements from the root to this one whose class or id has a word of UNLIKELY.
+        self.doubts: tuple[Node, ...] = () if parent is None else parent.doubts
+        if doubted:
+            self.doubts = (*self.doubts, self)
 
 
-def _unlikely(tag: str, attrs: str, in_article: bool) -> bool:
+def _attributes(raw: str) -> dict[str, str]:
+    """Values by name in lower case; of a repeated name the first, as in browsers."""
+    found: dict[str, str] = {}
+    for m in _ATTR.finditer(raw):
+        found.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return found
+
+
+def _hidden(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Whether an element is never part of an article, by its tag, role or style."""
     if tag in NEVER:
         return True
     if tag == "header":
         return not in_article
     if not attrs or tag in _KEEP:
         return False
-    for m in _ATTR.finditer(attrs):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name in ("class", "id"):
-            words = set(_WORD.findall(_CASE.sub(" ", value).lower()))
-            if in_article:
-                words -= {"header"}
-            if words & UNLIKELY:
-                return True
-        elif name == "role":
-            if value.lower() in UNLIKELY_ROLES:
-                return True
-        elif name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        elif name == "style" and re.search(r"display\s*:\s*none", value, re.I):
+    return (
+        attrs.get("role", "").strip().lower() in UNLIKELY_ROLES
+        or "hidden" in attrs
+        or attrs.get("aria-hidden", "").lower() == "true"
+        or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I) is not None
+    )
+
+
+def _doubted(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
+    """Whether a class or id speaks against an element; what it has or lacks (has-sidebar, no-comments) does not, nor a heading's."""
+    if tag in _KEEP or tag in _HEADINGS or tag == "header":
+        return False
+    named = [(n, _WORD.findall(_CASE.sub(" ", token).lower())) for n in ("class", "id") for token in attrs.get(n, "").split()]
+    named = [(n, words) for n, words in named if words and words[0] not in OTHERS]
+    if attrs.get("id", "").strip().lower() in HOLDERS:
+        return False
+    for name, words in named:
+        hits = set(words) & UNLIKELY
+        if in_article:
+            hits -= {"header"}
+            if tag == "section" and name == "id":  # the id of a section of an article is its title
+                hits = hits - {"discussion"} if hits.issuperset(words) else set()
+        if hits:
             return True
     return False
 
 
-def blocks_of(page: str) -> list[tuple[Node, str]]:
-    """(element, text) of every non-empty block outside dropped elements, in page order."""
+def blocks_of(page: str) -> list[tuple[Node, str, int]]:
+    """(element, text, characters in links) of every non-empty block outside hidden elements, in page order."""
     root = Node("#root", None, False, False)
     stack, blocks = [root], []
     parts: list[str] = []
@@ -131,13 +160,7 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
             text = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if text and not top.dropped:
-                blocks.append((top, text))
-                inside = len(" ".join("".join(links).split()))
-                node = top
-                while node is not None:
-                    node.chars += len(text)
-                    node.link_chars += inside
-                    node = node.parent
+                blocks.append((top, text, len(" ".join("".join(links).split()))))
             links.clear()
 
     def pop_to(depth: int) -> None:
@@ -197,8 +220,9 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
                         pop_to(depth)
                         break
             parent = stack[-1]
-            likely = parent.likely or tag in ("article", "main") or 'role="main"' in m["attrs"]
-            stack.append(Node(tag, parent, parent.dropped or _unlikely(tag, m["attrs"], likely), likely))
+            attrs = _attributes(m["attrs"])
+            likely = parent.likely or tag in ("article", "main") or attrs.get("role", "").strip().lower() == "main"
+            stack.append(Node(tag, parent, parent.dropped or _hidden(tag, attrs, likely), likely, _doubted(tag, attrs, likely)))
     flush()
     return blocks
 
@@ -229,19 +253,53 @@ def _widened(best: Node, strong: list[Node]) -> tuple[Node, set[int]]:
     return path[at], branches
 
 
+def _points(node: Node, text: str) -> float:
+    """What a block passes on."""
+    if len(text) < LEAST or node.tag in _HEADINGS:
+        return 0
+    return 1 + text.count(",") + min(len(text) / STEP, MOST)
+
+
+def _undoubted(blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int]]:
+    """The blocks outside doubted elements, but for those that hold the article.
+
+    They hold it if no block outside passes points, or none of an article or
+    main element where they have one. Of the elements doubted least the one
+    with most points counts.
+    """
+    if not any(node.doubts for node, _, _ in blocks):
+        return blocks
+    points: dict[tuple[bool, tuple[Node, ...]], float] = {}
+    for node, text, inside in blocks:
+        if p := _points(node, text) * (1 - inside / len(text) if inside < len(text) else 0):
+            key = (node.likely, node.doubts)
+            points[key] = points.get(key, 0) + p
+    least = {k: p for k, p in points.items() if not k[1] or p >= DOUBTED_LEAST}
+    likely = {k: p for k, p in least.items() if k[0]}
+    best = min(likely or least, key=lambda k: (len(k[1]), -least[k]), default=(False, ()))[1]
+    allowed = set(map(id, best))
+    return [x for x in blocks if all(id(d) in allowed for d in x[0].doubts)]
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    blocks = blocks_of(page)
-    if not blocks:
+    found = _undoubted(blocks_of(page))
+    if not found:
         return ""
+    for node, text, inside in found:
+        while node is not None:
+            node.chars += len(text)
+            node.link_chars += inside
+            node = node.parent
+    blocks = [(node, text) for node, text, _ in found]
     scored: dict[int, Node] = {}
     direct: dict[int, Node] = {}
     for node, text in blocks:
-        if len(text) < LEAST or node.tag in _HEADINGS:
+        points = _points(node, text)
+        if not points:
             continue
-        points = 1 + text.count(",") + min(len(text) / STEP, MOST)
         # Text straight in a container counts for it as a paragraph's does for its parent.
         own = node if node.tag not in ("p", "pre", "blockquote", "li", "td", "dd") else node.parent
         if own is not None:
