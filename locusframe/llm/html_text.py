@@ -78,6 +78,8 @@ _TOKEN = re.compile(
     re.S,
 )
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for t in RAW}
+#: The end of a foreign element's start tag that closes it; a slash that ends an unquoted value does not.
+_CLOSED = re.compile(r"(?:^|[\s\"'/]|(?:^|\s)[^\s=\"'/]+)/\Z")
 _ATTR = re.compile(r"([^\s\"'<>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[a-z]+")
 _CASE = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -197,6 +199,8 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
                         pop_to(depth)
                         break
             continue
+        if tag in ("svg", "math") and _CLOSED.search(m["attrs"]):
+            continue
         if tag in _RAW_END:
             end = _RAW_END[tag].search(page, at)
             at = end.end() if end else size

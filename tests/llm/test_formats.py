@@ -198,6 +198,11 @@ def test_pages_with_words_in_class_and_id(page, text):
     assert got == text if text is not None else got.startswith(LONG) and LONG * 3 not in got
 
 
+@pytest.mark.parametrize("tag", ["<svg/>", "<svg class='i' />", "<svg class='i'/>", "<SVG focusable/>", "<math />", "<svg><path d=x/></svg>", "<svg width=5/>no</svg>", "<script/>no</script>"])
+def test_pages_with_closed_foreign_elements(tag):
+    assert html_text.main_text(f"<article><p>{LONG}</p>{tag}<p>After it.</p></article>") == f"{LONG}\nAfter it."
+
+
 def test_pages_of_the_driver_keep_the_article_and_no_more():
     import html
     import re
