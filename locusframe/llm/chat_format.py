@@ -19,7 +19,10 @@ in (turn, role, text) order; a conversation of any length needs the memory of
 
 Defined results: null roles and texts are empty, a null turn comes first, rows
 with a null conv_id are one conversation, repeated rows are repeated turns. An
-empty table gives an empty result. Other columns are ignored.
+empty table gives an empty result. Other columns and fields of a table are
+ignored; a table that several layouts fit, none of them with all fields of the
+others, is refused. A typed record with a null or empty list of turns is a
+conversation of no turns.
 """
 
 from __future__ import annotations
@@ -150,12 +153,11 @@ def turns_of(record: dict, layout: Layout) -> list[tuple[str, str]]:
     return [(r, t) for r, t in turns if t or r != "system"]
 
 
-def canonical_records(records: DataFrame, layouts: dict[str, Layout] = LAYOUTS) -> DataFrame:
-    """(conv_id, turn, role, text, layout) from JSON records (conv_id, record).
+_TURNS = "conv_id long, turn long, role string, text string, layout string"
 
-    A record that is no JSON object, or of an unknown layout, gives one row
-    with turn, role and text null and its fingerprint as layout.
-    """
+
+def _turn_rows(records: DataFrame, found) -> DataFrame:
+    """Rows of (conv_id, record): ``found`` gives the layout of a record, or none, and its name for the result."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -165,45 +167,74 @@ def canonical_records(records: DataFrame, layouts: dict[str, Layout] = LAYOUTS)
                     record = json.loads(raw)
                 except (TypeError, ValueError):
                     record = None
-                key = fingerprint_of(paths_of(record)) if isinstance(record, dict) else "none"
-                layout = layouts.get(key)
-                if layout is None or layout.rows:
-                    rows.append((conv_id, None, None, None, key))
-                else:
-                    rows += [(conv_id, i, r, t, layout.name) for i, (r, t) in enumerate(turns_of(record, layout))]
+                layout, name = found(record)
+                turns = turns_of(record, layout) if layout else []
+                rows += [(conv_id, i, r, t, name) for i, (r, t) in enumerate(turns)] or [(conv_id, None, None, None, name)]
             yield pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text", "layout"]).astype({"conv_id": "Int64", "turn": "Int64"})
 
     source = records.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("record").cast("string").alias("record"))
-    return source.mapInPandas(run, "conv_id long, turn long, role string, text string, layout string")
+    return source.mapInPandas(run, _TURNS)
+
+
+def canonical_records(records: DataFrame, layouts: dict[str, Layout] = LAYOUTS) -> DataFrame:
+    """(conv_id, turn, role, text, layout) from JSON records (conv_id, record).
+
+    A record that is no JSON object, or of an unknown layout, gives one row
+    with turn, role and text null and its fingerprint as layout.
+    """
+
+    def found(record) -> tuple[Layout | None, str]:
+        key = fingerprint_of(paths_of(record)) if isinstance(record, dict) else "none"
+        layout = layouts.get(key)
+        return (None, key) if layout is None or layout.rows else (layout, layout.name)
+
+    return _turn_rows(records, found)
+
+
+def layout_of(schema: T.StructType, layouts: dict[str, Layout] = LAYOUTS) -> Layout:
+    """The layout of a table that has all its fields, whatever others it has: rows per turn, else the one with most fields."""
+    paths = set(schema_paths(schema))
+    fitting = [x for x in layouts.values() if paths.issuperset(x.fields)]
+    fitting = [x for x in fitting if x.rows] or [x for x in fitting if not any(set(x.fields) < set(y.fields) for y in fitting)]
+    if not fitting:
+        raise ValueError(f"no layout has the fingerprint {fingerprint_of(paths)}")
+    if len(fitting) > 1:
+        raise ValueError("several layouts fit: " + ", ".join(x.name for x in fitting))
+    return fitting[0]
 
 
 def canonical_table(table: DataFrame, layouts: dict[str, Layout] = LAYOUTS) -> DataFrame:
-    """(conv_id, turn, role, text) from a table: rows per turn by fingerprint of its schema, else typed records."""
-    key = fingerprint_of(schema_paths(table.schema))
-    layout = layouts.get(key)
-    if layout is None:
-        raise ValueError(f"no layout has the fingerprint {key}")
+    """(conv_id, turn, role, text, empty) from a table: rows per turn, or typed records.
+
+    A typed record without turns gives one row that is ``empty``; it is formatted as no turn.
+    """
+    layout = layout_of(table.schema, layouts)
     if layout.rows:
         return table.select(
             F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
             F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
+            F.lit(False).alias("empty"),
         )
-    body = [c for c in table.columns if c != "conv_id"]
+    body = dict.fromkeys(re.split(r"\[\]|\.", f)[0] for f in layout.fields)
     packed = table.select("conv_id", F.to_json(F.struct(*body), {"ignoreNullFields": "false"}).alias("record"))
-    return canonical_records(packed, layouts).select("conv_id", "turn", "role", "text")
+    return _turn_rows(packed, lambda record: (layout, layout.name)).select("conv_id", "turn", "role", "text", F.col("turn").isNull().alias("empty"))
 
 
 # --- template ------------------------------------------------------------
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """Formatted segments: conv_id, segment, formatted, loss_spans (code points within the segment)."""
+    """Formatted segments: conv_id, segment, formatted, loss_spans (code points within the segment).
+
+    Rows that are ``empty``, where there is such a column, count as no turn; their conversation stays.
+    """
+    turn = ~F.coalesce("empty", F.lit(False)) if "empty" in turns.columns else F.lit(True)
     role = escape(F.coalesce(F.col("role"), F.lit("")))
     head = F.concat(F.lit(START), role, F.lit("\n"))
     body = escape(F.coalesce(F.col("text"), F.lit("")))
     pieces = turns.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
-        F.concat(head, body, F.lit(END)).alias("piece"), F.length(head).alias("from"), F.length(body).alias("chars"),
+        F.when(turn, F.concat(head, body, F.lit(END))).otherwise("").alias("piece"), F.length(head).alias("from"), F.length(body).alias("chars"),
     )
     ordered = pieces.repartition(shuffle_width(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
 
@@ -288,7 +319,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = json.dumps({"messages": [{"role": "user", "content": own}, {"role": ASSISTANT, "content": own}]})
     extra = spark.range(1).select(F.lit(-1).cast("long").alias("conv_id"), F.lit(record).alias("record"))
     turns = canonical_table(read_table(spark, sf_dir, "conversations")).unionByName(
-        canonical_records(extra).select("conv_id", "turn", "role", "text")
+        canonical_records(extra).select("conv_id", "turn", "role", "text", F.col("turn").isNull().alias("empty"))
     )
     return read_back(write_shared(format_turns(turns), work_dir(spark, "chats")))
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from locusframe.llm import chat_format, html_text, token_files
 from locusframe.llm._common import work_dir
@@ -133,6 +134,22 @@ def test_layouts(spark):
         chat_format.canonical_table(spark.createDataFrame([(1, 2)], "conv_id long, what long"))
 
 
+def test_tables_with_other_columns_and_empty_records(spark):
+    plain = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo")]
+    more = spark.createDataFrame(plain, CHATS).selectExpr("*", "'web' AS source", "'en' AS lang", "array(named_struct('role', 'x', 'content', 'y')) AS messages")
+    want = chat_format.read_back(chat_format.format_turns(chat_format.canonical_table(spark.createDataFrame(plain, CHATS)))).collect()
+    assert chat_format.read_back(chat_format.format_turns(chat_format.canonical_table(more))).collect() == want
+    data = [(1, [("user", "hi", 5), ("assistant", "yo", 6)], "web"), (2, [], "web"), (3, None, None)]
+    typed = spark.createDataFrame(data, "conv_id long, messages array<struct<role:string,content:string,at:long>>, source string")
+    got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_turns(chat_format.canonical_table(typed))).collect()}
+    assert got[1] == want[0]
+    assert {(c, got[c].n_turns, got[c].loss_chars, got[c].formatted_chars) for c in (2, 3)} == {(2, 0, 0, 0), (3, 0, 0, 0)}
+    wide = spark.createDataFrame([(1, "a", "b", "c", "x")], "conv_id long, instruction string, input string, output string, source string")
+    assert [r.text for r in chat_format.canonical_table(wide).orderBy("turn").collect()] == ["a\n\nb", "c"]
+    with pytest.raises(ValueError, match="several layouts"):
+        chat_format.canonical_table(wide.withColumn("system", F.lit("s")))
+
+
 # --- pages ---------------------------------------------------------------------------
 
 ARTICLE = "Some words of the story, with commas, that go on for a while, so that the paragraph counts. "
