@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,17 +90,23 @@ class ItemIndex:
                     yield item_id, len(wanted), common
 
 
-def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """One row for each document and item that it contains: doc_id, item_id, n_item, n_common, containment."""
-    spark = docs.sparkSession
+def _item_blocks(items: DataFrame, shingle: int, percent: int, block_chars: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The index of each block of items, broadcast, and whether there are several."""
+    spark = items.sparkSession
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = int(chars) // block_chars + 1
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
-    found = []
     for block in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("text"), F.lit(blocks)) == block)
-        index = spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in part.collect()], shingle, percent))
+        yield spark.sparkContext.broadcast(ItemIndex([tuple(r) for r in part.collect()], shingle, percent)), blocks > 1
+
+
+def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """One row for each document and item that it contains: doc_id, item_id, n_item, n_common, containment."""
+    spark = docs.sparkSession
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    found = []
+    for index, several in _item_blocks(items, shingle, percent, block_chars):
 
         def run(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
             for b in batches:
@@ -108,19 +115,30 @@ def leaks(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, percent: in
                 yield pd.DataFrame(rows, columns=["doc_id", "item_id", "n_item", "n_common"]).astype({"doc_id": "Int64", "item_id": "Int64"})
 
         part = texts.mapInPandas(run, _PAIRS)
-        found.append(part if blocks == 1 else write_shared(part, work_dir(spark, f"leaks-{block}")))
+        found.append(write_shared(part, work_dir(spark, f"leaks-{len(found)}")) if several else part)
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.union(more)
     return pairs.withColumn("containment", F.col("n_common") / F.col("n_item"))
 
 
-def clean_documents(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The documents that contain no item, with all their columns; rows without an id count as one document."""
-    leaky = leaks(docs.select("doc_id", "text"), items, shingle, percent).select("doc_id").distinct()
-    leaky = write_shared(leaky, work_dir(docs.sparkSession, "leaky")).alias("l")
-    d = packed(docs, doc_id=F.col("doc_id").cast("long")).alias("d")
-    return d.join(leaky, F.expr("d.doc_id <=> l.doc_id"), "left_anti").select("row.*")
+def clean_documents(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """The documents that contain no item, with all their columns; each row by its own text, whatever its id."""
+    for block, (index, several) in enumerate(_item_blocks(items, shingle, percent, block_chars)):
+        docs = _without(docs, index, percent)
+        if several:
+            docs = write_shared(docs, work_dir(docs.sparkSession, f"clean-{block}"))
+    return docs
+
+
+def _without(docs: DataFrame, index: Broadcast, percent: int) -> DataFrame:
+    """The rows whose text contains no item of the index."""
+
+    @F.pandas_udf("boolean")
+    def clean(texts: pd.Series) -> pd.Series:
+        return pd.Series([next(index.value.matches(t, percent), None) is None for t in texts], dtype=bool)
+
+    return packed(docs, clean=clean(F.coalesce(F.col("text").cast("string"), F.lit("")))).where("clean").select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

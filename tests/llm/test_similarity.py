@@ -131,6 +131,15 @@ def test_leaks_awkward_rows(spark):
     assert sorted(r.doc_id for r in clean.collect()) == [1, 2, 3, 7, 9, 10]
 
 
+def test_clean_rows_stay_beside_leaks_of_the_same_id(spark):
+    items = spark.createDataFrame([(1, "one two three four five six"), (2, "uno due tre quattro cinque sei")], "item_id long, text string")
+    data = [(None, "one two three four five six", 1), (None, "a clean text", 2), (None, None, 3), (7, "so uno due tre quattro cinque sei", 4), (7, "another clean text", 5), (8, "", 6), (8, "", 6)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, clean long")
+    for blocks in ({}, {"block_chars": 20}):
+        got = decontamination.clean_documents(docs, items, **blocks)
+        assert got.columns == docs.columns and sorted(r.clean for r in got.collect()) == [2, 3, 5, 6, 6]
+
+
 def test_leaks_at_the_threshold_against_brute_force(spark):
     rng = random.Random(4)
     items = {i: [f"q{i}_{k}" for k in range(n)] for i, n in enumerate([3, 5, 6, 9, 14, 24, 44, 104, 204])}
