@@ -6,7 +6,7 @@ M both; I, S, H, T, U template (T also reference); D, N reference; P none.
 
 from __future__ import annotations
 
-import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,10 +14,16 @@ from pyspark.sql import types as T
 
 # Ops that use up the reference, the template, and the read.
 ON_REFERENCE, ON_TEMPLATE, ON_READ = "MDNT", "MISHTU", "MIS"
+ALL_OPS = "MIDNSHPTU"
 _UNIT = r"(-?[0-9]+)([MIDNSHPTU])"
 BLOCK = T.ArrayType(T.StructType([T.StructField("jump", T.LongType()), T.StructField("block", T.LongType())]))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def parse(cigar: Column) -> Column:
     """array<struct<len, op>> of a CIGAR string; ``*`` is empty."""
     lens, ops = F.regexp_extract_all(cigar, F.lit(_UNIT), F.lit(1)), F.regexp_extract_all(cigar, F.lit(_UNIT), F.lit(2))
@@ -83,9 +89,13 @@ def with_offset(units: Column, offset: Column) -> Column:
 
 def trim(units: Column, ops: str = ON_REFERENCE) -> Column:
     """Without the units at either end that use none of ``ops``' side."""
-    flagged = F.transform(units, lambda u, i: F.when(F.instr(F.lit(ops), u["op"]) > 0, i))
-    found = F.filter(flagged, lambda i: i.isNotNull())
-    return F.when(F.size(found) == 0, F.slice(units, 1, 0)).otherwise(F.slice(units, F.array_min(found) + 1, F.array_max(found) - F.array_min(found) + 1))
+
+    def ends(u: Column) -> Column:
+        first, last = F.array_position(F.transform(u, used), True), F.array_position(F.reverse(F.transform(u, used)), True)
+        return F.when(first == 0, F.slice(u, 1, 0)).otherwise(F.slice(u, F.greatest(first, F.lit(1)).cast("int"), F.greatest(F.size(u) + 2 - first - last, F.lit(0)).cast("int")))
+
+    used = lambda u: F.instr(F.lit(ops), u["op"]) > 0
+    return _let(units, ends)
 
 
 def expanded_start(blocks: Column, at: Column) -> Column:
@@ -113,88 +123,183 @@ def blocks_of(units: Column) -> Column:
     return F.aggregate(consolidate(units), none, step, lambda a: a["out"])
 
 
-# --- row functions, for Arrow batches ----------------------------------------------
+def substring(units: Column, start: Column, stop: Column, ops: str = ON_REFERENCE) -> Column:
+    """The units between two positions counted along ``ops``; units at a border that use none of it stay behind the start.
+
+    ``start`` beyond ``stop`` is an error when read; equal positions give no unit.
+    """
+    none = F.expr("cast(array() as array<struct<len:bigint,op:string>>)")
+    state = F.struct(F.lit(0).cast("long").alias("at"), none.alias("out"))
+
+    def step(a: Column, u: Column) -> Column:
+        uses = F.instr(F.lit(ops), u["op"]) > 0
+        end = a["at"] + F.when(uses, u["len"]).otherwise(0)
+        inside = F.least(end, stop) - F.greatest(a["at"], start)
+        cut = F.array(F.struct(F.when(uses, inside).otherwise(u["len"]).cast("long").alias("len"), u["op"].alias("op")))
+        keep = (uses & (inside > 0)) | (~uses & (a["at"] > start) & (a["at"] < stop))
+        return F.struct(end.alias("at"), F.when(keep, F.concat(a["out"], cut)).otherwise(a["out"]).alias("out"))
+
+    found = F.aggregate(units, state, step, lambda a: a["out"])
+    return F.when(start > stop, F.raise_error(F.lit("substring: start beyond stop")).cast("array<struct<len:bigint,op:string>>")).otherwise(found)
+
+
+def aligned_positions(units: Column) -> Column:
+    """struct(correct, top, bottom) of a CIGAR between two placements of one read.
+
+    ``top`` and ``bottom`` are the bases that either one uses; M counts as
+    correct where both have used the same number before.
+    """
+    zero = F.lit(0).cast("long")
+    state = F.struct(zero.alias("correct"), zero.alias("top"), zero.alias("bottom"))
+
+    def step(a: Column, u: Column) -> Column:
+        on = lambda ops: F.when(F.instr(F.lit(ops), u["op"]) > 0, u["len"]).otherwise(0)
+        hit = F.when((u["op"] == "M") & (a["top"] == a["bottom"]), u["len"]).otherwise(0)
+        return F.struct((a["correct"] + hit).alias("correct"), (a["top"] + on("MDNT")).alias("top"), (a["bottom"] + on("MIUT")).alias("bottom"))
+
+    return F.aggregate(units, state, step)
+
+
+def _segments(units: Column, start: Column) -> Column:
+    """Runs of M: array of (read, at, len)."""
+    zero = F.lit(0).cast("long")
+    state = F.struct(zero.alias("read"), start.cast("long").alias("at"), F.expr("cast(array() as array<struct<read:bigint,at:bigint,len:bigint>>)").alias("out"))
+
+    def step(a: Column, u: Column) -> Column:
+        on = lambda ops: F.when(F.instr(F.lit(ops), u["op"]) > 0, u["len"]).otherwise(0)
+        run = F.array(F.struct(a["read"].alias("read"), a["at"].alias("at"), u["len"].alias("len")))
+        return F.struct((a["read"] + on(ON_READ)).alias("read"), (a["at"] + on(ON_REFERENCE)).alias("at"), F.when(u["op"] == "M", F.concat(a["out"], run)).otherwise(a["out"]).alias("out"))
+
+    return F.aggregate(units, state, step, lambda a: a["out"])
+
+
+def matched_positions(a: Column, a_start: Column, b: Column, b_start: Column) -> Column:
+    """Bases of a read that two alignments of it place alike."""
+    theirs = _segments(b, b_start)
+
+    def common(x: Column, y: Column) -> Column:
+        inside = F.least(x["read"] + x["len"], y["read"] + y["len"]) - F.greatest(x["read"], y["read"])
+        return F.when(x["at"] - x["read"] == y["at"] - y["read"], F.greatest(inside, F.lit(0))).otherwise(0)
 
+    zero = F.lit(0).cast("long")
+    return F.aggregate(_segments(a, a_start), zero, lambda n, x: n + F.aggregate(theirs, zero, lambda m, y: m + common(x, y)))
 
-def units_of(cigar: str) -> list[tuple[int, str]]:
-    return [(int(n), o) for n, o in re.findall(_UNIT, cigar)]
 
+# --- through blocks ------------------------------------------------------------------
 
-def _put(out: list[list], n: int, op: str) -> None:
-    if n:
-        if out and out[-1][1] == op:
-            out[-1][0] += n
-        else:
-            out.append([n, op])
 
+def spans(blocks: Column) -> Column:
+    """Blocks as (used, stop, at, jump): their stretch of the spliced coordinates, and where it begins on the target."""
+    zero = F.lit(0).cast("long")
+    state = F.struct(zero.alias("used"), zero.alias("at"), F.expr("cast(array() as array<struct<used:bigint,stop:bigint,at:bigint,jump:bigint>>)").alias("out"))
+
+    def step(a: Column, b: Column) -> Column:
+        at, stop = a["at"] + b["jump"], a["used"] + b["block"]
+        span = F.struct(a["used"].alias("used"), stop.alias("stop"), at.alias("at"), b["jump"].cast("long").alias("jump"))
+        return F.struct(stop.alias("used"), (at + b["block"]).alias("at"), F.concat(a["out"], F.array(span)).alias("out"))
+
+    return F.aggregate(blocks, state, step, lambda a: a["out"])
 
-def expand(blocks: list[tuple[int, int]], cigar: list[tuple[int, str]], start: int, intron: str = "N") -> tuple[int, list[tuple[int, str]]]:
-    """A CIGAR on spliced coordinates put on the target: (target start, CIGAR with the gaps between blocks).
 
-    Ops that use the reference move through the blocks; the rest stay where
-    they are. A position at a block's end opens the next block.
+def expand(blocks: Column, units: Column, start: Column, gap: str = "N", uses: str = ALL_OPS) -> Column:
+    """A CIGAR on spliced coordinates put on the target: struct(start, units), with the gaps between blocks as ``gap``.
+
+    Ops of ``uses`` (by default all, I and S too) move through the blocks, the
+    others stay where they are. A position at a block's end opens the next
+    block when it is the start or is left forwards. A negative length walks
+    back: its pieces and gaps are negative. Null if the start or the walk
+    leaves the blocks.
     """
-    spans, at, used = [], 0, 0
-    for jump, block in blocks:
-        at += jump
-        spans.append((used, used + block, at))
-        at, used = at + block, used + block
-    out: list[list] = []
-    pos, k = start, 0
-    while k < len(spans) - 1 and pos >= spans[k][1]:
-        k += 1
-    first = spans[k][2] + pos - spans[k][0]
-    for n, op in cigar:
-        if op not in ON_REFERENCE:
-            _put(out, n, op)
-            continue
-        while n:
-            if pos == spans[k][1] and k < len(spans) - 1:
-                gap = spans[k + 1][2] - (spans[k][2] + spans[k][1] - spans[k][0])
-                _put(out, gap, intron)
-                k += 1
-            room = spans[k][1] - pos if k < len(spans) - 1 else n
-            took = min(n, room)
-            _put(out, took, op)
-            pos, n = pos + took, n - took
-    return first, [(n, o) for n, o in out]
-
-
-def condense(blocks: list[tuple[int, int]], cigar: list[tuple[int, str]], start: int) -> list[tuple[int, str]]:
-    """A CIGAR on the target seen from the spliced coordinates: in gaps M becomes I, T becomes U, other reference ops vanish."""
-    edges, at = [], 0
-    for jump, block in blocks:
-        edges += [(at, at + jump, False), (at + jump, at + jump + block, True)]
-        at += jump + block
-    edges.append((at, None, False))
-    out: list[list] = []
-    pos = start
-    for n, op in cigar:
-        if op not in ON_REFERENCE:
-            _put(out, n, op)
-            continue
-        while n:
-            _, stop, inside = next(e for e in edges if e[0] <= pos and (e[1] is None or pos < e[1]))
-            took = n if stop is None else min(n, stop - pos)
-            if inside:
-                _put(out, took, op)
-            elif op in "MT":
-                _put(out, took, "I" if op == "M" else "U")
-            pos, n = pos + took, n - took
-    return [(n, o) for n, o in out]
-
-
-def matched_positions(a: list[tuple[int, str]], a_start: int, b: list[tuple[int, str]], b_start: int) -> tuple[int, int, int]:
-    """(bases that both place alike, M bases of a, M bases of b) of two alignments of one read."""
-
-    def places(units, at):
-        found, read = {}, 0
-        for n, op in units:
-            if op == "M":
-                found |= {read + i: at + i for i in range(n)}
-            read += n if op in ON_READ else 0
-            at += n if op in ON_REFERENCE else 0
-        return found
-
-    x, y = places(a, a_start), places(b, b_start)
-    return sum(y.get(r) == p for r, p in x.items()), len(x), len(y)
+    return F.when(F.size(blocks) > 0, expand_spans(spans(blocks), units, start, gap, uses))
+
+
+def expand_spans(through: Column, units: Column, start: Column, gap: str = "N", uses: str = ALL_OPS) -> Column:
+    """``expand`` with the ``spans`` of the blocks, at least one, where many CIGARs go through the same ones."""
+    unit = lambda n, op: F.struct(n.cast("long").alias("len"), op.alias("op"))
+    none = F.expr("cast(array() as array<struct<len:bigint,op:string>>)")
+    moves = lambda u: F.instr(F.lit(uses), u["op"]) > 0
+
+    def walked(x: Column) -> Column:
+        s, opened = x["near"], x["opened"]
+        state = F.struct(start.cast("long").alias("pos"), opened.alias("k"), none.alias("out"))
+
+        def step(a: Column, u: Column) -> Column:
+            to = a["pos"] + u["len"]
+
+            def ahead(reached: Column) -> Column:
+                def piece(j: Column) -> Column:
+                    y = F.get(s, j)
+                    part = unit(F.least(y["stop"], to) - F.greatest(y["used"], a["pos"]), u["op"])
+                    return F.when(j > a["k"], F.array(unit(y["jump"], F.lit(gap)), part)).otherwise(F.array(part))
+
+                return F.struct(to.alias("pos"), reached.alias("k"), F.concat(a["out"], F.flatten(F.transform(F.sequence(a["k"], reached), piece))).alias("out"))
+
+            def behind(reached: Column) -> Column:
+                def piece(j: Column) -> Column:
+                    y = F.get(s, j)
+                    part = unit(F.greatest(y["used"], to) - F.least(y["stop"], a["pos"]), u["op"])
+                    return F.when(j < a["k"], F.array(unit(-F.get(s, j + 1)["jump"], F.lit(gap)), part)).otherwise(F.array(part))
+
+                return F.struct(to.alias("pos"), reached.alias("k"), F.concat(a["out"], F.flatten(F.transform(F.sequence(a["k"], reached, F.lit(-1)), piece))).alias("out"))
+
+            own = F.get(s, a["k"])
+            inside = (to <= own["stop"]) & (to >= own["used"])
+            stay = F.concat(a["out"], F.array(unit(u["len"], u["op"])))
+            return (
+                F.when(~moves(u), F.struct(a["pos"].alias("pos"), a["k"].alias("k"), stay.alias("out")))
+                .when(inside, F.struct(to.alias("pos"), a["k"].alias("k"), stay.alias("out")))
+                .when(u["len"] >= 0, _let(F.greatest(a["k"], F.size(F.filter(s, lambda y: y["used"] < to)) - 1), ahead))
+                .otherwise(_let(F.least(a["k"], F.size(F.filter(s, lambda y: y["stop"] <= to))), behind))
+            )
+
+        opening = F.get(s, opened)
+        return F.aggregate(units, state, step, lambda a: F.struct((opening["at"] + start - opening["used"]).alias("start"), consolidate(a["out"]).alias("units")))
+
+    def bounded(x: Column) -> Column:
+        """The walk among the spans that it meets only."""
+        s = x["spans"]
+        near = F.filter(s, lambda y: ((y["used"] < x["hi"]) & (y["stop"] > x["lo"])) | ((y["used"] <= start) & (start <= y["stop"])))
+        among = _let(near, lambda n: F.struct(n.alias("near"), F.least(F.size(n) - 1, F.size(F.filter(n, lambda y: y["stop"] <= start))).alias("opened")))
+        total = F.get(s, F.size(s) - 1)["stop"]
+        return F.when((x["lo"] >= 0) & (x["hi"] <= total), _let(among, walked))
+
+    first = start.cast("long")
+    reach = F.struct(first.alias("at"), first.alias("lo"), first.alias("hi"))
+
+    def extend(a: Column, u: Column) -> Column:
+        to = a["at"] + F.when(moves(u), u["len"]).otherwise(0)
+        return F.struct(to.alias("at"), F.least(a["lo"], to).alias("lo"), F.greatest(a["hi"], to).alias("hi"))
+
+    return _let(F.aggregate(units, reach, extend, lambda a: F.struct(a["lo"].alias("lo"), a["hi"].alias("hi"), through.alias("spans"))), bounded)
+
+
+def condense(blocks: Column, units: Column, start: Column, uses: str = ALL_OPS) -> Column:
+    """A CIGAR on the target seen from the spliced coordinates, its units consolidated.
+
+    ``start`` is where it begins on the target. Within a gap M becomes I, T
+    becomes U and other ops vanish; within a block, and beyond the last, units
+    pass through. Ops outside ``uses`` stay where they are.
+    """
+    none = F.expr("cast(array() as array<struct<len:bigint,op:string>>)")
+
+    def walked(s: Column) -> Column:
+        state = F.struct(start.cast("long").alias("pos"), none.alias("out"))
+
+        def step(a: Column, u: Column) -> Column:
+            to = a["pos"] + u["len"]
+            edges = F.flatten(F.transform(s, lambda x: F.array(F.struct((x["at"] - x["jump"]).alias("a"), x["at"].alias("z"), F.lit(False).alias("inside")), F.struct(x["at"].alias("a"), (x["at"] + x["stop"] - x["used"]).alias("z"), F.lit(True).alias("inside")))))
+            met = F.filter(edges, lambda e: (e["a"] < to) & (e["z"] > a["pos"]))
+            piece = lambda e: F.struct((F.least(e["z"], to) - F.greatest(e["a"], a["pos"])).alias("len"), F.when(e["inside"], u["op"]).when(u["op"] == "M", "I").when(u["op"] == "T", "U").alias("op"))
+            beyond = F.greatest(F.lit(0), to - F.greatest(a["pos"], F.array_max(F.transform(edges, lambda e: e["z"]))))
+            cut = F.concat(F.filter(F.transform(met, piece), lambda x: x["op"].isNotNull()), F.array(F.struct(beyond.cast("long").alias("len"), u["op"].alias("op"))))
+            moves = F.instr(F.lit(uses), u["op"]) > 0
+            return F.struct(F.when(moves, to).otherwise(a["pos"]).alias("pos"), F.concat(a["out"], F.when(moves, cut).otherwise(F.array(u))).alias("out"))
+
+        return F.aggregate(units, state, step, lambda a: consolidate(a["out"]))
+
+    return F.when(F.size(blocks) > 0, _let(spans(blocks), walked))
+
+
+def comparable(cigar: Column) -> Column:
+    """The CIGAR string by which placements are compared: T counts as N, neighbours merged."""
+    return render(consolidate(parse(F.translate(cigar, "T", "N"))))
