@@ -123,4 +123,4 @@ filter_pileup = _rec.pileup_filter
 pwm_hits = _mo.matrix_hits
 conservation = _cons.conservation
 sim_expression = _sim.expression_levels
-sim_reads = _sim.paired_reads
+sim_reads = _sim.read_pairs

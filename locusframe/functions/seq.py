@@ -56,6 +56,12 @@ def error_probability(q: Column, offset: int = 33) -> Column:
     return F.pow(F.lit(10.0), -(F.ascii(q) - offset) / 10.0)
 
 
+def base_distribution(q: Column, founder: Column, offset: int = 33) -> Column:
+    """Probabilities of calling A, C, G and T where the read's base is ``founder``."""
+    e = error_probability(q, offset)
+    return F.transform(F.array(*[F.lit(b) for b in "ACGT"]), lambda b: F.when(b == founder, 1 - e).otherwise(e / 3))
+
+
 def wrap(s: Column, width: int) -> Column:
     """Lines of ``width`` characters; 0 keeps one line."""
     return s if width <= 0 else F.regexp_replace(s, f"(.{{{width}}})(?=.)", "$1\n")
@@ -68,9 +74,50 @@ def windows(s: Column, n: int) -> Column:
     return F.when(last >= 0, found).otherwise(F.expr("cast(array() as array<struct<pos:int,w:string>>)"))
 
 
-def difference(reference: Column, s: Column) -> Column:
-    """``.`` where ``s`` agrees with ``reference``, else the base of ``s``."""
-    return F.array_join(F.zip_with(F.split(reference, ""), F.split(s, ""), lambda a, b: F.when(a == b, ".").otherwise(b)), "")
+#: Letters of a piece of a sequence, about: short enough that finding a window in it is cheap.
+PIECE = 256
+
+
+def pieces(s: Column, overlap: int, width: int = PIECE) -> Column:
+    """Pieces of ``width`` letters, each with the ``overlap`` letters that follow it; none for an empty text.
+
+    Linear in the text, so that windows are found in short strings whatever the
+    sequence's length. ``overlap`` is at most ``width``.
+    """
+    cut = F.regexp_extract_all(s, F.lit(f"(?s).{{1,{width}}}"), F.lit(0))
+    return F.get(F.transform(F.array(cut), lambda c: F.zip_with(c, F.slice(c, 2, F.greatest(F.size(c), F.lit(1))), lambda a, b: F.concat(a, F.coalesce(F.left(b, F.lit(overlap)), F.lit(""))))), F.lit(0))
+
+
+def difference(reference: Column, s: Column, same_orientation: Column | None = None) -> Column:
+    """``.`` where ``s`` agrees with ``reference``, else the base of ``s``; of the opposite orientation ``,`` and lower case."""
+    same = F.lit(True) if same_orientation is None else same_orientation
+    dot = F.when(same, ".").otherwise(",")
+    return F.array_join(F.zip_with(F.split(reference, ""), F.split(s, ""), lambda a, b: F.when(a == b, dot).when(same, b).otherwise(F.lower(b))), "")
+
+
+# Names of strands and of positions relative to a gene.
+STRANDS = {"+": "POS", "POS": "POS", "-": "NEG", "NEG": "NEG", "POS_NEG": "POS_NEG", ".": "NON_STRANDED", "NON_STRANDED": "NON_STRANDED"}
+RELATIONS = ("HEAD", "TAIL", "EXON", "PARTIAL_EXON", "INTRON")
+
+
+def strand_name(s: Column) -> Column:
+    """POS, NEG, POS_NEG or NON_STRANDED of what a file has for it; null for anything else."""
+    return F.get(F.array(*[F.lit(v) for v in STRANDS.values()]), F.array_position(F.array(*[F.lit(k) for k in STRANDS]), s).cast("int") - 1)
+
+
+def strand_print(name: Column) -> Column:
+    """A strand's name as it is printed: POS_NEG is BOTH."""
+    return F.when(name == "POS_NEG", "BOTH").when(name.isin(*STRANDS.values()), name)
+
+
+def strand_of_symbol(c: Column) -> Column:
+    """Strand of a one-character symbol: + 1 p P are POS, - 0 n N are NEG, others NON_STRANDED."""
+    return F.when(c.isin("+", "1", "p", "P"), "POS").when(c.isin("-", "0", "n", "N"), "NEG").otherwise("NON_STRANDED")
+
+
+def relation_name(s: Column) -> Column:
+    """A position relative to a gene; null for anything unknown."""
+    return F.when(s.isin(*RELATIONS), s)
 
 
 def two_bit(s: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import SWEEP_BIN
+from .intervals import SWEEP_BIN, islands
 
 DEPTHS = ("guide", "correct", "error")
 
@@ -65,13 +65,9 @@ def coverage_bases(runs: DataFrame, depths: Sequence[str] = DEPTHS) -> DataFrame
     return coverage_runs(runs, depths).select("contig", F.explode(F.sequence(F.col("start") + 1, F.col("stop"))).alias("pos"), *depths)
 
 
-def mask_regions(runs: DataFrame, masked: Column) -> DataFrame:
+def mask_regions(runs: DataFrame, masked: Column, sweep_bin: int = SWEEP_BIN) -> DataFrame:
     """Maximal regions (contig, start, stop) of adjacent runs for which ``masked`` holds."""
-    kept = runs.where(masked & F.col("stop").isNotNull())
-    order = Window.partitionBy("contig").orderBy("start")
-    new = F.coalesce((F.lag("stop").over(order) != F.col("start")).cast("int"), F.lit(1))
-    numbered = kept.withColumn("__new", new).withColumn("__n", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return numbered.groupBy("contig", "__n").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("__n")
+    return islands(runs.where(masked & F.col("stop").isNotNull()).select("contig", "start", "stop"), sweep_bin=sweep_bin)
 
 
 def depth_histogram(runs: DataFrame, depths: Sequence[str] = DEPTHS) -> DataFrame:

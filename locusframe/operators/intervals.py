@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scan import lagged, ranked
+
 #: Width of a join bin, and of the coarse bins of a sweep, in positions.
 BIN, SWEEP_BIN = 64, 1 << 14
 #: Each level of an overlap join has bins so many times wider.
@@ -29,12 +31,21 @@ def _merge(df: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def islands(df: DataFrame, keys: Sequence[str] = ("contig",), sweep_bin: int = SWEEP_BIN) -> DataFrame:
-    """Maximal merged intervals: (keys, start, stop). Touching intervals merge.
+    """Maximal merged intervals: (keys, start, stop). Touching intervals merge; intervals without a key are left out.
 
-    First within coarse bins of the start, then over the merged pieces.
+    Intervals are merged within coarse bins of the start. Only pieces that a
+    border of bins may join to others, two of a bin at most, meet in one task
+    of their key: pieces that what started in earlier bins covers are left out,
+    and pieces that nothing can touch stay in their bin.
     """
     binned = df.select(*keys, "start", "stop", F.floor(F.col("start") / sweep_bin).alias("__bin"))
-    return _merge(_merge(binned, [*keys, "__bin"]).drop("__bin"), keys)
+    pieces = _merge(binned, [*keys, "__bin"])
+    earlier = Window.partitionBy(*keys).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    reach = pieces.groupBy(*keys, "__bin").agg(F.max("stop").alias("__far")).select(*keys, "__bin", F.max("__far").over(earlier).alias("__reach"))
+    marked = pieces.join(reach, [*keys, "__bin"]).where("__reach IS NULL OR stop > __reach")
+    joined_up = (F.col("start") <= F.coalesce("__reach", F.col("start") - 1)) | (F.col("stop") >= (F.col("__bin") + 1) * sweep_bin)
+    parts = marked.select(*keys, "start", "stop", F.when(~joined_up, F.col("__bin")).alias("__part"))
+    return _merge(parts, [*keys, "__part"]).drop("__part")
 
 
 def with_island(df: DataFrame, keys: Sequence[str] = ("contig",), sweep_bin: int = SWEEP_BIN) -> DataFrame:
@@ -86,15 +97,30 @@ def overlap_join(a: DataFrame, b: DataFrame, touching: bool = False, bin_width:
     return x.join(y, cond).drop(*[f"{p}___{c}" for p in "ab" for c in ("own", "level", "width", "bin")])
 
 
-def annotate(regions: DataFrame, features: DataFrame, report: str = "intersection") -> DataFrame:
-    """(region id, feature id, contig, start, stop) of overlapping pairs; ``report`` says whose bounds: region, annotation, intersection."""
+def annotate(
+    regions: DataFrame, features: DataFrame, report: str = "intersection", no_orphans: bool = False, one_based: bool = False, strand: bool = False, source: str | None = None
+) -> DataFrame:
+    """(region id, feature id, contig, start, stop) of overlapping pairs; ``report`` says whose bounds: region, annotation, intersection.
+
+    Starts are given one-based. ``one_based`` tells that those of the regions
+    are so too; ``no_orphans`` makes a region without a feature an error when
+    read; ``strand`` adds the region's strand and ``source`` a column of that text.
+    """
+    if one_based:
+        regions = regions.withColumn("start", F.col("start") - 1)
     pairs = overlap_join(regions, features)
     start, stop = {
         "region": (F.col("a_start"), F.col("a_stop")),
         "annotation": (F.col("b_start"), F.col("b_stop")),
         "intersection": (F.greatest("a_start", "b_start"), F.least("a_stop", "b_stop")),
     }[report]
-    return pairs.select(F.col("a_id").alias("region_id"), F.col("b_id").alias("feature_id"), F.col("a_contig").alias("contig"), (start + 1).alias("start"), stop.alias("stop"))
+    more = ([F.col("a_strand").alias("strand")] if strand else []) + ([F.lit(source).alias("source")] if source is not None else [])
+    found = pairs.select(F.col("a_id").alias("region_id"), F.col("b_id").alias("feature_id"), F.col("a_contig").alias("contig"), (start + 1).alias("start"), stop.alias("stop"), *more)
+    if no_orphans:
+        alone = orphans(regions, features)
+        error = F.raise_error(F.concat(F.lit("no annotation overlaps region "), F.col("id").cast("string")))
+        found = found.union(alone.select(*[(error if i == 0 else F.lit(None)).cast(f.dataType).alias(f.name) for i, f in enumerate(found.schema)]))
+    return found
 
 
 def orphans(regions: DataFrame, features: DataFrame) -> DataFrame:
@@ -104,41 +130,58 @@ def orphans(regions: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def distance(q_start: Column, q_stop: Column, t_start: Column, t_stop: Column) -> Column:
-    """Signed gap from a query to a target: positive if the target lies after, 0 if they overlap or touch."""
-    return F.when(t_start >= q_stop, t_start - q_stop).when(t_stop <= q_start, t_stop - q_start).otherwise(0)
+    """Displacement that would make two intervals adjacent: the gap between them, or less their overlap."""
+    before, after = q_start - t_stop, t_start - q_stop
+    return F.when(F.abs(before) < F.abs(after), before).otherwise(after)
 
 
-def associate(queries: DataFrame, targets: DataFrame, max_distance: int, max_between: int) -> DataFrame:
-    """Targets within ``max_distance`` of each query, with fewer than or equal ``max_between`` nearer distances on that side.
+def associate(queries: DataFrame, targets: DataFrame, max_distance: int, max_between: int, min_distance: int | None = None, first_id: int = 0) -> DataFrame:
+    """Targets whose distance to a query lies in ``min_distance``..``max_distance``, with at most ``max_between`` nearer distances on their side.
 
-    Columns: q, t, distance (signed), overlap, between.
+    Columns: assoc (numbered from ``first_id`` in order of query and target), q,
+    t, distance, overlap, between and, where both tables have a strand,
+    orientation (SAME or OPP). A negative distance is an overlap: a negative
+    ``min_distance`` caps it, a negative ``max_distance`` asks for one. Nearer
+    are the distinct distances below, among all targets within reach that end
+    before the query's end or, if the target does not, begin after its begin.
     """
-    padded = queries.select("id", "contig", (F.col("start") - max_distance).alias("start"), (F.col("stop") + max_distance + 1).alias("stop"), F.col("start").alias("q_start"), F.col("stop").alias("q_stop"))
-    pairs = overlap_join(padded, targets.select("id", "contig", "start", "stop"), touching=True, bin_width=max(BIN, max_distance))
+    reach = max(0, max_distance)
+    stranded = "strand" in queries.columns and "strand" in targets.columns
+    sides = ["strand"] if stranded else []
+    padded = queries.select("id", "contig", (F.col("start") - reach).alias("start"), (F.col("stop") + reach + 1).alias("stop"), F.col("start").alias("q_start"), F.col("stop").alias("q_stop"), *sides)
+    pairs = overlap_join(padded, targets.select("id", "contig", "start", "stop", *sides), touching=True, bin_width=max(BIN, reach))
     near = pairs.select(
         F.col("a_id").alias("q"),
         F.col("b_id").alias("t"),
         distance(F.col("a_q_start"), F.col("a_q_stop"), F.col("b_start"), F.col("b_stop")).alias("distance"),
         F.greatest(F.lit(0), F.least("a_q_stop", "b_stop") - F.greatest("a_q_start", "b_start")).alias("overlap"),
-    ).where(F.abs("distance") <= max_distance)
-    side = Window.partitionBy("q", F.signum("distance")).orderBy(F.abs("distance"))
-    return near.withColumn("between", (F.dense_rank().over(side) - 1).cast("long")).where(F.col("between") <= max_between)
-
-
-def gaps(df: DataFrame, lengths: DataFrame) -> DataFrame:
+        (F.col("a_q_stop") > F.col("b_stop")).alias("__ends"),
+        (F.col("a_q_start") < F.col("b_start")).alias("__begins"),
+        F.col("a_contig").alias("__contig"), F.col("a_q_start").alias("__at"), F.col("b_start").alias("__t_at"),
+        *([F.when(F.col("a_strand") == F.col("b_strand"), "SAME").otherwise("OPP").alias("orientation")] if stranded else []),
+    ).where(F.col("distance") <= reach)
+    nearer = lambda side: (F.dense_rank().over(Window.partitionBy("q", side).orderBy("distance")) - 1).cast("long")
+    between = F.when(F.col("__ends"), nearer("__ends")).when(F.col("__begins"), nearer("__begins")).otherwise(0)
+    kept = near.withColumn("between", between.cast("long")).where((F.col("between") <= max_between) & (F.col("distance") <= max_distance))
+    if min_distance is not None:
+        kept = kept.where(F.col("distance") >= min_distance)
+    numbered = ranked(kept, [F.col("__contig"), F.floor(F.col("__at") / SWEEP_BIN)], ["__at", "q", "__t_at", "t"], "assoc")
+    return numbered.withColumn("assoc", F.col("assoc") - 1 + first_id).drop("__ends", "__begins", "__contig", "__at", "__t_at")
+
+
+def gaps(df: DataFrame, lengths: DataFrame, sweep_bin: int = SWEEP_BIN) -> DataFrame:
     """Stretches of each contig of ``lengths`` (contig, length) that no interval covers: (contig, start, stop)."""
-    edges = islands(df).select("contig", "start", "stop")
+    edges = islands(df, sweep_bin=sweep_bin).select("contig", "start", "stop")
     edges = edges.union(lengths.select("contig", F.col("length").alias("start"), F.col("length").alias("stop")))
-    order = Window.partitionBy("contig").orderBy("start", "stop")
-    prev = F.coalesce(F.lag("stop").over(order), F.lit(0))
-    return edges.select("contig", prev.alias("start"), F.col("start").alias("stop")).where("stop > start").join(lengths.select("contig"), "contig", "left_semi")
+    before = lagged(edges, "stop", ["contig"], ["start", "stop"], F.floor(F.col("start") / sweep_bin))
+    found = before.select("contig", F.coalesce("previous", F.lit(0)).alias("start"), F.col("start").alias("stop"))
+    return found.where("stop > start").join(lengths.select("contig"), "contig", "left_semi")
 
 
-def runs(df: DataFrame, keys: Sequence[str], locus: str, keep: Column) -> DataFrame:
-    """Runs of consecutive loci for which ``keep`` holds: (keys, start, stop), both ends included."""
-    kept = df.where(keep).select(*keys, F.col(locus).alias("__locus"))
-    kept = kept.withColumn("__run", F.col("__locus") - F.row_number().over(Window.partitionBy(*keys).orderBy("__locus")))
-    return kept.groupBy(*keys, "__run").agg(F.min("__locus").alias("start"), F.max("__locus").alias("stop")).drop("__run")
+def runs(df: DataFrame, keys: Sequence[str], locus: str, keep: Column, sweep_bin: int = SWEEP_BIN) -> DataFrame:
+    """Runs of consecutive loci for which ``keep`` holds: (keys, start, stop), both ends included. A repeated locus counts once."""
+    single = df.where(keep).select(*keys, F.col(locus).alias("start"), (F.col(locus) + 1).alias("stop"))
+    return islands(single, keys, sweep_bin).withColumn("stop", F.col("stop") - 1)
 
 
 def peaks(df: DataFrame, threshold: float, keys: Sequence[str] = ("chrom",), locus: str = "locus", value: str = "depth") -> DataFrame:
@@ -153,9 +196,12 @@ def uncovered(df: DataFrame, least: int, keys: Sequence[str] = ("chrom",), locus
 
 def edge_flags(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """``df`` with ``leftmost`` and ``rightmost``: first and last interval of each group, by (start, stop, id)."""
-    up = Window.partitionBy(*keys).orderBy("start", "stop", "id")
-    down = Window.partitionBy(*keys).orderBy(F.desc("start"), F.desc("stop"), F.desc("id"))
-    return df.withColumn("leftmost", F.row_number().over(up) == 1).withColumn("rightmost", F.row_number().over(down) == 1)
+    place = F.struct("start", "stop", "id")
+    ends = df.groupBy(*keys).agg(F.min(place).alias("__first"), F.max(place).alias("__last")).select(*[F.col(k).alias(f"__{k}") for k in keys], "__first", "__last")
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return df.join(ends, same).select(*df.columns, (place == F.col("__first")).alias("leftmost"), (place == F.col("__last")).alias("rightmost"))
 
 
 def flanks(df: DataFrame, five: int, three: int, lengths: DataFrame) -> DataFrame:

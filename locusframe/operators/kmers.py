@@ -2,15 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.seq import windows
+from ..functions.seq import PIECE, pieces, windows
+
+
+def in_pieces(seqs: DataFrame, overlap: int) -> DataFrame:
+    """(id, at, piece): short pieces of sequences with where they begin, see ``pieces``; a window of 1 + ``overlap`` lies in one piece."""
+    width = max(PIECE, overlap)
+    return seqs.select("id", F.posexplode(pieces(F.col("s"), overlap, width)).alias("at", "piece")).select("id", (F.col("at") * width).alias("at"), "piece")
 
 
 def exploded(seqs: DataFrame, k: int) -> DataFrame:
     """(id, pos, kmer) of all windows."""
-    return seqs.select("id", F.explode(windows(F.col("s"), k)).alias("w")).select("id", F.col("w.pos").alias("pos"), F.col("w.w").alias("kmer"))
+    w = in_pieces(seqs, k - 1).select("id", "at", F.explode(windows(F.col("piece"), k)).alias("w"))
+    return w.select("id", (F.col("at") + F.col("w.pos")).alias("pos"), F.col("w.w").alias("kmer"))
+
+
+def chosen(seqs: DataFrame, k: int, made, keep) -> DataFrame:
+    """(id, pos, and the fields of ``made``): windows for which ``keep`` holds, told within a piece, before they become rows.
+
+    ``made`` gives an array of structs for a window, ``keep`` a condition on one.
+    """
+    found = F.flatten(F.transform(windows(F.col("piece"), k), lambda w: F.transform(F.filter(made(w["w"]), keep), lambda m: F.struct(w["pos"].alias("pos"), m.alias("m")))))
+    w = in_pieces(seqs, k - 1).select("id", "at", F.explode(found).alias("w"))
+    return w.select("id", (F.col("at") + F.col("w.pos")).alias("pos"), "w.m.*")
 
 
 def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
@@ -19,18 +36,20 @@ def kmer_counts(seqs: DataFrame, k: int) -> DataFrame:
 
 def alphabet(seqs: DataFrame) -> DataFrame:
     """Symbols and how often they occur."""
-    return seqs.select(F.explode(F.split("s", "")).alias("symbol")).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
+    symbols = in_pieces(seqs, 0).select(F.explode(F.split("piece", "")).alias("symbol")).where("symbol != ''")
+    return symbols.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"))
 
 
 def pair_spectrum(seqs: DataFrame, k: int, least: int, most: int, cap: int = 100) -> DataFrame:
     """How many pairs of k-mers, the second starting ``least`` to ``most`` (exclusive) after the first, occur 1, 2, ... times.
 
-    Pairs are made within a sequence's array of windows (no self-join) and
+    Pairs are made within the windows of a short piece (no self-join) and
     combined before they are shuffled; counts over ``cap`` count as ``cap``.
     """
-    words = seqs.select(F.transform(windows(F.col("s"), k), lambda w: w["w"]).alias("w"))
+    overlap = most - 1 + k - 1
+    words = in_pieces(seqs, overlap).select(F.transform(windows(F.col("piece"), k), lambda w: w["w"]).alias("w"))
     apart = words.select("w", F.explode(F.array(*[F.lit(d) for d in range(least, most)])).alias("d")).where(F.size("w") > F.col("d"))
-    n = F.size("w") - F.col("d")
+    n = F.least(F.size("w") - F.col("d"), F.lit(max(PIECE, overlap)))  # the first window starts in the piece itself
     both = F.zip_with(F.slice("w", 1, n), F.slice("w", F.col("d") + 1, n), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
     pairs = apart.select(F.explode(both).alias("p")).select("p.a", "p.b")
     counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"))
@@ -43,7 +62,32 @@ def digest_collisions(seqs: DataFrame, k: int, bits: int = 128) -> DataFrame:
     return distinct.groupBy(F.substring(F.md5("kmer"), 1, bits // 4).alias("digest")).agg(F.count(F.lit(1)).alias("kmers")).where("kmers > 1")
 
 
+def index_entries(seqs: DataFrame, k: int, prefix: int = 4) -> DataFrame:
+    """Entries (prefix, kmer, id, pos) of a k-mer index."""
+    return exploded(seqs, k).withColumn("prefix", F.substring("kmer", 1, prefix))
+
+
 def write_index(seqs: DataFrame, k: int, table: str, buckets: int, prefix: int = 4) -> None:
-    """A k-mer index (prefix, kmer, id, pos), bucketed and sorted by k-mer."""
-    rows = exploded(seqs, k).withColumn("prefix", F.substring("kmer", 1, prefix))
+    """A k-mer index as a table, bucketed and sorted by k-mer."""
+    rows = index_entries(seqs, k, prefix)
     rows.write.bucketBy(buckets, "kmer").sortBy("kmer", "id", "pos").mode("overwrite").saveAsTable(table)
+
+
+def read_index(spark, table: str, prefix: Column | None = None) -> DataFrame:
+    """Entries (prefix, kmer, id, pos) of an index; ``prefix`` is a condition on the column of that name."""
+    index = spark.table(table)
+    return index if prefix is None else index.where(prefix)
+
+
+def index_nodes(index: DataFrame, depth: int) -> DataFrame:
+    """(node, kmers, positions): the index as the nodes of a prefix tree, down to ``depth`` letters."""
+    nodes = index.select("kmer", F.explode(F.sequence(F.lit(1), F.lit(depth))).alias("d")).withColumn("node", F.substring("kmer", F.lit(1), F.col("d")))
+    counts = nodes.groupBy("node", "kmer").agg(F.count(F.lit(1)).alias("n"))
+    return counts.groupBy("node").agg(F.count(F.lit(1)).alias("kmers"), F.sum("n").alias("positions"))
+
+
+def index_faults(index: DataFrame, seqs: DataFrame, k: int) -> DataFrame:
+    """Entries of an index that its sequences do not have, and windows that it lacks: (id, pos, indexed, found), of differing ones."""
+    have = index.select("id", F.col("pos").cast("long").alias("pos"), F.col("kmer").alias("indexed"))
+    want = exploded(seqs, k).select("id", F.col("pos").cast("long").alias("pos"), F.col("kmer").alias("found"))
+    return have.join(want, ["id", "pos"], "full").where(~F.col("indexed").eqNullSafe(F.col("found")))

@@ -8,8 +8,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.seq import IUPAC, IUPAC_COMPLEMENT, reverse_complement
-from .kmers import exploded
+from ..functions.seq import IUPAC, IUPAC_COMPLEMENT
+from ..plans.scan import ranked
+from .intervals import SWEEP_BIN, with_island
+from .kmers import chosen
 
 Matrix = Sequence[dict[str, int]]
 
@@ -29,12 +31,6 @@ def expand_matrix(matrix: Matrix) -> list[dict[str, int]]:
     return out
 
 
-def zero_adjusted(matrix: Matrix) -> tuple[list[dict[str, int]], int]:
-    """Columns lowered so that the least weight of each is 0, and what was taken off in all."""
-    lows = [min(c.values()) for c in matrix]
-    return [{b: v - low for b, v in c.items()} for c, low in zip(matrix, lows, strict=True)], sum(lows)
-
-
 def reverse_matrix(matrix: Matrix) -> list[dict[str, int]]:
     swap = dict(zip(IUPAC, IUPAC_COMPLEMENT, strict=True))
     return [{swap[b]: v for b, v in c.items()} for c in reversed(matrix)]
@@ -63,24 +59,88 @@ def mismatches(window: Column, consensus: str) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def matrix_hits(seqs: DataFrame, matrix: Matrix, least: int, both_strands: bool = True) -> DataFrame:
-    """(id, pos, kmer, strand, score) of the windows that score ``least`` or more."""
-    w = exploded(seqs, len(matrix))
-    hits = w.withColumn("strand", F.lit("+")).withColumn("score", matrix_score(F.col("kmer"), matrix))
-    if both_strands:
-        back = w.withColumn("strand", F.lit("-")).withColumn("score", matrix_score(reverse_complement(F.col("kmer")), matrix))
-        hits = hits.union(back)
-    return hits.where(F.col("score") >= least)
+def _both(strands: Sequence[str], forward: Column, backward: Column) -> Column:
+    """Array of (strand, score) for the asked strands."""
+    made = {"+": forward, "-": backward}
+    return F.array(*[F.struct(F.lit(t).alias("strand"), made[t].alias("score")) for t in strands])
+
+
+def matrix_hits(seqs: DataFrame, matrix: Matrix, least: int, strands: Sequence[str] = "+-", ambiguous: bool = False) -> DataFrame:
+    """(id, pos, kmer, strand, score) of the windows that score ``least`` or more on a strand.
+
+    The other strand is scored by the reversed matrix on the same window, so
+    sequences are read once and only hits become rows. A window with other
+    letters than A, C, G and T has no score, or, if ``ambiguous``, the least
+    that its IUPAC codes allow.
+    """
+    m = expand_matrix(matrix) if ambiguous else matrix
+    back = reverse_matrix(m)
+
+    def made(w: Column) -> Column:
+        scores = _both(strands, matrix_score(w, m), matrix_score(w, back))
+        return F.transform(scores, lambda x: F.struct(w.alias("kmer"), x["strand"].alias("strand"), x["score"].alias("score")))
+
+    return chosen(seqs, len(matrix), made, lambda x: x["score"] >= least)
 
 
-def consensus_hits(seqs: DataFrame, consensus: Sequence[str], most: int) -> DataFrame:
-    """(id, pos, kmer, consensus, mismatches) of the windows within ``most`` mismatches of one of a set."""
+def consensus_hits(seqs: DataFrame, consensus: Sequence[str], most: int, strands: Sequence[str] = "+") -> DataFrame:
+    """(id, pos, kmer, strand, consensus, mismatches) of the windows within ``most`` mismatches of one of a set; one pass for each length."""
+    swap = dict(zip(IUPAC, IUPAC_COMPLEMENT, strict=True))
     parts = []
-    for c in consensus:
-        parts.append(exploded(seqs, len(c)).withColumn("consensus", F.lit(c)).withColumn("mismatches", mismatches(F.col("kmer"), c)).where(F.col("mismatches") <= most))
+    for k in sorted({len(c) for c in consensus}):
+        same = [c for c in consensus if len(c) == k]
+
+        def made(w: Column, same=same) -> Column:
+            each = [
+                F.struct(w.alias("kmer"), F.lit(t).alias("strand"), F.lit(c).alias("consensus"), mismatches(w, c if t == "+" else "".join(swap[x] for x in reversed(c))).alias("mismatches"))
+                for c in same
+                for t in strands
+            ]
+            return F.array(*each)
+
+        parts.append(chosen(seqs, k, made, lambda x: x["mismatches"] <= most))
     return reduce(DataFrame.unionByName, parts)
 
 
+def index_hits(index: DataFrame, matrix: Matrix, least: int, strands: Sequence[str] = "+-") -> DataFrame:
+    """(id, pos, kmer, strand, score) out of a k-mer index whose k-mers are as long as the matrix, or longer.
+
+    Distinct beginnings are scored first; an index entry is read only if its
+    ``prefix`` can still reach ``least`` with the best weights behind it. Each
+    k-mer is scored once, whatever its number of positions.
+    """
+    back = reverse_matrix(matrix)
+    k = len(matrix)
+
+    def reach(m: Matrix, width: int) -> Column:
+        head = F.col("prefix")
+        rest = sum(max(c.values()) for c in m[width:])
+        return matrix_score(F.substring(head, 1, min(width, k)), m[:width]) + rest
+
+    width = min(k, 4)
+    best = F.greatest(*[reach(m, width) for m in ((matrix,) if strands == "+" else (back,) if strands == "-" else (matrix, back))])
+    words = index.where(best >= least).withColumn("word", F.left("kmer", F.lit(k)))
+    scored = words.select("word").distinct().withColumn("m", F.explode(F.filter(_both(strands, matrix_score(F.col("word"), matrix), matrix_score(F.col("word"), back)), lambda x: x["score"] >= least)))
+    return words.join(scored, "word").select("id", "pos", F.col("word").alias("kmer"), "m.strand", "m.score")
+
+
+def mutation_path(a: Column, b: Column, k: int) -> Column:
+    """Sequences from ``a`` to ``b``, of ``k`` letters, by point mutations from left to right; where they agree nothing is added."""
+    steps = [F.concat(F.left(b, F.lit(i)), F.substring(a, i + 1, k)) for i in range(k + 1)]
+    return F.array_distinct(F.array(*steps))
+
+
+def path_similarity(scores: Column) -> Column:
+    """Mean absolute change of score along a path of point mutations; 0 for a path without a step."""
+    n = F.size(scores) - 1
+    steps = F.zip_with(F.slice(scores, 1, F.greatest(n, F.lit(0))), F.slice(scores, 2, F.greatest(n, F.lit(0))), lambda x, y: F.abs(y - x).cast("double"))
+    return F.when(n > 0, F.aggregate(steps, F.lit(0.0), lambda t, x: t + x) / F.nullif(n, F.lit(0))).otherwise(0.0)
+
+
+def path_scores(path: Column, matrix: Matrix) -> Column:
+    return F.transform(path, lambda w: matrix_score(w, matrix))
+
+
 def top_levels(hits: DataFrame, most: int, score: str = "score", by: Sequence[str] = ()) -> DataFrame:
     """Hits of the best score levels: levels are added until they hold more than ``most`` hits; that level is still kept.
 
@@ -112,16 +172,17 @@ def diversity_windows(hits: DataFrame, span: int, needs: dict[str, int], least:
 
 
 def cluster_members(hits: DataFrame, windows: DataFrame, span: int) -> DataFrame:
-    """Merged clusters: each hit in some valid window, with the start of the cluster of windows that chain through shared hits."""
-    # Windows [start, start + span] that share a hit are merged; hits are numbered by the merged stretch.
+    """Merged clusters: each hit in some valid window, with the start of the cluster of windows that chain through shared hits, and its number.
+
+    Clusters are numbered from 1 in order of contig and first hit.
+    """
     w = windows.select(F.col("contig"), F.col("id").alias("window"), F.col("start").alias("w_start"), F.explode(F.array(F.floor(F.col("start") / span), F.floor(F.col("start") / span) + 1)).alias("bin"))
-    h = hits.select(F.col("contig").alias("c"), "id", "start", "stop", F.floor(F.col("start") / span).alias("h_bin"))
-    inside = h.join(w, (F.col("contig") == F.col("c")) & (F.col("h_bin") == F.col("bin")) & (F.col("start") >= F.col("w_start")) & (F.col("start") <= F.col("w_start") + span))
-    reach = inside.groupBy("contig", "id", "start", "stop").agg(F.min("w_start").alias("from"), F.max("w_start").alias("to"))
-    order = Window.partitionBy("contig").orderBy("start", "stop", "id")
-    top = F.max(F.col("to")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    # A hit opens a cluster if no earlier hit shares a window with it.
-    new = F.coalesce((F.col("from") > top).cast("int"), F.lit(1))
-    numbered = reach.withColumn("new", new).withColumn("n", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    first = Window.partitionBy("contig", "n")
-    return numbered.withColumn("cluster_start", F.min("start").over(first)).select("contig", "id", "start", "stop", "cluster_start")
+    h = hits.select(F.col("contig").alias("c"), "id", F.col("start").alias("h_start"), F.col("stop").alias("h_stop"), F.floor(F.col("start") / span).alias("h_bin"))
+    inside = h.join(w, (F.col("contig") == F.col("c")) & (F.col("h_bin") == F.col("bin")) & (F.col("h_start") >= F.col("w_start")) & (F.col("h_start") <= F.col("w_start") + span))
+    # The windows of a hit reach from its first to its last one; hits whose reaches touch are chained.
+    reach = inside.groupBy("contig", "id", "h_start", "h_stop").agg(F.min("w_start").alias("start"), F.max("w_start").alias("stop"))
+    chained = with_island(reach, sweep_bin=max(SWEEP_BIN, span))
+    first = chained.groupBy("contig", "union_start").agg(F.min("h_start").alias("cluster_start"))
+    numbered = ranked(first, [F.col("contig"), F.floor(F.col("cluster_start") / SWEEP_BIN)], ["cluster_start"], "cluster")
+    found = chained.join(numbered, ["contig", "union_start"])
+    return found.select("contig", "id", F.col("h_start").alias("start"), F.col("h_stop").alias("stop"), "cluster_start", "cluster")

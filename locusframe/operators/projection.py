@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,55 +57,121 @@ def expanded_positions(reads: DataFrame, blocks: DataFrame) -> DataFrame:
     return joined.select(*reads.columns, "contig", "strand", F.when(inside, cg.expanded_start(F.col("blocks"), at)).alias("target_pos"))
 
 
-def tx2genome(reads: DataFrame, blocks: DataFrame, introns: bool = True, xs_tag: bool = False) -> DataFrame:
-    """Reads on transcripts (fid, transcript, pos, cigar, mapq) put on contigs, duplicates of one place merged to the best mapq.
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once for a row, however often what follows names it (the planner does not merge a generator)."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def tx2genome(reads: DataFrame, blocks: DataFrame, introns: bool = True, xs_tag: bool = False, keep_unsequenced: bool = False, strict: bool = True) -> DataFrame:
+    """Reads on transcripts (fid, transcript, pos, cigar, mapq) put on contigs, those of a fragment at one place merged to the best mapq.
 
-    Adds ``contig``, ``pos`` and ``cigar`` on the contig (gaps as N, or D) and,
-    if asked, ``xs``, the transcript's strand. The two-cursor walk over blocks
-    and CIGAR runs in Arrow batches.
+    Gives the columns of ``reads`` with ``contig``, and ``pos`` and ``cigar`` on
+    it (gaps between exons as N, or D). On a transcript of the minus strand a
+    read is mirrored: its start counts from the other end, its CIGAR is
+    reversed, and ``strand`` (minus) and ``layout`` (0 or 1), where there are
+    such columns, are turned. Units at the ends without template are trimmed;
+    reads that then align no base are dropped. ``xs`` is the transcript's
+    strand, or ``.``.
+
+    Records whose ``mapped`` column, where there is one, is false, and names
+    that are no transcript, stay as they are, the name as contig. A read that
+    leaves its transcript is an error when read, or dropped if not ``strict``.
+    Places are equal in contig, pos, strand, mate (``pnext``), space and CIGAR,
+    where unsequenced stretches (T) count as gaps unless ``keep_unsequenced``.
+    """
+    have = set(reads.columns)
+    dims = blocks.select(F.col("transcript").alias("__t"), F.col("contig").alias("__contig"), F.col("strand").alias("__strand"), F.col("length").alias("__length"), cg.spans(F.col("blocks")).alias("__spans"))
+    joined = reads.join(dims, F.col("transcript") == F.col("__t"), "left")
+    there = F.col("__t").isNotNull() & (F.coalesce("mapped", F.lit(False)) if "mapped" in have else F.lit(True))
+    same = F.col("__strand") != "-"
+    joined = _once(joined.withColumn("__there", there), "__u", F.when(there, cg.parse(F.col("cigar"))))
+    start = F.when(same, F.col("pos")).otherwise(F.col("__length") - cg.reference_length(F.col("__u")) - F.col("pos"))
+    joined = _once(joined, "__put", F.when(F.col("__there"), cg.expand_spans(F.col("__spans"), F.when(same, F.col("__u")).otherwise(F.reverse("__u")), start, "N" if introns else "D"))).drop("__u", "__spans")
+    if strict:
+        error = F.raise_error(F.concat(F.lit("a read leaves transcript "), F.col("transcript").cast("string"))).cast("boolean")
+        joined = joined.where(F.when(F.col("__there") & F.col("__put").isNull(), error).otherwise(F.lit(True)))
+    else:
+        joined = joined.where(~F.col("__there") | F.col("__put").isNotNull())
+    joined = _once(joined, "__units", cg.trim(F.col("__put.units"), cg.ON_TEMPLATE)).where(~F.col("__there") | (cg.aligned_length(F.col("__units")) > 0))
+    turned = F.col("__there") & ~same
+    put = {
+        "pos": F.when(F.col("__there"), F.col("__put.start")).otherwise(F.col("pos")),
+        "cigar": F.when(F.col("__there"), cg.render(F.col("__units"))).otherwise(F.col("cigar")),
+        "strand": F.when(turned, ~F.col("strand")).otherwise(F.col("strand")) if "strand" in have else None,
+        "layout": F.when(turned, F.lit(1) - F.col("layout")).otherwise(F.col("layout")) if "layout" in have else None,
+    }
+    contig = F.when(F.col("__there"), F.col("__contig").cast("string")).otherwise(F.col("transcript").cast("string"))
+    xs = F.when(F.col("__t").isNull(), ".").when(same, "+").otherwise("-")
+    rows = joined.select(*[put[c].alias(c) if c in put else F.col(c) for c in reads.columns], contig.alias("contig"), *([xs.alias("xs")] if xs_tag else []), F.col("__there"))
+    columns = [c for c in rows.columns if c != "__there"]
+    place = ["fid", "contig", "pos", *[c for c in ("readno", "strand", "pnext", "space") if c in have]]
+    best = F.struct((-F.coalesce("mapq", F.lit(-1))).alias("q"), F.col("transcript").alias("t"), F.col("cigar").alias("c"))
+    # What was put on a contig has its neighbours merged already.
+    seen = F.col("cigar") if keep_unsequenced else F.when(F.col("__there") & ~F.contains("cigar", F.lit("T")), F.col("cigar")).otherwise(cg.comparable(F.col("cigar")))
+    # Records of a place are combined before the shuffle.
+    kept = _once(rows, "__seen", seen).groupBy(*place, "__seen").agg(F.min_by(F.struct(*columns), best).alias("__row"))
+    return kept.select("__row.*")
+
+
+# --- sequences out of chunks -----------------------------------------------------------
+
+#: Letters of a chunk of a contig.
+CHUNK = 4096
+
+
+def dna_chunks(dna: DataFrame, width: int = CHUNK) -> DataFrame:
+    """(contig, chunk, s): contigs (contig, s) cut into chunks of ``width`` letters, so that no row holds a chromosome."""
+    return dna.select("contig", F.posexplode(F.regexp_extract_all("s", F.lit(f"(?s).{{1,{width}}}"), F.lit(0))).alias("chunk", "s"))
+
+
+def known_contigs(df: DataFrame, dna: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows on contigs of ``dna``, rows on others)."""
+    names = dna.select("contig").distinct()
+    return df.join(names, "contig", "left_semi"), df.join(names, "contig", "left_anti")
+
+
+def _cut_out(regions: DataFrame, chunks: DataFrame, keys: list[str], width: int) -> DataFrame:
+    """(keys, s): the letters of each region (keys, contig, start, stop); what lies off the contig is cut off.
+
+    Each region meets the chunks that it touches, in an equi-join.
     """
-    joined = reads.join(blocks.select("transcript", "contig", "strand", "blocks"), "transcript")
-    carried = [c for c in reads.columns if c not in ("pos", "cigar")]
-    schema = joined.select(*carried, "contig", F.col("strand").alias("xs"), "pos", "cigar").schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            placed = [
-                cg.expand([(int(x["jump"]), int(x["block"])) for x in bl], cg.units_of(c), int(p), "N" if introns else "D")
-                for bl, c, p in zip(b["blocks"], b["cigar"], b["pos"], strict=True)
-            ]
-            out = b[[*carried, "contig"]].copy()
-            out["xs"] = b["strand"]
-            out["pos"] = [p for p, _ in placed]
-            out["cigar"] = ["".join(f"{n}{o}" for n, o in u) for _, u in placed]
-            yield out
-
-    projected = joined.mapInPandas(run, schema)
-    w = Window.partitionBy("fid", "contig", "pos", "cigar").orderBy(F.desc("mapq"), "transcript")
-    kept = projected.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
-    return kept if xs_tag else kept.drop("xs")
-
-
-def transcript_sequences(blocks: DataFrame, dna: DataFrame, width: int = 0, revcomp: bool = True) -> DataFrame:
-    """(transcript, s): exon sequences of ``dna`` (contig, s) joined, minus strands reversed."""
-    parts = blocks.join(dna.select("contig", F.col("s").alias("dna")), "contig")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("s"))
-
-    def step(a: Column, b: Column) -> Column:
-        begin = a["at"] + b["jump"]
-        return F.struct((begin + b["block"]).alias("at"), F.concat(a["s"], F.substring(F.col("dna"), (begin + 1).cast("int"), b["block"].cast("int"))).alias("s"))
-
-    s = F.aggregate("blocks", start, step, lambda a: a["s"])
+    first, last = F.floor(F.col("start") / width), F.floor((F.greatest(F.col("stop"), F.col("start") + 1) - 1) / width)
+    touched = regions.withColumn("__chunk", F.explode(F.sequence(first, last)))
+    pieces = chunks.select(F.col("contig").alias("__contig"), F.col("chunk").cast("long").alias("__at"), F.col("s").alias("__s"))
+    met = touched.join(pieces, (F.col("contig") == F.col("__contig")) & (F.col("__chunk") == F.col("__at")), "left")
+    begin = F.greatest(F.col("start") - F.col("__chunk") * width, F.lit(0))
+    end = F.least(F.col("stop") - F.col("__chunk") * width, F.lit(width))
+    part = F.coalesce(F.substring(F.col("__s"), (begin + 1).cast("int"), F.greatest(end - begin, F.lit(0)).cast("int")), F.lit(""))
+    parts = met.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("__chunk").alias("at"), part.alias("s")))).alias("__p"))
+    return parts.select(*keys, F.array_join(F.transform("__p", lambda x: x["s"]), "").alias("s"))
+
+
+def transcript_sequences(exons: DataFrame, chunks: DataFrame, line: int = 0, revcomp: bool = True, width: int = CHUNK) -> DataFrame:
+    """(transcript, s): exons (transcript, contig, strand, start, stop) out of ``dna_chunks``, joined in order, minus strands reversed."""
+    cut = _cut_out(exons.select("transcript", "strand", "contig", "start", "stop"), chunks, ["transcript", "strand", "contig", "start", "stop"], width)
+    whole = cut.groupBy("transcript", "strand").agg(F.sort_array(F.collect_list(F.struct("start", "s"))).alias("e"))
+    s = F.array_join(F.transform("e", lambda x: x["s"]), "")
     if revcomp:
         s = F.when(F.col("strand") == "-", reverse_complement(s)).otherwise(s)
-    return parts.select("transcript", wrap(s, width).alias("s"))
+    return whole.select("transcript", wrap(s, line).alias("s"))
+
+
+def region_sequences(regions: DataFrame, chunks: DataFrame, longest: int, width: int = CHUNK) -> DataFrame:
+    """(id, s) of regions (id, contig, start, stop, strand) up to ``longest`` out of ``dna_chunks``, minus strands reversed; ids are distinct."""
+    short = regions.where(F.col("stop") - F.col("start") <= longest)
+    cut = _cut_out(short.select("id", "strand", "contig", "start", "stop"), chunks, ["id", "strand"], width)
+    return cut.select("id", F.when(F.col("strand") == "-", reverse_complement(F.col("s"))).otherwise(F.col("s")).alias("s"))
+
+
+def region_lines(sequences: DataFrame) -> DataFrame:
+    """Lines (column ``value``) of region ids and sequences, for a text sink."""
+    return sequences.select(F.concat_ws("\t", F.col("id").cast("string"), "s").alias("value"))
 
 
-def region_sequences(regions: DataFrame, dna: DataFrame, longest: int) -> DataFrame:
-    """(id, s) of regions up to ``longest``, minus strands reversed."""
-    joined = regions.where(F.col("stop") - F.col("start") <= longest).join(dna.select("contig", F.col("s").alias("dna")), "contig")
-    s = F.substring(F.col("dna"), (F.col("start") + 1).cast("int"), (F.col("stop") - F.col("start")).cast("int"))
-    return joined.select("id", F.when(F.col("strand") == "-", reverse_complement(s)).otherwise(s).alias("s"))
+def sorted_projections(blocks: DataFrame, by_target: bool = True) -> DataFrame:
+    """Transcripts in order of (contig, start, transcript, strand), or of (transcript, start, contig, strand)."""
+    keys = ["contig", "start", "transcript", "strand"] if by_target else ["transcript", "start", "contig", "strand"]
+    return blocks.orderBy(*keys)
 
 
 def projection_header(blocks: DataFrame, contigs: DataFrame) -> DataFrame:

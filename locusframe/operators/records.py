@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import cigar as cg
+from ..functions.seq import reverse_complement
+from ..plans.scan import lagged, ranked
+
 FRAGMENT_ORDER = ("flowcell", "lane", "tile", "x", "y")
 
 
@@ -27,24 +32,69 @@ def flattened(df: DataFrame, contigs: DataFrame, column: str = "pos", to: str =
     return joined.withColumn(to, known + F.col(column)).drop("__contig", "__offset")
 
 
-def sort_alignments(df: DataFrame, order: str, contigs: DataFrame | None = None, tie: Sequence[str] = ()) -> DataFrame:
-    """Globally ordered records (range partitioned): FRAGMENT, ALIGN, GUIDE or MIN_ALIGN_GUIDE; ``tie`` columns keep it stable."""
+def ordered(df: DataFrame, order: str, contigs: DataFrame | None = None) -> tuple[DataFrame, list[str], list[Column]]:
+    """(``df`` with what the order needs, its sort columns, leading expressions that split it into groups of moderate size).
+
+    Orders: FRAGMENT, ALIGN, GUIDE or MIN_ALIGN_GUIDE.
+    """
     if order == "FRAGMENT":
-        return df.orderBy(*FRAGMENT_ORDER, *tie)
+        return df, list(FRAGMENT_ORDER), [F.col(c) for c in FRAGMENT_ORDER[:3]]
+    guide = "guide_contig" if "guide_contig" in df.columns else "contig"
     if order == "ALIGN":
-        return flattened(df, contigs).orderBy("flat", "fid", *tie)
-    if order == "GUIDE":
-        return flattened(df, contigs, "guide_pos", "flat").orderBy("flat", "fid", *tie)
-    if order == "MIN_ALIGN_GUIDE":
-        both = flattened(flattened(df, contigs), contigs, "guide_pos", "guide_flat", "guide_contig")
-        return both.withColumn("flat", F.least("flat", "guide_flat")).orderBy("flat", "fid", *tie)
-    raise ValueError(f"no order {order}")
+        flat = flattened(df, contigs)
+    elif order == "GUIDE":
+        flat = flattened(df, contigs, "guide_pos", "flat", guide)
+    elif order == "MIN_ALIGN_GUIDE":
+        both = flattened(flattened(df, contigs), contigs, "guide_pos", "guide_flat", guide)
+        flat = both.withColumn("flat", F.least("flat", "guide_flat"))
+    else:
+        raise ValueError(f"no order {order}")
+    return flat, ["flat", "fid"], [F.floor(F.col("flat") / 4096)]
+
+
+def sort_alignments(df: DataFrame, order: str, contigs: DataFrame | None = None, tie: Sequence[str] = (), unique: bool = False) -> DataFrame:
+    """Globally ordered records (range partitioned), see ``ordered``; ``tie`` columns keep the order stable, ``unique`` drops repeated rows."""
+    rows, keys, _ = ordered(df.dropDuplicates() if unique else df, order, contigs)
+    return rows.orderBy(*keys, *tie)
+
+
+def rank_alignments(df: DataFrame, order: str, contigs: DataFrame | None = None, tie: Sequence[str] = ()) -> DataFrame:
+    """Records with their 1-based ``rank`` in an order."""
+    rows, keys, coarse = ordered(df, order, contigs)
+    return ranked(rows, coarse, [*keys, *tie])
+
+
+#: Sort columns of the comparators of records: ``flat`` and ``mate_flat`` are positions on the contigs laid end to end,
+#: ``cigar`` is compared with T as N, ``first`` tells the read of a pair.
+_POSITION = ("flat", "strand", "cigar", "mate_flat", "space")
+_COMPARATORS = {
+    "position": _POSITION,
+    "fragment_position": ("fragment_flat", "strand", "cigar"),
+    "read": ("fid", "first"),
+    "read_and_position": ("fid", "first", *_POSITION),
+    "position_and_read": (*_POSITION, "fid", "first"),
+    "fragment": ("fid",),
+    "fragment_and_position": ("fid", *_POSITION),
+}
 
 
-def order_violations(df: DataFrame, sequence: str, key: str, group: Sequence[str] = ()) -> DataFrame:
-    """Rows whose ``key`` is below that of the row before, by ``sequence``, within ``group``."""
-    w = Window.partitionBy(*group).orderBy(sequence)
-    return df.withColumn("previous", F.lag(key).over(w)).where(F.col("previous") > F.col(key))
+def comparator(name: str) -> list[Column]:
+    """The columns by which two records are compared (to sort by them, or to tell equal records)."""
+    where = {"cigar": cg.comparable(F.col("cigar")), "fragment_flat": F.when(F.col("mapped"), F.least("flat", "mate_flat")).otherwise(F.col("flat"))}
+    return [where.get(c, F.col(c)) for c in _COMPARATORS[name]]
+
+
+def concatenated(tables: Sequence[DataFrame]) -> DataFrame:
+    """Records of several tables, one after the other; a column that one lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+
+
+def order_violations(df: DataFrame, sequence: str, key: str, group: Sequence[str] = (), width: int = 1 << 16) -> DataFrame:
+    """Rows whose ``key`` is below that of the row before, by the numbers in ``sequence``, within ``group``.
+
+    ``width`` consecutive numbers are looked at in one task.
+    """
+    return lagged(df, key, group, [sequence], F.floor(F.col(sequence) / width)).where(F.col("previous") > F.col(key))
 
 
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -117,9 +167,18 @@ def with_orphan(df: DataFrame, fragment: str = "fid", read: str = "readno") -> D
     return df.join(alone, fragment).select(*df.columns, "orphan")
 
 
+def as_sequenced(df: DataFrame) -> DataFrame:
+    """Reads as the machine gave them: ``seq`` reverse complemented and ``qual`` reversed where ``strand`` (minus) is set."""
+    return df.withColumn("seq", F.when(F.col("strand"), reverse_complement(F.col("seq"))).otherwise(F.col("seq"))).withColumn(
+        "qual", F.when(F.col("strand"), F.reverse("qual")).otherwise(F.col("qual"))
+    )
+
+
 def extract_reads(df: DataFrame, order: Sequence[str], paired: bool = True) -> dict[str, DataFrame]:
-    """First-seen reads as (fid, s) tables: read 1, read 2 and orphans; or all in one."""
+    """First-seen reads, as sequenced where they carry seq, qual and strand: read 1, read 2 and orphans; or all in one."""
     kept = first_seen(df, order)
+    if {"seq", "qual", "strand"} <= set(df.columns):
+        kept = as_sequenced(kept)
     if not paired:
         return {"reads": kept}
     marked = with_orphan(kept)
@@ -142,17 +201,29 @@ def pair_mates(df: DataFrame, order: Sequence[str], fragment: str = "fid", read:
 
 
 def mate_pairs(df: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Reciprocal mates: rows with pos/pnext, strand/next_strand and contig that point to each other, k-th with k-th."""
-    lo, hi = F.least("pos", "pnext"), F.greatest("pos", "pnext")
-    keyed = df.withColumn("__lo", lo).withColumn("__hi", hi).withColumn("__side", F.when(F.col("pos") == F.col("pnext"), F.col("readno")).otherwise((F.col("pos") > F.col("pnext")).cast("int")))
-    w = Window.partitionBy("fid", "contig", "__lo", "__hi", "__side").orderBy(*order)
-    keyed = keyed.withColumn("__k", F.row_number().over(w))
-    cols = [F.struct(*df.columns)]
-    a = keyed.where("__side = 0").select("fid", "contig", "__lo", "__hi", "__k", cols[0].alias("left"))
-    b = keyed.where("__side = 1").select("fid", "contig", "__lo", "__hi", "__k", cols[0].alias("right"))
-    pairs = a.join(b, ["fid", "contig", "__lo", "__hi", "__k"])
-    ok = (F.col("left.readno") != F.col("right.readno")) & (F.col("left.strand") == F.col("right.next_strand")) & (F.col("right.strand") == F.col("left.next_strand"))
-    return pairs.where(ok).select("fid", "contig", "left", "right")
+    """Mates that point to each other: (fid, first, second, left_is_first), the records as structs.
+
+    Needs fid, multi, first (the read of the pair), unmapped, mapped (all of the
+    fragment), pos, pnext, strand, next_strand and next_contig (never ``=``).
+    Two reads of a fragment are mates if both are unmapped, or if all is mapped,
+    each has the other's position and strand as its mate's, and they name the
+    same contig. Of several that fit, the k-th first read goes with the k-th
+    second by ``order``. A record without a mate stands alone, its mate null.
+    """
+    rows = df.withColumn("__row", F.struct(*df.columns)).withColumn("__lone", F.expr("NOT multi OR NOT (unmapped OR mapped)"))
+    second = ~F.col("first")
+    swap = lambda a, b: F.when(second, F.col(b)).otherwise(F.col(a))
+    keys = {"__pos": swap("pos", "pnext"), "__pnext": swap("pnext", "pos"), "__strand": swap("strand", "next_strand"), "__next": swap("next_strand", "strand"), "__contig": F.col("next_contig")}
+    rows = rows.select("fid", "__row", "__lone", "first", "unmapped", *order, *[F.when(~F.col("unmapped"), c).alias(k) for k, c in keys.items()])
+    names = ["fid", "__lone", "unmapped", *keys]
+    numbered = rows.withColumn("__k", F.row_number().over(Window.partitionBy(*names, "first").orderBy(*order)))
+    a = numbered.where("first").select(*names, "__k", F.col("__row").alias("first"))
+    b = numbered.where("NOT first").select(*[F.col(n).alias(f"{n}_") for n in (*names, "__k")], F.col("__row").alias("second"))
+    same = ~F.col("__lone") & ~F.col("__lone_")
+    for n in (*names, "__k"):
+        same = same & (F.col(n) == F.col(f"{n}_") if n == "fid" else F.col(n).eqNullSafe(F.col(f"{n}_")))
+    left = F.when(F.col("first").isNotNull() & F.col("second").isNotNull(), F.col("first.pos") <= F.col("second.pos"))
+    return a.join(b, same, "full").select(F.coalesce("fid", "fid_").alias("fid"), "first", "second", left.alias("left_is_first"))
 
 
 # --- reads -------------------------------------------------------------------------

@@ -5,9 +5,11 @@ from __future__ import annotations
 import itertools
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.scan import cuts, piece_of, ranked
+
 
 def count_cube(df: DataFrame, dims: Sequence[str]) -> DataFrame:
     return df.groupBy(*dims).agg(F.count(F.lit(1)).alias("n"))
@@ -52,18 +54,76 @@ def smooth_sd(df: DataFrame, x: str, y: str, reach: float, by: Sequence[str] = (
     return sums.where("n > 1").select(*by, F.col("cx").alias("x"), "n", F.sqrt(F.greatest(F.lit(0.0), factor * spread)).alias("sd"))
 
 
-def windowed_mode(df: DataFrame, column: str, width: int, by: Sequence[str] = ()) -> DataFrame:
-    """The value around which ``width`` neighbours on each side lie closest, for each group."""
-    order = Window.partitionBy(*by).orderBy(column)
-    gap = F.lead(column, width).over(order) - F.lag(column, width).over(order)
-    dense = df.select(*by, column, gap.alias("gap")).where("gap > 0")
-    return dense.groupBy(*by).agg(F.min(F.struct("gap", F.col(column).alias("value"))).alias("m")).select(*by, F.col("m.value").alias("mode"), F.col("m.gap").alias("gap"))
+def _counted(df: DataFrame, column: str, by: Sequence[str], pieces: int) -> DataFrame:
+    """(by, value, n, before, total): distinct values of each group, how often they occur, the rows below them, all rows.
+
+    Values are combined before the shuffle and summed in order piece by piece
+    (``pieces`` at most), so neither a group nor a value is one task.
+    """
+    counts = df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
+    parts = counts.withColumn("__piece", piece_of(F.col("value"), cuts(df, column, pieces)))
+    group = Window.partitionBy(*by)
+    sums = parts.groupBy(*by, "__piece").agg(F.sum("n").alias("__n"))
+    sums = sums.select(*by, "__piece", F.coalesce(F.sum("__n").over(group.orderBy("__piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__below"), F.sum("__n").over(group).alias("total"))
+    within = Window.partitionBy(*by, "__piece").orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
+    same = F.col("__piece") == F.col("__p")
+    for b in by:
+        same = same & F.col(b).eqNullSafe(F.col(f"__{b}"))
+    sums = sums.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("__piece").alias("__p"), "__below", "total")
+    counted = parts.withColumn("__in", F.coalesce(F.sum("n").over(within), F.lit(0)))
+    return counted.join(sums, same).select(*by, "value", "n", (F.col("__below") + F.col("__in")).alias("before"), "total")
+
+
+def windowed_mode(df: DataFrame, column: str, width: int, by: Sequence[str] = (), pieces: int = 128) -> DataFrame:
+    """The most crowded value of each group (by, mode, density): the first with the greatest density.
+
+    With the values in order, a place's density is one over its distance to the
+    value ``width`` places on, plus that of the place ``width`` places before.
+    Past the end the last known density counts, before the begin the first; the
+    very first place has its own alone. Equal values have infinite density.
+    Groups of no more than ``width`` rows have none.
+    """
+    ranks = _counted(df, column, by, pieces).where(F.col("total") > width)
+    # A value that fills more than ``width`` places is at distance 0 of itself: its first place wins, its last ones are not needed.
+    places = ranks.withColumn("i", F.explode(F.sequence(F.col("before"), F.col("before") + F.least(F.col("n"), F.lit(width + 1)) - 1))).select(*by, "value", "i", "total")
+    on = places.select(*[F.col(b).alias(f"__{b}") for b in by], F.col("value").alias("__on"), F.col("i").alias("__i"))
+
+    def same(at: Column) -> Column:
+        cond = F.col("__i") == at
+        for b in by:
+            cond = cond & F.col(b).eqNullSafe(F.col(f"__{b}"))
+        return cond
+
+    gap = (F.col("__on") - F.col("value")).cast("double")
+    ahead = places.join(on, same(F.col("i") + width)).select(*[F.col(b).alias(f"__{b}") for b in by], F.col("i").alias("__i"), F.when(gap > 0, F.lit(1.0) / F.nullif(gap, F.lit(0.0))).otherwise(float("inf")).alias("__d"))
+    right = places.join(ahead, same(F.least(F.col("i"), F.col("total") - width - 1))).select(*by, "value", "i", F.col("__d").alias("right"))
+    both = right.join(ahead, same(F.greatest(F.col("i") - width, F.lit(0))))
+    density = F.when(F.col("i") == 0, F.col("right")).otherwise(F.col("right") + F.col("__d"))
+    best = F.max(F.struct(density.alias("density"), (-F.col("i")).alias("first"), "value"))
+    return both.groupBy(*by).agg(best.alias("m")).select(*by, F.col("m.value").alias("mode"), F.col("m.density").alias("density"))
+
+
+def quantiles(df: DataFrame, column: str, at: Sequence[float], by: Sequence[str] = (), pieces: int = 128) -> DataFrame:
+    """Exact interpolated quantiles of each group, one row per quantile.
+
+    Approximate cuts split the values; exact counts below each piece then tell
+    the one that a quantile lies in.
+    """
+    counted = _counted(df, column, by, pieces).withColumn("quantile", F.explode(F.array(*[F.lit(float(q)) for q in at])))
+    place = F.col("quantile") * (F.col("total") - 1)
+    lower, upper = F.floor(place), F.ceil(place)
+    holds = lambda k: (k >= F.col("before")) & (k < F.col("before") + F.col("n"))
+    ends = counted.where(holds(lower) | holds(upper)).groupBy(*by, "quantile").agg(
+        F.max(F.when(holds(lower), F.col("value"))).alias("lo"), F.max(F.when(holds(upper), F.col("value"))).alias("hi"), F.max(place - lower).alias("share")
+    )
+    return ends.select(*by, "quantile", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("share")).alias("value"))
 
 
-def quantiles(df: DataFrame, column: str, at: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
-    """Exact interpolated quantiles of each group, one row per quantile."""
-    got = df.groupBy(*by).agg(F.percentile(column, F.array(*[F.lit(q) for q in at])).alias("q"))
-    return got.select(*by, F.posexplode("q").alias("i", "value")).select(*by, F.element_at(F.array(*[F.lit(float(q)) for q in at]), F.col("i") + 1).alias("quantile"), "value")
+def dimension_ranks(df: DataFrame, columns: Sequence[str], tie: str, pieces: int = 128) -> DataFrame:
+    """``df`` with rank_<column>, the 0-based place of each row along each column (numerical distribution); ``tie`` orders equal values."""
+    for c in columns:
+        df = ranked(df, [piece_of(F.col(c), cuts(df, c, pieces))], [c, tie], f"rank_{c}").withColumn(f"rank_{c}", F.col(f"rank_{c}") - 1)
+    return df
 
 
 def mean_and_rank(df: DataFrame, column: str, by: Sequence[str]) -> DataFrame:

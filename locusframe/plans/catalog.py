@@ -14,6 +14,7 @@ from .. import querylang
 from ..functions import cigar, readname, seq
 from ..operators import conservation as cons
 from ..operators import coverage, intervals, kmers, motif, projection, records, scoring, simulate, stats
+from ..sources import sequences
 from .scan import ranked
 from .standins import oracle, view
 
@@ -85,14 +86,15 @@ def _(v):
 @query(
     "associate_regions",
     """WITH p AS (
-      SELECT a.id AS q, b.id AS t, CASE WHEN b.start >= a.stop THEN b.start - a.stop WHEN b.stop <= a.start THEN b.stop - a.start ELSE 0 END AS distance,
-             greatest(0, least(a.stop, b.stop) - greatest(a.start, b.start)) AS overlap
+      SELECT a.contig, a.start AS q_at, b.start AS t_at, a.id AS q, b.id AS t, CASE WHEN abs(a.start - b.stop) < abs(b.start - a.stop) THEN a.start - b.stop ELSE b.start - a.stop END AS distance,
+             greatest(0, least(a.stop, b.stop) - greatest(a.start, b.start)) AS overlap, a.stop > b.stop AS ends, a.start < b.start AS begins
       FROM reg_a a JOIN reg_b b ON a.contig = b.contig AND b.start <= a.stop + 100 AND a.start <= b.stop + 100),
-    r AS (SELECT *, (dense_rank() OVER (PARTITION BY q, sign(distance) ORDER BY abs(distance)) - 1)::BIGINT AS between FROM p WHERE abs(distance) <= 100)
-    SELECT q, t, distance, overlap, between FROM r WHERE between <= 2""".replace("between FROM", '"between" FROM').replace("AS between", 'AS "between"').replace("WHERE between", 'WHERE "between"').replace(", between", ', "between"'),
+    r AS (SELECT *, dense_rank() OVER (PARTITION BY q, ends ORDER BY distance) - 1 AS e, dense_rank() OVER (PARTITION BY q, begins ORDER BY distance) - 1 AS b FROM p),
+    k AS (SELECT *, CASE WHEN ends THEN e WHEN begins THEN b ELSE 0 END AS nearer FROM r)
+    SELECT row_number() OVER (ORDER BY contig, q_at, q, t_at, t) - 1 AS assoc, q, t, distance, overlap, nearer AS "between" FROM k WHERE nearer <= 2 AND distance >= -30""",
 )
 def _(v):
-    return intervals.associate(v("reg_a"), v("reg_b"), 100, 2)
+    return intervals.associate(v("reg_a"), v("reg_b"), 100, 2, min_distance=-30)
 
 
 @query(
@@ -357,8 +359,7 @@ def _contigs(v: View) -> DataFrame:
     FROM aln JOIN o USING (contig)""".replace("off + pos AS flat", "(off + pos)::BIGINT AS flat"),
 )
 def _(v):
-    flat = records.flattened(v("aln"), _contigs(v))
-    return ranked(flat, [F.floor(F.col("flat") / 4096)], ["flat", *_TIES]).select("flat", *_TIES, "rank")
+    return records.rank_alignments(v("aln"), "ALIGN", _contigs(v), _TIES[1:]).select("flat", *_TIES, "rank")
 
 
 @query(
@@ -367,9 +368,30 @@ def _(v):
       row_number() OVER (ORDER BY least(off + pos, off + transcript * 11), {", ".join(_TIES)}) AS rank FROM aln JOIN o USING (contig)""",
 )
 def _(v):
-    both = records.flattened(v("aln").withColumn("guide_pos", F.col("transcript") * 11), _contigs(v))
-    both = records.flattened(both, _contigs(v), "guide_pos", "guide_flat").withColumn("flat", F.least("flat", "guide_flat"))
-    return ranked(both, [F.floor(F.col("flat") / 4096)], ["flat", *_TIES]).select("flat", *_TIES, "rank")
+    rows = v("aln").withColumn("guide_pos", F.col("transcript") * 11)
+    return records.rank_alignments(rows, "MIN_ALIGN_GUIDE", _contigs(v), _TIES[1:]).select("flat", *_TIES, "rank")
+
+
+@query(
+    "sort_guide",
+    f"""WITH {_CONTIGS} SELECT (off + transcript * 11)::BIGINT AS flat, {", ".join(_TIES)}, row_number() OVER (ORDER BY off + transcript * 11, {", ".join(_TIES)}) AS rank
+    FROM (SELECT DISTINCT contig, pos, {", ".join(_TIES)} FROM aln) JOIN o USING (contig)""",
+)
+def _(v):
+    rows = v("aln").select("contig", "pos", *_TIES).distinct().withColumn("guide_pos", F.col("transcript") * 11)
+    return records.rank_alignments(rows, "GUIDE", _contigs(v), _TIES[1:]).select("flat", *_TIES, "rank")
+
+
+@query(
+    "sort_position_and_read",
+    """SELECT ord, row_number() OVER (ORDER BY pos, strand, replace(cigar, 'T', 'N'), pnext, next_contig, fid, first, ord) AS rank
+    FROM (SELECT *, (pos % 9 + 1) || 'M' || (fid % 3 + 1) || CASE WHEN first THEN 'T' ELSE 'N' END || '5M' AS cigar FROM pair_rows)""",
+)
+def _(v):
+    s = lambda c: c.cast("string")
+    cigars = F.concat(s(F.col("pos") % 9 + 1), F.lit("M"), s(F.col("fid") % 3 + 1), F.when(F.col("first"), "T").otherwise("N"), F.lit("5M"))
+    rows = v("pair_rows").select("ord", F.col("pos").alias("flat"), "strand", cigars.alias("cigar"), F.col("pnext").alias("mate_flat"), F.col("next_contig").alias("space"), "fid", "first")
+    return ranked(rows, [F.floor(F.col("flat") / 16)], [*records.comparator("position_and_read"), "ord"]).select("ord", "rank")
 
 
 _NAMES = r"""p AS (SELECT id, CASE WHEN id % 3 = 0 THEN regexp_extract(name, '^([^:]+):', 1) WHEN id % 3 = 1 THEN regexp_extract(name, '^([^:]+:[^:]+:[^:]+):', 1) END AS flowcell,
@@ -388,7 +410,7 @@ def _(v):
 )
 def _(v):
     f = v("names").withColumn("f", readname.fragment_id(F.col("name"))).select("id", "f.*")
-    return ranked(f, [F.col("flowcell"), F.col("lane"), F.col("tile")], ["x", "y", "id"]).select("id", "flowcell", "lane", "tile", "rank")
+    return records.rank_alignments(f, "FRAGMENT", tie=["id"]).select("id", "flowcell", "lane", "tile", "rank")
 
 
 @query("checksort", "SELECT id, start, previous FROM (SELECT id, contig, start, lag(start) OVER (PARTITION BY contig ORDER BY id) AS previous FROM reg_a) WHERE previous > start")
@@ -466,6 +488,36 @@ def _(v):
     return records.pair_mates(v("mates"), ["input_seq"]).select("fid", "k", F.col("first.input_seq").alias("first_seq"), F.col("second.input_seq").alias("second_seq"))
 
 
+@query(
+    "mate_join",
+    """WITH k AS (SELECT *, CASE WHEN unmapped THEN NULL WHEN first THEN pos ELSE pnext END AS p, CASE WHEN unmapped THEN NULL WHEN first THEN pnext ELSE pos END AS q,
+        CASE WHEN unmapped THEN NULL WHEN first THEN strand ELSE next_strand END AS s, CASE WHEN unmapped THEN NULL WHEN first THEN next_strand ELSE strand END AS t,
+        CASE WHEN unmapped THEN NULL ELSE next_contig END AS c, multi AND (unmapped OR mapped) AS able FROM pair_rows),
+    n AS (SELECT *, row_number() OVER (PARTITION BY fid, able, unmapped, p, q, s, t, c, first ORDER BY ord) AS k FROM k)
+    SELECT coalesce(a.fid, b.fid) AS fid, coalesce(a.ord, -1) AS first_ord, coalesce(b.ord, -1) AS second_ord, coalesce(a.pos <= b.pos, false) AS left_is_first
+    FROM (SELECT * FROM n WHERE first) a FULL JOIN (SELECT * FROM n WHERE NOT first) b ON a.able AND b.able AND a.fid = b.fid AND a.unmapped = b.unmapped AND a.k = b.k
+      AND a.p IS NOT DISTINCT FROM b.p AND a.q IS NOT DISTINCT FROM b.q AND a.s IS NOT DISTINCT FROM b.s AND a.t IS NOT DISTINCT FROM b.t AND a.c IS NOT DISTINCT FROM b.c""",
+)
+def _(v):
+    return records.mate_pairs(v("pair_rows"), ["ord"]).select(
+        "fid", F.coalesce("first.ord", F.lit(-1)).alias("first_ord"), F.coalesce("second.ord", F.lit(-1)).alias("second_ord"), F.coalesce("left_is_first", F.lit(False)).alias("left_is_first")
+    )
+
+
+@query(
+    "extract_fastq",
+    f"""WITH k AS (SELECT fid, readno, s, md5(s) AS q, input_seq % 3 = 0 AS minus FROM (SELECT *, row_number() OVER ({_MATE_KEYS}) AS n FROM mates) WHERE n = 1),
+    o AS (SELECT *, min(readno) OVER (PARTITION BY fid) = max(readno) OVER (PARTITION BY fid) AS orphan FROM k)
+    SELECT CASE WHEN orphan THEN 'orphans' WHEN readno = 0 THEN 'first' ELSE 'second' END AS file,
+      '@' || fid || chr(10) || CASE WHEN minus THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END || chr(10) || '+' || chr(10) || CASE WHEN minus THEN reverse(q) ELSE q END AS value FROM o""",
+)
+def _(v):
+    reads = v("mates").select("fid", "readno", "input_seq", F.col("s").alias("seq"), F.md5("s").alias("qual"), (F.col("input_seq") % 3 == 0).alias("strand"))
+    sinks = records.extract_reads(reads, ["input_seq"])
+    lines = [sequences.fastq_lines(df.select(F.col("fid").cast("string").alias("id"), F.col("seq").alias("s"), F.col("qual").alias("q"))).select(F.lit(name).alias("file"), "value") for name, df in sinks.items()]
+    return records.concatenated(lines)
+
+
 @query("extract_first_seen", f"SELECT fid, readno, input_seq FROM (SELECT *, row_number() OVER ({_MATE_KEYS}) AS n FROM mates) WHERE n = 1")
 def _(v):
     return records.first_seen(v("mates"), ["input_seq"]).select("fid", "readno", "input_seq")
@@ -610,7 +662,7 @@ def _(v):
     return v("seq").select("id", seq.accept_quality(F.md5("s"), 55).alias("ok"))
 
 
-@query("alphabet", "SELECT symbol, count(*) AS n FROM (SELECT unnest(string_split(s, '')) AS symbol FROM seq) GROUP BY symbol")
+@query("alphabet", "SELECT symbol, count(*) AS n FROM (SELECT unnest(string_split(s, '')) AS symbol FROM seq) WHERE symbol <> '' GROUP BY symbol")
 def _(v):
     return kmers.alphabet(v("seq"))
 
@@ -745,11 +797,19 @@ def _(v):
 
 @query(
     "windowed_mode",
-    """WITH g AS (SELECT grp, start, lead(start, 5) OVER (PARTITION BY grp ORDER BY start) - lag(start, 5) OVER (PARTITION BY grp ORDER BY start) AS gap FROM reg_b)
-    SELECT grp, min_by(start, gap * 1000000 + start) AS mode, min(gap) AS gap FROM g WHERE gap > 0 GROUP BY grp""",
+    """WITH r AS (SELECT grp, start, row_number() OVER w - 1 AS i, lead(start, 5) OVER w - start AS gap, count(*) OVER (PARTITION BY grp) AS n FROM reg_b WINDOW w AS (PARTITION BY grp ORDER BY start)),
+    d AS (SELECT *, CASE WHEN gap = 0 THEN 'infinity'::DOUBLE ELSE 1.0::DOUBLE / gap END AS d FROM r WHERE n > 5),
+    e AS (SELECT *, last_value(d IGNORE NULLS) OVER (PARTITION BY grp ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS ahead, first_value(d) OVER (PARTITION BY grp ORDER BY i) AS head FROM d),
+    f AS (SELECT grp, start, i, CASE WHEN i = 0 THEN ahead ELSE ahead + coalesce(lag(ahead, 5) OVER (PARTITION BY grp ORDER BY i), head) END AS density FROM e)
+    SELECT grp, start AS mode, round(density, 9) AS density FROM f QUALIFY row_number() OVER (PARTITION BY grp ORDER BY density DESC, i) = 1""",
 )
 def _(v):
-    return stats.windowed_mode(v("reg_b"), "start", 5, ["grp"])
+    return stats.windowed_mode(v("reg_b"), "start", 5, ["grp"]).withColumn("density", F.round("density", 9))
+
+
+@query("dimension_ranks", "SELECT id, start, stop, row_number() OVER (ORDER BY start, id) - 1 AS rank_start, row_number() OVER (ORDER BY stop, id) - 1 AS rank_stop FROM reg_b")
+def _(v):
+    return stats.dimension_ranks(v("reg_b").select("id", "start", "stop"), ["start", "stop"], "id")
 
 
 @query("quantiles", "SELECT grp, q AS quantile, round(quantile_cont(start, q), 6) AS value FROM reg_b, (VALUES (0.05), (0.5), (0.95)) t(q) GROUP BY grp, q".replace("quantile_cont(start, q)", "CASE q WHEN 0.05 THEN quantile_cont(start, 0.05) WHEN 0.5 THEN quantile_cont(start, 0.5) ELSE quantile_cont(start, 0.95) END").replace("q AS quantile", "q::DOUBLE AS quantile"))
@@ -779,7 +839,7 @@ def _(v):
 
 @query(
     "consensus_hits",
-    f"""SELECT id, pos::INT AS pos, kmer, 'TRCAYC' AS consensus, m::BIGINT AS mismatches FROM (SELECT *,
+    f"""SELECT id, pos::INT AS pos, kmer, '+' AS strand, 'TRCAYC' AS consensus, m::BIGINT AS mismatches FROM (SELECT *,
       (CASE WHEN substr(kmer, 1, 1) <> 'T' THEN 1 ELSE 0 END + CASE WHEN substr(kmer, 2, 1) NOT IN ('A', 'G') THEN 1 ELSE 0 END + CASE WHEN substr(kmer, 3, 1) <> 'C' THEN 1 ELSE 0 END
        + CASE WHEN substr(kmer, 4, 1) <> 'A' THEN 1 ELSE 0 END + CASE WHEN substr(kmer, 5, 1) NOT IN ('C', 'T') THEN 1 ELSE 0 END + CASE WHEN substr(kmer, 6, 1) <> 'C' THEN 1 ELSE 0 END) AS m
       FROM {_KMERS.format(k=6)}) WHERE m <= 1""",
@@ -815,7 +875,7 @@ def _(v):
     i AS (SELECT h.contig, h.id, h.start, h.stop, min(v.start) AS f, max(v.start) AS t FROM reg_b h JOIN v ON h.contig = v.contig AND h.start >= v.start AND h.start <= v.start + {_SPAN} GROUP BY h.contig, h.id, h.start, h.stop),
     n AS (SELECT *, CASE WHEN f <= max(t) OVER (PARTITION BY contig ORDER BY start, stop, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM i),
     c AS (SELECT *, sum(new) OVER (PARTITION BY contig ORDER BY start, stop, id) AS k FROM n)
-    SELECT contig, id, start, stop, min(start) OVER (PARTITION BY contig, k) AS cluster_start FROM c""",
+    SELECT contig, id, start, stop, min(start) OVER (PARTITION BY contig, k) AS cluster_start, dense_rank() OVER (ORDER BY contig, k) AS cluster FROM c""",
 )
 def _(v):
     h = v("reg_b")
@@ -824,77 +884,323 @@ def _(v):
 
 # --- sequences of regions and transcripts ------------------------------------------------------
 
-# The longest sequence of each remainder of the id stands for a contig.
-_DNA = "dna AS (SELECT id % 5 AS k, first(s ORDER BY length(s) DESC, id) AS s FROM seq GROUP BY id % 5)"
+
+def _chunks(v: View) -> DataFrame:
+    return projection.dna_chunks(v("seq").withColumnRenamed("id", "contig"), 512)
+
+
+# Documents stand for contigs, exons begin where their transcript does.
+_PLACED = "p AS (SELECT transcript, strand, transcript % n.n AS contig, start - transcript * 50 AS start, stop - transcript * 50 AS stop FROM exon, (SELECT max(id) + 1 AS n FROM seq) n)"
 
 
-def _dna(v: View) -> DataFrame:
-    longest = F.min(F.struct((-F.length("s")).alias("n"), "id", "s"))
-    return v("seq").groupBy((F.col("id") % 5).alias("k")).agg(longest.alias("m")).select("k", F.col("m.s").alias("s"))
+def _placed_exons(v: View) -> DataFrame:
+    shift = F.col("transcript") * 50
+    contigs = v("seq").agg((F.max("id") + 1).alias("n"))
+    return v("exon").join(F.broadcast(contigs)).select("transcript", "strand", (F.col("transcript") % F.col("n")).alias("contig"), (F.col("start") - shift).alias("start"), (F.col("stop") - shift).alias("stop"))
 
 
 @query(
     "tx_sequence",
-    f"""WITH {_DNA}, p AS (SELECT transcript, strand, string_agg(substr(s, start % 997 + 1, stop - start), '' ORDER BY start % 997, start) AS s
-      FROM exon JOIN dna ON transcript % 5 = k GROUP BY transcript, strand)
-    SELECT transcript, CASE strand WHEN '-' THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END AS s FROM p""",
+    f"""WITH {_PLACED}, c AS (SELECT transcript, p.strand, string_agg(coalesce(substr(s, start + 1, stop - start), ''), '' ORDER BY start) AS s
+      FROM p LEFT JOIN seq ON contig = seq.id GROUP BY transcript, p.strand)
+    SELECT transcript, CASE strand WHEN '-' THEN reverse(translate(s, 'ACGT', 'TGCA')) ELSE s END AS s FROM c""",
 )
 def _(v):
-    exon = v("exon").withColumn("contig", F.col("transcript") % 5)
-    shift = F.col("start") % 997
-    exon = exon.select("contig", "transcript", "strand", shift.alias("start"), (shift + F.col("stop") - F.col("start")).alias("stop"))
-    return projection.transcript_sequences(projection.transcript_blocks(exon), _dna(v).withColumnRenamed("k", "contig"))
+    return projection.transcript_sequences(_placed_exons(v), _chunks(v), width=512)
 
 
 @query(
     "region_sequences",
-    f"""WITH {_DNA} SELECT o.id, CASE strand WHEN 'F' THEN reverse(translate(substr(s, start % 5000 + 1, stop - start), 'ACGT', 'TGCA')) ELSE substr(s, start % 5000 + 1, stop - start) END AS s
-    FROM reg_a o JOIN dna ON contig = k WHERE stop - start <= 40""",
+    """SELECT p.id, CASE strand WHEN '-' THEN reverse(translate(coalesce(substr(s, start + 1, stop - start), ''), 'ACGT', 'TGCA')) ELSE coalesce(substr(s, start + 1, stop - start), '') END AS s
+    FROM place p LEFT JOIN seq ON contig = seq.id WHERE stop - start <= 40""",
 )
 def _(v):
-    at = F.col("start") % 5000
-    regions = v("reg_a").select("id", F.col("contig").cast("long").alias("contig"), at.alias("start"), (at + F.col("stop") - F.col("start")).alias("stop"), F.when(F.col("strand") == "F", "-").otherwise("+").alias("strand"))
-    return projection.region_sequences(regions, _dna(v).withColumnRenamed("k", "contig"), 40)
+    return projection.region_sequences(v("place"), _chunks(v), 40, 512)
+
+
+@query("known_contigs", "SELECT p.id, p.contig FROM place p WHERE contig NOT IN (SELECT id FROM seq WHERE s <> '')")
+def _(v):
+    return projection.known_contigs(v("place"), _chunks(v))[1].select("id", "contig")
+
+
+@query("difference_string", "SELECT id, array_to_string(list_transform(list_zip(string_split(md5(id::VARCHAR), ''), string_split(md5((id + 1)::VARCHAR), '')), "
+       "lambda z: CASE WHEN z[1] = z[2] THEN CASE WHEN id % 2 = 0 THEN '.' ELSE ',' END WHEN id % 2 = 0 THEN upper(z[2]) ELSE z[2] END), '') AS d FROM seq")
+def _(v):
+    text = lambda c: F.upper(F.md5(c.cast("string")))
+    return v("seq").select("id", seq.difference(text(F.col("id")), text(F.col("id") + 1), F.col("id") % 2 == 0).alias("d"))
+
+
+@query(
+    "strand_names",
+    """SELECT id, CASE strand WHEN 'F' THEN 'NEG' WHEN 'O' THEN 'POS' ELSE 'POS_NEG' END AS strand, CASE strand WHEN 'F' THEN 'NEG' WHEN 'O' THEN 'POS' ELSE 'BOTH' END AS printed,
+      CASE WHEN id % 2 = 0 THEN 'HEAD' END AS relation FROM reg_a""",
+)
+def _(v):
+    name = seq.strand_name(F.when(F.col("strand") == "F", "-").when(F.col("strand") == "O", "+").otherwise("POS_NEG"))
+    return v("reg_a").select("id", name.alias("strand"), seq.strand_print(name).alias("printed"), seq.relation_name(F.when(F.col("id") % 2 == 0, "HEAD").otherwise("HEADS")).alias("relation"))
+
+
+# --- reads on transcripts -----------------------------------------------------------------------
+
+_BLOCKS = """b AS (SELECT transcript, contig, strand, start AS at, coalesce(sum(stop - start) OVER w, 0) AS used, coalesce(sum(stop - start) OVER w, 0) + stop - start AS ending,
+      start - coalesce(max(stop) OVER w, 0) AS jump, sum(stop - start) OVER (PARTITION BY transcript) AS total FROM exon
+      WINDOW w AS (PARTITION BY transcript ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))"""
+# The walk of a read through the blocks: pieces of its units, and the gaps between the blocks that it passes.
+_WALK = """u AS (SELECT rid, transcript, unnest(CASE WHEN strand = '-' THEN list_reverse(lens) ELSE lens END) AS len, unnest(CASE WHEN strand = '-' THEN list_reverse(ops) ELSE ops END) AS op, unnest(range(len(lens))) AS i, begin FROM r),
+    c AS (SELECT *, begin + coalesce(sum(len) OVER (PARTITION BY rid ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at, begin + sum(len) OVER (PARTITION BY rid) AS fin FROM u),
+    g AS (SELECT c.rid, greatest(c.at, b.used) AS place, 1 AS kind, least(c.at + c.len, b.ending) - greatest(c.at, b.used) AS len, c.op FROM c JOIN b USING (transcript) WHERE c.len > 0 AND b.used < c.at + c.len AND b.ending > c.at
+      UNION ALL SELECT r.rid, b.used, 0, b.jump, 'N' FROM (SELECT DISTINCT rid, transcript, begin, fin FROM c) r JOIN b USING (transcript) WHERE b.used > r.begin AND b.used < r.fin),
+    f AS (SELECT *, CASE WHEN lag(op) OVER w = op THEN 0 ELSE 1 END AS new FROM g WINDOW w AS (PARTITION BY rid ORDER BY place, kind)),
+    h AS (SELECT *, sum(new) OVER (PARTITION BY rid ORDER BY place, kind) AS run FROM f),
+    m AS (SELECT rid, run, any_value(op) AS op, sum(len)::BIGINT AS len FROM h GROUP BY rid, run),
+    s AS (SELECT rid, string_agg(len || op, '' ORDER BY run) AS cigar FROM m GROUP BY rid)"""
+
+
+@query(
+    "tx2genome",
+    f"""WITH {_BLOCKS}, t AS (SELECT DISTINCT transcript, contig, strand, total FROM b),
+    q AS (SELECT *, row_number() OVER () AS rid, [n1, n2, n3, n4, n5, n6] AS lens, ['S', 'M', 'I', 'M', 'D', 'M'] AS ops FROM tx_reads),
+    r AS (SELECT q.rid, q.transcript, t.strand, lens, ops, CASE WHEN t.strand = '-' THEN total - (n2 + n4 + n5 + n6) - pos ELSE pos END AS begin, total FROM q JOIN t USING (transcript) WHERE mapped
+      AND CASE WHEN t.strand = '-' THEN total - (n2 + n4 + n5 + n6) - pos ELSE pos END BETWEEN 0 AND total - (n1 + n2 + n3 + n4 + n5 + n6)),
+    {_WALK},
+    z AS (SELECT q.fid, q.readno, q.transcript, b.contig, (b.at + r.begin - b.used)::BIGINT AS pos, s.cigar, q.mapq, CASE r.strand WHEN '-' THEN NOT q.strand ELSE q.strand END AS strand, (CASE r.strand WHEN '-' THEN 1 - layout ELSE layout END)::INT AS layout, r.strand AS xs
+      FROM r JOIN q USING (rid) JOIN s USING (rid) JOIN b ON b.transcript = r.transcript AND b.used <= r.begin AND r.begin < b.ending
+      UNION ALL SELECT fid, readno, q.transcript, q.transcript::VARCHAR, pos, n1 || 'S' || n2 || 'M' || n3 || 'I' || n4 || 'M' || n5 || 'D' || n6 || 'M', mapq, q.strand, layout, coalesce(t.strand, '.')
+      FROM q LEFT JOIN t USING (transcript) WHERE NOT mapped OR t.transcript IS NULL),
+    k AS (SELECT *, regexp_replace(regexp_replace(cigar, '(^|[A-Z])0[A-Z]', '\\1', 'g'), '(^|[A-Z])0[A-Z]', '\\1', 'g') AS plain FROM z),
+    y AS (SELECT *, regexp_extract_all(plain, '[0-9]+') AS a, regexp_extract_all(plain, '[A-Z]') AS o FROM k),
+    x AS (SELECT * EXCLUDE (plain, a, o), list_aggregate(list_transform(range(1, len(a) + 1), lambda i: CASE WHEN i > 1 AND o[i] = o[i - 1] THEN '+' ELSE '|' || o[i] END || a[i]), 'string_agg', '') AS seen FROM y)
+    SELECT * EXCLUDE (seen) FROM x QUALIFY row_number() OVER (PARTITION BY fid, readno, contig, pos, strand, list_transform(string_split(seen, '|'), lambda p: p[1:1] || list_sum(list_transform(string_split(p[2:], '+'), lambda n: try_cast(n AS BIGINT)))) ORDER BY mapq DESC, transcript, cigar) = 1""",
+)
+def _(v):
+    s = lambda n, op: F.concat(F.col(n).cast("string"), F.lit(op))
+    cigars = F.concat(*[s(f"n{i}", op) for i, op in enumerate("SMIMDM", 1)])
+    reads = v("tx_reads").select("fid", "readno", "transcript", "pos", cigars.alias("cigar"), "mapq", "strand", "layout", "mapped")
+    return projection.tx2genome(reads, projection.transcript_blocks(v("exon")), xs_tag=True, strict=False).drop("mapped")
+
+
+@query(
+    "cigar_expand",
+    f"""WITH {_BLOCKS}, r AS (SELECT fid * 100 + line AS rid, transcript, '+' AS strand, [len, line, score + 1] AS lens, ['M', 'D', 'M'] AS ops, mapq AS begin FROM aln_one JOIN (SELECT DISTINCT transcript, total FROM b) USING (transcript) WHERE mapq + len + line + score + 1 <= total),
+    {_WALK} SELECT rid, cigar FROM s""".replace("aln_one", "(SELECT fid, line, min(transcript) AS transcript, min(len) AS len, min(score) AS score, min(mapq) AS mapq FROM aln GROUP BY fid, line)"),
+)
+def _(v):
+    one = v("aln").groupBy("fid", "line").agg(*[F.min(c).alias(c) for c in ("transcript", "len", "score", "mapq")])
+    joined = one.join(projection.transcript_blocks(v("exon")).select("transcript", "blocks"), "transcript")
+    units = cigar.parse(F.concat(F.col("len").cast("string"), F.lit("M"), F.col("line").cast("string"), F.lit("D"), (F.col("score") + 1).cast("string"), F.lit("M")))
+    put = joined.select((F.col("fid") * 100 + F.col("line")).alias("rid"), cigar.expand(F.col("blocks"), units, F.col("mapq")).alias("x"))
+    return put.where("x IS NOT NULL").select("rid", cigar.render(F.col("x.units")).alias("cigar"))
+
+
+@query("cigar_condense", "SELECT fid, line, price, CASE WHEN len > 10 THEN '10M' || least(len - 10, line * 2) || 'I' || CASE WHEN len > 10 + line * 2 THEN (len - 10 - line * 2) || 'M' ELSE '' END ELSE len || 'M' END AS condensed FROM aln")
+def _(v):
+    # A block of ten, a gap of twice the line number, and a block that goes on.
+    pair = lambda j, b: F.struct(j.cast("long").alias("jump"), b.cast("long").alias("block"))
+    blocks = F.array(pair(F.lit(0), F.lit(10)), pair(F.col("line") * 2, F.lit(1000)))
+    units = cigar.parse(F.concat(F.col("len").cast("string"), F.lit("M")))
+    return v("aln").select("fid", "line", "price", cigar.render(cigar.condense(blocks, units, F.lit(0))).alias("condensed"))
 
 
-# --- without SQL counterpart ------------------------------------------------------------------
+@query(
+    "cigar_substring",
+    """SELECT fid, line, price, array_to_string(list_transform(list_filter([(least(len, stop) - greatest(0, start), 'M'), (least(len + line, stop) - greatest(len, start), 'D'), (least(len + line + 9, stop) - greatest(len + line, start), 'M')], lambda p: p[1] > 0), lambda p: p[1] || p[2]), '') AS part
+    FROM (SELECT *, score AS start, score + mapq * 5 AS stop FROM aln)""",
+)
+def _(v):
+    units = cigar.parse(F.concat(F.col("len").cast("string"), F.lit("M"), F.col("line").cast("string"), F.lit("D9M")))
+    return v("aln").select("fid", "line", "price", cigar.render(cigar.substring(units, F.col("score"), F.col("score") + F.col("mapq") * 5)).alias("part"))
 
 
-@query("tx2genome")
+@query(
+    "aligned_positions",
+    "SELECT fid, line, price, (len + CASE WHEN line = score THEN mapq ELSE 0 END)::BIGINT AS correct, (len + line + mapq)::BIGINT AS top, (len + score + mapq)::BIGINT AS bottom FROM aln",
+)
 def _(v):
-    reads = v("aln").select("fid", "transcript", F.col("line").cast("long").alias("pos"), F.lit("10M2I5M").alias("cigar"), "mapq")
-    return projection.tx2genome(reads, projection.transcript_blocks(v("exon")))
+    part = lambda c, op: F.concat(F.col(c).cast("string"), F.lit(op))
+    units = cigar.parse(F.concat(part("len", "M"), part("line", "D"), part("score", "I"), part("mapq", "M")))
+    return v("aln").select("fid", "line", "price", cigar.aligned_positions(units).alias("x")).select("fid", "line", "price", "x.*")
+
 
+# --- simulation -----------------------------------------------------------------------------------
 
-@query("sim_expression")
+
+def _draw(*key: str) -> str:
+    """SQL of ``simulate.uniform``."""
+    return f"(('0x' || substr(md5(concat_ws(':', {', '.join(key)})), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE)"
+
+
+def _levels(expressed: float) -> str:
+    u = [_draw("1", str(i), "transcript") for i in (1, 2, 3)]
+    return f"""x AS (SELECT contig, transcript, strand, sum(stop - start)::BIGINT AS length FROM exon GROUP BY contig, transcript, strand),
+    e AS (SELECT *, CASE WHEN {u[2]} < {expressed} THEN exp(1.0 + 0.5 * sqrt(-2 * ln(1 - {u[0]})) * cos(2 * pi() * {u[1]})) ELSE 0.0 END AS level FROM x)"""
+
+
+@query("sim_expression", f"WITH {_levels(0.8)} SELECT contig, transcript, strand, length, round(level, 6) AS level FROM e")
 def _(v):
-    return simulate.expression_levels(projection.transcript_lengths(v("exon")), 1.0, 0.5, 0.8)
+    return simulate.expression_levels(projection.transcript_lengths(v("exon")), 1.0, 0.5, 0.8).withColumn("level", F.round("level", 6))
 
 
-@query("sim_cut_fragments")
+@query(
+    "sim_cut_fragments",
+    f"""WITH {_levels(1.0)}, w AS (SELECT transcript, length, floor(level * 1000000)::BIGINT AS weight FROM e WHERE floor(level * 1000000) > 0),
+    l AS (SELECT *, coalesce(sum(weight) OVER (ORDER BY substr(md5(transcript::VARCHAR), 1, 2), transcript ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lo, sum(weight) OVER () AS total FROM w),
+    d AS (SELECT m, floor({_draw("1", "'molecule'", "m")} * t.total::DOUBLE)::BIGINT AS point FROM unnest(range(3000)) AS q(m), (SELECT max(total) AS total FROM l) t),
+    k AS (SELECT m, transcript, length FROM d JOIN l ON point >= lo AND point < lo + weight),
+    c AS (SELECT m, transcript, length, list_concat([0], list_filter(range(1, length), lambda p: {_draw("1", "'cut'", "m", "p")} < 0.02), [length]) AS e FROM k),
+    f AS (SELECT transcript, m, unnest(list_zip(e[:-2], e[2:])) AS z FROM c)
+    SELECT transcript, m AS molecule, z[1]::BIGINT AS start, z[2]::BIGINT AS stop FROM f WHERE z[2] - z[1] BETWEEN 30 AND 150""",
+)
 def _(v):
     levels = simulate.expression_levels(projection.transcript_lengths(v("exon")), 1.0, 0.5)
-    return simulate.cut_fragments(levels, 0.02, 30, 150, 5000)
+    return simulate.cut_fragments(levels, 0.02, 30, 150, 3000)
 
 
-@query("sim_reads")
+_LENGTH = 30
+_SIM_QUAL = "5I+"  # qualities 20, 40 and 10, repeated
+
+
+@query(
+    "sim_reads",
+    f"""WITH {_BLOCKS}, {_PLACED}, t AS (SELECT DISTINCT transcript, strand, total FROM b), hh AS (SELECT max(id) + 1 AS n FROM seq),
+    fr AS (SELECT transcript, a AS start, a + 90 AS stop, strand FROM t, LATERAL (SELECT unnest(generate_series(0, (total - 90)::BIGINT, 200)) AS a) WHERE total >= 90),
+    n AS (SELECT *, ('0x' || substr(md5(concat_ws(':', transcript, start, stop)), 1, 15))::BIGINT AS no FROM fr),
+    rd AS (SELECT no, transcript, strand, 0 AS side, start AS begin FROM n UNION ALL SELECT no, transcript, strand, 1, stop - {_LENGTH} FROM n),
+    r AS (SELECT no * 2 + side AS rid, no, side, transcript, '+' AS strand, [{_LENGTH}] AS lens, ['M'] AS ops, begin FROM rd),
+    {_WALK},
+    bases AS (SELECT r.rid, r.no, r.side, j - 1 AS i, coalesce(nullif(substr(sq.s, (b.at - r.transcript * 50 + r.begin + j - 1 - b.used + 1)::BIGINT, 1), ''), '') AS base, substr(repeat('{_SIM_QUAL}', {_LENGTH}), j, 1) AS qual
+      FROM r, unnest(range(1, {_LENGTH} + 1)) AS q(j), hh, b, seq sq WHERE b.transcript = r.transcript AND b.used <= r.begin + j - 1 AND r.begin + j - 1 < b.ending AND sq.id = r.transcript % hh.n),
+    raw AS (SELECT rid, any_value(no) AS no, any_value(side) AS side, string_agg(base, '' ORDER BY i) AS raw FROM bases GROUP BY rid),
+    cal AS (SELECT rid, no, side, raw, p - 1 AS i, substr(raw, p, 1) AS base, substr(repeat('{_SIM_QUAL}', {_LENGTH}), p, 1) AS qual FROM raw, unnest(range(1, {_LENGTH} + 1)) AS q(p) WHERE p <= length(raw)),
+    er AS (SELECT *, CASE WHEN {_draw("1", "no", "side", "'error'", "i")} < pow(10, -(ascii(qual) - 33) / 10.0) THEN list_filter(['A', 'C', 'G', 'T'], lambda x: x <> base)[floor({_draw("1", "no", "side", "'base'", "i")} * 3)::INT + 1] ELSE base END AS called FROM cal),
+    sq2 AS (SELECT raw.rid, coalesce(string_agg(called, '' ORDER BY i), '') AS seq, count(*) FILTER (called <> base) AS errors FROM raw LEFT JOIN er USING (rid) GROUP BY raw.rid),
+    pl AS (SELECT r.rid, r.no, r.side, b.at + r.begin - b.used - r.transcript * 50 AS pos, s.cigar, sq2.seq, sq2.errors, r.transcript % hh.n AS contig FROM r JOIN s USING (rid) JOIN sq2 USING (rid) JOIN hh ON true JOIN b ON b.transcript = r.transcript AND b.used <= r.begin AND r.begin < b.ending),
+    pr AS (SELECT l.no, n.strand = '+' AS plus, l.contig, l.pos AS lp, l.cigar AS lc, l.seq AS ls, l.errors AS le, x.pos AS rp, x.cigar AS rc, x.seq AS rs, x.errors AS re FROM pl l JOIN pl x ON l.no = x.no AND l.side = 0 AND x.side = 1 JOIN n ON n.no = l.no),
+    nm AS (SELECT *, concat_ws(':', no, CASE WHEN plus THEN 'read1' ELSE 'read2' END, contig, '+', lp + 1, lc, le, CASE WHEN plus THEN 'read2' ELSE 'read1' END, contig, '-', rp + 1, rc, re, 'fragment_size', 90) AS qname FROM pr)
+    SELECT qname, 35 + CASE WHEN plus THEN 64 ELSE 128 END AS flag, contig::VARCHAR AS rname, lp::BIGINT AS pos, lc AS cigar, rp::BIGINT AS pnext, 90::BIGINT AS tlen, ls AS seq FROM nm
+    UNION ALL SELECT qname, 19 + CASE WHEN plus THEN 128 ELSE 64 END, contig::VARCHAR, rp::BIGINT, rc, lp::BIGINT, -90::BIGINT, rs FROM nm""",
+)
 def _(v):
-    seqs = v("seq").select(F.col("id").alias("transcript"), "s")
-    fragments = simulate.uniform_fragments(seqs.select("transcript", F.length("s").cast("long").alias("length")), 50, 80, 40, 160)
-    return simulate.paired_reads(fragments, seqs, 36, error=0.02)
+    exons = _placed_exons(v)
+    fragments = simulate.uniform_fragments(projection.transcript_lengths(exons), 200, 90, 1, 90)
+    blocks, chunks = projection.transcript_blocks(exons), _chunks(v)
+    q = (_SIM_QUAL * _LENGTH)[:_LENGTH]
+    quals = fragments.sparkSession.range(1).select(F.col("id").alias("pair"), F.lit(q).alias("q1"), F.lit(q).alias("q2"))
+    return simulate.read_pairs(fragments, blocks, chunks, _LENGTH, quals, width=512).select("qname", "flag", "rname", "pos", "cigar", "pnext", "tlen", "seq")
+
+
+# --- searches and conservation ---------------------------------------------------------------------
+
+_TEXT = """matrix: m
+A C G T
+5 2 1 4
+0 6 1 1
+7 0 2 0
+1 1 3 6
+2 5 5 0
+min_score: 22
+total_hits: 2000
+cluster_group: m
+collection: box
+1 TRCAYC
+2 TTGGCA
+min_score: 0
+cluster_group: box
+cluster: both
+cluster_type: diversity
+cluster_window: 200
+cluster_min_requirements: 2
+cluster_requirement: m 1
+cluster_requirement: box 1"""
+_RC = "reverse(translate(kmer, 'ACGT', 'TGCA'))"
+_BOX = "({w} SIMILAR TO 'T[AG]CA[CT]C' OR {w} = 'TTGGCA')"
+_FOUND = f"""m AS (SELECT id, pos, 'm' AS grp, strand, score::BIGINT AS score, 5 AS k FROM (SELECT *, '+' AS strand, {_SCORE.format(w="kmer")} AS score FROM {_KMERS.format(k=5)} UNION ALL SELECT *, '-', {_SCORE.format(w=_RC)} FROM {_KMERS.format(k=5)}) WHERE score >= 22),
+    l AS (SELECT score, coalesce(sum(n) OVER (ORDER BY score DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM (SELECT score, count(*) AS n FROM m GROUP BY score)),
+    box AS (SELECT id, pos, 'box' AS grp, '+' AS strand, 0::BIGINT AS score, 6 AS k FROM {_KMERS.format(k=6)} WHERE {_BOX.format(w="kmer")} UNION ALL SELECT id, pos, 'box', '-', 0, 6 FROM {_KMERS.format(k=6)} WHERE {_BOX.format(w=_RC)}),
+    hits AS (SELECT id AS contig, pos::BIGINT AS start, (pos + k)::BIGINT AS stop, grp, grp AS name, strand, score FROM (SELECT m.* FROM m JOIN l USING (score) WHERE above <= 2000 UNION ALL SELECT * FROM box))"""
+
+
+@query("motif_search", f"WITH {_FOUND} SELECT * FROM hits")
+def _(v):
+    return querylang.search(v("seq"), _TEXT)[0].drop("id")
 
 
-@query("motif_search")
+@query(
+    "motif_clusters",
+    f"""WITH {_FOUND}, w AS (SELECT a.contig, a.start FROM hits a JOIN hits b ON a.contig = b.contig AND b.start >= a.start AND b.start <= a.start + 200 GROUP BY a.contig, a.start HAVING count(DISTINCT b.grp) = 2),
+    i AS (SELECT h.contig, h.start, h.stop, h.grp, h.strand, min(w.start) AS f, max(w.start) AS t FROM hits h JOIN w ON h.contig = w.contig AND h.start >= w.start AND h.start <= w.start + 200 GROUP BY ALL),
+    n AS (SELECT *, CASE WHEN f <= max(t) OVER (PARTITION BY contig ORDER BY start, stop, grp, strand ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS new FROM i),
+    c AS (SELECT *, sum(new) OVER (PARTITION BY contig ORDER BY start, stop, grp, strand) AS k FROM n)
+    SELECT contig, start, stop, min(start) OVER (PARTITION BY contig, k) AS cluster_start, dense_rank() OVER (ORDER BY contig, k) AS cluster FROM c""",
+)
 def _(v):
-    text = "matrix: m\nA C G T\n5 2 1 4\n0 6 1 1\n7 0 2 0\n1 1 3 6\n2 5 5 0\nmin_score: 22\ntotal_hits: 2000\ncluster_group: m\ncollection: box\n1 TRCAYC\nmin_score: 0\ncluster_group: box"
-    return querylang.search(v("seq"), text)[0]
+    return querylang.search(v("seq"), _TEXT)[1]["both"].drop("id")
 
 
-@query("conservation")
+@query("index_hits", f"SELECT id, pos::INT AS pos, kmer, strand, score::BIGINT AS score FROM {_HITS} WHERE pos <= (SELECT length(s) FROM seq q WHERE q.id = h.id) - 8".replace(f"FROM {_HITS}", f"FROM {_HITS} h"))
 def _(v):
-    h = v("reg_b").withColumn("place", F.floor(F.col("start") / 20000))
-    cluster = F.col("contig") * 1000 + F.col("place")
+    return motif.index_hits(kmers.index_entries(v("seq"), 8), MATRIX, 20)
+
+
+_EIGHT = "(SELECT id, p AS pos, substr(s, p + 1, 8) AS kmer FROM seq, LATERAL (SELECT unnest(range(0, length(s) - 8 + 1)) AS p))"
+
+
+@query("index_nodes", f"SELECT substr(kmer, 1, d::INT) AS node, count(DISTINCT kmer) AS kmers, count(*)::BIGINT AS positions FROM {_EIGHT}, unnest(range(1, 4)) AS t(d) GROUP BY 1")
+def _(v):
+    return kmers.index_nodes(kmers.index_entries(v("seq"), 8), 3)
+
+
+@query("index_faults", f"SELECT id, pos::BIGINT AS pos, kmer || '!' AS indexed, kmer AS found FROM {_EIGHT} WHERE (id + pos) % 1000 = 0")
+def _(v):
+    index = kmers.index_entries(v("seq"), 8)
+    spoilt = index.withColumn("kmer", F.when((F.col("id") + F.col("pos")) % 1000 == 0, F.concat("kmer", F.lit("!"))).otherwise(F.col("kmer")))
+    return kmers.index_faults(spoilt, v("seq"), 8)
+
+
+@query("site_paths", "SELECT id, " + " + ".join(f"abs(x{i + 1} - x{i})" for i in range(5)) + " AS total, steps::INT AS steps FROM (SELECT id, (SELECT len(list_distinct([w0, w1, w2, w3, w4, w5])) - 1) AS steps, "
+       + ", ".join(f"{_SCORE.format(w=f'w{i}')} AS x{i}" for i in range(6)) + " FROM (SELECT id, " + ", ".join(f"substr(b, 1, {i}) || substr(a, {i + 1}) AS w{i}" for i in range(6))
+       + " FROM (SELECT id, translate(substr(md5(id::VARCHAR), 1, 5), '0123456789abcdef', 'ACGTACGTACGTACGT') AS a, translate(substr(md5((id + 1)::VARCHAR), 1, 5), '0123456789abcdef', 'ACGTACGTACGTACGT') AS b FROM reg_b)))")
+def _(v):
+    word = lambda c: F.translate(F.substring(F.md5(c.cast("string")), 1, 5), "0123456789abcdef", "ACGTACGTACGTACGT")
+    paths = v("reg_b").select("id", motif.mutation_path(word(F.col("id")), word(F.col("id") + 1), 5).alias("p"))
+    scores = paths.select("id", motif.path_scores(F.col("p"), MATRIX).alias("s"))
+    steps = F.size("s") - 1
+    return scores.select("id", F.round(motif.path_similarity(F.col("s")) * steps).cast("int").alias("total"), steps.alias("steps"))
+
+
+@query("interpolated", "SELECT id, round(CASE WHEN w >= 0 AND w < 10 THEN w * 3.0 WHEN w >= 10 AND w < 40 THEN 30 - (w - 10) * 0.5 WHEN w >= 40 AND w <= 60 THEN 15 + (w - 40) * 2.0 ELSE -1 END, 6)::DOUBLE AS y FROM (SELECT id, stop - start AS w FROM reg_b)")
+def _(v):
+    return v("reg_b").select("id", F.round(cons.interpolate(F.col("stop") - F.col("start"), [(40, 15), (0, 0), (10, 30), (60, 55)], -1.0), 6).alias("y"))
+
+
+_PLACES = "h AS (SELECT *, start // 2000 AS place, contig * 1000 + start // 2000 AS cluster FROM reg_b), g AS (SELECT DISTINCT place AS ortholog, contig::VARCHAR AS species, cluster AS gene FROM h)"
+
+
+def _genes(v: View) -> tuple[DataFrame, DataFrame]:
+    h = v("reg_b").withColumn("place", F.floor(F.col("start") / 2000)).withColumn("cluster", F.col("contig") * 1000 + F.col("place"))
+    return h, h.select(F.col("place").alias("ortholog"), F.col("contig").cast("string").alias("species"), F.col("cluster").alias("gene")).distinct()
+
+
+def _modules(v: View) -> DataFrame:
+    h, genes = _genes(v)
     hits = h.select("id", F.col("grp").alias("name"), F.translate(F.substring(F.md5(F.col("id").cast("string")), 1, 8), "0123456789abcdef", "ACGTACGTACGTACGT").alias("s"), "start", F.when(F.col("id") % 2 == 0, "+").otherwise("-").alias("strand"), (F.col("stop") - F.col("start")).alias("score"))
-    genes = h.select(F.col("place").alias("ortholog"), F.col("contig").cast("string").alias("species"), cluster.alias("gene")).distinct()
-    mods = cons.modules(h.select(cluster.alias("cluster"), "id"), hits, genes.select(F.col("gene").alias("cluster"), "gene", F.lit("HEAD").alias("relation")))
-    return cons.conservation(cons.ortholog_pairs(genes, "0"), mods)
+    return cons.modules(h.select("cluster", "id"), hits, genes.select(F.col("gene").alias("cluster"), "gene", F.lit("HEAD").alias("relation")))
+
+
+@query("ortholog_pairs", f"WITH {_PLACES} SELECT q.ortholog, q.gene AS query, t.gene AS target, t.species FROM g q JOIN g t USING (ortholog) WHERE q.species = '0' AND t.species <> '0'")
+def _(v):
+    return cons.ortholog_pairs(_genes(v)[1], "0")
+
+
+@query(
+    "modules",
+    f"WITH {_PLACES} SELECT cluster AS gene, cluster, 'HEAD' AS relation, string_agg(start || ':' || grp || ':' || CASE WHEN id % 2 = 0 THEN '+' ELSE '-' END || ':' || (stop - start), ',' ORDER BY start, grp, CASE WHEN id % 2 = 0 THEN '+' ELSE '-' END, "
+    "translate(substr(md5(id::VARCHAR), 1, 8), '0123456789abcdef', 'ACGTACGTACGTACGT'), stop - start) AS hits FROM h GROUP BY cluster",
+)
+def _(v):
+    listed = F.array_join(F.transform("hits", lambda x: F.concat_ws(":", x["start"].cast("string"), x["name"], x["strand"], x["score"].cast("string"))), ",")
+    return _modules(v).withColumn("hits", listed)
+
+
+@query("conservation")
+def _(v):
+    return cons.conservation(cons.ortholog_pairs(_genes(v)[1], "0"), _modules(v))

@@ -25,3 +25,40 @@ def ranked(df: DataFrame, coarse: Sequence[Column], keys: Sequence[Column | str]
     for n in names:
         same = same & F.col(n).eqNullSafe(F.col(f"{n}_"))
     return numbered.join(counts, same).withColumn(to, (F.col("__before") + F.col("__within")).cast("long")).select(*df.columns, to)
+
+
+def lagged(df: DataFrame, value: str, keys: Sequence[str], order: Sequence[str], bin_: Column, to: str = "previous") -> DataFrame:
+    """``df`` with ``value`` of the row before, by ``order`` within ``keys``; no task sees all rows of a key.
+
+    ``bin_`` leads the order: rows are looked at within a bin, and the first of
+    a bin gets the last value of the bin before (one row per bin).
+    """
+    marked = df.withColumn("__bin", bin_)
+    within = Window.partitionBy(*keys, "__bin").orderBy(*order)
+    last = marked.groupBy(*keys, "__bin").agg(F.max_by(value, F.struct(*order)).alias("__last"))
+    across = Window.partitionBy(*keys).orderBy("__bin")
+    before = last.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__bin").alias("__b"), F.lag("__last").over(across).alias("__before"))
+    same = F.col("__bin").eqNullSafe(F.col("__b"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    numbered = marked.withColumn("__n", F.row_number().over(within)).withColumn("__lag", F.lag(value).over(within))
+    return numbered.join(before, same).select(*df.columns, F.when(F.col("__n") == 1, F.col("__before")).otherwise(F.col("__lag")).alias(to))
+
+
+def cuts(df: DataFrame, column: str, pieces: int = 128) -> list:
+    """Values that split a numeric column into about equal pieces: a bounded list, the same for the same rows."""
+    at = [i / pieces for i in range(1, pieces)]
+    found = df.agg(F.approx_percentile(column, F.array(*[F.lit(q) for q in at]), F.lit(20 * pieces)).alias("q")).first()["q"]
+    return sorted(set(found or []))
+
+
+def piece_of(column: Column, at: Sequence) -> Column:
+    """Number of ``cuts`` that are not above a value, as a balanced tree of comparisons."""
+
+    def tree(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(column < F.lit(at[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
+
+    return tree(0, len(at))

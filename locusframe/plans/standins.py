@@ -36,9 +36,29 @@ VIEWS = {
                l_partkey * 50 + CAST(l_linenumber AS BIGINT) * 100 AS start,
                l_partkey * 50 + CAST(l_linenumber AS BIGINT) * 100 + max(CAST(l_quantity AS BIGINT)) AS stop
         FROM lineitem GROUP BY l_partkey, l_linenumber""",
+    # The letters A, C, G and T of every document; a document may have none.
     "seq": """
-        SELECT doc_id AS id, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS s
-        FROM documents WHERE length(regexp_replace(text, '[^ACGTacgt]', '', 'g')) >= 50""",
+        SELECT doc_id AS id, upper(regexp_replace(coalesce(text, ''), '[^ACGTacgt]', '', 'g')) AS s
+        FROM documents""",
+    # Regions on documents as contigs; what lies off a document is cut off.
+    "place": """
+        SELECT o_orderkey AS id, o_orderkey % n.n AS contig, (o_orderkey * 7919) % 700 AS start, (o_orderkey * 7919) % 700 + 1 + o_custkey % 60 AS stop,
+               CASE o_orderstatus WHEN 'F' THEN '-' ELSE '+' END AS strand
+        FROM orders CROSS JOIN (SELECT max(doc_id) + 1 AS n FROM documents) n""",
+    # Reads on transcripts; one in fifty is on no transcript.
+    "tx_reads": """
+        SELECT l_orderkey AS fid, CAST(l_linenumber % 2 AS INT) AS readno, CASE WHEN CAST(round(l_extendedprice * 100) AS BIGINT) % 50 = 0 THEN -1 ELSE l_partkey END AS transcript,
+               CAST(round(l_extendedprice * 100) AS BIGINT) % 150 AS pos, CAST(l_linenumber % 3 AS BIGINT) AS n1, 5 + CAST(l_quantity AS BIGINT) % 30 AS n2, CAST(round(l_discount * 100) AS BIGINT) % 4 AS n3,
+               3 + CAST(round(l_tax * 100) AS BIGINT) AS n4, CAST(l_linenumber % 5 AS BIGINT) AS n5, CAST(8 AS BIGINT) AS n6, CAST(round(l_tax * 100) AS BIGINT) AS mapq,
+               l_returnflag = 'R' AS strand, CAST(l_linenumber % 2 AS INT) AS layout, l_discount > 0.005 AS mapped
+        FROM lineitem""",
+    # Records of pairs that point to each other; a fifth of the mates are missing.
+    "pair_rows": """
+        SELECT (l_orderkey * 1000000000 + CAST(round(l_extendedprice * 100) AS BIGINT)) * 2 + side AS ord, l_orderkey % 500 AS fid, l_tax < 0.075 AS multi, (l_linenumber + side) % 2 = 0 AS first,
+               l_tax < 0.005 AS unmapped, l_tax > 0.015 AS mapped, CASE side WHEN 0 THEN p ELSE q END AS pos, CASE side WHEN 0 THEN q ELSE p END AS pnext,
+               CASE side WHEN 0 THEN s ELSE t END AS strand, CASE side WHEN 0 THEN t ELSE s END AS next_strand, 'c' || CAST(l_suppkey % 2 AS VARCHAR(9)) AS next_contig
+        FROM (SELECT *, l_partkey % 40 * 10 AS p, l_partkey % 40 * 10 + CAST(l_quantity AS BIGINT) % 5 * 10 AS q, l_returnflag = 'R' AS s, l_linestatus = 'O' AS t FROM lineitem) l
+        CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1) m WHERE side = 0 OR CAST(round(l_discount * 100) AS BIGINT) % 5 <> 0""",
     "mates": """
         SELECT conv_id AS fid, CAST(turn % 2 AS INT) AS readno, turn AS input_seq, upper(regexp_replace(text, '[^ACGTacgt]', '', 'g')) AS s
         FROM conversations""",

@@ -34,8 +34,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .functions.seq import reverse_complement
-from .operators import kmers, motif
+from .operators import motif
 
 SETTINGS = frozenset(
     "species data_directory merge_overlapping_clusters position_file tree_file dna_index_file hits_file cluster_file ones_offset "
@@ -135,18 +134,13 @@ def parse(text: str) -> Search:
 
 def pattern_hits(seqs: DataFrame, p: Pattern) -> DataFrame:
     """(id, pos, kmer, strand, score, name) of one pattern, cut to its best score levels."""
-    strands = {"POS": ("+",), "NEG": ("-",)}.get(p.strand, ("+", "-"))
-
-    def scored(width: int, score) -> list[DataFrame]:
-        w = kmers.exploded(seqs, width)
-        read = {"+": F.col("kmer"), "-": reverse_complement(F.col("kmer"))}
-        return [w.withColumn("strand", F.lit(s)).withColumn("score", score(read[s])) for s in strands]
-
+    strands = {"POS": "+", "NEG": "-"}.get(p.strand, "+-")
     if p.matrix:
-        parts = scored(len(p.matrix), lambda k: motif.matrix_score(k, p.matrix))
+        hits = motif.matrix_hits(seqs, p.matrix, p.min_score, strands)
     else:
-        parts = [x for _, c in p.consensus for x in scored(len(c), lambda k, c=c: -motif.mismatches(k, c))]
-    hits = reduce(DataFrame.unionByName, parts).where(F.col("score") >= p.min_score).withColumn("name", F.lit(p.name)).withColumn("grp", F.lit(p.group or p.name))
+        found = motif.consensus_hits(seqs, [c for _, c in p.consensus], -p.min_score, strands)
+        hits = found.select("id", "pos", "kmer", "strand", (-F.col("mismatches")).alias("score"))
+    hits = hits.withColumn("name", F.lit(p.name)).withColumn("grp", F.lit(p.group or p.name))
     return motif.top_levels(hits, p.total_hits) if p.total_hits < 1 << 60 else hits
 
 

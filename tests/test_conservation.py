@@ -1,7 +1,11 @@
+import itertools
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from locusframe import api
 from locusframe.operators import conservation as c
+from locusframe.operators import motif
 
 
 def hit(start, name, s, strand="+", score=1):
@@ -16,7 +20,27 @@ def test_mapping_finds_the_turned_module():
     assert turned == same and parts["offset"] == 0
     worse, parts = c.best_mapping(q, [hit(1010, "a", "ACGTA"), hit(1140, "b", "GGGTA")])
     assert worse < same and parts["offset"] == 100
-    assert c.best_mapping(q, [hit(1, "z", "A")])[0] == 0
+    assert c.best_mapping(q, [hit(1, "z", "A")])[0] == 0 and c.best_mapping([], q)[0] == 0
+
+
+def test_assignment_is_the_best_of_all():
+    rng = np.random.default_rng(4)
+    for n, m in ((1, 1), (3, 5), (5, 3), (6, 6), (4, 7)):
+        for _ in range(20):
+            w = np.round(rng.normal(0.2, 1, (n, m)), 2)
+            got = c.assigned(w)
+            assert len({a for a, _ in got}) == len(got) == len({b for _, b in got})
+            small, large = (w, m) if n <= m else (w.T, n)
+            best = max(sum(max(0.0, small[i, p[i]]) for i in range(small.shape[0])) for p in itertools.permutations(range(large), small.shape[0]))
+            assert abs(sum(w[a, b] for a, b in got) - best) < 1e-9
+
+
+def test_all_hits_of_a_large_module_count():
+    rng = np.random.default_rng(5)
+    q = [hit(int(p), "ab"[i % 2], "".join(rng.choice(list("ACGT"), 8)), score=i) for i, p in enumerate(rng.permutation(4000)[:120])]
+    moved = [h | {"start": h["start"] + 500} for h in q]
+    score, parts = c.best_mapping(q, moved)
+    assert parts == {"similarity": 120.0, "order": 119.0, "orientation": 120.0, "offset": 0.0} and score == 120 + 119 / 4 + 30
 
 
 def test_conservation_end_to_end(spark):
@@ -31,10 +55,12 @@ def test_conservation_end_to_end(spark):
 
 
 def test_interpolate_and_mutations(spark):
-    curve = spark.createDataFrame([(0.0, 0.0), (10.0, 100.0), (20.0, 0.0)], "x double, y double")
-    got = c.interpolate(spark.createDataFrame([(v,) for v in (-1.0, 0.0, 5.0, 10.0, 15.0, 20.0, 21.0)], "v double"), curve, "v", -9.0).collect()
+    curve = [(10.0, 100.0), (0.0, 0.0), (20.0, 0.0)]
+    got = spark.createDataFrame([(v,) for v in (-1.0, 0.0, 5.0, 10.0, 15.0, 20.0, 21.0)], "v double").withColumn("y", c.interpolate(F.col("v"), curve, -9.0)).collect()
     assert [r.y for r in sorted(got)] == [-9.0, 0.0, 50.0, 100.0, 50.0, 0.0, -9.0]
-    assert c.path_similarity([1, 3, 2]) == 1.5 and c.path_similarity([1]) == 0
+    paths = spark.createDataFrame([([1, 3, 2],), ([1],)], "s array<int>").select(motif.path_similarity(F.col("s")).alias("p")).collect()
+    assert [r.p for r in paths] == [1.5, 0]
+    assert spark.range(1).select(motif.mutation_path(F.lit("ACG"), F.lit("TCA"), 3).alias("p")).first().p == ["ACG", "TCG", "TCA"]
     reads = spark.createDataFrame([(1, "c", 100, "ACGT"), (2, "c", 126, "ACGT"), (3, "d", 100, "ACGT")], "id long, contig string, start long, s string")
     mut = spark.createDataFrame([("c", 101, "C", "T"), ("c", 103, "A", "G"), ("c", 129, "T", "A")], "contig string, pos long, original string, mutated string")
     assert {r.id: r.s for r in c.mutated_reads(reads, mut).collect()} == {1: "ATGT", 2: "ACGA", 3: "ACGT"}

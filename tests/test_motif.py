@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from locusframe import querylang
-from locusframe.operators import motif, simulate
+from locusframe.operators import kmers, motif
 
 TEXT = """
 # two patterns
@@ -65,14 +66,45 @@ def test_search_against_brute_force(spark):
 def test_matrix_helpers():
     wide = motif.expand_matrix([{"A": 5, "C": 2, "G": 1, "T": 4}])[0]
     assert wide["M"] == 2 and wide["N"] == 1 and wide["A"] == 5
-    assert motif.zero_adjusted([{"A": 5, "C": 2, "G": 1, "T": 4}]) == ([{"A": 4, "C": 1, "G": 0, "T": 3}], 1)
     assert motif.reverse_matrix([{"A": 1, "C": 2, "G": 3, "T": 4}, {"A": 5, "C": 6, "G": 7, "T": 8}])[0] == {"T": 5, "G": 6, "C": 7, "A": 8}
 
 
-def test_reads_carry_their_truth(spark):
-    t = spark.createDataFrame([(1, "ACGTTGCAAC" * 10)], "transcript long, s string")
-    frags = simulate.uniform_fragments(spark.createDataFrame([(1, 100)], "transcript long, length long"), 20, 40, 20, 60)
-    clean = simulate.paired_reads(frags, t, 20).collect()
-    assert clean and all(r.seq1 == ("ACGTTGCAAC" * 10)[r.start : r.start + 20] and ":read2:" in r.name and f"fragment_size:{r.stop - r.start}" in r.name for r in clean)
-    noisy = simulate.paired_reads(frags, t, 20, error=0.5).collect()
-    assert any(a.seq1 != b.seq1 for a, b in zip(sorted(clean), sorted(noisy), strict=True))
+def test_ambiguous_letters_and_strands(spark):
+    m = [{"A": 5, "C": 2, "G": 1, "T": 4}, {"A": 0, "C": 6, "G": 1, "T": 1}]
+    df = spark.createDataFrame([(1, "ANCMC"), (2, "A"), (3, "")], "id int, s string")
+    plain = {(r.pos, r.strand): r.score for r in motif.matrix_hits(df, m, -99).collect()}
+    assert plain == {}  # every window has a letter that is no base
+    wide = {(r.pos, r.strand): r.score for r in motif.matrix_hits(df, m, -99, ambiguous=True).collect()}
+    assert wide[(0, "+")] == 5 + 0 and wide[(2, "+")] == 2 + 0 and wide[(3, "+")] == 2 + 6 and len(wide) == 8
+
+
+def test_windows_across_pieces(spark):
+    rng = random.Random(5)
+    s = "".join(rng.choice("ACGT") for _ in range(1111))
+    df = spark.createDataFrame([(1, s)], "id int, s string")
+    for k in (1, 7, 300):
+        assert [r.kmer for r in kmers.exploded(df, k).orderBy("pos").collect()] == [s[i : i + k] for i in range(len(s) - k + 1)]
+    want = {}
+    for i in range(len(s)):
+        for d in range(20, 26):
+            if i + d + 5 <= len(s):
+                pair = s[i : i + 5], s[i + d : i + d + 5]
+                want[pair] = want.get(pair, 0) + 1
+    got = {r.times: (r.pairs, r.total) for r in kmers.pair_spectrum(df, 5, 20, 26).collect()}
+    assert sum(t for _, t in got.values()) == sum(want.values()) and sum(p for p, _ in got.values()) == len(want)
+
+
+def test_a_written_index_is_read_again(spark, tmp_path):
+    df = spark.createDataFrame([(1, "ACGTTGCAACGTTA"), (2, "TTTTACGTTG")], "id int, s string")
+    spark.sql("DROP TABLE IF EXISTS kmer_index_of_a_test")
+    try:
+        kmers.write_index(df, 6, "kmer_index_of_a_test", 4)
+        index = kmers.read_index(spark, "kmer_index_of_a_test")
+        assert kmers.index_faults(index, df, 6).count() == 0
+        assert {(r.id, r.pos) for r in kmers.read_index(spark, "kmer_index_of_a_test", F.col("prefix") == "ACGT").collect()} == {(1, 0), (1, 8), (2, 4)}
+        m = [{"A": int(b == "A"), "C": int(b == "C"), "G": int(b == "G"), "T": int(b == "T")} for b in "ACG"]
+        got = {(r.id, r.pos, r.strand) for r in motif.index_hits(index, m, 3).collect()}
+        want = {(i, p, t) for i, s in ((1, "ACGTTGCAACGTTA"), (2, "TTTTACGTTG")) for p in range(len(s) - 5) for t, w in (("+", "ACG"), ("-", "CGT")) if s[p : p + 3] == w}
+        assert got == want
+    finally:
+        spark.sql("DROP TABLE IF EXISTS kmer_index_of_a_test")
