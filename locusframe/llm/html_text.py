@@ -16,7 +16,12 @@ well as anything in a narrower wrapper, whatever its score.
 
 Blocks keep the page's order; references are decoded, white space in a block
 becomes one space, empty blocks go, blocks are joined by a line feed. Nothing
-else is dropped, whatever its length.
+else is dropped, whatever its length. The text of formulas (math) stays, drawings
+(svg) go.
+
+The time is linear in the page: open elements are known by name, and what an
+element has from its ancestors or descendants is passed on once, from parent to
+child or back.
 
 Defined results: null or empty markup, and pages without text outside the parts
 named above, give an empty text. Markup cut off anywhere is read as far as it
@@ -28,7 +33,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -37,7 +42,7 @@ from pyspark.sql import functions as F
 from ._common import read_table
 
 # Element names as HTML defines them.
-RAW = ("script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "math", "object", "xmp", "noframes")
+RAW = ("script", "style", "noscript", "template", "title", "textarea", "iframe", "svg", "annotation", "annotation-xml", "object", "xmp", "noframes")
 BLOCKS = frozenset(
     "html head body div section article main header footer nav aside form fieldset figure figcaption p pre blockquote address "
     "h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table caption thead tbody tfoot tr td th details summary dialog menu center hgroup search "
@@ -94,15 +99,14 @@ _PAGE = frozenset(("html", "body", "#root"))
 
 
 class Node:
-    __slots__ = ("tag", "parent", "dropped", "score", "chars", "link_chars", "likely", "doubts")
+    __slots__ = ("tag", "parent", "dropped", "score", "chars", "link_chars", "likely", "doubt", "doubts", "kept", "sibling", "meets", "branch")
 
     def __init__(self, tag: str, parent: Node | None, dropped: bool, likely: bool, doubted: bool = False):
         self.tag, self.parent, self.dropped, self.likely = tag, parent, dropped, likely
         self.score = self.chars = self.link_chars = 0.0
-        #: The elements from the root to this one whose class or id has a word of UNLIKELY.
-        self.doubts: tuple[Node, ...] = () if parent is None else parent.doubts
-        if doubted:
-            self.doubts = (*self.doubts, self)
+        #: Of the elements from the root to this one whose class or id has a word of UNLIKELY, the last, and their number.
+        self.doubt: Node | None = self if doubted else parent.doubt if parent is not None else None
+        self.doubts: int = int(doubted) + (parent.doubts if parent is not None else 0)
 
 
 def _attributes(raw: str) -> dict[str, str]:
@@ -148,10 +152,16 @@ def _doubted(tag: str, attrs: dict[str, str], in_article: bool) -> bool:
     return False
 
 
-def blocks_of(page: str) -> list[tuple[Node, str, int]]:
-    """(element, text, characters in links) of every non-empty block outside hidden elements, in page order."""
+def blocks_of(page: str) -> tuple[list[tuple[Node, str, int]], list[Node]]:
+    """(element, text, characters in links) of every non-empty block outside hidden elements, in page order, and all elements, parents first."""
     root = Node("#root", None, False, False)
-    stack, blocks = [root], []
+    stack, blocks, nodes = [root], [], [root]
+    open_at: dict[str, list[int]] = {}  # depths of the open elements of each name
+
+    def last_open(names: Iterable[str]) -> int:
+        """Depth of the last open element of these names; 0: none."""
+        return max((open_at[n][-1] for n in names if open_at.get(n)), default=0)
+
     parts: list[str] = []
     links: list[str] = []
     link_at = 0  # depth of the stack where a link is open; 0: none
@@ -168,6 +178,8 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
     def pop_to(depth: int) -> None:
         nonlocal link_at
         flush()
+        for node in stack[depth:]:
+            open_at[node.tag].pop()
         del stack[depth:]
         if link_at > len(stack):
             link_at = 0
@@ -193,13 +205,11 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
             if tag == "a":
                 link_at = 0
             elif tag in BLOCKS:
-                for depth in range(len(stack) - 1, 0, -1):
-                    open_ = stack[depth].tag
-                    if open_ == tag or (tag in _HEADINGS and open_ in _HEADINGS):
-                        pop_to(depth)
-                        break
+                depth = last_open(_HEADINGS if tag in _HEADINGS else (tag,))
+                if depth:
+                    pop_to(depth)
             continue
-        if tag in ("svg", "math") and _CLOSED.search(m["attrs"]):
+        if tag == "svg" and _CLOSED.search(m["attrs"]):
             continue
         if tag in _RAW_END:
             end = _RAW_END[tag].search(page, at)
@@ -217,21 +227,21 @@ def blocks_of(page: str) -> list[tuple[Node, str, int]]:
                 pop_to(len(stack) - 1)
             if tag in IMPLIED:
                 ends, barriers = IMPLIED[tag]
-                for depth in range(len(stack) - 1, 0, -1):
-                    if stack[depth].tag in barriers:
-                        break
-                    if stack[depth].tag in ends:
-                        pop_to(depth)
-                        break
+                depth = last_open(ends)
+                if depth > last_open(barriers):
+                    pop_to(depth)
             parent = stack[-1]
             attrs = _attributes(m["attrs"])
             likely = parent.likely or tag in ("article", "main") or attrs.get("role", "").strip().lower() == "main"
-            stack.append(Node(tag, parent, parent.dropped or _hidden(tag, attrs, likely), likely, _doubted(tag, attrs, likely)))
+            node = Node(tag, parent, parent.dropped or _hidden(tag, attrs, likely), likely, _doubted(tag, attrs, likely))
+            open_at.setdefault(tag, []).append(len(stack))
+            stack.append(node)
+            nodes.append(node)
     flush()
-    return blocks
+    return blocks, nodes
 
 
-def _widened(best: Node, strong: list[Node]) -> tuple[Node, set[int]]:
+def _widened(best: Node, strong: list[Node], nodes: list[Node]) -> tuple[Node, set[int]]:
     """The element below the body that holds ``best`` with all ``strong`` containers, and the body's branches that hold others."""
     path, node = [], best
     while node is not None and node.tag not in _PAGE:
@@ -240,15 +250,21 @@ def _widened(best: Node, strong: list[Node]) -> tuple[Node, set[int]]:
     if not path:
         return best, set()
     place = {id(n): i for i, n in enumerate(path)}
+    # Where each element's way up meets the path, or else the branch of the body that it ends in.
+    for node in nodes:
+        up = node.parent
+        if id(node) in place:
+            node.meets, node.branch = place[id(node)], None
+        elif node.tag in _PAGE or up is None:
+            node.meets, node.branch = None, None
+        else:
+            node.meets, node.branch = up.meets, node if up.tag in _PAGE else up.branch
     at, branches = 0, set()
     for other in strong:
-        up, branch = other, None
-        while up is not None and id(up) not in place and up.tag not in _PAGE:
-            up, branch = up.parent, up
-        if up is not None and id(up) in place:
-            at = max(at, place[id(up)])
-        elif branch is not None:
-            branches.add(id(branch))
+        if other.meets is not None:
+            at = max(at, other.meets)
+        elif other.branch is not None:
+            branches.add(id(other.branch))
     if branches:
         at = len(path) - 1
     for i in range(at, len(path) - 1):
@@ -273,30 +289,36 @@ def _undoubted(blocks: list[tuple[Node, str, int]]) -> list[tuple[Node, str, int
     """
     if not any(node.doubts for node, _, _ in blocks):
         return blocks
-    points: dict[tuple[bool, tuple[Node, ...]], float] = {}
+    points: dict[tuple[bool, Node | None], float] = {}
     for node, text, inside in blocks:
         if p := _points(node, text) * (1 - inside / len(text) if inside < len(text) else 0):
-            key = (node.likely, node.doubts)
+            key = (node.likely, node.doubt)
             points[key] = points.get(key, 0) + p
-    least = {k: p for k, p in points.items() if not k[1] or p >= DOUBTED_LEAST}
+    least = {k: p for k, p in points.items() if k[1] is None or p >= DOUBTED_LEAST}
     likely = {k: p for k, p in least.items() if k[0]}
-    best = min(likely or least, key=lambda k: (len(k[1]), -least[k]), default=(False, ()))[1]
-    allowed = set(map(id, best))
-    return [x for x in blocks if all(id(d) in allowed for d in x[0].doubts)]
+    doubt = min(likely or least, key=lambda k: (k[1].doubts if k[1] else 0, -least[k]), default=(False, None))[1]
+    allowed = {id(None)}
+    while doubt is not None:
+        allowed.add(id(doubt))
+        doubt = doubt.parent.doubt if doubt.parent is not None else None
+    return [x for x in blocks if id(x[0].doubt) in allowed]
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    found = _undoubted(blocks_of(page))
+    blocks, nodes = blocks_of(page)
+    found = _undoubted(blocks)
     if not found:
         return ""
     for node, text, inside in found:
-        while node is not None:
-            node.chars += len(text)
-            node.link_chars += inside
-            node = node.parent
+        node.chars += len(text)
+        node.link_chars += inside
+    for node in reversed(nodes):
+        if node.parent is not None:
+            node.parent.chars += node.chars
+            node.parent.link_chars += node.link_chars
     blocks = [(node, text) for node, text, _ in found]
     scored: dict[int, Node] = {}
     direct: dict[int, Node] = {}
@@ -330,7 +352,7 @@ def main_text(page: str | None) -> str:
         node = node.parent
     keep = set()
     if not top.likely:
-        top, keep = _widened(best, [n for n in direct.values() if n.score >= SIBLING * best.score])
+        top, keep = _widened(best, [n for n in direct.values() if n.score >= SIBLING * best.score], nodes)
     top.score = max(top.score, best.score)
     keep.add(id(top))
     for other in scored.values():
@@ -338,14 +360,14 @@ def main_text(page: str | None) -> str:
             keep.add(id(other))
     beside = ("p", "pre", "blockquote", *_HEADINGS, *(("section",) if top.tag == "section" else ()))
     narrow = top.parent is not None and top.parent.tag not in _PAGE
+    for node in nodes:
+        up = node.parent
+        node.kept = id(node) in keep or (up is not None and up.kept)
+        node.sibling = node if up is top.parent else up.sibling if up is not None else None
     out = []
     for node, text in blocks:
-        up, sibling = node, None
-        while up is not None and id(up) not in keep:
-            if up.parent is top.parent:
-                sibling = up
-            up = up.parent
-        if up is not None:
+        sibling = node.sibling
+        if node.kept:
             out.append(text)
         elif node is top.parent and narrow:
             # Text straight in the wrapper.
