@@ -10,7 +10,8 @@ returned as such, not guessed at.
 The template writes a turn as ``<|im_start|>role\\ntext<|im_end|>\\n``. Control
 strings (``CONTROL``) inside roles and texts are broken by a backslash after
 their first character, and backslashes are doubled, so that no text can forge a
-control string and unescaping gives it back exactly. The loss mask covers the
+control string and unescaping gives it back exactly. A line feed in a role, whose
+end is one, is written as a backslash and an n. The loss mask covers the
 text of assistant turns, as code point spans.
 
 Turns are formatted one by one before they are shuffled, and hashed as a stream
@@ -18,8 +19,9 @@ in (turn, role, text) order; a conversation of any length needs the memory of
 ``SEGMENT`` characters only, and is written as that many segments.
 
 Defined results: null roles and texts are empty, a null turn comes first, rows
-with a null conv_id are one conversation, repeated rows are repeated turns. An
-empty table gives an empty result. Other columns and fields of a table are
+with a null conv_id are one conversation, repeated rows are repeated turns,
+turns of one number are ordered by role and text, texts of any length are kept
+whole. An empty table gives an empty result. Other columns and fields of a table are
 ignored; a table that several layouts fit, none of them with all fields of the
 others, is refused. A typed record with a null or empty list of turns is a
 conversation of no turns.
@@ -62,6 +64,15 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(\\?)", r"\1", text) if "\\" in text else text
 
 
+def escape_role(role: Column) -> Column:
+    return F.replace(escape(role), F.lit("\n"), F.lit("\\n"))
+
+
+def unescape_role(text: str) -> str:
+    """The role before ``escape_role``: no control string goes on with an n, so a single backslash before one is a line feed."""
+    return re.sub(r"\\(\\|n)?", lambda m: "\n" if m[1] == "n" else m[1] or "", text) if "\\" in text else text
+
+
 # --- layouts -------------------------------------------------------------
 
 
@@ -229,7 +240,7 @@ def format_turns(turns: DataFrame) -> DataFrame:
     Rows that are ``empty``, where there is such a column, count as no turn; their conversation stays.
     """
     turn = ~F.coalesce("empty", F.lit(False)) if "empty" in turns.columns else F.lit(True)
-    role = escape(F.coalesce(F.col("role"), F.lit("")))
+    role = escape_role(F.coalesce(F.col("role"), F.lit("")))
     head = F.concat(F.lit(START), role, F.lit("\n"))
     body = escape(F.coalesce(F.col("text"), F.lit("")))
     pieces = turns.select(
@@ -272,7 +283,7 @@ def parse_segment(formatted: str) -> Iterator[tuple[str, str]]:
         role, _, body = piece.partition("\n")
         if not body.endswith(END):
             raise ValueError("a turn without an end")
-        yield unescape(role), unescape(body[: -len(END)])
+        yield unescape_role(role), unescape(body[: -len(END)])
 
 
 def read_back(segments: DataFrame) -> DataFrame:
@@ -330,7 +341,7 @@ WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (
-  SELECT *, length(regexp_replace(replace(role, '\', '\\'), '{_SQL_CONTROL}', '\1\\\2', 'g'))
+  SELECT *, length(replace(regexp_replace(replace(role, '\', '\\'), '{_SQL_CONTROL}', '\1\\\2', 'g'), chr(10), '\n'))
           + length(regexp_replace(replace(text, '\', '\\'), '{_SQL_CONTROL}', '\1\\\2', 'g')) + {len(START) + 1 + len(END)} AS chars
   FROM t)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
