@@ -10,15 +10,19 @@ document can be read alone at a good ratio::
     index: doc_id i64[n], has_id u8[n], offset u64[n + 1], tokens u64[n]
     index offset (u64) | n (u64) | magic
 
+A shard ends at ``SHARD_BYTES`` or ``SHARD_DOCS``, whatever the size of the
+corpus; a task that has more writes several, in order.
+
 Ids are little-endian unsigned integers of 2 bytes where the vocabulary allows,
 else of 4. Beside the shards lie ``dictionary.zdict`` and ``manifest`` (Parquet,
 one row per shard: order, file, documents, tokens, bytes). A task writes its
-shard under a name of its own and moves it into place; only shards that the
-manifest names count, so files of tasks that were lost or repeated are ignored.
+shards under names of its own and moves them into place; only shards that the
+manifest names count, and what lost or repeated tasks left is deleted at the end.
 
 Defined results: null text counts as empty and is just the end id; repeated
-rows are written as often as they come; an empty table gives a corpus of no
-shards. Other columns are ignored.
+rows are written as often as they come, next to each other; an empty table gives
+a corpus of no shards. Texts of any length are encoded whole. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,8 +33,9 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
-from itertools import compress, filterfalse
+from itertools import compress, filterfalse, islice
 
 import numpy as np
 import pandas as pd
@@ -47,12 +52,19 @@ _HEAD, _TAIL = struct.Struct("<8s32sII"), struct.Struct("<QQ8s")
 #: The dictionary: its size, and documents (and bytes of each) that it is trained on at most.
 DICT_BYTES, SAMPLE_DOCS, SAMPLE_BYTES = 64 << 10, 2000, 16 << 10
 LEVEL = 3
+#: A shard ends when it has so many bytes or documents.
+SHARD_BYTES, SHARD_DOCS = 256 << 20, 1 << 20
+#: Bytes of a table, as the planner knows them, for each task that writes.
+TASK_BYTES = 256 << 20
+#: Documents that a reader hands on at a time.
+READ_DOCS = 1 << 16
 #: Bytes of text, about, that a worker encodes at a time.
 CHUNK = 6 << 20
 #: Entries of a worker's memo of parts before it is emptied.
 MEMO = 1_200_000
 
 # How the tokenizer splits texts, and the same for lower-case plain text.
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Printable ASCII, and Latin letters whose lower case is one letter among them.
 PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ſ]+")
@@ -92,9 +104,9 @@ class WordEncoder:
     def _in_parts(self) -> bool:
         """Whether the tokenizer's definition is the one that ``PARTS`` is written for."""
         spec = json.loads(self.tokenizer.to_str())
-        steps = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        steps = (spec["normalizer"] or {}).get("normalizers", [])
         splits = [x["pattern"]["Regex"] for x in (spec["pre_tokenizer"] or {}).get("pretokenizers", []) if x["type"] == "Split" and x["behavior"] == "Removed" and x["invert"]]
-        return steps == ["NFC", "Replace", "Lowercase"] and splits == [PRE_TOKENS] and spec["model"]["type"] == "BPE" and spec["model"]["end_of_word_suffix"] == "</w>"
+        return steps == NORMALIZER and splits == [PRE_TOKENS] and spec["model"]["type"] == "BPE" and spec["model"]["end_of_word_suffix"] == "</w>"
 
     def _ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.type).tobytes()
@@ -207,9 +219,8 @@ class ShardWriter:
         self.zip = zstandard.ZstdCompressor(level=LEVEL, dict_data=shared, write_content_size=True)
         self.width, self.at = width, _HEAD.size
         self.out.write(_HEAD.pack(MAGIC, hashlib.sha256(dictionary).digest(), width, 0))
-        self.ids: list[int] = []
-        self.has: list[bool] = []
-        self.offsets, self.tokens = [self.at], []
+        # Arrays of machine words: a shard's index is small beside its documents.
+        self.ids, self.has, self.offsets, self.tokens = array("q"), bytearray(), array("Q", [self.at]), array("Q")
 
     def add(self, doc_id: int | None, data: bytes) -> None:
         frame = self.zip.compress(data)
@@ -222,7 +233,7 @@ class ShardWriter:
 
     def close(self) -> tuple[str, int, int, int]:
         """(file, documents, tokens, bytes)."""
-        index = b"".join((np.array(self.ids, "<i8").tobytes(), np.array(self.has, "u1").tobytes(), np.array(self.offsets, "<u8").tobytes(), np.array(self.tokens, "<u8").tobytes()))
+        index = b"".join((np.array(self.ids, "<i8").tobytes(), bytes(self.has), np.array(self.offsets, "<u8").tobytes(), np.array(self.tokens, "<u8").tobytes()))
         self.out.write(index + _TAIL.pack(self.at, len(self.ids), MAGIC))
         self.out.close()
         self.fs.move(self.part, self.path)
@@ -280,11 +291,29 @@ def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         i = j
 
 
-def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int, shards: int | None = None) -> DataFrame:
+def _tasks(docs: DataFrame) -> int:
+    """Tasks for a table: more where the planner knows it to be large."""
+    known = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(shuffle_width(docs.sparkSession), min(known // TASK_BYTES, 100_000) if known < 1 << 60 else 0)
+
+
+def _remove_leftovers(uri: str, named: set[str]) -> None:
+    """Deletes shards, finished or not, that the manifest does not name."""
+    from pyarrow import fs as pafs
+
+    fs, folder = open_store(uri)
+    for info in fs.get_file_info(pafs.FileSelector(folder)):
+        name = info.base_name.lstrip(".")
+        if info.is_file and name.startswith("shard-") and info.base_name not in named:
+            fs.delete_file(info.path)
+
+
+def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int, tasks: int | None = None, shard_bytes: int = SHARD_BYTES, shard_docs: int = SHARD_DOCS) -> DataFrame:
     """Writes the corpus at ``uri`` and returns its manifest.
 
     Documents are range-partitioned by doc_id (and by a hash of the text, so
-    that rows without an id spread), one shard for each partition.
+    that rows without an id spread); each partition writes shards up to the
+    bounds.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -293,26 +322,36 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int, shards:
     fs.create_dir(folder, recursive=True)
     with fs.open_output_stream(f"{folder}/dictionary.zdict") as out:
         out.write(dictionary)
-    shards = shards or shuffle_width(spark)
+    tasks = tasks or _tasks(docs)
     end_bytes = {w: np.array([end_id], f"<u{w}").tobytes() for w in (2, 4)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, writer, enc = TaskContext.get().partitionId(), None, None
+        part, number, writer, enc = TaskContext.get().partitionId(), 0, None, None
         for b in batches:
-            if writer is None:
-                enc = encoder(tokenizer)
-                writer = ShardWriter(uri, f"shard-{part:07d}-{uuid.uuid4().hex[:12]}.tok", enc.width, dictionary)
             for piece in _pieces(b):
+                enc = enc or encoder(tokenizer)
                 for doc_id, data in zip(piece.column("doc_id").to_pylist(), enc.encode(piece.column("text")), strict=True):
+                    if writer is not None and (writer.at >= shard_bytes or len(writer.ids) >= shard_docs):
+                        yield _shard_row(part, number, writer)
+                        writer, number = None, number + 1
+                    if writer is None:
+                        writer = ShardWriter(uri, f"shard-{part:07d}-{number:05d}-{uuid.uuid4().hex[:12]}.tok", enc.width, dictionary)
                     writer.add(doc_id, data + end_bytes[enc.width])
         if writer is not None:
-            yield pa.RecordBatch.from_pylist([dict(zip(("shard", "file", "n_docs", "n_tokens", "n_bytes"), (part, *writer.close()), strict=True))])
+            yield _shard_row(part, number, writer)
 
-    ordered = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(shards, F.col("doc_id").asc_nulls_first(), "h")
+    ordered = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(tasks, F.col("doc_id").asc_nulls_first(), "h")
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return write_shared(ordered.mapInArrow(run, _MANIFEST), f"{uri}/manifest")
+    manifest = write_shared(ordered.mapInArrow(run, _MANIFEST), f"{uri}/manifest")
+    _remove_leftovers(uri, {r["file"] for r in manifest.select("file").collect()})  # one name for each shard
+    return manifest
+
+
+def _shard_row(part: int, number: int, writer: ShardWriter) -> pa.RecordBatch:
+    """The manifest's row of a finished shard; shards are numbered by task and place in it."""
+    return pa.RecordBatch.from_pylist([dict(zip(("shard", "file", "n_docs", "n_tokens", "n_bytes"), (part * 1_000_000 + number, *writer.close()), strict=True))])
 
 
 def read_tokens(spark: SparkSession, uri: str) -> DataFrame:
@@ -329,17 +368,21 @@ def read_tokens(spark: SparkSession, uri: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for name, base in zip(b["file"], b["base"], strict=True):
-                s = Shard(uri, name, dictionary)
-                rows = [(len(d), zlib.crc32(d.tobytes())) for d in s.documents()]
-                n = np.array([r[0] for r in rows], np.int64)
-                if not np.array_equal(n, s.tokens):
-                    raise ValueError(f"{name}: the index does not fit its documents")
-                yield pd.DataFrame({
-                    "doc_id": pd.Series(s.ids, dtype="Int64").mask(~s.has),
-                    "start": base + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": np.array([r[1] for r in rows], np.int64),
-                })
-
-    return shards.repartition(shuffle_width(spark), "shard").select("file", "base").mapInPandas(run, _ROWS)
+                s, i = Shard(uri, name, dictionary), 0
+                docs = s.documents()
+                while rows := [(len(d), zlib.crc32(d.tobytes())) for d in islice(docs, READ_DOCS)]:
+                    part = slice(i, i + len(rows))
+                    n = np.array([r[0] for r in rows], np.int64)
+                    if not np.array_equal(n, s.tokens[part]):
+                        raise ValueError(f"{name}: the index does not fit its documents")
+                    yield pd.DataFrame({
+                        "doc_id": pd.Series(s.ids[part], dtype="Int64").mask(~s.has[part]),
+                        "start": base + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": np.array([r[1] for r in rows], np.int64),
+                    })
+                    i, base = i + len(rows), base + int(n.sum())
+
+    tasks = max(shuffle_width(spark), min(manifest.count() // 4, 100_000))
+    return shards.repartition(tasks, "shard").select("file", "base").mapInPandas(run, _ROWS)
 
 
 def default_tokenizer() -> str:
