@@ -9,13 +9,16 @@ passes a gradient to one position for each filter only, so a step is cheap.
 The score of a text is the mean of the probabilities of its windows, weighted by
 their bytes; every byte of the text is in a window.
 
-Training reads a bounded sample of labelled rows: at most about
-``SAMPLE_DOCS`` texts of each language, three windows of each, chosen by hash.
+Training reads a bounded sample of labelled rows: ``SAMPLE_DOCS`` distinct texts
+of each label at most, ``SAMPLE_BUDGET`` in all (but ``LEAST_DOCS`` of each label,
+however many labels there are), three windows of each, those with the smallest
+hashes. Every label that is not null is learned.
 
 Defined results: null texts and texts without a letter are ``und`` with score
-0; without any labelled row every text is ``und``. Labels beyond the
-``MAX_LANGS`` most frequent are not learned. Repeated rows are predicted alike.
-Other columns of the input are ignored, whatever their names.
+0; without any labelled row every text is ``und``. Texts of any length are read
+whole. Repeated rows are predicted alike; null ids stay null. Of labels with
+equal probability the first in order counts. An empty table gives an empty
+result. Other columns of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,14 +27,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import packed, read_table
 
 WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 16
-SAMPLE_DOCS, MAX_LANGS = 1200, 200
+SAMPLE_DOCS, SAMPLE_BUDGET, LEAST_DOCS = 1200, 24_000, 8
 STEPS, BATCH, RATE, SEED = 700, 96, 0.01, 11
+#: Further steps for each label beyond the first eight.
+STEPS_PER_LANG = 20
 #: Documents whose crc32(doc_id) leaves this remainder by 4 are never learned from.
 HELD_OUT = 2
 UNKNOWN = "und"
@@ -174,16 +179,23 @@ def _softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_langs: int = MAX_LANGS) -> ByteCnn | None:
-    """A network from (text, lang); None if nothing is labelled."""
+def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, budget: int = SAMPLE_BUDGET, steps: int | None = None) -> ByteCnn | None:
+    """A network from (text, lang); None if nothing is labelled.
+
+    Of each label the distinct texts with the smallest hashes count: the same
+    ones however often they are copied and however the table is laid out.
+    """
+    h = F.xxhash64("text")
     rows = labelled.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where("text IS NOT NULL AND lang IS NOT NULL AND length(text) > 0")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    # One row for each label comes to the driver.
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct(h).alias("n")).collect()}
     if not counts:
         return None
+    each = max(LEAST_DOCS, min(sample_docs, budget // len(counts)))
     space = 1 << 30
-    bound = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(space, int(space * sample_docs * 1.1 / n) + 1))) for k, n in counts.items()], F.lit(0))
-    h = F.xxhash64("text")
+    # Texts of a label whose hash is under its bound are a few more than wanted (the counts are right to a twentieth).
+    bounds = [(k, min(space, int(space * (1.3 * each + 50) / n) + 1)) for k, n in counts.items()]
     width = F.lit(WINDOW * 2)
 
     def cut(i: int):
@@ -191,21 +203,20 @@ def fit(labelled: DataFrame, sample_docs: int = SAMPLE_DOCS, max_langs: int = MA
         return F.substring("text", F.pmod(F.xxhash64("text", F.lit(i)), room.cast("long")).cast("int") + 1, width)
 
     # Whole texts stay on the executors; three pieces of bounded length come to the driver.
-    chosen = rows.where(F.pmod(h, F.lit(space)) < bound).select("lang", *[cut(i).alias(f"c{i}") for i in range(3)])
+    few = labelled.sparkSession.createDataFrame(bounds, "lang string, bound long")
+    near = rows.withColumn("h", h).join(F.broadcast(few), "lang").where(F.pmod("h", F.lit(space)) < F.col("bound"))
+    pieces = near.select("lang", "h", *[cut(i).alias(f"c{i}") for i in range(3)]).groupBy("lang", "h").agg(*[F.min(f"c{i}").alias(f"c{i}") for i in range(3)])
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(space)), "h")
+    chosen = pieces.withColumn("n", F.row_number().over(order)).where(F.col("n") <= each)
     langs = sorted(counts)
-    taken = dict.fromkeys(langs, 0)
     x, y = [], []
-    for r in chosen.limit(sample_docs * len(langs) * 2).collect():
-        if taken[r["lang"]] >= sample_docs:
-            continue
-        taken[r["lang"]] += 1
-        pieces = [r["c0"]] if len(r["c0"]) < 2 * WINDOW else [r["c0"], r["c1"], r["c2"]]
-        for piece in pieces:
+    place = {k: i for i, k in enumerate(langs)}
+    for r in sorted(chosen.collect(), key=lambda r: (r["lang"], r["n"])):
+        for piece in [r["c0"]] if len(r["c0"]) < 2 * WINDOW else [r["c0"], r["c1"], r["c2"]]:
             x.append(windows_of(piece)[0])
-            y.append(langs.index(r["lang"]))
-    model = ByteCnn([k for k in langs if taken[k]])
-    rename = {langs.index(k): i for i, k in enumerate(model.langs)}
-    model.train(np.stack(x), np.array([rename[k] for k in y]))
+            y.append(place[r["lang"]])
+    model = ByteCnn(langs)
+    model.train(np.stack(x), np.array(y), STEPS + STEPS_PER_LANG * max(0, len(langs) - 8) if steps is None else steps)
     return model
 
 
