@@ -7,15 +7,17 @@ In training those probabilities are out of fold: each document's comes from a
 model that did not see it, so later links learn from what they will be given.
 Thresholds are set on out-of-fold probabilities, for the best F1.
 
-Training reads a bounded sample of labelled documents (``SAMPLE_DOCS``, chosen by
-a hash of doc_id) and keeps ``VOCAB`` words and
-beginnings at most. Scoring reads whole texts,
-once, without a shuffle; the model has a fixed size.
+Training reads a bounded sample of labelled documents (``SAMPLE_DOCS``, those with
+the smallest hashes of doc_id, up to ``SAMPLE_CHARS`` characters in all) and keeps
+``VOCAB`` words and beginnings at most. Scoring reads whole texts, of any length,
+once, in batches and without a shuffle; the model has a fixed size.
 
 Defined results: null or wordless texts get the probabilities of a text without
-known words, and are never flagged; without labels of both kinds a category has
-probability 0. Labels may be null for some categories. Repeated rows are scored
-alike; of repeated labels one counts. Other columns are ignored.
+known words, and are never flagged; without labels of both kinds, so with an
+empty table of labels, a category has probability 0. Labels may be null for some
+categories; of several for one doc_id the highest counts. Repeated rows are
+scored alike; null ids stay null. An empty table gives an empty result. Other
+columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,12 +30,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import read_table
 
-SAMPLE_DOCS, VOCAB, FOLDS = 5000, 800, 3
+SAMPLE_DOCS, SAMPLE_CHARS, VOCAB, FOLDS = 5000, 50_000_000, 800, 3
 STEPS, RATE, DECAY = 200, 0.1, 3e-4
 #: Standard errors by which a feature's log odds must exceed 0.
 LEAST_Z = 3.5
@@ -94,8 +96,12 @@ class Chain:
     links: list[Link]
 
     def __post_init__(self):
-        self._known: frozenset[str] = frozenset().union(*(link.weights for link in self.links))
-        self._memo: dict[str, tuple[str, ...]] = {}
+        # Words and beginnings with a weight, be it for their first or (-2) a further occurrence.
+        self._names = sorted({f[:-1] if f.endswith("-2") else f for link in self.links for f in link.weights})
+        self._at = {f: i for i, f in enumerate(self._names)}
+        self._once = [np.array([link.weights.get(f, 0.0) for f in self._names]) for link in self.links]
+        self._twice = [np.array([link.weights.get(f"{f}2", 0.0) if f.endswith("-") else 0.0 for f in self._names]) for link in self.links]
+        self._memo: dict[str, tuple[int, ...]] = {}
 
     def __getstate__(self):
         return {"links": self.links}
@@ -104,19 +110,28 @@ class Chain:
         self.links = state["links"]
         self.__post_init__()
 
-    def probabilities(self, text: str | None) -> list[float]:
-        """Probabilities of the categories, in order."""
-        memo, words = self._memo, word_set(text)
-        for w in words:
-            if w not in memo:
-                memo[w] = tuple(f for f in features_of(w) if f in self._known or f"{f}2" in self._known)
-        found = with_repeats(f for w in words for f in memo[w])
-        if len(memo) > MEMO:
-            memo.clear()
-        got: list[float] = []
-        for link in self.links:
-            z = link.bias + sum(link.weights.get(f, 0.0) for f in sorted(found)) + sum(a * p for a, p in zip(link.earlier, got, strict=True))
-            got.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
+    def probabilities(self, texts: Sequence[str | None]) -> np.ndarray:
+        """Probabilities of the categories, in order, for each text: (texts, categories)."""
+        if len(self._memo) > MEMO:
+            self._memo.clear()
+        memo, found, sizes = self._memo, [], []
+        for text in texts:
+            at = len(found)
+            for w in word_set(text):
+                own = memo.get(w)
+                if own is None:
+                    own = memo[w] = tuple(self._at[f] for f in features_of(w) if f in self._at)
+                found += own
+            sizes.append(len(found) - at)
+        # Features of a text once, and those that two of its words share once more.
+        keys, counts = np.unique(np.repeat(np.arange(len(texts)), sizes) * len(self._names) + np.array(found, np.int64), return_counts=True)
+        doc, feature = np.divmod(keys, max(1, len(self._names)))
+        again = counts > 1
+        got = np.zeros((len(texts), len(self.links)))
+        for i, link in enumerate(self.links):
+            z = link.bias + got[:, :i] @ np.array(link.earlier[:i], np.float64)
+            z = z + np.bincount(doc, self._once[i][feature], len(texts)) + np.bincount(doc[again], self._twice[i][feature[again]], len(texts))
+            got[:, i] = _sigmoid(z)
         return got
 
 
@@ -200,16 +215,23 @@ def _best_threshold(p: np.ndarray, y: np.ndarray) -> float:
     return float(np.clip((p[order[k]] + below) / 2, 1e-6, 1 - 1e-6))
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_docs: int = SAMPLE_DOCS) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], sample_docs: int = SAMPLE_DOCS, sample_chars: int = SAMPLE_CHARS) -> Chain:
     """A chain from documents and ``labels`` (doc_id and what the category columns need)."""
     marked = labels.select(F.col("doc_id").cast("long").alias("id"), *[c.cast("int").alias(k) for k, c in categories.items()]).where("id IS NOT NULL")
+    # Of several labels of a document the higher counts.
+    marked = marked.groupBy("id").agg(*[F.max(k).alias(k) for k in categories])
     total = marked.count()
-    share = int((1 << 30) * min(1.0, sample_docs / max(1, total)))
-    chosen = marked.where(F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < share).dropDuplicates(["id"]).limit(sample_docs)
+    share = int((1 << 30) * min(1.0, 1.3 * sample_docs / max(1, total))) + 1
+    h = F.xxhash64("id")
     # At most sample_docs narrow rows: a broadcast of known size.
+    chosen = marked.where(F.pmod(h, F.lit(1 << 30)) < share).orderBy(h, "id").limit(sample_docs)
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "id").orderBy(F.xxhash64("id"), "text").limit(sample_docs).collect()
-    return train_chain([r["text"] for r in rows], {k: [r[k] for r in rows] for k in categories})
+    rows = texts.join(F.broadcast(chosen), "id").withColumn("h", h).orderBy("h", "id", "text").limit(sample_docs)
+    # Texts up to a bound in characters, in the same order; the window runs over those rows only.
+    before = Window.orderBy("h", "id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("sum", F.coalesce(F.sum(F.length("text")).over(before), F.lit(0))).where((F.col("sum") + F.coalesce(F.length("text"), F.lit(0))) <= sample_chars)
+    got = rows.orderBy("h", "id", "text").collect()
+    return train_chain([r["text"] for r in got], {k: [r[k] for r in got] for k in categories})
 
 
 def score(docs: DataFrame, chain: Chain) -> DataFrame:
@@ -221,7 +243,7 @@ def score(docs: DataFrame, chain: Chain) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cuts = np.array([link.threshold for link in shared.value.links])
         for b in batches:
-            p = np.array([shared.value.probabilities(t) for t in b["text"]]).reshape(len(b), len(names))
+            p = shared.value.probabilities(b["text"].tolist())
             there = np.array([bool(t) and _WORD.search(t) is not None for t in b["text"]], bool)
             out = pd.DataFrame({"doc_id": b["doc_id"].astype("Int64")})
             for i, k in enumerate(names):
