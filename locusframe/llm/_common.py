@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -14,6 +13,9 @@ from pyspark.sql import functions as F
 SPACE_CLASS = r"[\x20\x09-\x0D]"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
+#: Folders named so far, by application.
+_made: dict[str, list[str]] = {}
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -38,21 +40,16 @@ def shared_dir(spark: SparkSession) -> str:
 
 def work_dir(spark: SparkSession, label: str) -> str:
     """A new, unique folder name under the shared folder."""
-    return f"{shared_dir(spark)}/locusframe-{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/locusframe-{label}-{uuid.uuid4().hex}"
+    _made.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
-@contextlib.contextmanager
-def session_conf(spark: SparkSession, **conf: str):
-    """Sets session settings (given with _ for .) and puts them back."""
-    names = {k.replace("__", "."): v for k, v in conf.items()}
-    before = {k: spark.conf.get(k, None) for k in names}
-    for k, v in names.items():
-        spark.conf.set(k, v)
-    try:
-        yield
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+def clean_scratch(spark: SparkSession) -> int:
+    """Deletes all folders that ``work_dir`` named in this application; results that were not written elsewhere are gone then."""
+    paths = _made.pop(spark.sparkContext.applicationId, [])
+    remove_shared(spark, *paths)
+    return len(paths)
 
 
 def write_shared(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:

@@ -1,19 +1,25 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a Parquet table bucketed and sorted by digest, with one row per
-distinct text. New documents are reduced to one row per digest (partial
+distinct text that names its document, and one per later batch that has it
+again, with its count. New documents are reduced to one row per digest (partial
 aggregation, so that a text with very many copies is combined before the
 shuffle), deduplicated against the index by a sort-merge anti-join that needs
 no shuffle of the index, and what is new is appended.
 
+Every row carries its batch, a digest of the batch's texts and documents. Rows of
+the same batch do not count when it is looked up, and are not appended twice: a
+batch that is run again, because its driver was lost after appending or half
+way, gives the result of its first run.
+
 Defined results: null text counts as empty; texts are equal when identical
 after deleting every character of ``[\\x20\\x09-\\x0D]``; of equal new texts the
 one with the most code points stays, then the smallest ``doc_id`` (a null
 ``doc_id`` loses to any other); a text that the index already holds keeps the
 document that the index names. Repeated rows are counted one by one; of rows
-that share text and ``doc_id``, all carry the same ``kept`` value. An empty
-table gives an empty result. Other columns of the input are ignored, whatever
-their names.
+that share text and ``doc_id``, all carry the same ``kept`` value. Texts of any
+length are digested whole. An empty table gives an empty result. Other columns
+of the input are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,9 +29,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import packed, shuffle_width, work_dir, write_shared
+from ._common import packed, remove_shared, shuffle_width, work_dir, write_shared
 
-_INDEX_SCHEMA = "digest binary, keep_id long, keep_chars int, seen long"
+_INDEX_SCHEMA = "digest binary, keep_id long, keep_chars int, seen long, batch long, named boolean"
+_COLUMNS = [c.split()[0] for c in _INDEX_SCHEMA.split(", ")]
 
 
 class DigestIndex:
@@ -33,7 +40,8 @@ class DigestIndex:
 
     ``buckets`` must be the same each time. Appending writes one file per
     bucket; ``compact`` rewrites the table so that each bucket is one sorted
-    file again.
+    file again, with one row per text: its batches are then one, and old ones can
+    not be run again.
     """
 
     def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
@@ -51,10 +59,10 @@ class DigestIndex:
         return self.spark.table(self.name)
 
     def append(self, groups: DataFrame) -> None:
-        """``groups`` has the index's columns and only digests that it lacks."""
+        """Adds rows (the index's columns) that it lacks."""
         (
             groups.repartition(self.buckets, "digest")
-            .select("digest", "keep_id", "keep_chars", "seen")
+            .select(*_COLUMNS)
             .write.format("parquet")
             .mode("append")
             .bucketBy(self.buckets, "digest")
@@ -64,14 +72,29 @@ class DigestIndex:
         )
 
     def compact(self, path: str) -> DigestIndex:
-        """A copy at ``path`` with one sorted file per bucket."""
+        """A copy at ``path`` with one sorted file per bucket and one row per text."""
         other = DigestIndex(self.spark, path, self.buckets)
-        other.append(self.table())
+        own = F.when(F.col("named"), F.struct("keep_id", "keep_chars"))
+        whole = self.table().groupBy("digest").agg(F.max(own).alias("k"), F.sum("seen").alias("seen"))
+        other.append(whole.select("digest", "k.keep_id", "k.keep_chars", "seen", F.lit(0).cast("long").alias("batch"), F.lit(True).alias("named")))
         return other
 
-    def missing(self, groups: DataFrame) -> DataFrame:
-        """The rows of ``groups`` whose digest the index lacks (sort-merge anti-join)."""
-        return groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
+    def missing(self, groups: DataFrame, batch: int) -> DataFrame:
+        """The rows of ``groups`` whose digest no other batch has named (sort-merge anti-join)."""
+        named = self.table().where(F.col("named") & (F.col("batch") != batch)).select("digest")
+        return groups.join(named.hint("merge"), "digest", "left_anti")
+
+    def known(self, groups: DataFrame, batch: int) -> DataFrame:
+        """(digest, old_id, is_old, old_seen) of the digests of ``groups`` that other batches have; buckets are summed without a shuffle."""
+        others = self.table().where(F.col("batch") != batch).groupBy("digest")
+        told = others.agg(F.max(F.when(F.col("named"), F.struct("keep_id"))).alias("k"), F.sum("seen").alias("old_seen"))
+        found = groups.select("digest").join(told.hint("merge"), "digest")
+        return found.select("digest", F.col("k.keep_id").alias("old_id"), F.col("k").isNotNull().alias("is_old"), "old_seen")
+
+    def drop(self) -> None:
+        """Removes the index, its entry in the catalog and its files."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        remove_shared(self.spark, self.path)
 
 
 def digests(docs: DataFrame) -> DataFrame:
@@ -84,11 +107,12 @@ def digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
+def dedup(docs: DataFrame, index: DigestIndex, batch: int | None = None) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256.
 
-    ``group_size`` counts the documents with that text, here and in earlier
-    batches. The index is extended by the new texts as a side effect.
+    ``group_size`` counts the documents with that text, here and in the other
+    batches of the index, which is extended as a side effect. ``batch`` names the
+    batch; by default its content does.
     """
     spark = docs.sparkSession
     here = work_dir(spark, "digests")
@@ -100,20 +124,16 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
         .select("digest", F.col("best.id").alias("keep_id"), (-F.col("best.neg")).alias("keep_chars"), "seen"),
         f"{here}/groups",
     )
-    known = groups.select("digest").join(
-        index.table().select("digest", F.col("keep_id").alias("old_id"), F.col("seen").alias("old_seen")).hint("merge"),
-        "digest",
-    )
-    known = write_shared(known, f"{here}/known")
-    index.append(index.missing(groups))
-    resolved = (
-        groups.join(known, "digest", "left")
-        .select(
-            "digest",
-            F.when(F.col("old_seen").isNotNull(), F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-            (F.col("seen") + F.coalesce(F.col("old_seen"), F.lit(0))).alias("group_size"),
-            F.col("old_seen").isNotNull().alias("is_old"),
-        )
+    if batch is None:
+        batch = groups.agg(F.bit_xor(F.xxhash64("digest", "keep_id", "keep_chars", "seen"))).first()[0] or 1
+    known = write_shared(index.known(groups, batch), f"{here}/known")
+    there = index.table().where(F.col("batch") == batch).select("digest")
+    new = index.missing(groups, batch).withColumn("named", F.lit(True))
+    again = groups.join(known.where("is_old").select("digest"), "digest", "left_semi").withColumn("named", F.lit(False))
+    index.append(new.unionByName(again).withColumn("batch", F.lit(batch)).join(there.hint("merge"), "digest", "left_anti"))
+    old = F.coalesce("is_old", F.lit(False))
+    resolved = groups.join(known, "digest", "left").select(
+        "digest", F.when(old, F.col("old_id")).otherwise(F.col("keep_id")).alias("keep_id"), (F.col("seen") + F.coalesce("old_seen", F.lit(0))).alias("group_size"), old.alias("is_old")
     )
     # Few groups may hold most rows; this join's large partitions are split at run time.
     return rows.join(resolved, "digest").select(
@@ -135,7 +155,10 @@ def deduplicated(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return dedup(docs, DigestIndex(spark, work_dir(spark, "digest-index")))
+    index = DigestIndex(spark, work_dir(spark, "digest-index"))
+    found = dedup(docs, index)
+    index.drop()  # what the result needs of it is written
+    return found
 
 
 ORACLE = r"""
