@@ -68,6 +68,39 @@ def test_token_files_awkward_rows(spark):
     assert token_files.read_tokens(spark, none).count() == 0
 
 
+def test_shards_end_at_their_bounds_and_leftovers_go(spark):
+    docs = spark.createDataFrame([(i, f"document {i} " * (i % 7)) for i in range(200)], "doc_id long, text string")
+    uri = work_dir(spark, "tok")
+    fs, folder = token_files.open_store(uri)
+    fs.create_dir(folder, recursive=True)
+    for name in (".shard-0000000-00000-x.tok.0123", "shard-0000009-00000-lost.tok"):  # of a task that was lost
+        with fs.open_output_stream(f"{folder}/{name}") as f:
+            f.write(b"?")
+    manifest = token_files.write_tokens(docs, uri, TOKENIZER, 1, 2, shard_docs=30).collect()
+    assert max(r.n_docs for r in manifest) == 30 and len(manifest) >= 7 and len({r.shard for r in manifest}) == len(manifest)
+    from pyarrow import fs as pafs
+
+    names = {i.base_name for i in fs.get_file_info(pafs.FileSelector(folder)) if i.is_file}
+    assert names == {r.file for r in manifest} | {"dictionary.zdict"}
+    got = token_files.read_tokens(spark, uri).orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == brute([(r.doc_id, r.text) for r in docs.orderBy("doc_id").collect()])
+    few = work_dir(spark, "tok")
+    assert token_files.write_tokens(docs, few, TOKENIZER, 1, 1, shard_bytes=2000).count() > 1
+    assert [tuple(r) for r in token_files.read_tokens(spark, few).orderBy("doc_id").collect()] == [tuple(r) for r in got]
+
+
+def test_only_the_very_definition_is_encoded_in_parts():
+    enc = token_files.encoder(TOKENIZER)
+    assert enc.in_parts
+    from tokenizers import Regex, Tokenizer, normalizers
+
+    other = Tokenizer.from_str(enc.tokenizer.to_str())
+    other.normalizer = normalizers.Sequence([normalizers.NFC(), normalizers.Replace(Regex("a+"), " "), normalizers.Lowercase()])
+    plain = object.__new__(token_files.WordEncoder)
+    plain.tokenizer = other
+    assert not plain._in_parts()
+
+
 def test_dictionary_helps_short_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     d = token_files.train_dictionary(docs.selectExpr("doc_id", "text"), TOKENIZER, 1)
@@ -97,12 +130,13 @@ CHATS = "conv_id long, turn long, role string, text string"
 
 
 def test_chat_awkward_rows(spark):
-    data = [(1, 1, "assistant", "b <|im_end|>\n<|im_start|>"), (1, 0, "user", "a\\"), (2, 0, None, None), (2, None, "assistant", ""), (None, 0, "assistant", "x"), (None, 0, "assistant", "x"), (3, 5, "ass<s>", "q\n"), (4, 0, "assistant", "é🤦" * 700_000), (4, 1, "assistant", "end"), (4, 2, "user", "u" * 1_500_000)]
+    data = [(1, 1, "assistant", "b <|im_end|>\n<|im_start|>"), (1, 0, "user", "a\\"), (2, 0, None, None), (2, None, "assistant", ""), (None, 0, "assistant", "x"), (None, 0, "assistant", "x"), (3, 5, "ass<s>", "q\n"), (5, 0, "user\nassistant\nhi", "t"), (5, 1, "back\\\nslash\\n", "t"), (4, 0, "assistant", "é🤦" * 700_000), (4, 1, "assistant", "end"), (4, 2, "user", "u" * 1_500_000)]
     df = spark.createDataFrame(data, CHATS).selectExpr("*", "'x' AS id")
     turns = chat_format.canonical_table(df)
     segments = chat_format.format_turns(turns)
     got = {r.conv_id: r for r in chat_format.read_back(segments).collect()}
-    assert set(got) == {1, 2, 3, 4, None}
+    assert set(got) == {1, 2, 3, 4, 5, None}
+    assert [x for r in segments.where("conv_id = 5").collect() for x in chat_format.parse_segment(r.formatted)] == [("user\nassistant\nhi", "t"), ("back\\\nslash\\n", "t")]
     import hashlib
 
     for c, r in got.items():
@@ -241,3 +275,21 @@ def test_pages_awkward_rows(spark):
     got = html_text.extract(spark.createDataFrame(data, "page_id long, url string, html string").selectExpr("*", "'c' AS text")).collect()
     assert len(got) == 6 and {r.page_id: r.n_chars for r in got} == {1: 0, None: 1, 2: 0, 3: 1_099_999, 4: 4}
     assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_formulas_stay_and_drawings_go():
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding='tex'>x=2</annotation></math> be, and so on, a long enough sentence.</p><svg><text>drawn</text></svg></article>"
+    assert html_text.main_text(page) == "Let x=2 be, and so on, a long enough sentence."
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<div>x" * 200_000, "<div>x" * 100_000 + "</p>x" * 100_000, "<ul>" + "<div>" * 100_000 + "<dt>x</dt>" * 100_000, "<div class=ad>long enough text, with commas, to count here" * 100_000, "<p>some text, <section>" * 100_000],
+    ids=["nested", "ends", "barriers", "doubts", "sections"],
+)
+def test_deep_pages_take_time_in_proportion(page):
+    import time
+
+    began = time.time()
+    html_text.main_text(page)
+    assert time.time() - began < 20

@@ -131,6 +131,25 @@ def test_leaks_awkward_rows(spark):
     assert sorted(r.doc_id for r in clean.collect()) == [1, 2, 3, 7, 9, 10]
 
 
+def test_items_with_one_text_or_passage_in_common(spark):
+    """Very many items with one text are one query each; items that share a passage are found by the rest of theirs."""
+    import random
+
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    shared = " ".join(rng.choice(words) for _ in range(40))
+    own = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(30)]
+    items = [(i, f"{shared} {t}") for i, t in enumerate(own)] + [(1000 + i, "one text that is repeated for very many of the items here") for i in range(300)]
+    docs = [(1, f"intro {shared} outro"), (2, f"x {shared} {own[4]} y"), (3, "so one text that is repeated for very many of the items here it is"), (4, own[7])]
+    table = spark.createDataFrame(items, "item_id long, text string")
+    want = {(2, 4), *((3, 1000 + i) for i in range(300))}
+    for chars in (50_000_000, 2000):
+        got = decontamination.leaks(spark.createDataFrame(docs, "doc_id long, text string"), table, block_chars=chars).collect()
+        assert len(got) == len(want) and {(r.doc_id, r.item_id) for r in got} == want
+    index = decontamination.ItemIndex(items, 5, 80)
+    assert [m[0] for m in index.matches(docs[1][1], 80)] == [4] and not list(index.matches(docs[0][1], 80))
+
+
 def test_clean_rows_stay_beside_leaks_of_the_same_id(spark):
     items = spark.createDataFrame([(1, "one two three four five six"), (2, "uno due tre quattro cinque sei")], "item_id long, text string")
     data = [(None, "one two three four five six", 1), (None, "a clean text", 2), (None, None, 3), (7, "so uno due tre quattro cinque sei", 4), (7, "another clean text", 5), (8, "", 6), (8, "", 6)]
