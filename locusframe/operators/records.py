@@ -264,13 +264,22 @@ def multi_join(tables: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
     return out
 
 
-def rejoin(records: DataFrame, sequences: DataFrame, on: str = "fid") -> DataFrame:
-    """Records with the sequence and quality of their read, one row per read of the fragment; a missing read is an error when read."""
+def rejoin(records: DataFrame, sequences: DataFrame, on: str = "fid", keep: Column | None = None) -> DataFrame:
+    """Records (of those for which ``keep`` holds) with the sequence and quality of their read, one row per read of the fragment; a missing read is an error when read."""
+    if keep is not None:
+        records = records.where(keep)
     joined = records.join(sequences.select(on, F.posexplode("reads").alias("readno", "read")), on, "left")
     present = F.when(F.col("read").isNull(), F.raise_error(F.concat(F.lit("no sequence of fragment "), F.col(on).cast("string"))).cast("string")).otherwise(F.col("read.s"))
     return joined.select(*records.columns, "readno", present.alias("s"), F.col("read.q").alias("q"))
 
 
+def unmapped_reads(records: DataFrame, sequences: DataFrame, on: str = "fid") -> DataFrame:
+    """(id, readno, s, q): the reads of fragments whose record of rank 1 is unmapped, for a FASTQ sink."""
+    lost = records.where(~F.col("mapped") & (F.coalesce("rank", F.lit(1)) == 1)).select(on).distinct()
+    reads = sequences.join(lost, on, "left_semi").select(on, F.posexplode("reads").alias("readno", "read"))
+    return reads.select(F.col(on).cast("string").alias("id"), "readno", F.col("read.s").alias("s"), F.col("read.q").alias("q"))
+
+
 def truncate(df: DataFrame, numbered: str = "fid") -> DataFrame:
     """Records with the name replaced by the number, no sequence or quality, and ``nS`` for an absent CIGAR."""
     return df.select(

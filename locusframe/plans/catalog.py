@@ -413,6 +413,30 @@ def _(v):
     return records.rank_alignments(f, "FRAGMENT", tie=["id"]).select("id", "flowcell", "lane", "tile", "rank")
 
 
+@query(
+    "sort_projections",
+    "SELECT transcript, start, row_number() OVER (ORDER BY contig, start, transcript, strand) AS rank FROM (SELECT contig, transcript, strand, min(start) AS start FROM exon GROUP BY contig, transcript, strand)",
+)
+def _(v):
+    return ranked(projection.transcript_blocks(v("exon")), [F.col("contig"), F.floor(F.col("start") / 16384)], ["start", "transcript", "strand"]).select("transcript", "start", "rank")
+
+
+@query(
+    "truncated_records",
+    "SELECT fid::VARCHAR AS qname, pos, CASE WHEN len % 3 = 0 THEN (len % 7) || 'S' ELSE len || 'M' END AS cigar, '*' AS seq, '*' AS qual FROM aln",
+)
+def _(v):
+    length = (F.col("len") % 7).cast("int")
+    rows = v("aln").select("fid", F.lit("name").alias("qname"), "pos", F.when(F.col("len") % 3 == 0, "*").otherwise(F.concat(F.col("len").cast("string"), F.lit("M"))).alias("cigar"), F.repeat(F.lit("A"), length).alias("seq"), F.lit("I").alias("qual"))
+    return records.truncate(rows)
+
+
+@query("concatenated", "SELECT id, contig, start, stop, strand, coalesce(grp, '') AS grp FROM (SELECT id, contig, start, stop, strand, NULL AS grp FROM reg_a UNION ALL SELECT id, contig, start, stop, 'none', grp FROM reg_b)")
+def _(v):
+    both = records.concatenated([v("reg_a"), v("reg_b")])
+    return both.withColumn("strand", F.coalesce("strand", F.lit("none"))).withColumn("grp", F.coalesce("grp", F.lit("")))
+
+
 @query("checksort", "SELECT id, start, previous FROM (SELECT id, contig, start, lag(start) OVER (PARTITION BY contig ORDER BY id) AS previous FROM reg_a) WHERE previous > start")
 def _(v):
     return records.order_violations(v("reg_a"), "id", "start", ["contig"]).select("id", "start", "previous")
@@ -582,6 +606,23 @@ def _(v):
     return records.rejoin(v("aln").select("fid", "line", "price"), seqs).select("fid", "line", "price", "readno", "s")
 
 
+@query(
+    "rejoin_filtered",
+    "SELECT a.fid, a.line, a.price, t.r::INT AS readno, ['q' || a.fid, 'r' || a.fid][t.r + 1] AS s FROM aln a, (VALUES (0), (1)) t(r) WHERE (line * 37) & 1540 = 0 AND mapq >= 2",
+)
+def _(v):
+    reads = F.array(*[F.struct(F.concat(F.lit(p), F.col("id").cast("string")).alias("s"), F.lit("*").alias("q")) for p in "qr"])
+    keep = readname.flag_filter(F.col("line") * 37, "MQd") & (F.col("mapq") >= 2)
+    return records.rejoin(v("aln").select("fid", "line", "price", "mapq"), v("reg_a").select(F.col("id").alias("fid"), reads.alias("reads")), keep=keep).select("fid", "line", "price", "readno", "s")
+
+
+@query("unmapped_reads", "SELECT DISTINCT fid::VARCHAR AS id, r::INT AS readno, ['q', 'r'][r + 1] || fid AS s, '*' AS q FROM aln, (VALUES (0), (1)) t(r) WHERE mapq = 0 AND line = 1")
+def _(v):
+    reads = F.array(*[F.struct(F.concat(F.lit(p), F.col("id").cast("string")).alias("s"), F.lit("*").alias("q")) for p in "qr"])
+    rows = v("aln").select("fid", (F.col("mapq") > 0).alias("mapped"), F.col("line").alias("rank"))
+    return records.unmapped_reads(rows, v("reg_a").select(F.col("id").alias("fid"), reads.alias("reads")))
+
+
 @query("merge_spaces", "SELECT fid, contig, pos, CASE WHEN min(space) = max(space) THEN min(space) ELSE 'M' END AS space, max(mapq) AS mapq, count(*) AS n FROM aln GROUP BY fid, contig, pos")
 def _(v):
     return records.merge_spaces(v("aln"))

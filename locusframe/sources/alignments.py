@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.readname import FLAGS
+from ..functions import cigar as cg
+from ..functions.readname import FLAGS, pack_flags
+from ..functions.seq import reverse_complement
 from .lines import read_lines
 
 FIELDS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
@@ -91,3 +93,50 @@ def fragments(df: DataFrame) -> DataFrame:
     gap = b["pos"] - (a["pos"] + a["reflen"])
     joined = F.when(b.isNull(), a["cigar"]).otherwise(F.concat(a["cigar"], gap.cast("string"), F.lit("T"), b["cigar"]))
     return grouped.select("fid", "rname", a["pos"].alias("pos"), "mapq", joined.alias("cigar"), a["first"].alias("left_is_first"), F.size("r").alias("reads"))
+
+
+def split_fragments(df: DataFrame, layout: str = "fr") -> DataFrame:
+    """Records of the reads of fragments: the inverse of ``fragments``.
+
+    ``df`` has fid, rname, pos, mapq, cigar (mates around a signed ``T``, or one
+    read), ``left_is_first``, ``mapped`` and ``reads``, an array of (seq, qual) as
+    sequenced, first read first. ``layout`` tells how each read lies on the
+    fragment (f or r). Reads on the minus strand are turned; ``tlen`` is positive
+    for the left read. Of an unmapped fragment places are 0 and CIGARs ``*``.
+    """
+    units = cg.parse(F.col("cigar"))
+    split = df.withColumn("__u", units).withColumn("__t", F.array_position(F.transform("__u", lambda u: u["op"]), "T").cast("int"))
+    left = F.when(F.col("__t") > 0, F.slice("__u", 1, F.greatest(F.col("__t") - 1, F.lit(0)))).otherwise(F.col("__u"))
+    right = F.when(F.col("__t") > 0, F.slice("__u", F.greatest(F.col("__t") + 1, F.lit(1)), F.size("__u")))
+    split = split.withColumn("__l", left).withColumn("__r", right).withColumn("__paired", F.size("reads") > 1)
+    next_pos = F.col("pos") + cg.reference_length(F.col("__l")) + F.get("__u", F.col("__t") - 1)["len"]
+    split = split.withColumn("__next", next_pos).withColumn("__span", F.col("__next") + cg.reference_length(F.col("__r")) - F.col("pos"))
+    forward = F.col("left_is_first")
+
+    def record(is_left: bool) -> Column:
+        first = forward if is_left else ~forward
+        own_layout = lambda is_first: F.when(is_first, layout[0] == "f").otherwise(layout[1] == "f")
+        plus = lambda is_first: own_layout(is_first) == forward
+        read = F.get("reads", F.when(first, 0).otherwise(1))
+        minus, next_minus = ~plus(first), ~plus(~first)
+        flag = pack_flags(
+            multi_fragment=F.col("__paired"), all_mapped=F.col("mapped"), unmapped=~F.col("mapped"), next_unmapped=F.col("__paired") & ~F.col("mapped"),
+            reverse=minus, next_reverse=F.col("__paired") & next_minus, first=F.col("__paired") & first, last=F.col("__paired") & ~first,
+        )
+        at, other = (F.col("pos"), F.col("__next")) if is_left else (F.col("__next"), F.col("pos"))
+        sign = 1 if is_left else -1
+        return F.struct(
+            F.col("fid").cast("string").alias("qname"), flag.alias("flag"), "rname", F.when(F.col("mapped"), at).otherwise(0).alias("pos"), "mapq",
+            F.when(F.col("mapped"), cg.render(cg.trim(F.col("__l" if is_left else "__r"), cg.ON_TEMPLATE))).otherwise("*").alias("cigar"),
+            F.when(F.col("__paired"), "=").otherwise("*").alias("rnext"), F.when(F.col("mapped") & F.col("__paired"), other).otherwise(0).alias("pnext"),
+            F.when(F.col("mapped") & F.col("__paired"), F.col("__span") * sign).otherwise(0).cast("int").alias("tlen"),
+            F.when(minus, reverse_complement(read["seq"])).otherwise(read["seq"]).alias("seq"), F.when(minus, F.reverse(read["qual"])).otherwise(read["qual"]).alias("qual"),
+        )
+
+    rows = F.when(F.col("__paired"), F.array(record(True), record(False))).otherwise(F.array(record(True)))
+    return split.select(F.explode(rows).alias("x")).select("x.*")
+
+
+def write_alignments(df: DataFrame, path: str) -> None:
+    """Records as SAM text, see ``render``."""
+    render(df if "tags" in df.columns else df.withColumn("tags", F.expr("cast(map() as map<string,struct<type:string,value:string>>)"))).select("value").write.text(path)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import shift_quality
-from .lines import numbered_lines
+from .lines import lines_with_offsets, numbered_lines
 
 
 def read_fasta(spark: SparkSession, path: str) -> DataFrame:
@@ -35,6 +35,26 @@ def in_contig_order(fasta: DataFrame, contigs: DataFrame) -> DataFrame:
     return joined.select("name", F.when(good, F.col("ord")).otherwise(F.raise_error(F.concat(F.lit("no such contig: "), F.col("name"))).cast("int")).alias("ord"), "s")
 
 
+def fasta_index(spark: SparkSession, path: str, species: str) -> DataFrame:
+    """(species, contig, start, stop, path): the bytes that each sequence's letters take in its file, behind its header line."""
+    lines = lines_with_offsets(spark, path)
+    heads = lines.where(F.col("value").startswith(">")).select("file", "start", F.col("stop").alias("begin"), F.regexp_extract("value", r"^>([^\s]*)", 1).alias("contig"))
+    ends = lines.groupBy("file").agg(F.max("stop").alias("end"))
+    # One row for each sequence.
+    following = F.lead("start").over(Window.partitionBy("file").orderBy("start"))
+    return heads.withColumn("next", following).join(ends, "file").select(F.lit(species).alias("species"), "contig", F.col("begin").alias("start"), F.coalesce("next", "end").alias("stop"), F.col("file").alias("path"))
+
+
+def write_contigs(fasta: DataFrame, contigs: DataFrame, path: str) -> None:
+    """The sequences as a binary (Parquet) table in the order of the contigs; see ``in_contig_order``."""
+    in_contig_order(fasta, contigs).repartitionByRange("ord").sortWithinPartitions("ord").write.parquet(path)
+
+
+def write_fastq(reads: DataFrame, path: str, compression: str = "none") -> None:
+    """Reads (id, s, q) as FASTQ text."""
+    fastq_lines(reads).select("value").write.option("compression", compression).text(path)
+
+
 def read_fastq(spark: SparkSession, path: str) -> DataFrame:
     """(file, rec_no, id, s, q): four lines a record; an incomplete last record is dropped."""
     lines = numbered_lines(spark, path).withColumn("rec_no", F.floor(F.col("line") / 4)).withColumn("part", F.col("line") % 4)

@@ -87,3 +87,62 @@ def test_extract_round_trip(spark):
         assert sorted(parts[k].collect()) == sorted(again[k].collect())
     lone = {f for f, r, *_ in rows if (f, 1 - r) not in {(a, b) for a, b, *_ in rows}}
     assert {r.fid for r in parts["orphans"].collect()} == lone
+
+
+def test_offsets_chunks_and_groups_of_lines(spark, tmp_path):
+    text = "".join(f"line {i} {'é' * (i % 4)}\r\n" if i % 5 == 0 else f"line {i} {'é' * (i % 4)}\n" for i in range(400))
+    (tmp_path / "a.txt").write_bytes(text.encode())
+    data, path = text.encode(), str(tmp_path / "a.txt")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        rows = lines.lines_with_offsets(spark, path).orderBy("start").collect()
+        assert len(rows) == 400 and all(data[r.start : r.stop] == r.value.encode() + b"\n" for r in rows)
+        chunks = lines.line_chunks(spark, path, 1000).orderBy("chunk").collect()
+        assert [(a.stop, b.start) for a, b in zip(chunks, chunks[1:], strict=False) if a.stop != b.start] == [] and chunks[0].start == 0 and chunks[-1].stop == len(data)
+        assert sum(c.lines for c in chunks) == 400 and all(abs(c.stop - c.start - 1000) < 60 for c in chunks[:-1])
+        part = lines.chunk_lines(spark, path, 1000, 2).orderBy("start").collect()
+        assert "\n".join(r.value for r in part).encode() + b"\n" == data[chunks[2].start : chunks[2].stop]
+        groups = lines.line_groups(spark, path, 3, 1).orderBy("group").collect()
+        assert len(groups) == 133 and groups[4].lines[0].startswith("line 13 ")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_fasta_index_and_binary_contigs(spark, tmp_path):
+    (tmp_path / "a.fa").write_text(">one first\nACGT\nAC\n>two\nGG\n>three\n")
+    data = (tmp_path / "a.fa").read_bytes()
+    index = {r.contig: data[r.start : r.stop] for r in sequences.fasta_index(spark, str(tmp_path / "a.fa"), "demo").collect()}
+    assert index == {"one": b"ACGT\nAC\n", "two": b"GG\n", "three": b""}
+    fa = sequences.read_fasta(spark, str(tmp_path / "a.fa")).where("name != 'three'")
+    contigs = spark.createDataFrame([("two", 1, 2), ("one", 2, 6)], "contig string, ord int, length long")
+    sequences.write_contigs(fa, contigs, str(tmp_path / "bin"))
+    assert [(r.ord, r.name, r.s) for r in spark.read.parquet(str(tmp_path / "bin")).orderBy("ord").collect()] == [(1, "two", "GG"), (2, "one", "ACGTAC")]
+
+
+def test_region_tables(spark, tmp_path):
+    (tmp_path / "r.rdb").write_text("1\tdemo\tc\t100\t50\t+\n2\tdemo\tc\t5\t95\tNEG\n3\tdemo\tz\t5\t9\t.\n")
+    lengths = spark.createDataFrame([("c", 110)], "contig string, length long")
+    got = {r.id: (r.start, r.stop, r.strand) for r in lines.read_regions(spark, str(tmp_path / "r.rdb"), lengths, 20, 7).collect()}
+    assert got == {1: (30, 107, "POS"), 2: (0, 110, "NEG")}
+    (tmp_path / "g.rdb").write_text("1\t9\tdemo\tc\t10\t50\t-\n")
+    assert [(r.id, r.group_id, r.start, r.stop) for r in lines.read_regions(spark, str(tmp_path / "g.rdb"), lengths, grouped=True).collect()] == [(1, 9, 10, 50)]
+
+
+def test_fragments_split_into_their_reads_again(spark, tmp_path):
+    reads = "array<struct<seq:string,qual:string>>"
+    df = spark.createDataFrame(
+        [(1, "c", 100, 60, "4M90T3M1I2M", True, True, [("AACG", "abcd"), ("GGTTCA", "uvwxyz")]), (2, "c", 100, 60, "4M-2T4M", False, True, [("AACG", "abcd"), ("CCCA", "wxyz")]),
+         (3, "c", 7, 60, "4M", True, True, [("AACG", "abcd")]), (4, "*", 0, 0, "*", True, False, [("AA", "ab"), ("CC", "cd")])],
+        f"fid int, rname string, pos long, mapq int, cigar string, left_is_first boolean, mapped boolean, reads {reads}",
+    )
+    got = {(r.qname, r.flag): (r.pos, r.cigar, r.pnext, r.tlen, r.seq, r.qual) for r in alignments.split_fragments(df).collect()}
+    assert got == {
+        ("1", 99): (100, "4M", 194, 99, "AACG", "abcd"), ("1", 147): (194, "3M1I2M", 100, -99, "TGAACC", "zyxwvu"),
+        ("2", 163): (100, "4M", 102, 6, "CCCA", "wxyz"), ("2", 83): (102, "4M", 100, -6, "CGTT", "dcba"),
+        ("3", 2): (7, "4M", 0, 0, "AACG", "abcd"),
+        ("4", 109): (0, "*", 0, 0, "AA", "ab"), ("4", 157): (0, "*", 0, 0, "GG", "dc"),
+    }
+    alignments.write_alignments(alignments.split_fragments(df.where("fid = 1")), str(tmp_path / "out.sam"))
+    back = alignments.read_alignments(spark, str(tmp_path / "out.sam")).withColumn("fid", F.lit(1)).withColumn("reflen", F.when(F.col("flag") == 99, 4).otherwise(5))
+    assert alignments.fragments(back).first().cigar == "4M90T3M1I2M"
