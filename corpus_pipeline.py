@@ -5,6 +5,18 @@ as Parquet and read again as the next stage's input. All but the last return
 the columns of their input. The order is fixed: language, near duplicates,
 benchmark leaks, mixing, token files.
 
+Defined results: documents without text or letters have no language and go in
+the first stage, whatever their other columns; with no labelled document at all
+every document stays there. Null ids, sources and labels are kept: a document
+without an id is linked with none and judged by its own text, a null source is
+one of its own. Of documents that share an id each is judged by its own text, but
+for near duplicates, where they are one document. Of linked documents the
+smallest doc_id stays, all its rows if it is repeated. Texts of any length are
+read whole. An empty table gives an empty corpus. Extra columns go through the
+stages as they are, whatever their names. What the stages write lies under
+``spark.checkpoint.dir`` until ``locusframe.llm._common.clean_scratch``, as results
+are read from there.
+
 ``ORACLE_SQL`` is None: the language model and the tokenizer cannot be
 expressed in SQL; tests hold the stages against brute-force versions.
 """
