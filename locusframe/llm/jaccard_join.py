@@ -20,6 +20,12 @@ give the pairs between different components, filtered inside the join; those
 with r buckets in common are tried, so no link between components is lost and
 no pair within one is made.
 
+A bucket with more than ``HOT`` members (a passage that many different texts share)
+is not paired. Instead its members bring further blocks, e more each: two sets
+that may link have r + e blocks in common there, so r besides up to e of hot
+buckets, and meet elsewhere. Only a set with more than e hot blocks (most of it
+is such passages) still meets the others of its hot buckets.
+
 Exactness: a set of up to ``SINGLES`` shingles has a block for each shingle.
 For larger sets the number of blocks is chosen so that fewer than D + 1
 non-empty blocks has a probability under 1e-12 per set; hashes have 64 bits.
@@ -27,13 +33,17 @@ non-empty blocks has a probability under 1e-12 per set; hashes have 64 bits.
 Defined results: null or wordless texts have no shingles, no links and their
 own doc_id as component; a row without doc_id links with nothing and has a null
 component; rows that share a doc_id are one document, linked when any of them
-is. Repeated rows are returned as often as they come. An empty table gives an
-empty result. Other columns are ignored, whatever their names.
+is. Repeated rows are returned as often as they come. Texts of any length are
+read whole. Sets are told to be equal by 128 bits of sums over their hashes, and
+linked sets are compared by their hashes; texts are not compared word by word.
+An empty table gives an empty result. Other columns are ignored, whatever their
+names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -54,10 +64,17 @@ PER_REPEAT = 64
 DENSE = 16
 #: Texts that a worker sketches at a time.
 CHUNK = 256
+#: Members of a bucket up to which its pairs are looked at.
+HOT = 2000
 
 _DENSE = [f"d{i}" for i in range(DENSE)]
 
 
+def _further(prefix):
+    """Blocks beyond its prefix that a set keeps for hot buckets."""
+    return prefix // 2 + 2
+
+
 def _reach(size, percent: int):
     """Largest size of a partner of a set of ``size`` shingles."""
     return size * 100 // percent
@@ -84,7 +101,7 @@ def _fingerprints(h: np.ndarray, mixed: np.ndarray, owner: np.ndarray, bands: np
 
 
 def sketches(texts: list[bytes | None], shingle: int = SHINGLE, percent: int = PERCENT):
-    """Sketches of texts: (sizes, signatures, dense sketches, tokens, bounds of tokens)."""
+    """Sketches of texts: (sizes, signatures, dense sketches, numbers of further tokens of a band, tokens and their bounds, further tokens and their bounds)."""
     h, bounds = shingle_sets(texts, shingle)
     count = len(texts)
     sizes = np.diff(bounds)
@@ -103,6 +120,7 @@ def sketches(texts: list[bytes | None], shingle: int = SHINGLE, percent: int = P
     prefix = (sizes + partner) * (100 - percent) // (100 + percent) + _repeats(sizes)
     digits = np.frexp(sizes.astype(np.float64))[1]
     found: list[list[np.ndarray]] = [[] for _ in range(count)]
+    further: list[list[np.ndarray]] = [[] for _ in range(count)]
     if len(h):
         own_band = digits[owner]
         guest = partner[owner] >= (np.int64(1) << own_band)  # may link with a set of the next band
@@ -110,26 +128,36 @@ def sketches(texts: list[bytes | None], shingle: int = SHINGLE, percent: int = P
             ends = np.searchsorted(who, np.arange(count + 1))
             for i in np.unique(who).tolist():
                 m, k = marks[ends[i] : ends[i + 1]], int(prefix[i])
-                found[i].append(np.partition(m, k - 1)[:k] if k < len(m) else m)
-    lengths = [sum(map(len, f)) for f in found]
-    parts = [m for f in found for m in f]
-    tokens = np.concatenate(parts) if parts else np.empty(0, U64)
-    return sizes, (s1, s2), dense, tokens, np.concatenate(([0], np.cumsum(lengths)))
+                if k < len(m):
+                    most = k + _further(k)
+                    m = np.partition(m, (k - 1, most - 1))[:most] if most < len(m) else np.partition(m, k - 1)
+                found[i].append(m[:k])
+                further[i].append(m[k:])
+    spare = np.array([min(map(len, f), default=0) for f in further], np.int32)  # of the band that has fewer
+    return sizes, (s1, s2), dense, spare, _flat(found), _flat(further)
+
+
+def _flat(lists: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """(values, bounds): the arrays of each list one after the other."""
+    parts = [m for f in lists for m in f]
+    lengths = [sum(map(len, f)) for f in lists]
+    return np.concatenate(parts) if parts else np.empty(0, U64), np.concatenate(([0], np.cumsum(lengths)))
 
 
 def sets_of(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """(doc_id, n, s1, s2, dense sketch, tokens) of every document."""
-    schema = f"doc_id long, n int, s1 long, s2 long, {', '.join(f'{d} long' for d in _DENSE)}, tokens array<long>"
+    """(doc_id, n, s1, s2, dense sketch, spare, tokens, further tokens) of every document."""
+    schema = f"doc_id long, n int, s1 long, s2 long, {', '.join(f'{d} long' for d in _DENSE)}, spare int, tokens array<long>, further array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, CHUNK):
                 part = batch.slice(i, CHUNK)
-                n, (s1, s2), dense, tokens, ends = sketches(part.column("text").to_pylist(), shingle, percent)
+                n, (s1, s2), dense, spare, *tokens = sketches(part.column("text").to_pylist(), shingle, percent)
                 arrays = [part.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))]
                 arrays += [pa.array(dense[:, k]) for k in range(DENSE)]
-                arrays.append(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(tokens.view(np.int64))))
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", *_DENSE, "tokens"])
+                arrays.append(pa.array(spare))
+                arrays += [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(t.view(np.int64))) for t, ends in tokens]
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", *_DENSE, "spare", "tokens", "further"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, schema)
 
@@ -171,7 +199,13 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def _hubs(entries: DataFrame) -> DataFrame:
+    """(token, hub, members) of buckets with several members."""
+    found = entries.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("other"), F.count(F.lit(1)).alias("members"))
+    return found.where("hub != other").select("token", "hub", "members")
+
+
+def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT, hot: int = HOT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     path = work_dir(spark, "jaccard")
@@ -190,17 +224,31 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     # Rows that share a doc_id are one document: its classes are linked.
     shared_ids = member.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a != b").select("a", "b")
 
-    keys = with_sets.select("doc_id", "n", "s1", "s2", "tokens").join(
+    keys = with_sets.select("doc_id", "n", "s1", "s2", "spare", "tokens", "further").join(
         classes.select(F.col("rep").alias("doc_id"), "n", "s1", "s2"), ["doc_id", "n", "s1", "s2"], "left_semi"
     )
-    keys = write_shared(keys.select(F.col("doc_id").alias("id"), "tokens"), f"{path}/keys")
+    keys = write_shared(keys.select(F.col("doc_id").alias("id"), "spare", "tokens", "further"), f"{path}/keys")
     remove_shared(spark, f"{path}/sets")
     entries = keys.select(F.explode("tokens").alias("token"), "id")
-    hubs = write_shared(
-        entries.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("other")).where("hub != other").select("token", "hub"),
-        f"{path}/hubs",
-    )
-    bucket = write_shared(entries.join(hubs, "token"), f"{path}/buckets")  # token, id, hub
+    hubs = write_shared(_hubs(entries), f"{path}/hubs")
+    bucket = write_shared(entries.join(hubs, "token").select("token", "id", "hub"), f"{path}/buckets")
+    hot_tokens = write_shared(hubs.where(F.col("members") > hot).select("token"), f"{path}/hot")
+    heavy = None
+    if hot_tokens.head(1):
+        in_hot = bucket.join(hot_tokens, "token", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("hot"))
+        in_hot = write_shared(in_hot, f"{path}/in-hot")
+        more = write_shared(keys.join(in_hot.select("id"), "id", "left_semi").select(F.explode("further").alias("token"), "id"), f"{path}/further")
+        # The buckets that these join are made anew.
+        anew = entries.join(more.select("token").distinct(), "token", "left_semi").union(more)
+        again = anew.join(_hubs(anew), "token").select("token", "id", "hub")
+        rest_of = bucket.join(more.select("token").distinct(), "token", "left_anti")
+        bucket = write_shared(rest_of.union(again), f"{path}/all-buckets")
+        remove_shared(spark, f"{path}/buckets")
+        # A further bucket may be hot itself.
+        hot_tokens = write_shared(bucket.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("token"), f"{path}/all-hot")
+        counted = bucket.join(hot_tokens, "token", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("hot"))
+        heavy = counted.join(keys.select("id", "spare"), "id").where(F.col("hot") > F.col("spare")).select("id")
+        heavy = write_shared(heavy, f"{path}/heavy")
     remove_shared(spark, f"{path}/keys", f"{path}/hubs")
     nodes = classes.select("rep", "n", *_DENSE)
     star = bucket.select(F.col("id").alias("a"), F.col("hub").alias("b")).where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
@@ -214,16 +262,22 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
         bucket.select("token", "id").join(label, "id", "left").select("token", "id", F.coalesce("component", "id").alias("component")),
         f"{path}/labelled",
     )
-    remove_shared(spark, f"{path}/buckets")
+    remove_shared(spark, f"{path}/buckets", f"{path}/all-buckets")
     sizes = in_bucket.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
     mixed = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "size").alias("major"))
     mixed = write_shared(mixed.where("parts > 1").select("token", "major"), f"{path}/mixed")
     left = write_shared(in_bucket.join(mixed, "token").join(nodes.withColumnRenamed("rep", "id"), "id"), f"{path}/mixed-members")
     remove_shared(spark, f"{path}/labelled", f"{path}/mixed")
-    x, y = left.where("component != major").alias("x"), left.alias("y")
+    plain = left.join(hot_tokens, "token", "left_anti")
+    differ = f"x.token = y.token AND x.component != y.component AND {_plausible('x', 'y', percent)}"
+    x, y = plain.where("component != major").alias("x"), plain.alias("y")
+    met = [x.join(y, F.expr(f"{differ} AND (y.component = y.major OR x.id < y.id)"))]
+    if heavy is not None:
+        among = left.join(hot_tokens, "token", "left_semi")
+        met.append(among.join(heavy, "id", "left_semi").select(*among.columns).alias("x").join(among.alias("y"), F.expr(differ)))
+    pairs = [m.select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), F.least("x.n", "y.n").alias("n")) for m in met]
     rest = (
-        x.join(y, F.expr(f"x.token = y.token AND x.component != y.component AND (y.component = y.major OR x.id < y.id) AND {_plausible('x', 'y', percent)}"))
-        .select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b"), F.least("x.n", "y.n").alias("n"))
+        reduce(DataFrame.union, pairs)
         .groupBy("a", "b")
         .agg(F.count(F.lit(1)).alias("common"), F.first("n").alias("n"))
         .where(F.col("common") >= _repeats_column(F.col("n")))

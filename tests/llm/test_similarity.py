@@ -39,9 +39,9 @@ def brute(docs, percent=80):
     return {i: (len(sets[i]), find(i)) for i in sets}
 
 
-def check(spark, docs):
+def check(spark, docs, hot=jaccard_join.HOT):
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.similar_groups(df, hot=hot).collect()}
     assert got == brute(docs)
 
 
@@ -80,6 +80,40 @@ def test_random_near_copies_of_all_sizes(spark, seed):
     check(spark, [(i * 3 + 1, " ".join(d)) for i, d in enumerate(docs)])
 
 
+@pytest.mark.parametrize("hot", [2, 5, 12])
+def test_hot_buckets_lose_no_link(spark, hot):
+    """Many texts share passages, some are little else; links between them are found past the hot buckets."""
+    rng = random.Random(hot)
+    word = lambda: f"w{rng.randrange(4000)}"
+    passages = [[word() for _ in range(n)] for n in (6, 9, 25)]
+    docs = []
+    for i in range(120):
+        base = [word() for _ in range(rng.choice((2, 5, 12, 40, 90)))] + rng.choice(passages) + ([word() for _ in range(rng.randrange(8))] if i % 3 else rng.choice(passages))
+        docs.append(base)
+        for _ in range(rng.randrange(3)):
+            copy = list(base)
+            copy[rng.randrange(len(copy))] = word()
+            docs.append(copy)
+        docs.append([*base, word()])
+    rng.shuffle(docs)
+    check(spark, [(i, " ".join(d)) for i, d in enumerate(docs)], hot)
+
+
+def test_very_many_short_texts_with_one_shingle_in_common(spark):
+    import time
+
+    rng = random.Random(2)
+    docs = [(i, f"a{rng.randrange(10**9)} b{i} one two three four five") for i in range(20_000)]
+    docs += [(30_000 + i, " ".join(f"l{i}x{j}" for j in range(12)) + " one two three four five") for i in range(3)]
+    docs += [(40_000 + i, " ".join(f"l{i}x{j}" for j in range(11)) + " y one two three four five") for i in range(3)]
+    began = time.time()
+    got = {r.doc_id: r.component_id for r in jaccard_join.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert time.time() - began < 120 and len(got) == len(docs)
+    sets = {i: tuples(t) for i, t in docs if i >= 30_000}
+    linked = {(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert all(got[i] == i for i in range(20_000)) and {(a, b) for a in sets for b in sets if a < b and got[a] == got[b]} == linked
+
+
 def test_large_group_of_near_copies_and_a_stray(spark):
     rng = random.Random(5)
     base = [f"b{i}" for i in range(120)]
