@@ -21,10 +21,10 @@ with r buckets in common are tried, so no link between components is lost and
 no pair within one is made.
 
 A bucket with more than ``HOT`` members (a passage that many different texts share)
-is not paired. Instead its members bring further blocks, e more each: two sets
-that may link have r + e blocks in common there, so r besides up to e of hot
-buckets, and meet elsewhere. Only a set with more than e hot blocks (most of it
-is such passages) still meets the others of its hot buckets.
+is not paired. Instead its members bring further blocks, e more each, and meet in
+those: two sets that may link have r + e blocks in common there, so r besides up
+to e of hot buckets. Only a set with more than e hot blocks (most of it is such
+passages) still meets the others of its hot buckets.
 
 Exactness: a set of up to ``SINGLES`` shingles has a block for each shingle.
 For larger sets the number of blocks is chosen so that fewer than D + 1
@@ -72,7 +72,7 @@ _DENSE = [f"d{i}" for i in range(DENSE)]
 
 def _further(prefix):
     """Blocks beyond its prefix that a set keeps for hot buckets."""
-    return prefix // 2 + 2
+    return prefix // 4 + 2
 
 
 def _reach(size, percent: int):
@@ -130,7 +130,8 @@ def sketches(texts: list[bytes | None], shingle: int = SHINGLE, percent: int = P
                 m, k = marks[ends[i] : ends[i + 1]], int(prefix[i])
                 if k < len(m):
                     most = k + _further(k)
-                    m = np.partition(m, (k - 1, most - 1))[:most] if most < len(m) else np.partition(m, k - 1)
+                    m = np.partition(m, most - 1)[:most] if most < len(m) else m.copy()
+                    m.sort()
                 found[i].append(m[:k])
                 further[i].append(m[k:])
     spare = np.array([min(map(len, f), default=0) for f in further], np.int32)  # of the band that has fewer
@@ -235,20 +236,21 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     hot_tokens = write_shared(hubs.where(F.col("members") > hot).select("token"), f"{path}/hot")
     heavy = None
     if hot_tokens.head(1):
-        in_hot = bucket.join(hot_tokens, "token", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("hot"))
-        in_hot = write_shared(in_hot, f"{path}/in-hot")
-        more = write_shared(keys.join(in_hot.select("id"), "id", "left_semi").select(F.explode("further").alias("token"), "id"), f"{path}/further")
-        # The buckets that these join are made anew.
-        anew = entries.join(more.select("token").distinct(), "token", "left_semi").union(more)
-        again = anew.join(_hubs(anew), "token").select("token", "id", "hub")
-        rest_of = bucket.join(more.select("token").distinct(), "token", "left_anti")
-        bucket = write_shared(rest_of.union(again), f"{path}/all-buckets")
-        remove_shared(spark, f"{path}/buckets")
-        # A further bucket may be hot itself.
-        hot_tokens = write_shared(bucket.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot).select("token"), f"{path}/all-hot")
-        counted = bucket.join(hot_tokens, "token", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("hot"))
-        heavy = counted.join(keys.select("id", "spare"), "id").where(F.col("hot") > F.col("spare")).select("id")
-        heavy = write_shared(heavy, f"{path}/heavy")
+        # Pairs that only hot buckets hold are among their members: those meet in further buckets of their own.
+        in_hot = write_shared(bucket.join(hot_tokens, "token", "left_semi").select("id").distinct(), f"{path}/in-hot")
+        own = write_shared(keys.join(in_hot, "id", "left_semi"), f"{path}/in-hot-keys")
+        whole = own.select(F.explode(F.concat("tokens", "further")).alias("token"), "id")
+        some = whole.join(own.select(F.explode("further").alias("token")).distinct(), "token", "left_semi")
+        again = write_shared(some.join(_hubs(some), "token").select("token", "id", "hub", "members"), f"{path}/further-buckets")
+        hot_again = again.where(F.col("members") > hot).select("token").distinct()
+        counted = whole.join(hot_tokens.union(hot_again).distinct(), "token", "left_semi").groupBy("id").agg(F.count(F.lit(1)).alias("hot"))
+        heavy = write_shared(counted.join(own.select("id", "spare"), "id").where(F.col("hot") > F.col("spare")).select("id"), f"{path}/heavy")
+        if not heavy.head(1):
+            heavy = None
+        # The same block may stand in both, so these get names of their own.
+        renamed = F.xxhash64("token", F.lit(1)).alias("token")
+        bucket = bucket.union(again.select(renamed, "id", "hub"))
+        hot_tokens = write_shared(hot_tokens.union(hot_again.select(renamed)), f"{path}/all-hot")
     remove_shared(spark, f"{path}/keys", f"{path}/hubs")
     nodes = classes.select("rep", "n", *_DENSE)
     star = bucket.select(F.col("id").alias("a"), F.col("hub").alias("b")).where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
@@ -262,10 +264,11 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
         bucket.select("token", "id").join(label, "id", "left").select("token", "id", F.coalesce("component", "id").alias("component")),
         f"{path}/labelled",
     )
-    remove_shared(spark, f"{path}/buckets", f"{path}/all-buckets")
+    remove_shared(spark, f"{path}/buckets", f"{path}/further-buckets")
     sizes = in_bucket.groupBy("token", "component").agg(F.count(F.lit(1)).alias("size"))
     mixed = sizes.groupBy("token").agg(F.count(F.lit(1)).alias("parts"), F.max_by("component", "size").alias("major"))
-    mixed = write_shared(mixed.where("parts > 1").select("token", "major"), f"{path}/mixed")
+    mixed = mixed.where("parts > 1").select("token", "major")
+    mixed = write_shared(mixed if heavy is not None else mixed.join(hot_tokens, "token", "left_anti"), f"{path}/mixed")
     left = write_shared(in_bucket.join(mixed, "token").join(nodes.withColumnRenamed("rep", "id"), "id"), f"{path}/mixed-members")
     remove_shared(spark, f"{path}/labelled", f"{path}/mixed")
     plain = left.join(hot_tokens, "token", "left_anti")
