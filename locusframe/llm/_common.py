@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from urllib.parse import urlparse
@@ -70,6 +71,31 @@ def write_shared(df: DataFrame, path: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """Jobs in this context send so many rows to a Python worker at a time: texts of a batch are in memory at once."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def give_back() -> None:
+    """Returns memory that a task of this worker has freed to the system; workers live on for later tasks."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library has it
+        pass
+
+
 def remove_shared(spark: SparkSession, *paths: str) -> None:
     """Deletes scratch folders that nothing reads any more."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -9,7 +9,7 @@ U64 = np.uint64
 _M1, _M2 = U64(0xBF58476D1CE4E5B9), U64(0x94D049BB133111EB)
 _STEP = U64(0x9E3779B97F4A7C15)
 #: Entries of the word memo of a worker before it is emptied.
-MEMO = 500_000
+MEMO = 150_000
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

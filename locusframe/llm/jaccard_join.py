@@ -47,10 +47,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import packed, remove_shared, work_dir, write_shared
+from ._common import give_back, packed, remove_shared, small_batches, work_dir, write_shared
 from ._shingles import U64, mix64, overlap, shingle_set, shingle_sets
 from .components import components
 
@@ -62,8 +63,8 @@ SINGLES = 24
 PER_REPEAT = 64
 #: 64-bit words of the dense sketch.
 DENSE = 16
-#: Texts that a worker sketches at a time.
-CHUNK = 256
+#: Texts that a worker sketches at a time, and their bytes, about.
+CHUNK, CHUNK_BYTES = 256, 1 << 20
 #: Members of a bucket up to which its pairs are looked at.
 HOT = 2000
 
@@ -145,20 +146,31 @@ def _flat(lists: list[list[np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts) if parts else np.empty(0, U64), np.concatenate(([0], np.cumsum(lengths)))
 
 
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of up to ``CHUNK`` rows and about ``CHUNK_BYTES`` of text, one row at least."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    i = 0
+    while i < batch.num_rows:
+        before = int(size[i - 1]) if i else 0
+        j = min(i + CHUNK, max(i + 1, int(np.searchsorted(size, before + CHUNK_BYTES))))
+        yield batch.slice(i, j - i)
+        i = j
+
+
 def sets_of(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     """(doc_id, n, s1, s2, dense sketch, spare, tokens, further tokens) of every document."""
     schema = f"doc_id long, n int, s1 long, s2 long, {', '.join(f'{d} long' for d in _DENSE)}, spare int, tokens array<long>, further array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, CHUNK):
-                part = batch.slice(i, CHUNK)
+            for part in _parts(batch):
                 n, (s1, s2), dense, spare, *tokens = sketches(part.column("text").to_pylist(), shingle, percent)
                 arrays = [part.column("doc_id"), pa.array(n.astype(np.int32)), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))]
                 arrays += [pa.array(dense[:, k]) for k in range(DENSE)]
                 arrays.append(pa.array(spare))
                 arrays += [pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(t.view(np.int64))) for t, ends in tokens]
                 yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "s1", "s2", *_DENSE, "spare", "tokens", "further"])
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("text")).mapInArrow(run, schema)
 
@@ -196,6 +208,7 @@ def verified(pairs: DataFrame, docs: DataFrame, shingle: int, percent: int) -> D
                 common = overlap(own, known)
                 keep.append(common > 0 and 100 * common >= percent * (len(own) + len(known) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long").distinct()
 
@@ -210,7 +223,8 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     path = work_dir(spark, "jaccard")
-    with_sets = write_shared(sets_of(docs, shingle, percent), f"{path}/sets")
+    with small_batches(spark):
+        with_sets = write_shared(sets_of(docs, shingle, percent), f"{path}/sets")
     rows = write_shared(with_sets.select("doc_id", "n", "s1", "s2"), f"{path}/rows")
     classes = write_shared(
         with_sets.where("n > 0 AND doc_id IS NOT NULL")
@@ -255,7 +269,8 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     nodes = classes.select("rep", "n", *_DENSE)
     star = bucket.select(F.col("id").alias("a"), F.col("hub").alias("b")).where("a != b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common"))
     tried = write_shared(_candidates(write_shared(star, f"{path}/star"), nodes, percent), f"{path}/tried")
-    links = write_shared(verified(tried, docs, shingle, percent).union(shared_ids), f"{path}/links")
+    with small_batches(spark):
+        links = write_shared(verified(tried, docs, shingle, percent).union(shared_ids), f"{path}/links")
     found = components(links, f"{path}/first")
 
     # What the stars leave: pairs in one bucket whose ends are in different components.
@@ -289,7 +304,8 @@ def similar_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCE
     rest = write_shared(rest.join(tried, ["a", "b"], "left_anti"), f"{path}/rest")
     remove_shared(spark, f"{path}/mixed-members")
     if rest.head(1):
-        more = write_shared(verified(rest, docs, shingle, percent), f"{path}/more-links")
+        with small_batches(spark):
+            more = write_shared(verified(rest, docs, shingle, percent), f"{path}/more-links")
         if more.head(1):
             found = components(links.union(more), f"{path}/second")
 
