@@ -15,7 +15,7 @@ from ..functions import cigar, readname, seq
 from ..operators import conservation as cons
 from ..operators import coverage, intervals, kmers, motif, projection, records, scoring, simulate, stats
 from ..sources import sequences
-from .scan import ranked
+from .scan import dealt, ranked
 from .standins import oracle, view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -713,7 +713,7 @@ _KMERS = "(SELECT id, p AS pos, substr(s, p + 1, {k}) AS kmer FROM seq, LATERAL
 
 @query("kmer_spectrum", f"SELECT kmer, count(*) AS n FROM {_KMERS.format(k=6)} GROUP BY kmer")
 def _(v):
-    return kmers.kmer_counts(v("seq"), 6)
+    return kmers.kmer_counts(dealt(v("seq"), "id"), 6)
 
 
 @query(
@@ -875,7 +875,7 @@ _HITS = f"""(SELECT id, pos, kmer, strand, score FROM (
 
 @query("pwm_hits", f"SELECT id, pos::INT AS pos, kmer, strand, score::BIGINT AS score FROM {_HITS}")
 def _(v):
-    return motif.matrix_hits(v("seq"), MATRIX, 20)
+    return motif.matrix_hits(dealt(v("seq"), "id"), MATRIX, 20)
 
 
 @query(
@@ -1017,6 +1017,7 @@ def _(v):
     s = lambda n, op: F.concat(F.col(n).cast("string"), F.lit(op))
     cigars = F.concat(*[s(f"n{i}", op) for i, op in enumerate("SMIMDM", 1)])
     reads = v("tx_reads").select("fid", "readno", "transcript", "pos", cigars.alias("cigar"), "mapq", "strand", "layout", "mapped")
+    reads = dealt(reads, "fid", "readno", "transcript", "pos")
     return projection.tx2genome(reads, projection.transcript_blocks(v("exon")), xs_tag=True, strict=False).drop("mapped")
 
 

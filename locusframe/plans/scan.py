@@ -1,4 +1,4 @@
-"""Global ranks without a task that sees all rows."""
+"""Global ranks without a task that sees all rows, and scans with too few splits."""
 
 from __future__ import annotations
 
@@ -62,3 +62,14 @@ def piece_of(column: Column, at: Sequence) -> Column:
         return F.when(column < F.lit(at[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
     return tree(0, len(at))
+
+
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """A scan, its rows dealt out by ``keys`` if it has fewer splits than there are cores (a file that is one row group); else as it is.
+
+    For work that costs much for each row. ``df`` must be without a shuffle, so that its splits are known from its plan.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, *keys)

@@ -51,3 +51,16 @@ def test_tail(tmp_path):
     p = tmp_path / "t"
     p.write_text("one\ntwo\nthree\n")
     assert lines.tail(str(p), 8) == "three\n" and lines.tail(str(p), 100) == "one\ntwo\nthree\n"
+
+
+def test_dealt_scans_keep_their_rows(spark, tmp_path):
+    from locusframe.plans.scan import dealt
+
+    spark.range(1000).selectExpr("id", "id % 3 AS k").coalesce(1).write.parquet(f"{tmp_path}/one")
+    one = spark.read.parquet(f"{tmp_path}/one")
+    many = dealt(one, "id")
+    assert many.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert sorted(many.collect()) == sorted(one.collect())
+    wide = one.repartition(16)
+    assert dealt(wide, "id") is wide
+    assert dealt(one.limit(0), "id").collect() == []
