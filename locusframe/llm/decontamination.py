@@ -35,11 +35,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import packed, read_table, work_dir, write_shared
+from ._common import give_back, packed, read_table, slices, work_dir, write_shared
 from ._shingles import U64, gram_hashes, word_hashes, words_of
 
 #: Words of a shingle; share of an item's shingles that makes a leak, in per cent.
@@ -149,9 +150,11 @@ def clean_documents(docs: DataFrame, items: DataFrame, shingle: int = SHINGLE, p
 def _without(docs: DataFrame, index: Broadcast, percent: int) -> DataFrame:
     """The rows whose text contains no item of the index."""
 
-    @F.pandas_udf("boolean")
-    def clean(texts: pd.Series) -> pd.Series:
-        return pd.Series([next(index.value.matches(t, percent), None) is None for t in texts], dtype=bool)
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([next(index.value.matches(t, percent), None) is None for part in slices(batch) for t in part.to_pylist()], pa.bool_())
+        give_back()
 
     return packed(docs, clean=clean(F.coalesce(F.col("text").cast("string"), F.lit("")))).where("clean").select("row.*")
 

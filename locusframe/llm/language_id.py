@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import packed, read_table
+from ._common import give_back, packed, read_table, slices
 
 WINDOW, WIDTHS, FILTERS = 192, (2, 3, 4), 16
 SAMPLE_DOCS, SAMPLE_BUDGET, LEAST_DOCS = 1200, 24_000, 8
@@ -248,11 +249,16 @@ def predict_rows(docs: DataFrame, model: ByteCnn) -> DataFrame:
     """(row, lang, score): the verdict beside each row's struct of columns; no join, so repeated rows and null ids keep theirs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("lang string, score double")
-    def verdict(texts: pd.Series) -> pd.DataFrame:
-        there = texts.notna().to_numpy()
-        found = iter(shared.value.predict(texts[there].tolist()))
-        return pd.DataFrame([next(found) if t else (UNKNOWN, 0.0) for t in there], columns=["lang", "score"])
+    @F.arrow_udf("lang string, score double")
+    def verdict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            result = []
+            for part in slices(batch):
+                texts = part.to_pylist()
+                found = iter(shared.value.predict([t for t in texts if t is not None]))
+                result += [(UNKNOWN, 0.0) if t is None else next(found) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([r[0] for r in result], pa.string()), pa.array([r[1] for r in result], pa.float64())], ["lang", "score"])
+        give_back()
 
     text = F.col("text").cast("string")
     return packed(docs, verdict=verdict(F.when(text.rlike(r"\p{L}"), text))).select("row", "verdict.lang", "verdict.score")

@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import open_store, read_table, shuffle_width, work_dir, write_shared
+from ._common import give_back, open_store, read_table, shuffle_width, small_batches, work_dir, write_shared
 
 MAGIC = b"LFTOK1\0\0"
 _HEAD, _TAIL = struct.Struct("<8s32sII"), struct.Struct("<QQ8s")
@@ -61,7 +61,7 @@ READ_DOCS = 1 << 16
 #: Bytes of text, about, that a worker encodes at a time.
 CHUNK = 6 << 20
 #: Entries of a worker's memo of parts before it is emptied.
-MEMO = 1_200_000
+MEMO = 600_000
 
 # How the tokenizer splits texts, and the same for lower-case plain text.
 NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -165,7 +165,11 @@ class WordEncoder:
         counts = sizes[at]
         ends = np.cumsum(counts)
         total = int(ends[-1]) if len(ends) else 0
-        flat = ids[np.repeat(first[at] - (ends - counts), counts) + np.arange(total)]
+        small = np.int32 if max(total, len(ids)) < 1 << 31 else np.int64
+        place = np.repeat((first[at] - (ends - counts)).astype(small), counts)
+        place += np.arange(total, dtype=small)
+        flat = ids[place]
+        del place
         bounds = np.concatenate(([0], ends))[lists.offsets.to_numpy() - lists.offsets[0].as_py()]
         for i, own in enumerate(special.tolist()):
             yield self._ids(texts[i].as_py()) if own else flat[bounds[i] : bounds[i + 1]].tobytes()
@@ -187,6 +191,12 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+def forget_parts() -> None:
+    """Empties the memos of the worker's encoders."""
+    for enc in _encoders.values():
+        enc.parts = {}
+
+
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int) -> bytes:
     """A dictionary from the ids of at most ``SAMPLE_DOCS`` documents; empty bytes if they are too few."""
     total = docs.count()
@@ -341,10 +351,12 @@ def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end_id: int, tasks:
                     writer.add(doc_id, data + end_bytes[enc.width])
         if writer is not None:
             yield _shard_row(part, number, writer)
+        give_back()
 
     ordered = docs.withColumn("h", F.xxhash64("text")).repartitionByRange(tasks, F.col("doc_id").asc_nulls_first(), "h")
     ordered = ordered.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "h").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    manifest = write_shared(ordered.mapInArrow(run, _MANIFEST), f"{uri}/manifest")
+    with small_batches(spark, 10_000, CHUNK):
+        manifest = write_shared(ordered.mapInArrow(run, _MANIFEST), f"{uri}/manifest")
     _remove_leftovers(uri, {r["file"] for r in manifest.select("file").collect()})  # one name for each shard
     return manifest
 
@@ -366,6 +378,7 @@ def read_tokens(spark: SparkSession, uri: str) -> DataFrame:
     shards = manifest.select("shard", "file", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long").alias("base"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        forget_parts()  # a worker that wrote the files needs its memo no more
         for b in batches:
             for name, base in zip(b["file"], b["base"], strict=True):
                 s, i = Shard(uri, name, dictionary), 0
@@ -380,6 +393,7 @@ def read_tokens(spark: SparkSession, uri: str) -> DataFrame:
                         "start": base + np.cumsum(n) - n, "n_tokens": n, "ids_crc32": np.array([r[1] for r in rows], np.int64),
                     })
                     i, base = i + len(rows), base + int(n.sum())
+        give_back()
 
     tasks = max(shuffle_width(spark), min(manifest.count() // 4, 100_000))
     return shards.repartition(tasks, "shard").select("file", "base").mapInPandas(run, _ROWS)
