@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.scan import cuts, piece_of, ranked
+from ..plans.scan import cuts, piece_of, ranked, spread
 
 
 def count_cube(df: DataFrame, dims: Sequence[str]) -> DataFrame:
@@ -39,19 +39,25 @@ def truncated_histogram(df: DataFrame, column: str, top: int) -> DataFrame:
 def smooth_sd(df: DataFrame, x: str, y: str, reach: float, by: Sequence[str] = ()) -> DataFrame:
     """Weighted standard deviation of y - x around each row: rows within ``reach`` of its x, Gaussian weights.
 
-    An equi-join on bins of x (and ``by``) with a residual, then four sums.
+    Rows of one x have the same neighbours: they are combined first, and only
+    distinct values of x meet, by an equi-join on bins of x (and ``by``) with a
+    residual. Each then gives its result once for each of its rows.
     """
-    base = df.select(*by, F.col(x).cast("double").alias("x"), (F.col(y) - F.col(x)).cast("double").alias("v"), F.monotonically_increasing_id().alias("row"))
-    centre = base.select(*by, F.col("x").alias("cx"), "row", F.floor(F.col("x") / reach).alias("bin")).withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-    other = base.select(*by, "x", "v", F.floor(F.col("x") / reach).alias("bin"))
-    near = centre.join(other, [*by, "bin"]).where(F.abs(F.col("x") - F.col("cx")) <= reach)
+    base = df.select(*by, F.col(x).cast("double").alias("x"), (F.col(y) - F.col(x)).cast("double").alias("v"))
+    places = base.groupBy(*by, "x").agg(F.sum("v").alias("v"), F.sum(F.col("v") * F.col("v")).alias("v2"), F.count(F.lit(1)).alias("m"))
+    at = places.withColumn("bin", F.floor(F.col("x") / reach))
+    # A pair of places is made in the bin of the first; each place also gives to the bins beside its own.
+    centre = at.select(*by, F.col("x").alias("cx"), F.col("m").alias("cm"), "bin")
+    other = at.select(*by, "x", "v", "v2", "m", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin"))
+    near = spread(centre, *by, "bin").join(spread(other, *by, "bin"), [*by, "bin"]).where(F.abs(F.col("x") - F.col("cx")) <= reach)
     w = F.exp(-0.5 * F.pow((F.col("x") - F.col("cx")) / reach, 2))
-    sums = near.withColumn("w", w).groupBy(*by, "row", "cx").agg(
-        F.sum("w").alias("sw"), F.sum(F.col("w") * F.col("w")).alias("sw2"), F.sum(F.col("w") * F.col("v")).alias("swv"), F.sum(F.col("w") * F.col("v") * F.col("v")).alias("swv2"), F.count(F.lit(1)).alias("n")
+    sums = near.withColumn("w", w).groupBy(*by, "bin", "cx", "cm").agg(
+        F.sum(F.col("w") * F.col("m")).alias("sw"), F.sum(F.col("w") * F.col("w") * F.col("m")).alias("sw2"), F.sum(F.col("w") * F.col("v")).alias("swv"), F.sum(F.col("w") * F.col("v2")).alias("swv2"), F.sum("m").alias("n")
     )
-    spread = F.col("swv2") - F.col("swv") * F.col("swv") / F.col("sw")
+    around = F.col("swv2") - F.col("swv") * F.col("swv") / F.col("sw")
     factor = F.col("sw") / (F.col("sw") * F.col("sw") - F.col("sw2"))
-    return sums.where("n > 1").select(*by, F.col("cx").alias("x"), "n", F.sqrt(F.greatest(F.lit(0.0), factor * spread)).alias("sd"))
+    found = sums.where("n > 1").select(*by, F.col("cx").alias("x"), "n", F.sqrt(F.greatest(F.lit(0.0), factor * around)).alias("sd"), "cm")
+    return found.select(*by, "x", "n", "sd", F.explode(F.sequence(F.lit(1).cast("long"), F.col("cm")))).drop("col")
 
 
 def _counted(df: DataFrame, column: str, by: Sequence[str], pieces: int) -> DataFrame:

@@ -1,11 +1,13 @@
 """Queries on tables whose keys, or rows at one place, are many more than in the test data, against the SQL."""
 
+import math
 import os
 import shutil
 
 import duckdb
 import pytest
 
+from locusframe.operators import stats
 from locusframe.plans import catalog
 
 from .compare import DATA, TABLES, assert_same
@@ -39,6 +41,22 @@ def check(spark, name, sf_dir):
     assert_same(catalog.QUERIES[name](spark, sf_dir), catalog.ORACLE_SQL[name], con=con)
 
 
+def most_rows_of_a_join(df):
+    """The most rows that one join of an executed plan gave."""
+    plan = df._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    plan = plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan
+    most, todo = 0, [plan]
+    while todo:
+        p = todo.pop()
+        if p.nodeName().endswith("QueryStage"):
+            todo.append(p.plan())
+        if "Join" in p.nodeName():
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        todo += [p.children().apply(i) for i in range(p.children().size())]
+    return most
+
+
 @pytest.fixture(scope="module")
 def far(tmp_path_factory):
     """Transcripts that start beyond a million."""
@@ -47,3 +65,27 @@ def far(tmp_path_factory):
 
 def test_loci_beyond_a_million(spark, far):
     check(spark, "loci_to_genes", far)
+
+
+@pytest.fixture(scope="module")
+def dense(tmp_path_factory):
+    """Many regions at each place."""
+    return grown(tmp_path_factory.mktemp("dense"), {"orders": 4, "events": 10})
+
+
+def test_smoothing_makes_a_pair_of_places_once(spark):
+    """Rows of one place are combined: the pairs grow with the places, not with the square of the rows."""
+    rows = [(1, float(x), float(x + (i * x) % 7)) for x in range(0, 40, 2) for i in range(50)]
+    df = spark.createDataFrame(rows, "c int, x double, y double").repartition(3)
+    got = stats.smooth_sd(df, "x", "y", 6.0, ["c"])
+    found = got.collect()
+    assert len(found) == len(rows) and sum(r.x == 10.0 for r in found) == 50
+    near = [(math.exp(-0.5 * ((x - 10) / 6) ** 2), y - x) for _, x, y in rows if abs(x - 10) <= 6]
+    sw, sw2, swv, swv2 = (sum(f(w, v) for w, v in near) for f in (lambda w, v: w, lambda w, v: w * w, lambda w, v: w * v, lambda w, v: w * v * v))
+    row = next(r for r in found if r.x == 10.0)
+    assert row.n == len(near) and abs(row.sd - math.sqrt(sw / (sw * sw - sw2) * (swv2 - swv * swv / sw))) < 1e-9
+    assert most_rows_of_a_join(got) <= len({r[1] for r in rows}) ** 2
+
+
+def test_smoothing_at_crowded_places(spark, dense):
+    check(spark, "smoothing_wsd", dense)
