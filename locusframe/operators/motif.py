@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import IUPAC, IUPAC_COMPLEMENT
 from ..plans.scan import ranked
 from .intervals import SWEEP_BIN, with_island
-from .kmers import chosen
+from .kmers import Letters, scanned
 
 Matrix = Sequence[dict[str, int]]
 
@@ -59,10 +61,8 @@ def mismatches(window: Column, consensus: str) -> Column:
     return reduce(lambda a, b: a + b, terms)
 
 
-def _both(strands: Sequence[str], forward: Column, backward: Column) -> Column:
-    """Array of (strand, score) for the asked strands."""
-    made = {"+": forward, "-": backward}
-    return F.array(*[F.struct(F.lit(t).alias("strand"), made[t].alias("score")) for t in strands])
+def _hits(starts: np.ndarray, letters: Letters, k: int, strand: str, *values: pa.Array) -> tuple[np.ndarray, list[pa.Array]]:
+    return starts, [letters.words(starts, k), pa.array([strand]).take(pa.array(np.zeros(len(starts), np.int64))), *values]
 
 
 def matrix_hits(seqs: DataFrame, matrix: Matrix, least: int, strands: Sequence[str] = "+-", ambiguous: bool = False) -> DataFrame:
@@ -74,43 +74,83 @@ def matrix_hits(seqs: DataFrame, matrix: Matrix, least: int, strands: Sequence[s
     that its IUPAC codes allow.
     """
     m = expand_matrix(matrix) if ambiguous else matrix
-    back = reverse_matrix(m)
-
-    def made(w: Column) -> Column:
-        scores = _both(strands, matrix_score(w, m), matrix_score(w, back))
-        return F.transform(scores, lambda x: F.struct(w.alias("kmer"), x["strand"].alias("strand"), x["score"].alias("score")))
-
-    return chosen(seqs, len(matrix), made, lambda x: x["score"] >= least)
+    k, none = len(matrix), -(1 << 50)
+    tables = {}
+    for strand, columns in (("+", m), ("-", reverse_matrix(m))):
+        if strand in strands:
+            tables[strand] = np.full((k, 256), none, np.int64)
+            for table, column in zip(tables[strand], columns, strict=True):
+                for base, weight in column.items():
+                    table[ord(base)] = int(weight)
+
+    def find(letters: Letters):
+        ok = letters.whole(k)
+        for strand, weights in tables.items():
+            score = np.zeros(len(ok), np.int64)
+            for j in range(k):
+                score += letters.looked_up(weights[j])[j : j + len(ok)]
+            starts = np.flatnonzero(ok & (score >= max(least, none // 2)))
+            yield _hits(starts, letters, k, strand, pa.array(score[starts]))
+
+    return scanned(seqs, k - 1, "kmer string, strand string, score long", find)
 
 
 def consensus_hits(seqs: DataFrame, consensus: Sequence[str], most: int, strands: Sequence[str] = "+") -> DataFrame:
     """(id, pos, kmer, strand, consensus, mismatches) of the windows within ``most`` mismatches of one of a set; one pass for each length."""
     swap = dict(zip(IUPAC, IUPAC_COMPLEMENT, strict=True))
+    codes = {c: i for i, c in enumerate(IUPAC, 1)}
     parts = []
     for k in sorted({len(c) for c in consensus}):
-        same = [c for c in consensus if len(c) == k]
+        tables = []
+        for c in consensus:
+            for t in strands if len(c) == k else ():
+                table = np.ones((k, 256), np.int64)
+                for column, x in zip(table, c if t == "+" else [swap[x] for x in reversed(c)], strict=True):
+                    column[[ord(b) for i, b in enumerate("ACGT") if codes[x] >> i & 1]] = 0
+                tables.append((c, t, table))
+
+        def find(letters: Letters, k=k, tables=tables):
+            ok = letters.whole(k)
+            for c, t, table in tables:
+                wrong = np.zeros(len(ok), np.int64)
+                for j in range(k):
+                    wrong += letters.looked_up(table[j])[j : j + len(ok)]
+                starts = np.flatnonzero(ok & (wrong <= most))
+                yield _hits(starts, letters, k, t, pa.array([c]).take(pa.array(np.zeros(len(starts), np.int64))), pa.array(wrong[starts]))
+
+        parts.append(scanned(seqs, k - 1, "kmer string, strand string, consensus string, mismatches long", find))
+    return reduce(DataFrame.unionByName, parts)
 
-        def made(w: Column, same=same) -> Column:
-            each = [
-                F.struct(w.alias("kmer"), F.lit(t).alias("strand"), F.lit(c).alias("consensus"), mismatches(w, c if t == "+" else "".join(swap[x] for x in reversed(c))).alias("mismatches"))
-                for c in same
-                for t in strands
-            ]
-            return F.array(*each)
 
-        parts.append(chosen(seqs, k, made, lambda x: x["mismatches"] <= most))
-    return reduce(DataFrame.unionByName, parts)
+def words_that_reach(matrix: Matrix, least: int, most: int) -> dict[str, int] | None:
+    """The words that score ``least`` or more, by branch and bound; None if they, or beginnings of them, are more than ``most``."""
+    rest = [sum(max(c.values()) for c in matrix[i:]) for i in range(len(matrix) + 1)]
+    found = {"": 0}
+    for i, column in enumerate(matrix):
+        found = {w + b: n + x for w, n in found.items() for b, x in column.items() if n + x + rest[i + 1] >= least}
+        if len(found) > most:
+            return None
+    return found
 
 
-def index_hits(index: DataFrame, matrix: Matrix, least: int, strands: Sequence[str] = "+-") -> DataFrame:
+def index_hits(index: DataFrame, matrix: Matrix, least: int, strands: Sequence[str] = "+-", most: int = 1 << 16) -> DataFrame:
     """(id, pos, kmer, strand, score) out of a k-mer index whose k-mers are as long as the matrix, or longer.
 
-    Distinct beginnings are scored first; an index entry is read only if its
-    ``prefix`` can still reach ``least`` with the best weights behind it. Each
-    k-mer is scored once, whatever its number of positions.
+    The words that score enough are listed first, if they are no more than
+    ``most``: the index is read once, and its entries meet them by their first
+    letters. Otherwise distinct beginnings are scored: an entry is
+    read only if its ``prefix`` can still reach ``least`` with the best weights
+    behind it, and each k-mer is scored once, whatever its number of positions.
     """
     back = reverse_matrix(matrix)
     k = len(matrix)
+    made = {t: m for t, m in (("+", matrix), ("-", back)) if t in strands}
+    lists = {t: words_that_reach(m, least, most) for t, m in made.items()}
+    if all(x is not None for x in lists.values()):
+        spark = index.sparkSession
+        table = spark.createDataFrame([(w, t, int(n)) for t, x in lists.items() for w, n in x.items()], "word string, strand string, score long")
+        words = index.withColumn("word", F.left("kmer", F.lit(k)))
+        return words.join(F.broadcast(table), "word").select("id", "pos", F.col("word").alias("kmer"), "strand", "score")
 
     def reach(m: Matrix, width: int) -> Column:
         head = F.col("prefix")
@@ -118,9 +158,10 @@ def index_hits(index: DataFrame, matrix: Matrix, least: int, strands: Sequence[s
         return matrix_score(F.substring(head, 1, min(width, k)), m[:width]) + rest
 
     width = min(k, 4)
-    best = F.greatest(*[reach(m, width) for m in ((matrix,) if strands == "+" else (back,) if strands == "-" else (matrix, back))])
+    best = F.greatest(*[reach(m, width) for m in made.values()], F.lit(None).cast("long"))
     words = index.where(best >= least).withColumn("word", F.left("kmer", F.lit(k)))
-    scored = words.select("word").distinct().withColumn("m", F.explode(F.filter(_both(strands, matrix_score(F.col("word"), matrix), matrix_score(F.col("word"), back)), lambda x: x["score"] >= least)))
+    each = F.array(*[F.struct(F.lit(t).alias("strand"), matrix_score(F.col("word"), m).alias("score")) for t, m in made.items()])
+    scored = words.select("word").distinct().withColumn("m", F.explode(F.filter(each, lambda x: x["score"] >= least)))
     return words.join(scored, "word").select("id", "pos", F.col("word").alias("kmer"), "m.strand", "m.score")
 
 

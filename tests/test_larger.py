@@ -2,13 +2,15 @@
 
 import math
 import os
+import random
 import shutil
+from collections import Counter
 
 import duckdb
 import pytest
 
-from locusframe.operators import stats
-from locusframe.plans import catalog
+from locusframe.operators import kmers, motif, stats
+from locusframe.plans import catalog, standins
 
 from .compare import DATA, TABLES, assert_same
 
@@ -89,3 +91,34 @@ def test_smoothing_makes_a_pair_of_places_once(spark):
 
 def test_smoothing_at_crowded_places(spark, dense):
     check(spark, "smoothing_wsd", dense)
+
+
+def test_texts_are_dealt_out(spark):
+    """A file of texts that is one split is work for all cores."""
+    assert standins.view(spark, DATA, "seq").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
+def test_an_index_is_read_once_for_hits(spark):
+    plan = catalog.QUERIES["index_hits"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan parquet") == 1
+    wide = [{"A": 1, "C": 0, "G": 0, "T": 0}] * 9
+    index = kmers.index_entries(spark.createDataFrame([(1, "CAAAAAAAAAAAACTTTTTTTTTT")], "id int, s string"), 9)
+    few, many = (sorted(map(tuple, motif.index_hits(index, wide, 8, most=m).collect())) for m in (1 << 16, 2))
+    assert few == many and len(few) == 9
+
+
+def test_scans_of_any_letters(spark):
+    """Windows, numbers and pairs of texts with letters that are no bases, lower case and beyond ASCII, across pieces."""
+    rng = random.Random(7)
+    texts = {1: "".join(rng.choice("ACGTNacgt") for _ in range(700)), 2: "".join(rng.choice("ACGTé€") for _ in range(300)), 3: "", 4: "ACG"}
+    df = spark.createDataFrame(list(texts.items()), "id int, s string")
+    want = {(i, p): s[p : p + 6] for i, s in texts.items() for p in range(len(s) - 5)}
+    value = lambda w: sum("ACGT".find(c.upper()) * 4 ** (5 - j) for j, c in enumerate(w) if c.upper() in "ACGT")
+    assert {(r.id, r.pos): r.packed for r in kmers.packed(df, 6).collect()} == {at: value(w) for at, w in want.items()}
+    assert {(r.id, r.pos): r.kmer for r in kmers.exploded(df, 6).collect()} == want
+    hits = {(r.id, r.pos): r.kmer for r in motif.consensus_hits(df, ["TRCAYC"], 3).collect()}
+    assert hits == {at: w for at, w in want.items() if sum(c not in a for c, a in zip(w, ("T", "AG", "C", "A", "CT", "C"), strict=True)) <= 3}
+    pairs = Counter((s[i : i + 2], s[i + d : i + d + 2]) for s in texts.values() for d in (3, 4) for i in range(len(s) - d - 1))
+    times = Counter(min(n, 100) for n in pairs.values())
+    got = {r.times: (r.pairs, r.total) for r in kmers.pair_spectrum(df, 2, 3, 5).collect()}
+    assert got == {t: (n, sum(x for x in pairs.values() if min(x, 100) == t)) for t, n in times.items()}
