@@ -84,19 +84,18 @@ def tx2genome(reads: DataFrame, blocks: DataFrame, introns: bool = True, xs_tag:
     joined = reads.join(dims, F.col("transcript") == F.col("__t"), "left")
     there = F.col("__t").isNotNull() & (F.coalesce("mapped", F.lit(False)) if "mapped" in have else F.lit(True))
     same = F.col("__strand") != "-"
-    joined = _once(joined.withColumn("__there", there), "__u", F.when(there, cg.parse(F.col("cigar"))))
-    start = F.when(same, F.col("pos")).otherwise(F.col("__length") - cg.reference_length(F.col("__u")) - F.col("pos"))
-    joined = _once(joined, "__put", F.when(F.col("__there"), cg.expand_spans(F.col("__spans"), F.when(same, F.col("__u")).otherwise(F.reverse("__u")), start, "N" if introns else "D"))).drop("__u", "__spans")
+    joined = joined.withColumns({"__there": there, "__turned": ~same, "__spans": F.when(there, F.col("__spans"))})
+    joined = cg.placed(joined, "__spans", "cigar", "pos", "N" if introns else "D", "__turned", cg.ON_TEMPLATE, "__put")
     if strict:
         error = F.raise_error(F.concat(F.lit("a read leaves transcript "), F.col("transcript").cast("string"))).cast("boolean")
         joined = joined.where(F.when(F.col("__there") & F.col("__put").isNull(), error).otherwise(F.lit(True)))
     else:
         joined = joined.where(~F.col("__there") | F.col("__put").isNotNull())
-    joined = _once(joined, "__units", cg.trim(F.col("__put.units"), cg.ON_TEMPLATE)).where(~F.col("__there") | (cg.aligned_length(F.col("__units")) > 0))
+    joined = joined.where(~F.col("__there") | (F.col("__put.aligned") > 0))
     turned = F.col("__there") & ~same
     put = {
         "pos": F.when(F.col("__there"), F.col("__put.start")).otherwise(F.col("pos")),
-        "cigar": F.when(F.col("__there"), cg.render(F.col("__units"))).otherwise(F.col("cigar")),
+        "cigar": F.when(F.col("__there"), F.col("__put.cigar")).otherwise(F.col("cigar")),
         "strand": F.when(turned, ~F.col("strand")).otherwise(F.col("strand")) if "strand" in have else None,
         "layout": F.when(turned, F.lit(1) - F.col("layout")).otherwise(F.col("layout")) if "layout" in have else None,
     }

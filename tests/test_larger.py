@@ -8,7 +8,9 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from locusframe.functions import cigar
 from locusframe.operators import kmers, motif, stats
 from locusframe.plans import catalog, standins
 
@@ -122,3 +124,33 @@ def test_scans_of_any_letters(spark):
     times = Counter(min(n, 100) for n in pairs.values())
     got = {r.times: (r.pairs, r.total) for r in kmers.pair_spectrum(df, 2, 3, 5).collect()}
     assert got == {t: (n, sum(x for x in pairs.values() if min(x, 100) == t)) for t, n in times.items()}
+
+
+def test_placed_like_the_column_walk(spark):
+    """Strings put through spans in batches, against the lambdas: forwards, backwards, turned, empty units, off the end."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(300):
+        blocks = [(rng.randrange(4), rng.choice([0, 1, 3, 9])) for _ in range(rng.randrange(1, 6))]
+        text = "".join(f"{rng.choice([-3, -1, 0, 1, 2, 5, 8]) if i % 3 == 0 else rng.randrange(6)}{rng.choice('MIDNST')}" for _ in range(rng.randrange(6)))
+        rows.append((i, blocks, text, rng.randrange(12), rng.random() < 0.5))
+    df = spark.createDataFrame(rows, "i int, b array<struct<jump:bigint,block:bigint>>, c string, start long, turn boolean").withColumn("spans", cigar.spans(F.col("b")))
+    put = cigar.placed(df.drop("b"), "spans", "c", "start", "D", "turn", cigar.ON_TEMPLATE)
+    got = {r.i: r.put for r in put.collect()}
+    u = cigar.parse(F.col("c"))
+    length = F.element_at("spans", -1)["stop"]
+    start = F.when(F.col("turn"), length - cigar.reference_length(u) - F.col("start")).otherwise(F.col("start"))
+    x = df.select("i", cigar.expand_spans(F.col("spans"), F.when(F.col("turn"), F.reverse(u)).otherwise(u), start, "D").alias("x"))
+    trimmed = cigar.trim(F.col("x.units"), cigar.ON_TEMPLATE)
+    want = {r.i: r for r in x.select("i", "x.start", cigar.render(trimmed).alias("cigar"), cigar.aligned_length(trimmed).alias("aligned"), F.col("x").isNull().alias("off")).collect()}
+    assert sum(r.off for r in want.values()) > 20 and sum(not r.off for r in want.values()) > 60
+    for i, r in want.items():
+        assert (got[i] is None) == r.off and (r.off or tuple(got[i]) == (r.start, r.cigar, r.aligned)), rows[i]
+
+
+def test_plain_cigars_are_compared_as_they_are(spark):
+    texts = ["5M3T2T4N6M", "3M2N5M", "3M0I2M", "03M", "3T5M", "*", "", "4M4M", "1M2N3N", "2S10M", "5M-2N1M"]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    full = cigar.render(cigar.consolidate(cigar.parse(F.translate(F.col("c"), "T", "N"))))
+    assert all(a == b for a, b in df.select(cigar.comparable(F.col("c")), full).collect())
+    assert df.where(F.translate("c", "T", "N").rlike(cigar._PLAIN)).count() == 3
