@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cigar as cg
 from ..functions.seq import reverse_complement
-from ..plans.scan import lagged, ranked
+from ..plans.scan import lagged, ranked, spread
 
 FRAGMENT_ORDER = ("flowcell", "lane", "tile", "x", "y")
 
@@ -299,6 +299,13 @@ def merge_spaces(df: DataFrame, keys: Sequence[str] = ("fid", "contig", "pos"),
 
 
 def reconcile(a: DataFrame, b: DataFrame, on: str) -> DataFrame:
-    """Keys that only one of two tables has: (key, side)."""
-    left, right = a.select(on).distinct(), b.select(on).distinct()
-    return left.join(right, on, "left_anti").withColumn("side", F.lit("first")).union(right.join(left, on, "left_anti").withColumn("side", F.lit("second")))
+    """Keys that only one of two tables has: (key, side).
+
+    Keys of both tables meet once, in as many tasks as a shuffle has, so that a
+    task's share of them stays small.
+    """
+    both = a.select(on, F.lit(1).alias("__side")).unionAll(b.select(on, F.lit(2).alias("__side")))
+    sides = spread(both, on).groupBy(on).agg(F.bit_or("__side").alias("__sides"))
+    # A key that is null is in neither table: it is listed for each that has one.
+    named = F.when(F.col(on).isNull() & (F.col("__sides") == 3), F.array(F.lit("first"), F.lit("second"))).when(F.col("__sides") == 1, F.array(F.lit("first"))).when(F.col("__sides") == 2, F.array(F.lit("second")))
+    return sides.select(on, F.explode(named).alias("side"))
