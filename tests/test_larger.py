@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.functions import cigar
-from locusframe.operators import kmers, motif, stats
+from locusframe.operators import conservation, kmers, motif, records, stats
 from locusframe.plans import catalog, standins
 
 from .compare import DATA, TABLES, assert_same
@@ -154,3 +154,21 @@ def test_plain_cigars_are_compared_as_they_are(spark):
     full = cigar.render(cigar.consolidate(cigar.parse(F.translate(F.col("c"), "T", "N"))))
     assert all(a == b for a, b in df.select(cigar.comparable(F.col("c")), full).collect())
     assert df.where(F.translate("c", "T", "N").rlike(cigar._PLAIN)).count() == 3
+
+
+def test_keys_of_both_tables_meet_once(spark):
+    left, right = spark.createDataFrame([(1,), (2,), (2,), (None,)], "k int"), spark.createDataFrame([(2,), (3,), (3,), (None,)], "k int")
+    got = records.reconcile(left, right, "k")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([(1, "first"), (None, "first"), (3, "second"), (None, "second")], key=str)
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+
+
+def test_weights_of_a_table_and_of_a_pair(spark):
+    rng = random.Random(2)
+    make = lambda n: [{"start": rng.randrange(500), "name": "a", "s": "".join(rng.choice("ACGT") for _ in range(rng.randrange(9))), "strand": rng.choice("+-")} for _ in range(n)]
+    q, t = make(30), make(40)
+    table = conservation._weights(q, t, 12.3, 100.0)
+    assert all(table[i, j] == conservation._pair(x, y, 12.3, 100.0)[0] for i, x in enumerate(q) for j, y in enumerate(t))
+    plan = catalog.QUERIES["conservation"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_NUM" in plan  # a few pairs are not one task
