@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from locusframe.functions import cigar
-from locusframe.operators import conservation, kmers, motif, records, stats
+from locusframe.operators import conservation, intervals, kmers, motif, records, stats
 from locusframe.plans import catalog, standins
 
 from .compare import DATA, TABLES, assert_same
@@ -172,3 +172,27 @@ def test_weights_of_a_table_and_of_a_pair(spark):
     assert all(table[i, j] == conservation._pair(x, y, 12.3, 100.0)[0] for i, x in enumerate(q) for j, y in enumerate(t))
     plan = catalog.QUERIES["conservation"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan  # a few pairs are not one task
+
+
+def test_association_among_crowds(spark, dense):
+    check(spark, "associate_regions", dense)
+
+
+@pytest.mark.parametrize(("reach", "between", "least"), [(100, 2, -30), (0, 5, None), (-3, 1, None), (5000, 40, -10)])
+def test_association_like_all_pairs(spark, reach, between, least):
+    """Short and long queries and targets, empty ones too, in many cells."""
+    rng = random.Random(reach)
+    make = lambda n: [(i, rng.randrange(2), s := rng.randrange(-3000, 20_000), s + rng.choice([0, 1, 7, 30, 400]), rng.choice("+-")) for i in range(n)]
+    q, t = make(60), [*make(300), (900, 0, -100, 15_000, "+")]
+    columns = "id long, contig int, start long, stop long, strand string"
+    df = intervals.associate(spark.createDataFrame(q, columns), spark.createDataFrame(t, columns), reach, between, least)
+    r, rows = max(0, reach), []
+    for i, c, a, z, s in sorted(q, key=lambda x: (x[1], x[2], x[0])):
+        near = [(b, j, y, d) for j, k, b, y, _ in t if k == c and b <= z + r and a <= y + r and (d := a - y if abs(a - y) < abs(b - z) else b - z) <= r]
+        nearer = lambda side, d: len({x[3] for x in near if side(x) and x[3] < d})  # noqa: B023, E731
+        for b, j, y, d in sorted(near):
+            n = nearer(lambda x: z > x[2], d) if z > y else nearer(lambda x: a < x[0], d) if a < b else 0  # noqa: B023
+            if n <= between and d <= reach and (least is None or d >= least):
+                rows.append((i, j, d, max(0, min(z, y) - max(a, b)), "SAME" if s == next(x[4] for x in t if x[0] == j) else "OPP", n, len(rows)))
+    assert rows and df.columns == ["q", "t", "distance", "overlap", "orientation", "between", "assoc"]
+    assert sorted(map(tuple, df.collect()), key=lambda x: x[6]) == rows
