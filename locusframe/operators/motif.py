@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.seq import IUPAC, IUPAC_COMPLEMENT
-from ..plans.scan import ranked
+from ..plans.scan import kept, ranked, spread
 from .intervals import SWEEP_BIN, with_island
 from .kmers import Letters, scanned
 
@@ -200,16 +200,21 @@ def diversity_windows(hits: DataFrame, span: int, needs: dict[str, int], least:
     """Hits that open a valid window: (contig, id, start, window_stop), where at least ``least`` groups reach their number.
 
     A window holds the hits from its own on, in (start, stop, id) order, that
-    start within ``span``. Hits meet by an equi-join on bins of the span.
+    start within ``span``.
     """
-    h = hits.select("contig", "id", "start", "stop", "grp")
-    a = h.withColumn("bin", F.floor(F.col("start") / span)).withColumn("bin", F.explode(F.array(F.col("bin"), F.col("bin") + 1)))
-    b = h.select(F.col("contig").alias("c"), *[F.col(x).alias(f"o_{x}") for x in ("id", "start", "stop", "grp")], F.floor(F.col("start") / span).alias("o_bin"))
-    later = F.struct("o_start", "o_stop", "o_id") >= F.struct("start", "stop", "id")
-    near = a.join(b, (F.col("contig") == F.col("c")) & (F.col("bin") == F.col("o_bin")) & (F.col("o_start") <= F.col("start") + span) & later)
-    counts = near.groupBy("contig", "id", "start", "stop").agg(*[F.sum((F.col("o_grp") == g).cast("long")).alias(f"n_{i}") for i, g in enumerate(needs)], F.max("o_stop").alias("window_stop"))
-    met = reduce(lambda x, y: x + y, [(F.col(f"n_{i}") >= n).cast("long") for i, n in enumerate(needs.values())])
-    return counts.where(met >= least).select("contig", "id", "start", "window_stop", met.cast("long").alias("met"))
+    counts = [F.sum((F.col("grp") == g).cast("long")).alias(f"n_{i}") for i, g in enumerate(needs)]
+    # Hits of one start see the same later starts: starts meet each other once, by an equi-join on bins of the span.
+    places = hits.groupBy("contig", "start").agg(*counts, F.max("stop").alias("top")).withColumn("bin", F.floor(F.col("start") / span))
+    a = places.select("contig", "start", F.explode(F.array("bin", F.col("bin") + 1)).alias("bin"))
+    b = places.select("contig", "bin", F.col("start").alias("o_start"), F.col("top").alias("o_top"), *[f"n_{i}" for i in range(len(needs))])
+    near = spread(a, "contig", "bin").join(spread(b, "contig", "bin"), ["contig", "bin"]).where((F.col("o_start") > F.col("start")) & (F.col("o_start") <= F.col("start") + span))
+    later = near.groupBy(F.col("contig").alias("__contig"), F.col("start").alias("__start")).agg(*[F.sum(f"n_{i}").alias(f"l_{i}") for i in range(len(needs))], F.max("o_top").alias("l_top"))
+    # Of its own start, a hit sees those that come after it, and itself.
+    own = Window.partitionBy("contig", "start").orderBy(F.desc("stop"), F.desc("id")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    h = hits.select("contig", "id", "start", "stop", *[F.sum((F.col("grp") == g).cast("long")).over(own).alias(f"s_{i}") for i, g in enumerate(needs)], F.max("stop").over(own).alias("s_top")).distinct()
+    seen = h.join(later, (F.col("contig") == F.col("__contig")) & (F.col("start") == F.col("__start")), "left")
+    met = reduce(lambda x, y: x + y, [(F.coalesce(f"s_{i}", F.lit(0)) + F.coalesce(f"l_{i}", F.lit(0)) >= n).cast("long") for i, n in enumerate(needs.values())])
+    return seen.where(met >= least).select("contig", "id", "start", F.greatest("s_top", "l_top").alias("window_stop"), met.cast("long").alias("met"))
 
 
 def cluster_members(hits: DataFrame, windows: DataFrame, span: int) -> DataFrame:
@@ -217,11 +222,17 @@ def cluster_members(hits: DataFrame, windows: DataFrame, span: int) -> DataFrame
 
     Clusters are numbered from 1 in order of contig and first hit.
     """
-    w = windows.select(F.col("contig"), F.col("id").alias("window"), F.col("start").alias("w_start"), F.explode(F.array(F.floor(F.col("start") / span), F.floor(F.col("start") / span) + 1)).alias("bin"))
-    h = hits.select(F.col("contig").alias("c"), "id", F.col("start").alias("h_start"), F.col("stop").alias("h_stop"), F.floor(F.col("start") / span).alias("h_bin"))
-    inside = h.join(w, (F.col("contig") == F.col("c")) & (F.col("h_bin") == F.col("bin")) & (F.col("h_start") >= F.col("w_start")) & (F.col("h_start") <= F.col("w_start") + span))
-    # The windows of a hit reach from its first to its last one; hits whose reaches touch are chained.
-    reach = inside.groupBy("contig", "id", "h_start", "h_stop").agg(F.min("w_start").alias("start"), F.max("w_start").alias("stop"))
+    bin_ = F.floor(F.col("start") / span)
+    w = windows.select("contig", "start").distinct().select(F.col("contig").alias("c"), F.col("start").alias("w_start"), F.explode(F.array(bin_, bin_ + 1)).alias("w_bin"))
+    places = hits.select("contig", "start").distinct().withColumn("bin", bin_)
+    # The windows of a start reach from its first to its last one, among those that open in its bin or the bin before.
+    within = (F.col("start") >= F.col("w_start")) & (F.col("start") <= F.col("w_start") + span)
+    met = spread(places, "contig", "bin").join(spread(w, "c", "w_bin"), (F.col("contig") == F.col("c")) & (F.col("bin") == F.col("w_bin")) & within)
+    spans = met.groupBy(F.col("contig").alias("c"), F.col("start").alias("h")).agg(F.min("w_start").alias("first"), F.max("w_start").alias("last"))
+    # Hits whose reaches touch are chained.
+    joined = hits.join(spans, (F.col("contig") == F.col("c")) & (F.col("start") == F.col("h")))
+    reach = joined.select("contig", "id", F.col("start").alias("h_start"), F.col("stop").alias("h_stop"), F.col("first").alias("start"), F.col("last").alias("stop")).distinct()
+    reach = kept(reach, "reaches")  # islands, their numbers and the members read them
     chained = with_island(reach, sweep_bin=max(SWEEP_BIN, span))
     first = chained.groupBy("contig", "union_start").agg(F.min("h_start").alias("cluster_start"))
     numbered = ranked(first, [F.col("contig"), F.floor(F.col("cluster_start") / SWEEP_BIN)], ["cluster_start"], "cluster")

@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .operators import motif
+from .plans.scan import kept
 
 SETTINGS = frozenset(
     "species data_directory merge_overlapping_clusters position_file tree_file dna_index_file hits_file cluster_file ones_offset "
@@ -152,6 +153,8 @@ def search(seqs: DataFrame, what: Search | str) -> tuple[DataFrame, dict[str, Da
     located = hits.select(
         F.col("id").alias("contig"), F.xxhash64("id", "pos", "strand", "name").alias("id"), F.col("pos").cast("long").alias("start"), (F.col("pos") + F.length("kmer")).cast("long").alias("stop"), "grp", "name", "strand", "score"
     )
+    if what.clusters:
+        located = kept(located, "hits")  # each cluster reads them several times
     clusters = {}
     for c in what.clusters:
         clusters[c.name] = motif.cluster_members(located, motif.diversity_windows(located, c.window, c.needs, c.least), c.window)

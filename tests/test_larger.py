@@ -196,3 +196,22 @@ def test_association_like_all_pairs(spark, reach, between, least):
                 rows.append((i, j, d, max(0, min(z, y) - max(a, b)), "SAME" if s == next(x[4] for x in t if x[0] == j) else "OPP", n, len(rows)))
     assert rows and df.columns == ["q", "t", "distance", "overlap", "orientation", "between", "assoc"]
     assert sorted(map(tuple, df.collect()), key=lambda x: x[6]) == rows
+
+
+def test_windows_and_clusters_at_crowded_places(spark, dense):
+    check(spark, "diversity_windows", dense)
+    check(spark, "cluster_members", dense)
+
+
+def test_starts_meet_once_in_windows(spark):
+    """A thousand hits at each of ten starts make no more pairs than the starts."""
+    rows = [(0, x * 1000 + i, x * 3, x * 3 + 5, "ab"[i % 2]) for x in range(10) for i in range(1000)]
+    hits = spark.createDataFrame(rows, "contig int, id long, start long, stop long, grp string")
+    windows = motif.diversity_windows(hits, 20, {"a": 600, "b": 600}, 2)
+    assert {(r.id // 1000) for r in windows.collect()} == set(range(9))
+    assert most_rows_of_a_join(windows) <= 3 * len(rows)
+
+
+def test_hits_of_a_search_are_found_once_for_their_clusters(spark):
+    plan = catalog.QUERIES["motif_clusters"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and "documents.parquet" not in plan
