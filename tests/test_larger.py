@@ -215,3 +215,12 @@ def test_starts_meet_once_in_windows(spark):
 def test_hits_of_a_search_are_found_once_for_their_clusters(spark):
     plan = catalog.QUERIES["motif_clusters"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" not in plan and "documents.parquet" not in plan
+
+
+def test_association_of_queries_that_share_an_id(spark):
+    """Nearer distances count over all rows of an id."""
+    columns = "id long, contig int, start long, stop long"
+    q = spark.createDataFrame([(1, 0, 100, 110), (1, 0, 300, 310)], columns)
+    t = spark.createDataFrame([(5, 0, 115, 120), (6, 0, 312, 330)], columns)
+    got = {(r.q, r.t): r["between"] for r in intervals.associate(q, t, 20, 5).collect()}
+    assert got == {(1, 6): 0, (1, 5): 1}
